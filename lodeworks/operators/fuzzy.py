@@ -61,6 +61,11 @@ def _segment_start(length: Column, parts: Column, i: Column) -> Column:
     return F.floor(length * i / parts).cast("int")
 
 
+def _key(length: Column, part: Column, segment: Column) -> Column:
+    """One long per (length, part, segment); a collision only adds a candidate."""
+    return F.xxhash64(length, part, segment)
+
+
 def index_segments(names: DataFrame, name: str, threshold: float, measure: str) -> DataFrame:
     length = F.length(name)
     parts = F.least(_budget(length, threshold, measure) + 1, length)
@@ -68,50 +73,36 @@ def index_segments(names: DataFrame, name: str, threshold: float, measure: str)
     def segment(i: Column) -> Column:
         start = _segment_start(length, parts, i)
         size = _segment_start(length, parts, i + 1) - start
-        return F.struct(
-            length.alias("len"), i.alias("part"), F.substring(F.col(name), start + 1, size).alias("seg")
-        )
+        return _key(length, i, F.substring(F.col(name), start + 1, size))
 
     keys = F.transform(F.sequence(F.lit(0), parts - 1), segment)
-    return names.filter(length > 0).select("*", F.explode(keys).alias("_k")).select(
-        *names.columns, "_k.len", "_k.part", "_k.seg"
-    )
+    return names.filter(length > 0).select(*names.columns, F.explode(keys).alias("k"))
 
 
 def probe_segments(names: DataFrame, name: str, threshold: float, measure: str) -> DataFrame:
-    length = F.length(name)
+    """Every place where a segment of a partner of each possible length may stand.
 
-    def for_length(other: Column) -> Column:
-        parts = F.least(_budget(other, threshold, measure) + 1, other)
-        shift = length - other
-
-        def for_part(i: Column) -> Column:
-            start = _segment_start(other, parts, i)
-            size = _segment_start(other, parts, i + 1) - start
-            # A segment moves by at most the edits on its left and on its right.
-            room = parts - 1 - i
-            first = F.greatest(start - i, start + shift - room, F.lit(0))
-            last = F.least(start + i, start + shift + room, length - size)
-            places = F.when(first <= last, F.sequence(first, last)).otherwise(
-                F.array().cast("array<int>")
-            )
-            return F.transform(
-                places,
-                lambda p: F.struct(
-                    other.alias("len"),
-                    i.alias("part"),
-                    F.substring(F.col(name), p + 1, size).alias("seg"),
-                ),
-            )
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), for_part))
-
-    keys = F.array_distinct(
-        F.flatten(F.transform(_partner_lengths(length, threshold, measure), for_length))
-    )
-    return names.filter(length > 0).select("*", F.explode(keys).alias("_k")).select(
-        *names.columns, "_k.len", "_k.part", "_k.seg"
+    The two short lists (partner length, segment number) are exploded row by row,
+    so the inner work stays in generated code.
+    """
+    width = F.length(name)
+    rows = names.filter(width > 0).select(
+        *names.columns, F.explode(_partner_lengths(width, threshold, measure)).alias("_m")
     )
+    m = F.col("_m")
+    rows = rows.withColumn("_p", F.least(_budget(m, threshold, measure) + 1, m))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)).alias("_i"))
+    i, parts, shift = F.col("_i"), F.col("_p"), width - m
+    start = _segment_start(m, parts, i)
+    size = _segment_start(m, parts, i + 1) - start
+    # A segment moves by at most the edits on its left and on its right.
+    room = parts - 1 - i
+    first = F.greatest(start - i, start + shift - room, F.lit(0))
+    last = F.least(start + i, start + shift + room, width - size)
+    rows = rows.select("*", size.alias("_s"), first.alias("_f"), last.alias("_l")).filter("_f <= _l")
+    rows = rows.select("*", F.explode(F.sequence("_f", "_l")).alias("_at"))
+    segment = F.substring(F.col(name), F.col("_at") + 1, F.col("_s"))
+    return rows.select(*names.columns, _key(m, i, segment).alias("k"))
 
 
 def similar_names(
@@ -127,7 +118,7 @@ def similar_names(
     """Pairs (a, b, sim) of distinct names from two one-column tables ``a`` and ``b``."""
     a = probe_segments(left.select("a").distinct(), "a", threshold, measure)
     b = index_segments(right.select("b").distinct(), "b", threshold, measure)
-    keys = ["len", "part", "seg"]
+    keys = ["k"]
     if same_prefix:
         a = a.withColumn("pre", F.left("a", F.lit(same_prefix)))
         b = b.withColumn("pre", F.left("b", F.lit(same_prefix)))
@@ -139,9 +130,9 @@ def similar_names(
     if measure == EDIT:
         sim = edit_similarity(ca, cb)
         near = near & ((sim > threshold) if strict else (sim >= threshold))
-        pairs = salted_join(a, b, keys, "a", near).select("a", "b").distinct()
+        pairs = salted_join(a, b, keys, "a", near, counted=b).select("a", "b").distinct()
         return pairs.withColumn("sim", sim)
-    pairs = salted_join(a, b, keys, "a", near).select("a", "b").distinct()
+    pairs = salted_join(a, b, keys, "a", near, counted=b).select("a", "b").distinct()
     scored = pairs.withColumn("sim", block_ratio("a", "b"))
     return scored.filter(F.col("sim") > threshold if strict else F.col("sim") >= threshold)
 

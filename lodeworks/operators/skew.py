@@ -63,14 +63,16 @@ def salted_join(
     salts: int = 32,
     share: float = HOT_SHARE,
     floor: int = HOT_FLOOR,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Inner join that spreads each hot key of ``left`` over several tasks.
 
     ``left`` rows of a hot key get a salt from ``spread_on``; the partner rows of
-    that key, and only those, are copied once per salt.
+    that key, and only those, are copied once per salt. Hot keys are found in
+    ``counted`` (default: ``left``).
     """
     keys = list(keys)
-    hot = hot_keys(left.select(*keys), keys, share, floor)
+    hot = hot_keys((left if counted is None else counted).select(*keys), keys, share, floor)
     if hot is None:
         out = left.join(right, keys)
         return out if condition is None else out.filter(condition)
