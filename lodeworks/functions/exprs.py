@@ -98,6 +98,11 @@ def squeeze(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(c), r"\s+", " "))
 
 
+def strip(c: Column | str) -> Column:
+    """Trim every kind of blank, not only spaces."""
+    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+
+
 def title_case(c: Column | str) -> Column:
     """Capitalise after every non-letter, not only after spaces."""
     parts = F.regexp_extract_all(F.lower(col(c)), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))

@@ -16,6 +16,7 @@ from lodeworks.functions.exprs import (
     is_filled,
     labels,
     squeeze,
+    strip,
     words,
 )
 
@@ -236,7 +237,7 @@ def listed_portfolio(
 
     def split_one(m: Column) -> Column:
         parts = F.filter(
-            F.transform(F.split(m, ","), F.trim), lambda p: F.length(p).between(2, 40)
+            F.transform(F.split(m, ","), strip), lambda p: F.length(p).between(2, 40)
         )
         return F.slice(parts, 1, per_match)
 
