@@ -269,70 +269,79 @@ def _placed(text: Column, found: Column) -> Column:
 
 
 def contacts_by_proximity(
-    text: Column | str, titles: Sequence[str], reach: int = 200, n: int = 20
-) -> Column:
+    df: DataFrame, text: str, titles: Sequence[str], out: str, reach: int = 200, n: int = 20
+) -> DataFrame:
     """Each named person takes the first e-mail, phone and link that stand near.
 
     Confidence is high with any handle, else medium; handles nobody took follow as
-    low rows. All work stays inside the row of one text.
+    low rows. All work stays inside the row of one text; the matches are separate
+    columns so that each pattern runs once per text.
     """
-    text = col(text)
+    body = F.col(text)
     pattern = person_pattern(titles)
-    raw = F.arrays_zip(
-        all_matches(text, pattern, 0).alias("hit"),
-        all_matches(text, pattern, 1).alias("name"),
-        all_matches(text, pattern, 2).alias("title"),
+    handles = {"email": EMAIL, "phone": PHONE, "linkedin": PROFILE_LINK}
+    kept = df.columns
+    df = df.select(
+        *kept,
+        F.arrays_zip(
+            all_matches(body, pattern, 1).alias("name"), all_matches(body, pattern, 2).alias("title")
+        ).alias("_raw"),
+        *[all_matches(body, p).alias(f"_h_{k}") for k, p in handles.items()],
     )
     named = F.transform(
-        raw,
+        "_raw",
         lambda p: F.struct(
             squeeze(p["name"]).alias("name"),
             p["title"].alias("title"),
-            F.position(p["name"], text).alias("pos"),
+            F.position(p["name"], body).alias("pos"),
         ),
     )
-    named = F.filter(named, lambda p: F.size(words(p["name"])).between(2, 4))
-    people = first_by(named, lambda p: F.lower(p["name"]))
-    kinds = {
-        "email": _placed(text, all_matches(text, EMAIL)),
-        "phone": _placed(text, all_matches(text, PHONE)),
-        "linkedin": _placed(text, all_matches(text, PROFILE_LINK)),
-    }
+    df = df.select(
+        *kept,
+        F.filter(named, lambda p: F.size(words(p["name"])).between(2, 4)).alias("_named"),
+        *[_placed(body, F.col(f"_h_{k}")).alias(f"_{k}") for k in handles],
+    )
 
     def near(person: Column, kind: str) -> Column:
-        hits = F.filter(kinds[kind], lambda h: F.abs(h["pos"] - person["pos"]) <= reach)
+        hits = F.filter(f"_{kind}", lambda h: F.abs(h["pos"] - person["pos"]) <= reach)
         return F.get(hits, F.lit(0))["h"]
 
-    def contact(person: Column) -> Column:
-        got = {k: near(person, k) for k in kinds}
-        return F.struct(
-            person["name"].alias("name"),
-            person["title"].alias("title"),
-            *[got[k].alias(k) for k in kinds],
-            F.when(any_of(g.isNotNull() for g in got.values()), "high")
+    people = first_by(F.col("_named"), lambda p: F.lower(p["name"]))
+    matched = F.transform(
+        people,
+        lambda p: F.struct(
+            p["name"].alias("name"), p["title"].alias("title"), *[near(p, k).alias(k) for k in handles]
+        ),
+    )
+    df = df.withColumn("_matched", matched)
+    none = F.lit(None).cast("string")
+    graded = F.transform(
+        "_matched",
+        lambda c: F.struct(
+            c["name"].alias("name"),
+            c["title"].alias("title"),
+            *[c[k].alias(k) for k in handles],
+            F.when(any_of(c[k].isNotNull() for k in handles), "high")
             .otherwise("medium")
             .alias("confidence"),
-        )
-
-    matched = F.transform(people, contact)
-    none = F.lit(None).cast("string")
+        ),
+    )
 
     def leftovers(kind: str) -> Column:
-        used = F.transform(matched, lambda c: c[kind])
-        free = F.filter(
-            kinds[kind], lambda h: ~F.exists(used, lambda u: u.eqNullSafe(h["h"]))
-        )
+        used = F.transform("_matched", lambda c: c[kind])
+        free = F.filter(f"_{kind}", lambda h: ~F.exists(used, lambda u: u.eqNullSafe(h["h"])))
         return F.transform(
             free,
             lambda h: F.struct(
                 none.alias("name"),
                 none.alias("title"),
-                *[(h["h"] if k == kind else none).alias(k) for k in kinds],
+                *[(h["h"] if k == kind else none).alias(k) for k in handles],
                 F.lit("low").alias("confidence"),
             ),
         )
 
-    return F.slice(F.concat(matched, *[leftovers(k) for k in kinds]), 1, n)
+    listed = F.slice(F.concat(graded, *[leftovers(k) for k in handles]), 1, n)
+    return df.select(*kept, listed.alias(out))
 
 
 def contacts_in_window(

@@ -366,11 +366,9 @@ def show_contact(c):
        select doc_id, array_to_string(c, ';') as contacts from x""",
 )
 def contacts_by_proximity(spark, sf):
-    return staffed(spark, sf).select(
-        "doc_id",
-        F.array_join(
-            F.transform(X.contacts_by_proximity("text", TITLES), show_contact), ";"
-        ).alias("contacts"),
+    rows = X.contacts_by_proximity(staffed(spark, sf), "text", TITLES, "contacts")
+    return rows.select(
+        "doc_id", F.array_join(F.transform("contacts", show_contact), ";").alias("contacts")
     )
 
 
