@@ -133,6 +133,12 @@ def at(array: Column, index: int = 0) -> Column:
     return F.get(array, F.lit(index))
 
 
+def round_to(c: Column | str, places: int) -> Column:
+    """Round half up in plain double arithmetic, the same on every engine."""
+    scale = float(10**places)
+    return F.floor(col(c) * scale + 0.5) / scale
+
+
 def first_hit(candidates: Iterable[tuple[Column, Column]]) -> Column:
     """Value of the first pair whose condition holds, else null."""
     out = None
