@@ -456,8 +456,10 @@ def match(
         .filter(F.col("_r") <= top_n)
         .drop("_r")
     )
-    firm_sigs = offers.groupBy("fsig").agg(F.first("f").alias("f"), F.min("ord").alias("min_ord"))
-    profile_sigs = people.groupBy("psig").agg(F.first("p").alias("p"))
+    firm_sigs = cut_lineage(
+        offers.groupBy("fsig").agg(F.first("f").alias("f"), F.min("ord").alias("min_ord"))
+    )
+    profile_sigs = cut_lineage(people.groupBy("psig").agg(F.first("p").alias("p")))
 
     ranked = scored(gates(blocked_pairs(profile_sigs, firm_sigs)), vocab)
     # A firm among the best top_n has a signature among the best top_n signatures.
