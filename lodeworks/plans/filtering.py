@@ -8,7 +8,7 @@ from lodeworks.functions import names as N
 from lodeworks.functions.exprs import words
 from lodeworks.functions.web import host_of, html_text
 from lodeworks.operators import filters as P
-from lodeworks.plans.registry import query, sql_in, sql_list, table
+from lodeworks.plans.registry import query, sql_in, sql_list, table, text_table
 
 RULES = N.NameRules(
     firm_words=["tion", "ring", "keit", "mente", "ment"],
@@ -38,7 +38,7 @@ def sql_any(text, terms):
 
 def text_lines(spark, sf):
     """Every line of every document, numbered."""
-    return table(spark, sf, "documents").select(
+    return text_table(spark, sf, "documents", "doc_id").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
 
@@ -169,7 +169,7 @@ def reject_reasons(spark, sf):
          select p_partkey, p_brand || ' ' || upper(left(p_name, 1)) || substr(p_name, 2) as b,
            upper(left(p_type, 1)) || ' ' || upper(left(p_name, 1)) || substr(p_name, 2) as nm,
            {WORDS.format("upper(left(p_type, 1)) || ' ' || upper(left(p_name, 1)) || substr(p_name, 2)")} as ws
-         from part)""".replace("[regexp_matches(w, '^\\p{Lu}') for w in ws]", "[regexp_matches(w, '^\\p{Lu}') for w in ws]"),
+         from part)""",
 )
 def person_like_names(spark, sf):
     name = F.concat(

@@ -9,7 +9,7 @@ from lodeworks.operators import dedup as D
 from lodeworks.operators import fuzzy as Z
 from lodeworks.operators import joins as J
 from lodeworks.plans.filtering import LINES, text_lines
-from lodeworks.plans.registry import query, table
+from lodeworks.plans.registry import query, table, text_table
 
 
 @query(
@@ -416,7 +416,7 @@ def keep_best_normalised_key(spark, sf):
     from lodeworks.functions.names import key_alnum
 
     # The key is as long as the text; its digest is what the shuffle carries.
-    keyed = table(spark, sf, "documents").select(
+    keyed = text_table(spark, sf, "documents", "doc_id").select(
         "doc_id",
         F.sha2(key_alnum("text", ["the", "of", "and"]), 256).alias("k"),
         F.upper("lang").alias("st"),

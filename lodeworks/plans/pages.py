@@ -9,7 +9,7 @@ from lodeworks.functions import names as N
 from lodeworks.functions import text as X
 from lodeworks.functions.web import bare_host, html_text, site_root
 from lodeworks.plans.filtering import HTML_TEXT, L, R, WORDS, alts, sql_any
-from lodeworks.plans.registry import query, sql_in, table
+from lodeworks.plans.registry import query, sql_in, table, text_table
 from lodeworks.plans.texts import LEXICON, sql_hits
 
 RULES = N.NameRules(
@@ -43,7 +43,7 @@ def valid_sql(nm, ws):
 
 
 def pages(spark, sf):
-    return table(spark, sf, "pages")
+    return text_table(spark, sf, "pages", "page_id")
 
 
 @query(

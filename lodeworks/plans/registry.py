@@ -37,6 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of long texts, its rows spread over the cores.
+
+    A table with fewer files than cores may lie in a single row group, so one task
+    would do all the text work; tables of many files are read as they are.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def sql_list(values) -> str:
     """A SQL string list literal for the oracle side."""
     return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + "]"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeworks.functions import text as X
-from lodeworks.plans.registry import query, sql_list, table
+from lodeworks.plans.registry import query, sql_list, table, text_table
 
 # Example vocabularies: made-up classes over word parts that occur in the tables.
 LEXICON = {
@@ -20,7 +20,7 @@ CITIES = [("erhash", "NY|Erhash"), ("scum", "CA|Scum"), ("keiten", "TX|Keiten"),
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return text_table(spark, sf, "documents", "doc_id")
 
 
 def sql_hits(text, lexicon):
