@@ -64,20 +64,27 @@ def matched_keywords(text: Column | str, lexicon: Lexicon, primary: Column, n: i
     return empty if out is None else out.otherwise(empty)
 
 
+# A keyword table up to this many rows travels to the texts as one row; a larger one
+# is cut into slices of this size.
+LEXICON_ROWS = 50_000
+
+
 def tag_by_join(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Tagger for large keyword tables (columns ``class``, ``keyword``, ``ord``).
 
-    Keywords travel as one array per class; the class table is a dimension, so its
-    rows meet the texts through the broadcast that Spark chooses by size.
+    Keywords travel as arrays per class in slices of bounded size; each text meets
+    every slice, and the hits of the slices are added up per class.
     """
-    classes = lexicon.groupBy("class").agg(
-        F.collect_set(F.lower("keyword")).alias("kws"), F.min("ord").alias("ord")
+    lexicon = lexicon.select("class", F.lower("keyword").alias("kw"), "ord").distinct()
+    slices = max(1, -(-lexicon.count() // LEXICON_ROWS))
+    cut = lexicon.withColumn("_slice", F.pmod(F.xxhash64("kw"), F.lit(slices)).cast("int"))
+    classes = cut.groupBy("_slice", "class").agg(
+        F.collect_list("kw").alias("kws"), F.min("ord").alias("ord")
     )
-    packed = classes.agg(F.collect_list(F.struct("class", "ord", "kws")).alias("lex"))
-    low = F.lower(F.col(text))
-    joined = df.withColumn("_k", F.lit(1)).join(
-        F.broadcast(packed.withColumn("_k", F.lit(1))), "_k"
+    packed = classes.groupBy("_slice").agg(
+        F.collect_list(F.struct("class", "ord", "kws")).alias("lex")
     )
+    low = F.lower(F.col(text))
     hits = F.transform(
         "lex",
         lambda c: F.struct(
@@ -86,8 +93,17 @@ def tag_by_join(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataF
             c["class"].alias("class"),
         ),
     )
-    return joined.select(
-        key, primary_class(F.filter(hits, lambda r: r["hits"] > 0)).alias("class")
+    if slices == 1:
+        joined = df.withColumn("_slice", F.lit(0)).join(F.broadcast(packed), "_slice")
+        return joined.select(key, primary_class(F.filter(hits, lambda r: r["hits"] > 0)).alias("class"))
+    spread = df.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    found = spread.join(packed, "_slice").select(key, F.explode(hits).alias("r"))
+    per_class = found.groupBy(key, "r.class").agg(
+        F.sum("r.hits").alias("hits"), F.max("r.ord").alias("ord")
+    )
+    best = per_class.groupBy(key).agg(F.max(F.struct("hits", "ord", "class")).alias("b"))
+    return best.select(
+        key, F.when(F.col("b.hits") > 0, F.col("b.class")).otherwise("general").alias("class")
     )
 
 

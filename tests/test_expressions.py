@@ -125,3 +125,13 @@ def test_cosine_bounds(spark):
 def test_overlap_needs_both_sides(spark):
     empty = F.array().cast("array<string>")
     assert one(spark, X.overlap_score(empty, F.array(F.lit("a")))) == 0.5
+
+
+def test_sliced_lexicon_equals_one_slice(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "ab cd gh"), (2, "ef gh"), (3, "zz")], "id int, t string")
+    rows = [(c, k, i) for i, (c, ks) in enumerate(LEXICON.items()) for k in ks]
+    lexicon = spark.createDataFrame(rows, "class string, keyword string, ord int")
+    want = {1: "c1", 2: "c2", 3: "general"}
+    assert {r.id: r["class"] for r in X.tag_by_join(texts, "id", "t", lexicon).collect()} == want
+    monkeypatch.setattr(X, "LEXICON_ROWS", 2)
+    assert {r.id: r["class"] for r in X.tag_by_join(texts, "id", "t", lexicon).collect()} == want
