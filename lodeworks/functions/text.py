@@ -202,6 +202,7 @@ def best_sentence(text: Column | str, name: Column | str, wanted: str, boilerpla
     return F.coalesce(F.get(first, F.lit(0)), F.get(second, F.lit(0)))
 
 
+# Patterns of handles, names and word edges.
 EMAIL = r"[\w.+-]+@[\w-]+\.[a-zA-Z]{2,}"
 PHONE = r"\+?1?[-.\s]?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
 PROFILE_LINK = r"linkedin\.com/in/[\w-]+"
