@@ -41,3 +41,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "contaminated",
         "matches",
     )
+
+
+@llm_query("op3_minhash_near_duplicates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
