@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodeworks.session import run_dir
 
@@ -151,3 +152,14 @@ def store(df: DataFrame, label: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Sides of a join up to this many bytes are broadcast, larger ones shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def if_small(df: DataFrame, bytes_of=None) -> DataFrame:
+    """Marks a stored table for broadcast if its measured size allows; the join is the same."""
+    bytes_of = F.lit(64) if bytes_of is None else bytes_of + 64
+    size = df.agg(F.sum(bytes_of).alias("size")).first().size or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

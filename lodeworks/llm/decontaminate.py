@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeworks.llm.common import ALNUM_WORDS, store, text_slices, words_of
 
@@ -32,7 +33,7 @@ WINDOW = 13
 BLOCK_BYTES = 8 << 20
 
 MATCHES = "array<struct<item_id:string,item_start:int,doc_start:int,length:int>>"
-MARKS = f"n_words long, n_hit long, runs binary, items array<string>, matches {MATCHES}"
+MARKS = f"text string, n_words long, n_hit long, runs binary, items array<string>, matches {MATCHES}"
 
 
 @dataclass
@@ -287,8 +288,7 @@ def mark_documents(
         F.lit(None).cast("array<string>").alias("items"),
         F.lit(None).cast(MATCHES).alias("matches"),
     )
-    doc_type = marked.schema["doc"].dataType.simpleString()
-    schema = f"doc {doc_type}, text string, {MARKS}"
+    schema = T.StructType([marked.schema["doc"], *T.StructType.fromDDL(MARKS).fields])
     blocks = blocks_of(benchmark, window, block_bytes)
     block = next(blocks, None) or make_block([], [], window)
     while block is not None:

@@ -70,3 +70,41 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", INTRUDER), (-1, 1, "assistant", INTRUDER)], rows.schema
     )
     return read_back(format_turns(rows.unionByName(added)))
+
+
+@llm_query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.llm.quality_crf import THRESHOLD, held_out, score_documents, train
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(documents, table(spark, sf_dir, "labels"))
+    return score_documents(documents, model).select(
+        F.col("doc.doc_id").alias("doc_id"),
+        held_out("doc.doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@llm_query("op9_fuzzy_line_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.llm.line_dedup import remove_repeated_lines
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_lines(documents).select(
+        "doc.doc_id",
+        "n_lines",
+        "n_removed",
+        F.length("kept").cast("long").alias("kept_chars"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@llm_query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.llm.substring import remove_repeats
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(documents).select(
+        "doc.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
