@@ -108,3 +108,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents).select(
         "doc.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@llm_query("op7_nearest_neighbours")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.llm.nndescent import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+# Notices as licences are commonly named in texts, and the opening of one license.
+LICENSES = [
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("mit", "Released under the MIT License."),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+]
+
+
+@llm_query("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.llm.licenses import scan
+
+    templates = spark.createDataFrame(LICENSES, "license string, text string")
+    return scan(table(spark, sf_dir, "documents"), templates)
+
+
+@llm_query("op2_html_main_text")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.llm.html_main import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
