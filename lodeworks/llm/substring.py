@@ -131,8 +131,8 @@ REPEAT, OPENING, LAST = 0, 1, 2
 def deep_nodes(batches):
     """Streams one sorted group: places below a deep node whose first document is another.
 
-    ``kind`` tells the places proper, those of the opening run (which may have begun in an
-    earlier group) and the last run's head (for the groups after).
+    ``kind`` tells the places proper, those of the first document of the opening run (which
+    may have begun in an earlier group) and the last run's head (for the groups after).
     """
     key, head, opening, kinds = None, None, True, None
     for batch in batches:
@@ -149,10 +149,11 @@ def deep_nodes(batches):
         own = heads[run]
         opens = (run == 0) if key is not None else (run == 1)
         opens &= opening
-        keep = opens | (doc > own)
+        later = doc > own
+        keep = later | opens
         yield pa.RecordBatch.from_arrays(
             [c.filter(pa.array(keep)) for c in batch.columns]
-            + [pa.array(own[keep]), pa.array(np.where(opens[keep], OPENING, REPEAT).astype(np.int32))],
+            + [pa.array(own[keep]), pa.array(np.where(later[keep], REPEAT, OPENING).astype(np.int32))],
             [*batch.schema.names, "head", "kind"],
         )
         opening = bool(opens[-1])
