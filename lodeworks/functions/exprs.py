@@ -49,8 +49,8 @@ def nonempty(c: Column | str) -> Column:
 
 
 def trimmed(c: Column | str) -> Column:
-    """Trimmed text of any scalar, null when nothing is left."""
-    return nonempty(F.trim(col(c).cast("string")))
+    """Text of any scalar without blanks at its ends, null when nothing is left."""
+    return nonempty(strip(col(c).cast("string")))
 
 
 def has_items(c: Column | str) -> Column:
@@ -128,11 +128,6 @@ def lookup(mapping: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*flat), key) if flat else F.lit(None).cast("string")
 
 
-def at(array: Column, index: int = 0) -> Column:
-    """Element by zero-based index, null outside the array."""
-    return F.get(array, F.lit(index))
-
-
 def round_to(c: Column | str, places: int) -> Column:
     """Round half up in plain double arithmetic, the same on every engine."""
     scale = float(10**places)

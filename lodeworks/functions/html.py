@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.functions.exprs import col
+from lodeworks.functions.exprs import col, strip
 from lodeworks.functions.names import NameRules, valid_list_name
 
 TAGS = r"<[^>]+>"
@@ -19,14 +19,15 @@ def inner_texts(html: Column | str, tag: str) -> Column:
     raw = F.regexp_extract_all(
         col(html), F.lit(rf"(?is)<(?:{tag})(?:\s[^>]*)?>(.*?)</(?:{tag})>"), F.lit(1)
     )
-    return F.transform(raw, lambda t: F.trim(F.regexp_replace(t, TAGS, "")))
+    return F.transform(raw, lambda t: strip(F.regexp_replace(t, TAGS, "")))
 
 
 def text_lines_of(html: Column | str) -> Column:
     """One entry per text node: every tag is a line break."""
     s = F.regexp_replace(col(html), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "\n")
     return F.filter(
-        F.transform(F.split(F.regexp_replace(s, TAGS, "\n"), "\n"), F.trim), lambda t: t != ""
+        F.transform(F.split(F.regexp_replace(s, TAGS, "\n"), "\n"), lambda t: strip(t)),
+        lambda t: t != "",
     )
 
 

@@ -17,14 +17,12 @@ from lodeworks.functions.exprs import (
     labels,
     squeeze,
     strip,
+    title_case,
     words,
 )
 
 Lexicon = Mapping[str, Sequence[str]]
-
-# Above this many keywords the generated expression would not compile to one
-# method; the keyword table is then joined instead.
-EXPRESSION_LIMIT = 200
+HITS = "array<struct<hits:int,ord:int,class:string>>"
 
 
 def class_hits(text: Column | str, lexicon: Lexicon) -> Column:
@@ -64,47 +62,46 @@ def matched_keywords(text: Column | str, lexicon: Lexicon, primary: Column, n: i
     return empty if out is None else out.otherwise(empty)
 
 
-# A keyword table up to this many rows travels to the texts as one row; a larger one
-# is cut into slices of this size.
+# Keywords that travel to the texts in one row.
 LEXICON_ROWS = 50_000
 
 
 def tag_by_join(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Tagger for large keyword tables (columns ``class``, ``keyword``, ``ord``).
 
-    Keywords travel as arrays per class in slices of bounded size; each text meets
-    every slice, and the hits of the slices are added up per class.
+    The keywords are packed in slices of at most ``LEXICON_ROWS``, one row each, and the slices
+    are broadcast one after the other to the texts, which stay where they are; the hits of a
+    class in all slices are added up. Every row of ``df`` gives one row, ``general`` where
+    nothing hits or the table is empty.
     """
     lexicon = lexicon.select("class", F.lower("keyword").alias("kw"), "ord").distinct()
     slices = max(1, -(-lexicon.count() // LEXICON_ROWS))
-    cut = lexicon.withColumn("_slice", F.pmod(F.xxhash64("kw"), F.lit(slices)).cast("int"))
-    classes = cut.groupBy("_slice", "class").agg(
-        F.collect_list("kw").alias("kws"), F.min("ord").alias("ord")
-    )
-    packed = classes.groupBy("_slice").agg(
-        F.collect_list(F.struct("class", "ord", "kws")).alias("lex")
-    )
     low = F.lower(F.col(text))
-    hits = F.transform(
-        "lex",
-        lambda c: F.struct(
-            F.size(F.filter(c["kws"], lambda w: low.contains(w))).alias("hits"),
-            (-c["ord"]).alias("ord"),
-            c["class"].alias("class"),
-        ),
-    )
-    if slices == 1:
-        joined = df.withColumn("_slice", F.lit(0)).join(F.broadcast(packed), "_slice")
-        return joined.select(key, primary_class(F.filter(hits, lambda r: r["hits"] > 0)).alias("class"))
-    spread = df.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    found = spread.join(packed, "_slice").select(key, F.explode(hits).alias("r"))
-    per_class = found.groupBy(key, "r.class").agg(
-        F.sum("r.hits").alias("hits"), F.max("r.ord").alias("ord")
-    )
-    best = per_class.groupBy(key).agg(F.max(F.struct("hits", "ord", "class")).alias("b"))
-    return best.select(
-        key, F.when(F.col("b.hits") > 0, F.col("b.class")).otherwise("general").alias("class")
-    )
+    rows = df.select(key, text, F.lit(0).alias("_slice"), F.array().cast(HITS).alias("_hits"))
+    for i in range(slices):
+        part = lexicon.where(F.pmod(F.xxhash64("kw"), F.lit(slices)) == i)
+        classes = part.groupBy("class").agg(F.collect_list("kw").alias("kws"), F.min("ord").alias("ord"))
+        packed = classes.agg(F.collect_list(F.struct("class", "ord", "kws")).alias("_lex"))
+        hits = F.transform(
+            "_lex",
+            lambda c: F.struct(
+                F.size(F.filter(c["kws"], lambda w: low.contains(w))).alias("hits"),
+                (-c["ord"]).cast("int").alias("ord"),
+                c["class"].alias("class"),
+            ),
+        )
+        rows = rows.join(F.broadcast(packed.withColumn("_slice", F.lit(0))), "_slice").select(
+            key, text, "_slice", F.concat("_hits", F.filter(hits, lambda r: r["hits"] > 0)).alias("_hits")
+        )
+
+    def over_slices(r: Column) -> Column:
+        own = F.filter("_hits", lambda x: x["class"] == r["class"])
+        total = F.aggregate(own, F.lit(0), lambda n, x: n + x["hits"])
+        return F.struct(total.alias("hits"), F.array_max(own)["ord"].alias("ord"), r["class"].alias("class"))
+
+    if slices > 1:
+        rows = rows.withColumn("_hits", F.transform("_hits", over_slices))
+    return rows.select(key, primary_class(F.col("_hits")).alias("class"))
 
 
 def stage_tags(text: Column | str, lexicon: Lexicon, default: str | None = "Unknown") -> Column:
@@ -146,7 +143,7 @@ def label_of(raw: Column, by_part: Sequence[tuple[str, str]]) -> Column:
     """Label of the first contained part, else the raw text in title case."""
     low = F.lower(raw)
     mapped = first_hit((low.contains(p), F.lit(v)) for p, v in by_part)
-    return F.when(raw.isNotNull(), F.coalesce(mapped, F.initcap(low)))
+    return F.when(raw.isNotNull(), F.coalesce(mapped, title_case(raw)))
 
 
 def distinct_matches(text: Column | str, pattern: str, n: int) -> Column:
@@ -158,7 +155,7 @@ def founded_year(
 ) -> Column:
     """First year after a lead word in [1970, last]; or test the first match only."""
     lead = "|".join(lead_words)
-    pattern = rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{lead})\s+(?:in\s+)?(\d{{4}})(?:$|[^\p{{L}}\p{{N}}_])"
+    pattern = rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{lead})\s+(?:in\s+)?(\d{{4}})(?![\p{{L}}\p{{N}}_])"
     years = F.transform(
         F.regexp_extract_all(col(text), F.lit(pattern), F.lit(1)), lambda y: y.cast("int")
     )
@@ -285,6 +282,11 @@ def _placed(text: Column, found: Column) -> Column:
     )
 
 
+def full_link(link: Column) -> Column:
+    """A link with its scheme."""
+    return F.when(F.startswith(link, F.lit("http")), link).otherwise(F.concat(F.lit("https://"), link))
+
+
 def contacts_by_proximity(
     df: DataFrame, text: str, titles: Sequence[str], out: str, reach: int = 200, n: int = 20
 ) -> DataFrame:
@@ -301,7 +303,9 @@ def contacts_by_proximity(
     df = df.select(
         *kept,
         F.arrays_zip(
-            all_matches(body, pattern, 1).alias("name"), all_matches(body, pattern, 2).alias("title")
+            all_matches(body, pattern, 1).alias("name"),
+            all_matches(body, pattern, 2).alias("title"),
+            all_matches(body, pattern, 0).alias("full"),
         ).alias("_raw"),
         *[all_matches(body, p).alias(f"_h_{k}") for k, p in handles.items()],
     )
@@ -310,13 +314,18 @@ def contacts_by_proximity(
         lambda p: F.struct(
             squeeze(p["name"]).alias("name"),
             p["title"].alias("title"),
-            F.position(p["name"], body).alias("pos"),
+            # Where the titled name stands, not where the name alone stands first.
+            (F.position(p["full"], body) + F.position(p["name"], p["full"]) - 1).alias("pos"),
         ),
     )
     df = df.select(
         *kept,
         F.filter(named, lambda p: F.size(words(p["name"])).between(2, 4)).alias("_named"),
-        *[_placed(body, F.col(f"_h_{k}")).alias(f"_{k}") for k in handles],
+        *[_placed(body, F.col(f"_h_{k}")).alias(f"_{k}") for k in ("email", "phone")],
+        F.transform(
+            _placed(body, F.col("_h_linkedin")),
+            lambda x: F.struct(full_link(x["h"]).alias("h"), x["pos"].alias("pos")),
+        ).alias("_linkedin"),
     )
 
     def near(person: Column, kind: str) -> Column:

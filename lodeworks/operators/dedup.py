@@ -28,15 +28,22 @@ def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
 def greedy_by_keys(df: DataFrame, order: str, first_key: str, second_key: str) -> DataFrame:
     """Greedy first-wins removal where sharing either key is a conflict.
 
-    A row stays when no earlier kept row shares its first key or its non-null
-    second key; a dropped row cannot drop others. Rows are first folded to one per
-    key pair (a later copy of a pair always loses). Then, in rounds, every row
+    A row stays when no earlier kept row shares its first key (null counts as the empty
+    text) or its second key (null and empty share with nobody); a dropped row cannot drop
+    others. Rows are first folded to one per
+    key pair (a later copy of a pair always loses). Then, in rounds (as many as the longest
+    chain of rows that decide one another), every row
     that is the earliest undecided one under both its keys is kept, and all rows
     sharing a key with it are dropped. No pair of rows is ever built: each round
     compares a row with the earliest row of its keys.
     """
+    first = F.coalesce(F.col(first_key).cast("string"), F.lit(""))
+    second = F.nullif(F.col(second_key).cast("string"), F.lit(""))
+    first_key, second_key = "_first", "_second"
     undecided = cut_lineage(
-        df.groupBy(first_key, second_key).agg(F.min(order).alias(order))
+        df.select(first.alias(first_key), second.alias(second_key), order)
+        .groupBy(first_key, second_key)
+        .agg(F.min(order).alias(order))
     )
     kept = None
     while True:

@@ -92,11 +92,14 @@ def money_range(spark, sf):
 @query(
     "list_coercion",
     "N4",
-    """select p_partkey, case when p_type = 'SMALL' then replace(p_name, ' ', '|') when p_type = 'LARGE' then trim(p_name)
+    """select p_partkey, case when p_type = 'SMALL' then replace(p_name, ' ', '|') || ' 1' when p_type = 'LARGE' then trim(p_name)
          when p_type = 'PROMO' then '' else replace(p_name, ' ', '|') end as items from part""",
 )
 def list_coercion(spark, sf):
-    quoted = F.concat(F.lit("['"), F.replace(F.col("p_name"), F.lit(" "), F.lit("', '")), F.lit("']"))
+    # Members with blanks around them and digits.
+    quoted = F.concat(
+        F.lit("[' "), F.replace(F.col("p_name"), F.lit(" "), F.lit(" ', ' ")), F.lit(" 1', '  ']")
+    )
     json = F.to_json(F.split("p_name", " "))
     raw = (
         F.when(F.col("p_type") == "SMALL", quoted)
@@ -425,21 +428,22 @@ RULES = M.NameRules(firm_words=["fund", "capital"], tagline_words=["of", "in"])
     "title_name_cleaner",
     "N22",
     """with t as (select p_partkey, p_name, p_size, p_type from part)
-       select p_partkey, case when p_size < 10 then p_name when p_size < 20 then p_name when p_size < 30 then 'B1 Fund'
-         when p_size < 40 then null else p_name || ' fund' end as name from t""",
+       select p_partkey, case when p_size < 15 then p_name when p_size < 20 then p_name || ' ' || p_name || ' east' when p_size < 30 then 'B1 Fund'
+         when p_size < 40 then null when p_size < 45 then p_name || ' fund' else p_name end as name from t""",
 )
 def title_name_cleaner(spark, sf):
     size, name = F.col("p_size"), F.col("p_name")
     raw = (
         F.when(size < 10, F.concat(F.lit("About: "), name, F.lit(" - Direx profile")))
-        .when(size < 20, F.concat_ws(" ", name, name))
+        .when(size < 15, F.concat_ws(" ", name, name))
+        .when(size < 20, F.concat_ws(" ", name, name, F.lit("east")))
         .when(size < 30, F.concat(name, F.lit(" works at B1 Fund")))
         .when(size < 40, F.concat(name, F.lit(" of all things")))
-        .otherwise(F.concat(name, F.lit("  fund | Home")))
-    )
-    return table(spark, sf, "part").select(
-        "p_partkey", M.clean_title_name(raw, RULES, ["direx", "pitch"]).alias("name")
+        .when(size < 45, F.concat(name, F.lit("  fund | Start page")))
+        .otherwise(F.concat(name, F.lit(" Home - welcome to all")))
     )
+    cleaned = M.clean_title_name(raw, RULES, ["direx", "pitch"], ["about", "meet"], ["start page"])
+    return table(spark, sf, "part").select("p_partkey", cleaned.alias("name"))
 
 
 @query(
@@ -464,17 +468,19 @@ def listing_name_cleaner(spark, sf):
 @query(
     "manual_name_cleaner",
     "N24",
-    """select p_partkey, p_name || ' fund' as name from part""",
+    """select p_partkey, p_name || ' fund' || case when p_size < 10 then ', Chief Buyer' else '' end as name from part""",
 )
 def manual_name_cleaner(spark, sf):
     size = F.col("p_size")
     name = F.concat("p_name", F.lit(" fund"))
     raw = (
-        F.when(size < 20, F.concat(name, F.lit(" 4 shared")))
-        .when(size < 40, F.concat(name, F.lit(", Managing Partner")))
+        # A role behind a comma stays, one behind a dot goes.
+        F.when(size < 10, F.concat(name, F.lit(", Chief Buyer")))
+        .when(size < 20, F.concat(name, F.lit(" 4 shared")))
+        .when(size < 40, F.concat(name, F.lit("·CHIEF buyer")))
         .otherwise(F.concat(name, F.lit(" fintech")))
     )
-    cleaned = M.clean_manual_name(raw, ["Managing Partner", "Partner"], ["fund"], ["fintech"])
+    cleaned = M.clean_manual_name(raw, ["·Chief Buyer", "·Buyer"], ["fund"], ["fintech"])
     return table(spark, sf, "part").select("p_partkey", cleaned.alias("name"))
 
 

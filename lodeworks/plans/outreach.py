@@ -143,7 +143,7 @@ def stream_ingest(spark, sf):
 )
 def stream_first_seen(spark, sf):
     keyed = event_stream(spark, sf).select("user_id", "event_type", "ts")
-    seen = ingest.first_seen(keyed, ["user_id", "event_type"], "ts", "60 days")
+    seen = ingest.first_seen(keyed, ["user_id", "event_type"])
     return ingest.run_to_table(seen, "seen").select("user_id", "event_type")
 
 

@@ -123,7 +123,7 @@ TITLE_SQL = "trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1))"
            regexp_extract({HTML_TEXT}, '{X.EDGE}([A-Z][a-z]+ [a-z]+tion)', 1) as c, contains({TITLE_SQL}, ', ') as has from pages),
        u as (select page_id, unnest([a, c, b]) as nm, unnest([1, 2, 3]) as o, has from t),
        u1 as (select *, {WORDS.format("nm")} as w0 from u),
-       u2 as (select page_id, o, has, case when len(w0) >= 4 and w0[1:len(w0) // 2] = w0[len(w0) // 2 + 1:2 * (len(w0) // 2)]
+       u2 as (select page_id, o, has, case when len(w0) >= 4 and w0[1:len(w0) // 2] = w0[len(w0) // 2 + 1:len(w0)]
            then array_to_string(w0[1:len(w0) // 2], ' ') else nm end as nm from u1),
        v as (select page_id, o, nm, {WORDS.format("nm")} as ws from u2 where (o <> 1 or has)
          and not regexp_matches(nm, '(?i){L}(?:avec|para){R}')),

@@ -157,7 +157,7 @@ def stage_by_pattern(spark, sf):
     return docs(spark, sf).select(
         "doc_id",
         stage.alias("stage"),
-        F.size(X.distinct_matches("text", STAGE_RE, 1000000)).alias("n_distinct"),
+        F.size(F.array_distinct(X.all_matches("text", STAGE_RE))).alias("n_distinct"),
         F.col("text").rlike("(?i)scum|idiot").alias("tier_a"),
         F.col("text").rlike("(?i)keit").alias("tier_b"),
     )
@@ -202,8 +202,10 @@ def type_by_text(spark, sf):
     return docs(spark, sf).select("doc_id", F.coalesce(kind, F.lit("VC")).alias("kind"))
 
 
+# The checking engine has no lookaround: every separator is doubled there, so that one match
+# does not use up the edge of the next.
 YEARS_RE = r"(?i)(?:^|[^\p{L}\p{N}_])(?:founded|since)\s+(?:in\s+)?(\d{4})(?:$|[^\p{L}\p{N}_])"
-YEAR_TEXT = "(text || case when doc_id % 3 = 0 then ' Founded in ' || (1900 + n_chars % 200) || '. Since ' || (1950 + n_chars % 120) || '.' else '' end)"
+YEAR_TEXT = "(text || case when doc_id % 3 = 0 then ' Founded in ' || (1900 + n_chars % 200) || ' since ' || (1950 + n_chars % 120) || '.' else '' end)"
 
 
 def year_text():
@@ -211,7 +213,7 @@ def year_text():
     extra = F.concat(
         F.lit(" Founded in "),
         (F.pmod(n, F.lit(200)) + 1900).cast("string"),
-        F.lit(". Since "),
+        F.lit(" since "),
         (F.pmod(n, F.lit(120)) + 1950).cast("string"),
         F.lit("."),
     )
@@ -221,7 +223,7 @@ def year_text():
 @query(
     "founded_year",
     "T10",
-    rf"""with t as (select doc_id, [cast(y as integer) for y in regexp_extract_all({YEAR_TEXT}, '{YEARS_RE}', 1)] as ys from documents)
+    rf"""with t as (select doc_id, [cast(y as integer) for y in regexp_extract_all(regexp_replace({YEAR_TEXT}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'), '{YEARS_RE}', 1)] as ys from documents)
        select doc_id, list_filter(ys, lambda y: y between 1970 and 2026)[1] as year, case when ys[1] between 1970 and 2026 then ys[1] end as first_only from t""",
 )
 def founded_year(spark, sf):
@@ -353,9 +355,9 @@ def show_contact(c):
 @query(
     "contacts_by_proximity",
     "T15",
-    rf"""with t as (select doc_id, text, regexp_extract_all(text, '{PERSON_RE}', 1) as ns, [{{'h': h, 'pos': strpos(text, h)}} for h in regexp_extract_all(text, '{X.EMAIL}')] as es,
-           [{{'h': h, 'pos': strpos(text, h)}} for h in regexp_extract_all(text, '{X.PHONE}')] as ph, [{{'h': h, 'pos': strpos(text, h)}} for h in regexp_extract_all(text, '{X.PROFILE_LINK}')] as ls from {STAFFED}),
-       u as (select *, [{{'n': trim(regexp_replace(n, '\s+', ' ', 'g')), 'pos': strpos(text, n)}} for n in ns] as ps from t),
+    rf"""with t as (select doc_id, text, regexp_extract_all(text, '{PERSON_RE}', 1) as ns, regexp_extract_all(text, '{PERSON_RE}', 0) as fs, [{{'h': h, 'pos': strpos(text, h)}} for h in regexp_extract_all(text, '{X.EMAIL}')] as es,
+           [{{'h': h, 'pos': strpos(text, h)}} for h in regexp_extract_all(text, '{X.PHONE}')] as ph, [{{'h': case when starts_with(h, 'http') then h else 'https://' || h end, 'pos': strpos(text, h)}} for h in regexp_extract_all(text, '{X.PROFILE_LINK}')] as ls from {STAFFED}),
+       u as (select *, [{{'n': trim(regexp_replace(z[1], '\s+', ' ', 'g')), 'pos': strpos(text, z[2]) + strpos(z[2], z[1]) - 1}} for z in list_zip(ns, fs)] as ps from t),
        v as (select *, list_filter(ps, lambda p, i: list_position([lower(q.n) for q in ps], lower(p.n)) = i) as f from u),
        w as (select *, [{{'n': p.n, 'e': list_filter(es, lambda h: abs(h.pos - p.pos) <= 200)[1].h, 'p': list_filter(ph, lambda h: abs(h.pos - p.pos) <= 200)[1].h,
            'l': list_filter(ls, lambda h: abs(h.pos - p.pos) <= 200)[1].h}} for p in f] as m from v),

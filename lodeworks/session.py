@@ -40,8 +40,9 @@ def local_session(cpus: str = "*", app: str = "lodeworks") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (local runs and tests) a fresh temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. A local session may leave it unset and
+    gets a fresh temporary folder; on a cluster that would be one machine's disk, so it
+    is an error there.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
@@ -52,6 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodeworks-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

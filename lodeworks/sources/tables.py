@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-
 def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """JSON lines with an explicit schema; blank lines are skipped."""
     return spark.read.schema(schema).json(path)
@@ -89,25 +89,49 @@ def read_latest(spark: SparkSession, root: str) -> DataFrame:
     return everything.filter(F.col("version") == newest).drop("version")
 
 
-def replace_owner_rows(df: DataFrame, path: str, owner: str) -> None:
-    """Replace all rows of the owners present in ``df``; other owners stay."""
+CLEARED = "_cleared"
+
+
+def replace_owner_rows(df: DataFrame, path: str, owner: str, owners: DataFrame | None = None) -> None:
+    """Replace all rows of the owners present in ``df`` or in ``owners``; other owners stay.
+
+    An owner listed without rows keeps none: its partition is overwritten with one marker
+    row, which ``read_owner_rows`` leaves out.
+    """
+    rows = df.withColumn(CLEARED, F.lit(False))
+    if owners is not None:
+        gone = owners.select(owner).distinct().join(df.select(owner), owner, "left_anti")
+        rows = rows.unionByName(gone.withColumn(CLEARED, F.lit(True)), allowMissingColumns=True)
     (
-        df.write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(owner)
         .parquet(path)
     )
 
 
+def read_owner_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all owners."""
+    return spark.read.parquet(path).where(~F.col(CLEARED)).drop(CLEARED)
+
+
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where its path does not exist; other errors are raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def import_once(spark: SparkSession, json_path: str, schema: str, table_path: str, key: str) -> None:
     """Bring legacy JSON rows into a table; rows already there are left out."""
     rows = read_json_array(spark, json_path, schema)
-    try:
-        present = spark.read.parquet(table_path).select(key)
-    except Exception:  # noqa: BLE001 - the table does not exist yet
-        rows.write.mode("append").parquet(table_path)
-        return
-    rows.join(present, key, "left_anti").write.mode("append").parquet(table_path)
+    present = read_if_there(spark, table_path)
+    if present is not None:
+        rows = rows.join(present.select(key), key, "left_anti")
+    rows.write.mode("append").parquet(table_path)
 
 
 def with_payload(df: DataFrame, column: str, schema: str) -> DataFrame:
@@ -129,10 +153,7 @@ def mark_done(df: DataFrame, path: str, key: str) -> None:
 
 def pending(df: DataFrame, path: str, key: str) -> DataFrame:
     """Rows whose key is not in the completed table (all rows when there is none)."""
-    try:
-        done = df.sparkSession.read.parquet(path).select(key)
-    except Exception:  # noqa: BLE001 - first run
-        return df
-    return df.join(done, key, "left_anti")
+    done = read_if_there(df.sparkSession, path)
+    return df if done is None else df.join(done.select(key), key, "left_anti")
 
 

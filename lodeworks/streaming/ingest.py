@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodeworks.session import run_dir
 
@@ -28,10 +27,10 @@ def append_new(stream: DataFrame, out: str, checkpoint: str, fmt: str = "parquet
     )
 
 
-def first_seen(stream: DataFrame, keys: list[str], time: str, lateness: str) -> DataFrame:
-    """First row per key; the watermark bounds how long a key is remembered."""
-    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
-    return timed.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
+def first_seen(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """First row per key, however late a row is: every key is remembered, in the state store
+    of its partition."""
+    return stream.dropDuplicates(keys)
 
 
 def run_to_table(stream: DataFrame, label: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodeworks.functions import exprs, names, normalize
 from lodeworks.functions import normalize as N
 from lodeworks.functions import text as X
 from lodeworks.functions.exprs import positive_int, safe_int, title_case, trimmed
@@ -135,3 +136,54 @@ def test_sliced_lexicon_equals_one_slice(spark, monkeypatch):
     assert {r.id: r["class"] for r in X.tag_by_join(texts, "id", "t", lexicon).collect()} == want
     monkeypatch.setattr(X, "LEXICON_ROWS", 2)
     assert {r.id: r["class"] for r in X.tag_by_join(texts, "id", "t", lexicon).collect()} == want
+    twice = texts.unionByName(texts.limit(1))
+    assert X.tag_by_join(twice, "id", "t", lexicon).count() == 4
+    none = X.tag_by_join(twice, "id", "t", lexicon.limit(0)).collect()
+    assert [r["class"] for r in none] == ["general"] * 4
+
+
+def test_members_lose_blanks_and_keep_digits(spark):
+    values = F.array(F.lit(" a "), F.lit("1st Fund 1"), F.lit("\n\t"), F.lit(None))
+    assert one(spark, normalize.trimmed_list(values)) == ["a", "1st Fund 1"]
+    assert one(spark, exprs.trimmed(F.lit("\n\t"))) is None
+
+
+def test_years_that_share_a_blank(spark):
+    year = X.founded_year(F.lit("founded 1895 since 1999"), ["founded", "since"], 2026)
+    assert one(spark, year) == 1999
+
+
+def test_label_falls_back_to_title_case(spark):
+    assert one(spark, X.label_of(F.lit("pre-ipo"), [])) == "Pre-Ipo"
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("Blue Sky Blue Sky", "Blue Sky"),
+        ("Blue Sky Blue Sky Ventures", "Blue Sky Blue Sky Ventures"),
+        ("Blue Ventures Home - Welcome", "Blue Ventures"),
+        ("About: Blue Ventures", "Blue Ventures"),
+    ],
+)
+def test_title_names(spark, raw, want):
+    rules = names.NameRules(firm_words=["ventures"])
+    assert one(spark, names.clean_title_name(F.lit(raw), rules, ["direx"], ["about"], ["home"])) == want
+
+
+def test_manual_names_lose_listed_endings_only(spark):
+    clean = lambda t: one(spark, names.clean_manual_name(F.lit(t), ["·Buyer"], ["fund"], ["x"]))
+    assert clean("Smith, Buyer") == "Smith, Buyer" and clean("Smith·BUYER") == "Smith"
+
+
+def test_no_connectives_match_nothing(spark):
+    rules = names.NameRules(firm_words=["capital"])
+    assert one(spark, names.valid_list_name(F.lit("Lee & Co Capital"), rules)) is True
+
+
+def test_contacts_stand_where_the_titled_name_stands(spark):
+    text = "Ann Lee spoke. " + "x" * 400 + " Ann Lee, Partner a@b.com linkedin.com/in/annlee"
+    df = spark.createDataFrame([(text,)], "t string")
+    row = X.contacts_by_proximity(df, "t", ["Partner"], "c").first()
+    assert [(c.name, c.email, c.confidence) for c in row.c] == [("Ann Lee", "a@b.com", "high")]
+    assert row.c[0].linkedin == "https://linkedin.com/in/annlee"

@@ -29,6 +29,12 @@ def test_greedy_by_keys_small_example(spark):
     assert sorted(r.ord for r in dedup.greedy_by_keys(df, "ord", "name", "url").collect()) == [0, 2]
 
 
+def test_greedy_by_keys_with_null_keys(spark):
+    rows = [(0, None, None), (1, None, None), (2, "a", None), (3, "a", ""), (4, "b", ""), (5, None, "u")]
+    df = spark.createDataFrame(rows, "ord long, name string, url string")
+    assert sorted(r.ord for r in dedup.greedy_by_keys(df, "ord", "name", "url").collect()) == [0, 2, 4]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_greedy_by_keys_random_and_hot(spark, seed):
     rnd = random.Random(seed)

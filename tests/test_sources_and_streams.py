@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 
 from lodeworks.sources import tables as S
 from lodeworks.streaming import ingest, outreach
@@ -57,8 +58,31 @@ def test_owner_rows_replaced(spark, tmp_path):
     path = str(tmp_path / "items")
     S.replace_owner_rows(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "user_id int, item string"), path, "user_id")
     S.replace_owner_rows(spark.createDataFrame([(1, "z")], "user_id int, item string"), path, "user_id")
-    got = sorted((r.user_id, r.item) for r in spark.read.parquet(path).collect())
+    got = sorted((r.user_id, r.item) for r in S.read_owner_rows(spark, path).collect())
     assert got == [(1, "z"), (2, "c")]
+    none = spark.createDataFrame([], "user_id int, item string")
+    S.replace_owner_rows(none, path, "user_id", spark.createDataFrame([(1,)], "user_id int"))
+    assert [(r.user_id, r.item) for r in S.read_owner_rows(spark, path).collect()] == [(2, "c")]
+
+
+def test_only_a_missing_table_counts_as_first_run(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "id int")
+    assert S.pending(df, str(tmp_path / "none"), "id").count() == 1
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|schema|read"):
+        S.pending(df, str(tmp_path / "bad"), "id").count()
+
+
+def test_first_seen_remembers_late_and_old_keys(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    days = ["2024-06-01", "2024-01-01", "2024-12-31"]
+    for i, day in enumerate(days):
+        rows = [(1, day), (i + 10, day)]
+        spark.createDataFrame(rows, "k int, day string").coalesce(1).write.mode("append").parquet(str(source))
+        stream = ingest.first_seen(ingest.open_stream(spark, str(source), "k int, day string"), ["k"])
+        ingest.append_new(stream, f"{out}/rows", f"{out}/checkpoint")
+    assert sorted(r.k for r in spark.read.parquet(f"{out}/rows").collect()) == [1, 10, 11, 12]
 
 
 def test_import_once_and_payload(spark, tmp_path):
