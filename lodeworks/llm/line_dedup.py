@@ -34,11 +34,13 @@ from lodeworks.llm.common import (
     text_bytes,
     text_slices,
 )
-from lodeworks.llm.graph import linked_groups
+from lodeworks.llm.graph import components, linked_groups
 
 BLOCKS = 5
 DISTANCE = 3
 SIMILARITY = 0.9
+# Buckets up to this size are compared where they lie, larger ones in rounds of hubs.
+SMALL_BUCKET = 32
 
 _FOLD = LOWER.copy()
 _FOLD[0x30:0x3A] = 0x30
@@ -127,16 +129,77 @@ def wanted_lines(batches):
 
 
 def block_keys(sim: str):
-    """One key per pair of blocks: its number and the bits of both blocks."""
+    """One key per pair of blocks: a hash of its number and the bits of both blocks."""
     masks = [((1 << (b - a)) - 1) << a for a, b in zip(_EDGES[:-1], _EDGES[1:], strict=True)]
     keys = []
     for number, chosen in enumerate(combinations(masks, BLOCKS - DISTANCE)):
         mask = sum(chosen)
         signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.xxhash64(F.lit(number), F.col(sim).bitwiseAND(F.lit(signed))))
+        hashed = F.xxhash64(F.lit(number), F.col(sim).bitwiseAND(F.lit(signed)))
+        keys.append(hashed.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     return F.array(*keys)
 
 
+def near_pairs(bucket: np.ndarray, id_: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket whose SimHashes differ in at most ``DISTANCE`` bits."""
+    left, right = [], []
+    for gap in range(1, len(bucket)):
+        at = np.flatnonzero(bucket[gap:] == bucket[:-gap])
+        if not len(at):
+            break
+        at = at[np.bitwise_count(sim[at] ^ sim[at + gap]) <= DISTANCE]
+        left.append(np.minimum(id_[at], id_[at + gap]))
+        right.append(np.maximum(id_[at], id_[at + gap]))
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def read_buckets(batches):
+    """Streams sorted buckets: near pairs of the small ones (``bucket`` null), and the members
+    of the large ones as ``bucket, a``."""
+    names = ("bucket", "id", "sim")
+    held = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
+    large = None
+
+    def emit(bucket, a, b):
+        kinds = [pa.int32(), pa.int64(), pa.int64()]
+        columns = [pa.nulls(len(a), k) if c is None else pa.array(c, k)
+                   for c, k in zip((bucket, a, b), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "a", "b"])
+
+    def settle(rows):
+        bucket, id_, sim = rows
+        change = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+        runs = np.diff(np.r_[0, change, len(bucket)])
+        size = np.repeat(runs, runs)
+        some = (size > 1) & (size <= SMALL_BUCKET)
+        yield emit(None, *near_pairs(bucket[some], id_[some], sim[some]))
+        most = size > SMALL_BUCKET
+        yield emit(bucket[most], id_[most], None)
+
+    for batch in batches:
+        rows = [np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, names, strict=True)]
+        if not len(rows[0]):
+            continue
+        if large is not None:
+            on = int(np.searchsorted(rows[0], large, side="right"))
+            yield emit(rows[0][:on], rows[1][:on], None)
+            rows = [r[on:] for r in rows]
+            if not len(rows[0]):
+                held = rows
+                continue
+            large = None
+        last = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+        yield from settle([r[:last] for r in rows])
+        held = [r[last:] for r in rows]
+        if len(held[0]) > SMALL_BUCKET:
+            # A large bucket goes on: its members pass through as they come.
+            large = held[0][0]
+            yield emit(held[0], held[1], None)
+            held = [h[:0] for h in held]
+    yield from settle(held)
+
+
 def repeated_lines(documents: DataFrame) -> DataFrame:
     """``doc_id, lines``: the numbers of the lines to remove from each document."""
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -151,8 +214,14 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
         ),
         "distinct",
     )
-    members = distinct.select(F.explode(block_keys("sim")).alias("bucket"), F.col("key").alias("id"))
     sims = distinct.select(F.col("key").alias("id"), "sim")
+    met = store(
+        sims.select(F.explode(block_keys("sim")).alias("bucket"), "id", "sim")
+        .repartition("bucket")
+        .sortWithinPartitions("bucket", "id")
+        .mapInArrow(read_buckets, "bucket int, a long, b long"),
+        "met",
+    )
 
     known: list[DataFrame] = []
 
@@ -180,13 +249,8 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
             )
         return reduce(DataFrame.unionByName, known)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = sims.select(F.col("id").alias("a"), F.col("sim").alias("sa"))
-        b = sims.select(F.col("id").alias("b"), F.col("sim").alias("sb"))
-        apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
-        near = store(
-            pairs.join(a, "a").join(b, "b").where(apart <= DISTANCE).select("a", "b"), "near"
-        )
+    def alike(near: DataFrame) -> DataFrame:
+        """The pairs whose normalised lines are similar enough."""
         if near.isEmpty():
             return near
         texts = fetch(near)
@@ -195,11 +259,30 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
             near.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
             .withColumn("most", F.floor(longer * F.lit(round(1 - SIMILARITY, 6))).cast("int"))
-            .where(F.expr("levenshtein(la, lb, most) >= 0"))
+            # The cost grows with the limit, and most pairs are within a few edits.
+            .where(
+                F.expr(
+                    "levenshtein(la, lb, least(most, 16)) >= 0 or "
+                    "levenshtein(la, lb, least(most, 64)) >= 0 or levenshtein(la, lb, most) >= 0"
+                )
+            )
             .select("a", "b")
         )
 
-    groups = linked_groups(members, verify)
+    def verify(pairs: DataFrame) -> DataFrame:
+        a = sims.select(F.col("id").alias("a"), F.col("sim").alias("sa"))
+        b = sims.select(F.col("id").alias("b"), F.col("sim").alias("sb"))
+        apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
+        near = pairs.join(a, "a").join(b, "b").where(apart <= DISTANCE).select("a", "b")
+        return alike(store(near, "near"))
+
+    near = store(met.where("bucket is null").select("a", "b").distinct(), "near")
+    links = store(alike(near), "links")
+    large = met.where("bucket is not null").select("bucket", F.col("a").alias("id"))
+    if not large.isEmpty():
+        found = linked_groups(large, verify)
+        links = links.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
+    groups = store(components(links), "groups")
     grouped = distinct.join(groups.withColumnRenamed("id", "key"), "key")
     keepers = grouped.groupBy("component").agg(F.min("first").alias("keeper"))
     marked = store(
