@@ -17,7 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     """``id, component`` for every end of a link ``a, b``; component is the smallest id reached.
 
     Alternates large-star and small-star rounds until the edges are stars. The minima are
-    stored before they are joined, so that the join may be split where a node is hot.
+    stored before they are joined, so that the join may be split where a node is hot (after a
+    large-star round only centres that are minima still are, and they have no smaller node).
     """
     edges = store(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -39,7 +40,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = store(
             large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges"
         )
-        least = store(edges.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
         small = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = store(
             small.unionByName(least.withColumnRenamed("m", "v")).where("u <> v").distinct(),

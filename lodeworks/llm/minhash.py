@@ -242,13 +242,12 @@ def mixed_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
 
 def several_components(marked: DataFrame) -> DataFrame:
     mixed = marked.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    mixed = store(mixed.where("lo < hi").select("bucket"), "mixed")
-    return store(marked.join(mixed, "bucket", "left_semi"), "live")
+    return store(marked.join(mixed.where("lo < hi"), "bucket", "left_semi"), "live")
 
 
 def bounded(live: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
     """Drops from each bucket the documents that no member can be linked with."""
-    ids = store(live.select("id").distinct(), "ids")
+    ids = live.select("id").distinct()
     rows = store(
         texts.join(ids, "id", "left_semi").mapInArrow(shingle_rows, "id long, shingle long"),
         "shingles",
@@ -258,9 +257,8 @@ def bounded(live: DataFrame, texts: DataFrame, sizes: DataFrame) -> DataFrame:
         "common",
     )
     held = rows.join(common, "shingle").groupBy("id").agg(F.count("*").alias("held"))
-    counts = store(ids.join(sizes, "id").join(held, "id"), "held")
-    marked = store(live.join(counts, "id"), "counted")
-    least = store(marked.groupBy("bucket").agg(F.min("n_shingles").alias("least")), "least")
+    marked = store(live.join(store(held.join(sizes, "id"), "held"), "id"), "counted")
+    least = marked.groupBy("bucket").agg(F.min("n_shingles").alias("least"))
     n = F.col("n_shingles")
     partner = F.greatest(F.col("least"), F.ceil(n * 0.75))
     kept = marked.join(least, "bucket").where(175 * F.col("held") >= 75 * (n + partner))
@@ -331,11 +329,10 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
     hubs = store(hubs.where("shared").select("bucket", F.col("x.id").alias("a")), "hubs")
     members = store(members.join(hubs, "bucket"), "members")
-    pairs = store(
+    pairs = (
         members.where("a <> id")
         .select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        .distinct(),
-        "stars",
+        .distinct()
     )
     digests = classes.groupBy("id").agg(F.max("digest").alias("digest"))
     left = digests.select(F.col("id").alias("a"), F.col("digest").alias("da"))
@@ -359,14 +356,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         likely.join(packed[0], "a").join(packed[1], "b").mapInArrow(confirm, "a long, b long"),
         "links",
     )
-    groups = store(components(links), "groups")
+    groups = components(links)
     live = mixed_buckets(members.select("bucket", "id"), groups)
-    for _ in range(2):
-        if not live.isEmpty():
-            live = bounded(live, texts, sizes)
     if not live.isEmpty():
-        links = links.unionByName(block_links(live, texts, sizes))
-        groups = store(components(links), "groups")
+        live = bounded(live, texts, sizes)
+    if not live.isEmpty():
+        # Stars of the components found so far stand for their links.
+        stars = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        groups = components(stars.unionByName(block_links(live, texts, sizes)))
     keys = ["k1", "k2", "n_shingles"]
     named = store(
         classes.join(groups, "id", "left").select(
