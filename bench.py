@@ -33,6 +33,9 @@ HEADLINE = [
     "label_lookup_default",
     "validate_results",
     "item_state",
+    "greedy_name_or_url",
+    "stream_first_seen",
+    "stream_item_state",
     "item_history",
     "funnel_steps",
     "match_top",
@@ -58,6 +61,11 @@ def main() -> None:
                 "unit": "sec",
                 "queries": times,
                 "sf": os.path.basename(sf_dir.rstrip("/")),
+                "settings": {
+                    "master": spark.sparkContext.master,
+                    "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
+                    "driver_memory": spark.conf.get("spark.driver.memory"),
+                },
             }
         )
     )

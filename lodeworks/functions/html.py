@@ -98,6 +98,8 @@ def walk_sections(
             def handle_starttag(self, tag, attrs):
                 if tag in void:
                     return
+                if tag in items and self.stack and self.stack[-1][0] == tag:
+                    self.handle_endtag(tag)  # an item that was not closed ends here
                 mark = " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower()
                 section = next((w for w in wanted if w in mark), None)
                 if section is None and self.stack:
@@ -110,20 +112,28 @@ def walk_sections(
             def handle_endtag(self, tag):
                 if tag not in {t for t, _, _ in self.stack}:
                     return
+                while self.pop() != tag:
+                    pass
+
+            def pop(self):
+                name, section, start = self.stack.pop()
+                if name in items and section:
+                    text = " ".join(" ".join(self.texts[start:]).split())
+                    if text:
+                        self.rows.append((section, text))
+                return name
+
+            def finish(self):
+                self.close()
                 while self.stack:
-                    name, section, start = self.stack.pop()
-                    if name in items and section:
-                        text = " ".join(" ".join(self.texts[start:]).split())
-                        if text:
-                            self.rows.append((section, text))
-                    if name == tag:
-                        break
+                    self.pop()
 
         for batch in batches:
             out = []
             for k, page in zip(batch[key], batch[html]):
                 walker = Walker()
                 walker.feed(page or "")
+                walker.finish()
                 out += [(k, s, t) for s, t in walker.rows]
             yield pandas.DataFrame(out, columns=[key, "section", "item"])
 

@@ -13,7 +13,6 @@ from lodeworks.functions.exprs import (
     contains_any,
     count_hits,
     first_hit,
-    is_filled,
     labels,
     squeeze,
     strip,
@@ -480,7 +479,3 @@ def cosine(a: Column, b: Column) -> Column:
 def scaled_cosine(a: Column, b: Column) -> Column:
     """Cosine mapped to [0, 1]: (cos - 0.20) / 0.25, clamped."""
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (cosine(a, b) - 0.20) / 0.25))
-
-
-def any_filled(*columns: Column | str) -> Column:
-    return any_of(is_filled(c) for c in columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodeworks.functions.exprs import col, nonempty, trimmed
+from lodeworks.functions.exprs import col, trimmed
 
 SCHEME_HOST = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)(.*)$"
 
@@ -64,7 +64,3 @@ def html_text(html: Column | str) -> Column:
     s = F.regexp_replace(col(html), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     s = F.regexp_replace(s, r"<[^>]+>", " ")
     return F.trim(F.regexp_replace(s, r"\s+", " "))
-
-
-def or_null(c: Column | str) -> Column:
-    return nonempty(c)

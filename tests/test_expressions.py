@@ -187,3 +187,12 @@ def test_contacts_stand_where_the_titled_name_stands(spark):
     row = X.contacts_by_proximity(df, "t", ["Partner"], "c").first()
     assert [(c.name, c.email, c.confidence) for c in row.c] == [("Ann Lee", "a@b.com", "high")]
     assert row.c[0].linkedin == "https://linkedin.com/in/annlee"
+
+
+def test_section_items_left_open(spark):
+    from lodeworks.functions.html import walk_sections
+
+    rows = [(1, '<div class="team"><p>Cy Fox'), (2, '<ul class="team"><li>Ann Lee<li>Bo Ray</ul>')]
+    df = spark.createDataFrame(rows, "id int, html string")
+    got = walk_sections(df, "id", "html", ["team"], ["p", "li"]).collect()
+    assert sorted((r.id, r.item) for r in got) == [(1, "Cy Fox"), (2, "Ann Lee"), (2, "Bo Ray")]
