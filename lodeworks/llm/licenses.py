@@ -64,10 +64,8 @@ def scan(documents: DataFrame, templates: DataFrame, contained: float = CONTAINE
         .distinct()
     )
     bands = store(known.select("license", "m", "t", F.inline(minima("t"))), "templates")
-    hashed = (
-        documents.select("doc_id", words_of("text").alias("words"))
-        .select("doc_id", shingles_of("words").alias("h"))
-        .where(F.size("h") > 0)
+    hashed = documents.select("doc_id", words_of("text").alias("words")).select(
+        "doc_id", shingles_of("words").alias("h")
     )
     # The templates' minima: a vocabulary, not data that grows with the texts.
     keys = sorted(r.least for r in bands.select("least").distinct().toLocalIterator())
