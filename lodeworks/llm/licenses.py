@@ -83,7 +83,7 @@ def windows_with(hashed: DataFrame, bands: DataFrame, contained: float) -> DataF
     sizes = [r.m for r in bands.select("m").distinct().collect()]  # lengths of templates
     windows = None
     for m in sizes:
-        starts = F.explode(F.sequence(F.lit(0), F.size("h") - 1, F.lit(m)))
+        starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.lit(m)))
         rows = (
             hashed.select("doc_id", "h", starts.alias("start"))
             .select("doc_id", "start", F.expr(f"slice(h, start + 1, {2 * m - SHINGLE + 1})").alias("w"))
