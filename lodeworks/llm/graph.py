@@ -54,7 +54,7 @@ def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame])
     """``id, component`` of all ids linked through ``members`` (``bucket, id``, distinct rows).
 
     ``verify`` takes candidate pairs ``a, b`` and returns those that are links. Each round
-    joins a few hubs of every bucket with the members after them, 1, 4, 16, ... hubs at a
+    joins a few hubs of every bucket with the members after them, 1, 16, 256, ... hubs at a
     time; a bucket whose members are all in one component by then is done, and so is a pair
     that a component already joins. When the loop ends, every pair of every bucket has been
     verified or lies in one component, so no link between components is lost, while a
@@ -99,7 +99,7 @@ def linked_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame])
         links = found if links is None else store(links.unionByName(found), "links")
         groups = store(components(links), "groups")
         live = live.select("bucket", "id")
-        passed, step = passed + step, step * 4
+        passed, step = passed + step, step * 16
     if groups is None:
         return members.select("id", F.col("id").alias("component")).limit(0)
     return groups

@@ -40,7 +40,7 @@ BLOCKS = 5
 DISTANCE = 3
 SIMILARITY = 0.9
 # Buckets up to this size are compared where they lie, larger ones in rounds of hubs.
-SMALL_BUCKET = 32
+SMALL_BUCKET = 128
 
 _FOLD = LOWER.copy()
 _FOLD[0x30:0x3A] = 0x30
@@ -154,53 +154,56 @@ def near_pairs(bucket: np.ndarray, id_: np.ndarray, sim: np.ndarray) -> tuple[np
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def read_buckets(batches):
-    """Streams sorted buckets: near pairs of the small ones (``bucket`` null), and the members
-    of the large ones as ``bucket, a``."""
-    names = ("bucket", "id", "sim")
-    held = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
-    large = None
-
-    def emit(bucket, a, b):
-        kinds = [pa.int32(), pa.int64(), pa.int64()]
-        columns = [pa.nulls(len(a), k) if c is None else pa.array(c, k)
-                   for c, k in zip((bucket, a, b), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, ["bucket", "a", "b"])
-
-    def settle(rows):
-        bucket, id_, sim = rows
-        change = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-        runs = np.diff(np.r_[0, change, len(bucket)])
-        size = np.repeat(runs, runs)
-        some = (size > 1) & (size <= SMALL_BUCKET)
-        yield emit(None, *near_pairs(bucket[some], id_[some], sim[some]))
-        most = size > SMALL_BUCKET
-        yield emit(bucket[most], id_[most], None)
-
-    for batch in batches:
-        rows = [np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, names, strict=True)]
-        if not len(rows[0]):
-            continue
-        if large is not None:
-            on = int(np.searchsorted(rows[0], large, side="right"))
-            yield emit(rows[0][:on], rows[1][:on], None)
-            rows = [r[on:] for r in rows]
+def bucket_reader(limit: int):
+    def read(batches):
+        """Streams sorted buckets: near pairs of the small ones (``bucket`` null), and the members
+        of the large ones as ``bucket, a``."""
+        names = ("bucket", "id", "sim")
+        held = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
+        large = None
+
+        def emit(bucket, a, b):
+            kinds = [pa.int32(), pa.int64(), pa.int64()]
+            columns = [pa.nulls(len(a), k) if c is None else pa.array(c, k)
+                       for c, k in zip((bucket, a, b), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "a", "b"])
+
+        def settle(rows):
+            bucket, id_, sim = rows
+            change = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+            runs = np.diff(np.r_[0, change, len(bucket)])
+            size = np.repeat(runs, runs)
+            some = (size > 1) & (size <= limit)
+            yield emit(None, *near_pairs(bucket[some], id_[some], sim[some]))
+            most = size > limit
+            yield emit(bucket[most], id_[most], None)
+
+        for batch in batches:
+            rows = [np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, names, strict=True)]
             if not len(rows[0]):
-                held = rows
                 continue
-            large = None
-        last = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
-        yield from settle([r[:last] for r in rows])
-        held = [r[last:] for r in rows]
-        if len(held[0]) > SMALL_BUCKET:
-            # A large bucket goes on: its members pass through as they come.
-            large = held[0][0]
-            yield emit(held[0], held[1], None)
-            held = [h[:0] for h in held]
-    yield from settle(held)
-
-
-def repeated_lines(documents: DataFrame) -> DataFrame:
+            if large is not None:
+                on = int(np.searchsorted(rows[0], large, side="right"))
+                yield emit(rows[0][:on], rows[1][:on], None)
+                rows = [r[on:] for r in rows]
+                if not len(rows[0]):
+                    held = rows
+                    continue
+                large = None
+            last = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
+            yield from settle([r[:last] for r in rows])
+            held = [r[last:] for r in rows]
+            if len(held[0]) > limit:
+                # A large bucket goes on: its members pass through as they come.
+                large = held[0][0]
+                yield emit(held[0], held[1], None)
+                held = [h[:0] for h in held]
+        yield from settle(held)
+
+    return read
+
+
+def repeated_lines(documents: DataFrame, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """``doc_id, lines``: the numbers of the lines to remove from each document."""
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = store(
@@ -219,7 +222,7 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
         sims.select(F.explode(block_keys("sim")).alias("bucket"), "id", "sim")
         .repartition("bucket")
         .sortWithinPartitions("bucket", "id")
-        .mapInArrow(read_buckets, "bucket int, a long, b long"),
+        .mapInArrow(bucket_reader(small_bucket), "bucket int, a long, b long"),
         "met",
     )
 
@@ -332,10 +335,10 @@ def without_lines(batches):
             )
 
 
-def remove_repeated_lines(documents: DataFrame) -> DataFrame:
+def remove_repeated_lines(documents: DataFrame, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """``doc`` (all columns of a document), ``kept`` (its text without the repeated lines),
     ``n_lines`` and ``n_removed``."""
-    removed = store(repeated_lines(documents).withColumnRenamed("doc_id", "_id"), "removed")
+    removed = store(repeated_lines(documents, small_bucket).withColumnRenamed("doc_id", "_id"), "removed")
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"))
     joined = rows.join(
         if_small(removed, 4 * F.size("lines")), F.col("doc.doc_id") == F.col("_id"), "left"

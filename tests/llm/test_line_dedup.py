@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lodeworks.llm.line_dedup import (
@@ -85,10 +86,11 @@ def documents():
     return list(enumerate(docs))
 
 
-def test_removed_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("small_bucket", [128, 3])
+def test_removed_lines_equal_brute_force(spark, small_bucket):
     docs = documents()
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    got = remove_repeated_lines(df).select("doc.doc_id", "n_lines", "n_removed", F.coalesce("kept", F.lit("")))
+    got = remove_repeated_lines(df, small_bucket).select("doc.doc_id", "n_lines", "n_removed", F.coalesce("kept", F.lit("")))
     want, gone = brute(docs)
     assert sorted(tuple(r) for r in got.collect()) == want and gone > 100
 
