@@ -35,11 +35,19 @@ def words_of(text: str) -> Column:
     return F.filter(spaced, lambda w: w != "")
 
 
-def shingles_of(words: str) -> Column:
-    """Hashes of the shingles in order; empty for fewer words than a shingle has."""
-    n = F.size(words)
-    at = F.when(n >= SHINGLE, F.sequence(F.lit(1), n - (SHINGLE - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*[F.element_at(words, i + j) for j in range(SHINGLE)]))
+def shingles_of(words: Column) -> Column:
+    """Hashes of the shingles in order; empty for fewer words than a shingle has.
+
+    The words are bound by an outer lambda: as a plain column the optimizer would put their
+    whole expression in the inner one and split the text anew for every shingle.
+    """
+
+    def hashes(w: Column) -> Column:
+        last = F.size(w) - (SHINGLE - 1)
+        at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(*[F.element_at(w, i + j) for j in range(SHINGLE)]))
+
+    return F.element_at(F.transform(F.array(words), hashes), 1)
 
 
 def minima(shingles: str) -> Column:
@@ -59,14 +67,12 @@ def scan(documents: DataFrame, templates: DataFrame, contained: float = CONTAINE
         .withColumn("words", words_of("text"))
         .withColumn("m", F.size("words"))
         .where(F.col("m") >= SHINGLE)
-        .withColumn("t", F.array_distinct(shingles_of("words")))
+        .withColumn("t", F.array_distinct(shingles_of(F.col("words"))))
         .select("license", "m", "t")
         .distinct()
     )
     bands = store(known.select("license", "m", "t", F.inline(minima("t"))), "templates")
-    hashed = documents.select("doc_id", words_of("text").alias("words")).select(
-        "doc_id", shingles_of("words").alias("h")
-    )
+    hashed = documents.where("text is not null").select("doc_id", shingles_of(words_of("text")).alias("h"))
     # The templates' minima: a vocabulary, not data that grows with the texts.
     keys = sorted(r.least for r in bands.select("least").distinct().toLocalIterator())
     found = None
@@ -74,24 +80,28 @@ def scan(documents: DataFrame, templates: DataFrame, contained: float = CONTAINE
         part = keys[low : low + KEYS]
         listed = F.array(*[F.lit(k) for k in part]).cast("array<bigint>")
         own = bands.where(F.col("least").isin(part)) if len(keys) > KEYS else bands
-        hits = windows_with(hashed.where(F.arrays_overlap("h", listed)), own, contained)
+        likely = store(hashed.where(F.arrays_overlap("h", listed)), "likely")
+        hits = windows_with(likely, own, contained)
         found = hits if found is None else found.unionByName(hits)
     return found.groupBy("doc_id", "license", "start_word").agg(F.max("containment").alias("containment"))
 
 
 def windows_with(hashed: DataFrame, bands: DataFrame, contained: float) -> DataFrame:
-    sizes = [r.m for r in bands.select("m").distinct().collect()]  # lengths of templates
-    windows = None
-    for m in sizes:
-        starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.lit(m)))
-        rows = (
-            hashed.select("doc_id", "h", starts.alias("start"))
-            .select("doc_id", "start", F.expr(f"slice(h, start + 1, {2 * m - SHINGLE + 1})").alias("w"))
-            .withColumn("m", F.lit(m))
+    sizes = [F.lit(r.m) for r in bands.select("m").distinct().collect()]  # lengths of templates
+    if not sizes:
+        sizes = [F.lit(SHINGLE)]
+    last = F.greatest(F.size("h") - 1, F.lit(0))
+    spans = F.flatten(
+        F.transform(
+            F.array(*sizes),
+            lambda m: F.transform(
+                F.sequence(F.lit(0), last, m), lambda at: F.struct(m.alias("m"), at.alias("start"))
+            ),
         )
-        windows = rows if windows is None else windows.unionByName(rows)
-    if windows is None:
-        windows = hashed.select("doc_id", F.lit(0).alias("start"), F.col("h").alias("w"), F.lit(0).alias("m")).limit(0)
+    )
+    windows = hashed.select("doc_id", "h", F.inline(spans)).select(
+        "doc_id", "start", "m", F.expr(f"slice(h, start + 1, 2 * m - {SHINGLE - 1})").alias("w")
+    )
     share = F.size(F.array_intersect("t", "w")) / F.size("t")
     met = windows.select("doc_id", "start", "w", "m", F.inline(minima("w"))).join(
         if_small(bands, 8 * F.size("t")), ["m", "band", "least"]
