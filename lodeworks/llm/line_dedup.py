@@ -1,11 +1,17 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one line per group.
 
 Lines are normalised to their words (ASCII letters lower-cased, digits read as 0, other ASCII
-signs and white space dropped). Equal lines are folded first. The 64-bit SimHashes of two
-lines that differ in at most ``DISTANCE`` bits agree in at least two of five blocks, so lines
-meet on the pairs of blocks. A candidate pair is a link if its SimHashes are that near and the
-normalised lines have an edit similarity of ``SIMILARITY`` or more. Of each connected group
-the first occurrence stays, by document id and line number.
+signs and white space dropped). Equal lines are folded first. Of each connected group the first
+occurrence stays, by document id and line number. What is a link depends on ``distance``:
+
+* A number: the 64-bit SimHashes of the words differ in at most ``DISTANCE`` bits, and the
+  normalised lines have an edit similarity of ``SIMILARITY`` or more. Such SimHashes agree in at
+  least two of five blocks, so lines meet on the pairs of blocks.
+* ``None`` (the query and the pipeline): the edit similarity alone. One replaced word flips more
+  than ``DISTANCE`` bits of most lines, and no block of 64 bits outlasts what it takes to reach
+  them, so lines meet on MinHash bands of their character grams instead: three characters and
+  rows of three for lines under ``MIDDLE`` characters, else five and four. Lines of up to 19
+  characters differ in one edit at most and meet on an intact half, which loses none.
 
 Defined cases: lines without words (and so null or empty texts) always stay; a document
 whose every line went is left with an empty text; rows that share an id get the verdicts of
@@ -15,6 +21,7 @@ empty result; extra columns pass through ``drop_repeated_lines`` unchanged.
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 from itertools import combinations
 
@@ -39,6 +46,11 @@ from lodeworks.llm.graph import components, linked_groups
 BLOCKS = 5
 DISTANCE = 3
 SIMILARITY = 0.9
+# Lines of SHORT[0] to SHORT[1] characters meet on halves, those from MIDDLE on by longer grams.
+# A pair has a tenth of its length for edits, so lines below a limit by that belong to both sides.
+SHORT, MIDDLE = (9, 19), 60
+BANDS, ROWS = 16, 4
+BINS = BANDS * ROWS
 # Buckets up to this size are compared where they lie, larger ones in rounds of hubs.
 SMALL_BUCKET = 128
 
@@ -49,6 +61,7 @@ _EDGES = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
 _SPREAD = np.array(
     [sum(((v >> i) & 1) << (8 * i) for i in range(8)) for v in range(256)], dtype=np.uint64
 )
+_PROBES = np.random.default_rng(12).integers(0, BINS, size=(4096, BINS))
 _STRIDE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,14 +109,106 @@ def simhashes(words: Words, spoken: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
 
 
-def occurrences(batches):
-    for part in text_slices(batches):
-        words, text, number, spoken, _ = line_table(part.column("text"))
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id").take(pa.array(text)), pa.array(number.astype(np.int32)),
-             pa.array(line_keys(words, spoken)), pa.array(simhashes(words, spoken))],
-            ["doc_id", "line", "key", "sim"],
-        )
+def lengths(words: Words, spoken: np.ndarray) -> np.ndarray:
+    """The characters of each normalised line."""
+    # All but the continuation bytes of UTF-8 begin a character.
+    begun = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
+    own = np.concatenate(([0], np.cumsum(begun[words.ends] - begun[words.starts])))
+    return np.diff(own[words.bounds])[spoken] + words.counts[spoken] - 1
+
+
+def half_keys(line: bytes) -> list[int]:
+    """Keys of which two lines share one if one edit at most parts them: the first and the last
+    half of the shorter one, and of the line itself as the longer one."""
+    text = line.decode("utf-8", "replace")
+    keys = []
+    for size in (len(text), len(text) - 1):
+        half = size // 2
+        for side, part in enumerate((text[:half], text[len(text) - (size - half) :])):
+            keys.append(zlib.crc32(f"{size} {side} {part}".encode()) & 0x7FFFFFFF)
+    return keys
+
+
+def minima(chars: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """A row of ``BINS`` minima of the grams of ``size`` bytes of each line (one-permutation
+    hashing; empty bins borrow from full ones by fixed random probes)."""
+    lines = len(counts)
+    owner = np.repeat(np.arange(lines), counts)
+    last = len(chars) - size + 1
+    table = np.full(lines * BINS, np.iinfo(np.uint64).max, np.uint64)
+    if last > 0:
+        gram = np.zeros(last, np.uint64)
+        for i in range(size):
+            gram |= chars[i : last + i].astype(np.uint64) << np.uint64(8 * i)
+        whole = np.flatnonzero(owner[:last] == owner[size - 1 :])
+        hashes = mix64(gram[whole] + np.uint64(size << 56))
+        bins = (((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(table, owner[whole] * BINS + bins, hashes)
+    full = (table != np.iinfo(np.uint64).max).reshape(lines, BINS)
+    given = table.copy()
+    row, col = np.nonzero(~full & full.any(axis=1)[:, None])
+    probe = 0
+    while len(row):
+        donor = _PROBES[probe % len(_PROBES), col]
+        lucky = full[row, donor]
+        given[row[lucky] * BINS + col[lucky]] = table[row[lucky] * BINS + donor[lucky]]
+        row, col = row[~lucky], col[~lucky]
+        probe += 1
+    return given.reshape(lines, BINS)
+
+
+def meeting_keys(words: Words, spoken: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The buckets of each line of ``size`` characters: halves of short lines, bands of others."""
+    pieces = []
+    raw = words.data.tobytes()
+    short = np.flatnonzero((size >= SHORT[0]) & (size <= SHORT[1]))
+    halves = []
+    for line in spoken[short].tolist():
+        a, b = words.bounds[line], words.bounds[line + 1]
+        spans = zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), strict=True)
+        halves += half_keys(b" ".join(raw[s:e] for s, e in spans))
+    pieces.append((np.repeat(short, 4), np.array(halves, np.int32)))
+    bytes_before = np.concatenate(([0], np.cumsum(words.ends - words.starts)))
+    letters = words.data[ALNUM_WORDS[words.data]]
+    for kind, (low, high, gram, rows) in enumerate(
+        ((SHORT[1] - 1, MIDDLE, 3, 3), (MIDDLE * 9 // 10, np.inf, 5, ROWS))
+    ):
+        some = np.flatnonzero((size >= low) & (size < high))
+        if not len(some):
+            continue
+        a = bytes_before[words.bounds[:-1][spoken[some]]]
+        n = bytes_before[words.bounds[1:][spoken[some]]] - a
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+        values = minima(letters[at], n, gram).reshape(-1, BANDS, ROWS)
+        band = np.broadcast_to(
+            np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS * kind), values.shape[:2]
+        )
+        for i in range(rows):
+            band = mix64(band * np.uint64(31) + values[:, :, i])
+        pieces.append((np.repeat(some, BANDS), (band & np.uint64(0x7FFFFFFF)).astype(np.int32).ravel()))
+    line = np.concatenate([p[0] for p in pieces])
+    keys = np.concatenate([p[1] for p in pieces])
+    by = np.argsort(line, kind="stable")
+    held = np.bincount(line, minlength=len(spoken))
+    offsets = np.concatenate(([0], np.cumsum(held))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[by]))
+
+
+def occurrences(distance):
+    def run(batches):
+        for part in text_slices(batches):
+            words, text, number, spoken, _ = line_table(part.column("text"))
+            columns = [part.column("doc_id").take(pa.array(text)), pa.array(number.astype(np.int32)),
+                       pa.array(line_keys(words, spoken))]
+            if distance is None:
+                size = lengths(words, spoken)
+                columns += [pa.array(size), meeting_keys(words, spoken, size)]
+            else:
+                columns.append(pa.array(simhashes(words, spoken)))
+            names = ["doc_id", "line", "key", "sim", "met"]
+            yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
+
+    return run
 
 
 def wanted_lines(batches):
@@ -140,21 +245,26 @@ def block_keys(sim: str):
     return F.array(*keys)
 
 
-def near_pairs(bucket: np.ndarray, id_: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one bucket whose SimHashes differ in at most ``DISTANCE`` bits."""
+def near_pairs(bucket, id_, sim, distance) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket whose SimHashes differ in at most ``distance`` bits; without a distance,
+    whose lengths allow the edit similarity."""
     left, right = [], []
     for gap in range(1, len(bucket)):
         at = np.flatnonzero(bucket[gap:] == bucket[:-gap])
         if not len(at):
             break
-        at = at[np.bitwise_count(sim[at] ^ sim[at + gap]) <= DISTANCE]
+        if distance is None:
+            longer = np.maximum(sim[at], sim[at + gap])
+            at = at[10 * np.abs(sim[at] - sim[at + gap]) <= longer]
+        else:
+            at = at[np.bitwise_count(sim[at] ^ sim[at + gap]) <= distance]
         left.append(np.minimum(id_[at], id_[at + gap]))
         right.append(np.maximum(id_[at], id_[at + gap]))
     none = np.empty(0, np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def bucket_reader(limit: int):
+def bucket_reader(limit: int, distance):
     def read(batches):
         """Streams sorted buckets: near pairs of the small ones (``bucket`` null), and the members
         of the large ones as ``bucket, a``."""
@@ -174,7 +284,7 @@ def bucket_reader(limit: int):
             runs = np.diff(np.r_[0, change, len(bucket)])
             size = np.repeat(runs, runs)
             some = (size > 1) & (size <= limit)
-            yield emit(None, *near_pairs(bucket[some], id_[some], sim[some]))
+            yield emit(None, *near_pairs(bucket[some], id_[some], sim[some], distance))
             most = size > limit
             yield emit(bucket[most], id_[most], None)
 
@@ -203,26 +313,35 @@ def bucket_reader(limit: int):
     return read
 
 
-def repeated_lines(documents: DataFrame, small_bucket: int = SMALL_BUCKET) -> DataFrame:
-    """``doc_id, lines``: the numbers of the lines to remove from each document."""
+def repeated_lines(
+    documents: DataFrame, small_bucket: int = SMALL_BUCKET, distance: int | None = DISTANCE
+) -> DataFrame:
+    """``doc_id, lines``: the numbers of the lines to remove from each document.
+
+    ``sim`` is the SimHash of a line, or without a distance its length.
+    """
+    extra = ", met array<int>" if distance is None else ""
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = store(
-        docs.mapInArrow(occurrences, "doc_id long, line int, key long, sim long"), "lines"
+        docs.mapInArrow(occurrences(distance), f"doc_id long, line int, key long, sim long{extra}"),
+        "lines",
     )
     distinct = store(
         lines.groupBy("key").agg(
             F.min(F.struct("doc_id", "line")).alias("first"),
             F.max("sim").alias("sim"),
             (F.min(F.struct("doc_id", "line")) < F.max(F.struct("doc_id", "line"))).alias("again"),
+            *([F.first("met").alias("met")] if extra else []),
         ),
         "distinct",
     )
     sims = distinct.select(F.col("key").alias("id"), "sim")
     met = store(
-        sims.select(F.explode(block_keys("sim")).alias("bucket"), "id", "sim")
+        distinct.withColumnRenamed("key", "id")
+        .select(F.explode(block_keys("sim") if distance is not None else F.array_distinct("met")).alias("bucket"), "id", "sim")
         .repartition("bucket")
         .sortWithinPartitions("bucket", "id")
-        .mapInArrow(bucket_reader(small_bucket), "bucket int, a long, b long"),
+        .mapInArrow(bucket_reader(small_bucket, distance), "bucket int, a long, b long"),
         "met",
     )
 
@@ -275,8 +394,11 @@ def repeated_lines(documents: DataFrame, small_bucket: int = SMALL_BUCKET) -> Da
     def verify(pairs: DataFrame) -> DataFrame:
         a = sims.select(F.col("id").alias("a"), F.col("sim").alias("sa"))
         b = sims.select(F.col("id").alias("b"), F.col("sim").alias("sb"))
-        apart = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
-        near = pairs.join(a, "a").join(b, "b").where(apart <= DISTANCE).select("a", "b")
+        if distance is None:
+            close = 10 * F.abs(F.col("sa") - F.col("sb")) <= F.greatest("sa", "sb")
+        else:
+            close = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= distance
+        near = pairs.join(a, "a").join(b, "b").where(close).select("a", "b")
         return alike(store(near, "near"))
 
     near = store(met.where("bucket is null").select("a", "b").distinct(), "near")
@@ -335,10 +457,12 @@ def without_lines(batches):
             )
 
 
-def remove_repeated_lines(documents: DataFrame, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+def remove_repeated_lines(
+    documents: DataFrame, small_bucket: int = SMALL_BUCKET, distance: int | None = DISTANCE
+) -> DataFrame:
     """``doc`` (all columns of a document), ``kept`` (its text without the repeated lines),
     ``n_lines`` and ``n_removed``."""
-    removed = store(repeated_lines(documents, small_bucket).withColumnRenamed("doc_id", "_id"), "removed")
+    removed = store(repeated_lines(documents, small_bucket, distance).withColumnRenamed("doc_id", "_id"), "removed")
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"))
     joined = rows.join(
         if_small(removed, 4 * F.size("lines")), F.col("doc.doc_id") == F.col("_id"), "left"
@@ -351,7 +475,7 @@ def remove_repeated_lines(documents: DataFrame, small_bucket: int = SMALL_BUCKET
 
 def drop_repeated_lines(documents: DataFrame) -> DataFrame:
     """The documents without repeated lines; those that lost every line they had go."""
-    left = remove_repeated_lines(documents).where((F.col("n_removed") == 0) | (F.col("kept") != ""))
+    left = remove_repeated_lines(documents, distance=None).where((F.col("n_removed") == 0) | (F.col("kept") != ""))
     return left.select(
         *[(F.col("kept") if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in documents.columns]
     )

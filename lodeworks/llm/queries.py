@@ -91,7 +91,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeworks.llm.line_dedup import remove_repeated_lines
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeated_lines(documents).select(
+    return remove_repeated_lines(documents, distance=None).select(
         "doc.doc_id",
         "n_lines",
         "n_removed",
