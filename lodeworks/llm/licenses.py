@@ -2,13 +2,14 @@
 
 Words are runs of letters and digits in lower case, shingles three words. A template of m words
 is sought in text windows of 2m words that start at every m-th word, so that each occurrence lies
-whole in a window, where it makes up about half of the shingles: J = 0.5. One MinHash row per
-band and ``BANDS`` bands let a window that holds the template collide with probability
-1 - 2^-16 or more. What collides is verified by exact containment: the share of the
-template's distinct shingles that the window has.
+whole in a window. What is looked for is exact containment: the share of the template's distinct
+shingles that the window has, at least ``contained``.
 
-A band collides only if the window holds the very shingle that is the template's minimum, so
-texts without any such shingle are left out before windows are cut; that loses nothing.
+Of n shingles such a window lacks at most n - k, where k is the least number that makes up the
+share; so it holds one or more of any n - k + 1 of them. These keys of a template are its
+least shingles in a hash order (a bottom sketch). Windows without a key of a template of their
+size cannot match and are dropped, as are texts without any key before windows are cut; no
+match is lost, however short or long the template.
 
 Defined cases: null or empty texts, and texts or templates of fewer than three words, match
 nothing; repeated rows of an id are reported once; an occurrence that two windows see is
@@ -24,9 +25,8 @@ from pyspark.sql import functions as F
 from lodeworks.llm.common import if_small, store
 
 SHINGLE = 3
-BANDS = 16
 CONTAINED = 0.8
-# Minimum shingles in one test of a text; more templates are sought in further passes.
+# Keys in one test of a text; more templates are sought in further passes.
 KEYS = 20_000
 
 
@@ -50,14 +50,13 @@ def shingles_of(words: Column) -> Column:
     return F.element_at(F.transform(F.array(words), hashes), 1)
 
 
-def minima(shingles: str) -> Column:
-    """For each band the shingle that comes first in the band's order, with the band's number."""
-
-    def first(band: int) -> Column:
-        order = F.transform(F.col(shingles), lambda s: F.struct(F.xxhash64(s, F.lit(band)), s.alias("s")))
-        return F.struct(F.lit(band).alias("band"), F.array_min(order)["s"].alias("least"))
-
-    return F.array(*[first(b) for b in range(BANDS)])
+def keys_of(shingles: str, contained: float) -> Column:
+    """The least shingles of a template, of which every window that matches has one."""
+    n = F.size(shingles)
+    # A hair less, so that rounding adds a key rather than losing one.
+    k = F.greatest(F.ceil(n * F.lit(contained) - F.lit(1e-9)), F.lit(1))
+    ordered = F.array_sort(F.transform(shingles, lambda s: F.struct(F.xxhash64(s).alias("o"), s.alias("s"))))
+    return F.slice(ordered, F.lit(1), (n - k + 1).cast("int"))["s"]
 
 
 def scan(documents: DataFrame, templates: DataFrame, contained: float = CONTAINED) -> DataFrame:
@@ -71,23 +70,26 @@ def scan(documents: DataFrame, templates: DataFrame, contained: float = CONTAINE
         .select("license", "m", "t")
         .distinct()
     )
-    bands = store(known.select("license", "m", "t", F.inline(minima("t"))), "templates")
+    known = store(known.withColumn("template", F.monotonically_increasing_id()), "templates")
+    keyed = store(
+        known.select("template", "m", F.explode(keys_of("t", contained)).alias("least")), "keys"
+    )
     hashed = documents.where("text is not null").select("doc_id", shingles_of(words_of("text")).alias("h"))
-    # The templates' minima: a vocabulary, not data that grows with the texts.
-    keys = sorted(r.least for r in bands.select("least").distinct().toLocalIterator())
+    # The templates' keys: a vocabulary, not data that grows with the texts.
+    keys = sorted(r.least for r in keyed.select("least").distinct().toLocalIterator())
     found = None
     for low in range(0, max(1, len(keys)), KEYS):
         part = keys[low : low + KEYS]
         listed = F.array(*[F.lit(k) for k in part]).cast("array<bigint>")
-        own = bands.where(F.col("least").isin(part)) if len(keys) > KEYS else bands
-        likely = store(hashed.where(F.arrays_overlap("h", listed)), "likely")
-        hits = windows_with(likely, own, contained)
+        own = keyed.where(F.col("least").isin(part)) if len(keys) > KEYS else keyed
+        likely = hashed.where(F.arrays_overlap("h", listed)).withColumn("k", F.array_intersect("h", listed))
+        hits = windows_with(store(likely, "likely"), known, own, contained)
         found = hits if found is None else found.unionByName(hits)
     return found.groupBy("doc_id", "license", "start_word").agg(F.max("containment").alias("containment"))
 
 
-def windows_with(hashed: DataFrame, bands: DataFrame, contained: float) -> DataFrame:
-    sizes = [F.lit(r.m) for r in bands.select("m").distinct().collect()]  # lengths of templates
+def windows_with(hashed: DataFrame, known: DataFrame, keyed: DataFrame, contained: float) -> DataFrame:
+    sizes = [F.lit(r.m) for r in keyed.select("m").distinct().collect()]  # lengths of templates
     if not sizes:
         sizes = [F.lit(SHINGLE)]
     last = F.greatest(F.size("h") - 1, F.lit(0))
@@ -99,12 +101,15 @@ def windows_with(hashed: DataFrame, bands: DataFrame, contained: float) -> DataF
             ),
         )
     )
-    windows = hashed.select("doc_id", "h", F.inline(spans)).select(
-        "doc_id", "start", "m", F.expr(f"slice(h, start + 1, 2 * m - {SHINGLE - 1})").alias("w")
+    windows = hashed.select("doc_id", "h", "k", F.inline(spans)).select(
+        "doc_id", "k", "start", "m", F.expr(f"slice(h, start + 1, 2 * m - {SHINGLE - 1})").alias("w")
     )
     share = F.size(F.array_intersect("t", "w")) / F.size("t")
-    met = windows.select("doc_id", "start", "w", "m", F.inline(minima("w"))).join(
-        if_small(bands, 8 * F.size("t")), ["m", "band", "least"]
+    met = (
+        windows.select("doc_id", "start", "w", "m", F.explode(F.array_intersect("w", "k")).alias("least"))
+        .join(if_small(keyed), ["m", "least"])
+        .select("doc_id", "start", "w", "template")
+        .join(if_small(known, 8 * F.size("t")).drop("m"), "template")
     )
     first = F.array_min(
         F.transform(

@@ -54,3 +54,12 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame(documents(), "doc_id long, text string")
     templates = spark.createDataFrame(LICENSES, "license string, text string")
     assert scan(docs.limit(0), templates).count() == 0 and scan(docs, templates.limit(0)).count() == 0
+
+
+def test_no_short_notice_is_missed(spark):
+    notice = "'p' || id, 'q' || id, 'r' || id, 's' || id, 't' || id"
+    around = f"'a' || id, 'b' || id, {notice}, 'c' || id, 'd' || id, 'e' || id"
+    ids = spark.range(8_000)
+    templates = ids.selectExpr("cast(id as string) license", f"concat_ws(' ', {notice}) text")
+    got = scan(ids.selectExpr("id doc_id", f"concat_ws(' ', {around}) text"), templates)
+    assert got.where("license = doc_id and start_word = 2 and containment = 1").count() == 8_000
