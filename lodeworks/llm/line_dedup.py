@@ -7,7 +7,7 @@ occurrence stays, by document id and line number. What is a link depends on ``di
 * A number: the 64-bit SimHashes of the words differ in at most ``DISTANCE`` bits, and the
   normalised lines have an edit similarity of ``SIMILARITY`` or more. Such SimHashes agree in at
   least two of five blocks, so lines meet on the pairs of blocks.
-* ``None`` (the query and the pipeline): the edit similarity alone. One replaced word flips more
+* ``None`` (the query op9; the pipeline keeps the number): the edit similarity alone. One replaced word flips more
   than ``DISTANCE`` bits of most lines, and no block of 64 bits outlasts what it takes to reach
   them, so lines meet on MinHash bands of their character grams instead: three characters and
   rows of three for lines under ``MIDDLE`` characters, else five and four. Lines of up to 19
@@ -475,7 +475,7 @@ def remove_repeated_lines(
 
 def drop_repeated_lines(documents: DataFrame) -> DataFrame:
     """The documents without repeated lines; those that lost every line they had go."""
-    left = remove_repeated_lines(documents, distance=None).where((F.col("n_removed") == 0) | (F.col("kept") != ""))
+    left = remove_repeated_lines(documents).where((F.col("n_removed") == 0) | (F.col("kept") != ""))
     return left.select(
         *[(F.col("kept") if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in documents.columns]
     )
