@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions.exprs import col, day_floor, trimmed
-from lodeworks.operators.skew import rank_in_key
+from lodeworks.operators.ranking import rank_by_ranges
 
 LAST_STEP = 6
 
@@ -39,10 +39,9 @@ def current_state(events: DataFrame, key: str, order: Sequence[str], fields: Seq
     )
 
 
-def history(events: DataFrame, key: str, time: str, order: Sequence[Column]) -> DataFrame:
-    """Log rows with their position, newest first, without gathering an item in one task."""
-    dated = events.withColumn("_day", F.to_date(time))
-    return rank_in_key(dated, key, "_day", order, newest_first=True).drop("_day")
+def history(events: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
+    """Log rows with their position in ``order``; an item, or one busy day of it, may span tasks."""
+    return rank_by_ranges(events, order, [key])
 
 
 def funnel(state: DataFrame, step: str, last: int = LAST_STEP) -> DataFrame:

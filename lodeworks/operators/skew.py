@@ -91,29 +91,3 @@ def salted_join(
     )
     out = a.drop("_hot").join(b.drop("_hot"), [*keys, "_salt"]).drop("_salt")
     return out if condition is None else out.filter(condition)
-
-
-def rank_in_key(
-    df: DataFrame, key: str, bucket: str, order: Sequence, newest_first: bool = True
-) -> DataFrame:
-    """Position of each row within its key without gathering a key in one task.
-
-    ``bucket`` is a coarse ordered column (a day, say) that agrees with ``order``.
-    Rows are numbered inside (key, bucket); the offset of a bucket is the number
-    of rows in the buckets before it, taken from the small count table.
-    """
-    from pyspark.sql import Window
-
-    counts = df.groupBy(key, bucket).agg(F.count("*").alias("_n"))
-    by_bucket = F.desc(bucket) if newest_first else F.asc(bucket)
-    before = Window.partitionBy(key).orderBy(by_bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        key, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy(key, bucket).orderBy(*order)
-    numbered = df.withColumn("_at", F.row_number().over(inside))
-    return (
-        numbered.join(offsets, [key, bucket])
-        .withColumn("position", F.col("_offset") + F.col("_at"))
-        .drop("_offset", "_at")
-    )

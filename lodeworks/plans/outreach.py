@@ -65,7 +65,7 @@ def item_state(spark, sf):
 )
 def item_history(spark, sf):
     events = table(spark, sf, "events").select("user_id", "event_id", "ts")
-    rows = P.history(events, "user_id", "ts", [F.desc("ts"), F.desc("event_id")])
+    rows = P.history(events, "user_id", [F.desc("ts"), F.desc("event_id")])
     return rows.select("user_id", "event_id", "position")
 
 

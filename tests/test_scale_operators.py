@@ -1,6 +1,7 @@
 """Operators with their own distributed method, against brute force."""
 
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lodeworks.operators import dedup, fuzzy, skew
 from lodeworks.operators.percentile import exact_percentiles
+from lodeworks.operators.ranking import rank_by_ranges
+from lodeworks.session import shared_dir
 
 
 def greedy(rows):
@@ -156,13 +159,48 @@ def test_salted_join_without_change(spark):
     assert sorted(map(tuple, got.collect())) == want
 
 
-def test_rank_in_key(spark):
-    df = spark.createDataFrame([("a", d, i) for i, d in enumerate([3, 1, 3, 2, 1, 2])], "k string, d int, i int")
-    got = {
-        r.i: r.position
-        for r in skew.rank_in_key(df, "k", "d", [F.desc("d"), F.desc("i")]).collect()
-    }
-    assert got == {2: 1, 0: 2, 5: 3, 3: 4, 4: 5, 1: 6}
+@pytest.fixture
+def whole_partitions(spark):
+    """Tables of a test are small: AQE would join their partitions into one."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("group", [["k"], []])
+def test_rank_by_ranges_splits_a_hot_key(spark, whole_partitions, group):
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["a", "a", "a", "b", None, f"k{i}"]), rnd.randrange(40), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, d int, i int").repartition(6)
+    shared_dir(spark)
+    got = rank_by_ranges(df, [F.desc("d"), F.asc("i")], group, keep=parts.append_and_fix).collect()
+    seen, want = Counter(), {}
+    for k, d, i in sorted(rows, key=lambda r: (-r[1], r[2])):
+        seen[k if group else 0] += 1
+        want[i] = seen[k if group else 0]
+    assert {r.i: r.position for r in got} == want
+    assert max(parts.sizes) < 0.5 * len(rows)
+
+
+class parts:
+    """Remembers how many rows each partition of the sorted ranges held."""
+
+    sizes: list = []
+
+    @staticmethod
+    def append_and_fix(df):
+        fixed = df.checkpoint()
+        parts.sizes = [r["count"] for r in fixed.groupBy(F.shiftright("_row", 33)).count().collect()]
+        return fixed
+
+
+def test_rank_by_ranges_of_repeated_rows(spark, whole_partitions):
+    df = spark.createDataFrame([("a", 1)] * 500 + [("b", 0)], "k string, d int").repartition(4)
+    shared_dir(spark)
+    got = rank_by_ranges(df, [F.asc("d")], ["k"], keep=parts.append_and_fix).collect()
+    assert sorted(r.position for r in got if r.k == "a") == list(range(1, 501))
+    assert max(parts.sizes) < 400
+    assert rank_by_ranges(df.limit(0), [F.asc("d")], ["k"]).count() == 0
 
 
 def test_keep_best_limits_before_the_shuffle(spark):
