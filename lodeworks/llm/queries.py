@@ -141,3 +141,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeworks.llm.html_main import extract
 
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+# The letters that tampering changes.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def tampered_text():
+    """The text of every fifth document, by the checksum of its id, in lower case."""
+    struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return F.when(struck, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+
+
+@llm_query("op13_merkle_manifest", oracles.MERKLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"), tampered_text()).drop("steps")
