@@ -154,3 +154,25 @@ done as (select doc_id, arg_max(node, step) as folded_root from folded group by
 select doc_id, leaf, subroot, (select digest from b where n = 1) as root, coalesce(proof, sha256('')) as proof_sha256, folded_root,
   folded_root = (select digest from b where n = 1) as verified
 from p join r on r.source = p.key left join proof using (doc_id) join done using (doc_id)"""
+
+
+_GAIN = "cast(floor(1000 * ln((t.n + 1.0::double) * (st.total + 10000.0::double) / ((s.n + 1.0::double) * (tt.total + 10000.0::double)))) as bigint)"
+
+RESAMPLING = f"""
+with recursive {_CRC_TABLE},
+dw as ({_rows("documents", "doc_id", _ALNUM, _FOLDED)}),
+bw as ({_rows("benchmark", "item_id", _ALNUM, _FOLDED)}),
+u as (select distinct word from (select word from dw union all select word from bw)),
+f as (select word, {_crc("hex(encode(word))")} % 10000 as bucket from u, crc_table),
+db as (select doc_id, bucket, count(*) as n from dw join f using (word) group by all),
+s as (select bucket, sum(n) as n from db group by 1),
+t as (select r.b as bucket, coalesce(x.n, 0) as n from range(10000) r(b) left join (select bucket, count(*) as n from bw join f using (word) group by 1) x on x.bucket = r.b),
+st as (select sum(n) as total from s), tt as (select sum(n) as total from t),
+g as (select bucket, {_GAIN} as gain from s join t using (bucket), st, tt),
+w as (select doc_id, cast(sum(n) as bigint) as n_features, cast(sum(n * gain) as bigint) as sum_gain from db join g using (bucket) group by 1),
+a as (select doc_id, coalesce(n_features, 0) as n_features, coalesce(cast(floor(sum_gain / n_features) as bigint), 0) as weight,
+  cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) as h from documents left join w using (doc_id)),
+b as (select doc_id, n_features, weight, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296.0::double))) as bigint) as score from a),
+r as (select *, n_features >= 20 as fits, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place,
+  count(*) filter (n_features >= 20) over () as eligible from b)
+select doc_id, n_features, weight, score, case when fits and place <= eligible * 10 // 100 then place end as rank from r"""

@@ -13,12 +13,14 @@ group counts are tried and the fewest sequences kept.
 
 Defined cases: a null text is an empty document (one piece, the end token alone); repeated
 rows are documents of their own; a null id stays null; an empty table gives no rows; extra
-columns are not read. A text is tokenised whole, control strings in it as ordinary text.
+columns are not read. A text is tokenised whole; the tokenizer's own special strings in it get
+their special ids, as the tokenizer does by default.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import defaultdict
 
@@ -39,29 +41,43 @@ TOKENIZER = "byte_bpe_50k"
 _ENCODERS: dict = {}
 
 
-def encoder(name: str):
+def encoder(name: str, with_special: bool = False):
     """The public byte-level BPE, from its rank file (the same ids as its JSON file, and
-    several times as fast; a test compares them)."""
-    if name not in _ENCODERS:
+    several times as fast; a test compares them).
+
+    ``with_special`` adds the special tokens of the JSON file, which that file's tokenizer
+    finds inside texts as well.
+    """
+    if (name, with_special) not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[name] = tiktoken.Encoding(
-            name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        special = {}
+        if with_special:
+            with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
+                special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        _ENCODERS[name, with_special] = tiktoken.Encoding(
+            name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
         )
-    return _ENCODERS[name]
+    return _ENCODERS[name, with_special]
+
+
+def text_ids(name: str):
+    """Ids of a text as the JSON file's tokenizer gives them, special tokens in it included."""
+    encode = encoder(name, with_special=True).encode
+    return lambda text: encode(text or "", allowed_special="all")
 
 
 def tokenise(capacity: int, tokenizer: str, with_ids: bool):
     def cut(batches):
-        encode = encoder(tokenizer).encode_ordinary
+        encode = text_ids(tokenizer)
         for part in text_slices(batches):
             rows: dict[str, list] = defaultdict(list)
             docs = part.column("doc_id").to_pylist()
             for doc, text in zip(docs, part.column("text").to_pylist(), strict=True):
-                ids = np.array(encode(text or "") + [END_ID], dtype="<u4")
+                ids = np.array(encode(text) + [END_ID], dtype="<u4")
                 first = (len(ids) - 1) % capacity + 1
                 for piece, end in enumerate(range(first, len(ids) + 1, capacity)):
                     start = max(0, end - capacity) if piece else 0

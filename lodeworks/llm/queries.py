@@ -158,3 +158,17 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeworks.llm.merkle import manifest
 
     return manifest(table(spark, sf_dir, "documents"), tampered_text()).drop("steps")
+
+
+@llm_query("op12_importance_resampling", oracles.RESAMPLING)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.llm.resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@llm_query("op11_token_files")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeworks.llm.token_files import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -12,13 +12,12 @@ from lodeworks.llm.packing import linear_groups, pack, solve
 
 def json_ids(texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return [e.ids + [2] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def documents():
     rng = random.Random(2)
-    parts = ["the ", "eau", "ção", "\n\n", "  ", "don't", "12345", "<|endoftext|>", "漢字", " ", "!!"]
+    parts = ["the ", "eau", "ção", "\n\n", "  ", "don't", "12345", "<|endoftext|>", "  <|endoftext|>", "<|im_end|>", "漢字", " ", "!!"]
     texts = ["".join(rng.choices(parts, k=rng.choice([0, 1, 5, 60, 400, 3000]))) for _ in range(60)]
     return [(i, t) for i, t in enumerate([*texts, "", None, "x" * 30000, "same", "same"])]
 
