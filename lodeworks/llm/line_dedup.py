@@ -257,7 +257,9 @@ def near_pairs(bucket, id_, sim, distance) -> tuple[np.ndarray, np.ndarray]:
             longer = np.maximum(sim[at], sim[at + gap])
             at = at[10 * np.abs(sim[at] - sim[at + gap]) <= longer]
         else:
-            at = at[np.bitwise_count(sim[at] ^ sim[at + gap]) <= distance]
+            # Of a signed integer numpy counts the bits of the magnitude.
+            apart = (sim[at] ^ sim[at + gap]).view(np.uint64)
+            at = at[np.bitwise_count(apart) <= distance]
         left.append(np.minimum(id_[at], id_[at + gap]))
         right.append(np.maximum(id_[at], id_[at + gap]))
     none = np.empty(0, np.int64)

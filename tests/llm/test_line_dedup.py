@@ -10,6 +10,7 @@ from lodeworks.llm.line_dedup import (
     drop_repeated_lines,
     line_keys,
     line_table,
+    near_pairs,
     remove_repeated_lines,
     simhashes,
 )
@@ -105,6 +106,14 @@ def test_simhash_is_the_majority_and_counts_long_lines():
     assert len(set(line_keys(words, spoken).tolist())) == 2
 
 
+def test_near_pairs_count_the_top_bit():
+    bucket, ids = np.zeros(3, np.int32), np.array([5, 3, 9])
+    sims = np.array([0b111, -(2**63) | 0b110, 2**62 | 0b1000], np.int64)
+    left, right = near_pairs(bucket, ids, sims, 3)
+    assert sorted(zip(left.tolist(), right.tolist(), strict=True)) == [(3, 5)]
+    assert len(near_pairs(bucket, ids, sims, 1)[0]) == 0
+
+
 def test_defined_cases(spark):
     rows = [(1, "a b\nc d"), (1, "a b\nc d"), (None, "a b"), (2, "c d"), (3, None), (4, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lines", F.lit("x"))
