@@ -1,11 +1,18 @@
 """Ranking firms for many request profiles at once.
 
-The score of a pair depends only on a handful of features of each side, so firms
-with equal features tie and only the first ``top_n`` of them in input order can be
-ranked. Firms and profiles are therefore folded to feature signatures first; the
-join, the gates and the score run once per pair of signatures, blocked on sector
-and stage; and the ranked rows are handed back to the profiles of a signature at
-the end. The result equals scoring every profile against every firm.
+The score of a pair is ``base * (0.60 + 0.80 * tier2) * confidence``: ``tier2`` and all gates
+depend on the *soft* features of both sides, ``base`` on their *anchors* (sub-sector tags).
+Both sides are folded to signatures of each kind, so soft pairs are gated and scored once
+(blocked on sector and stage), and anchor pairs that share a tag once (joined on the tag; all
+others are one of two fixed bases). The two meet by a threshold rule instead of by all pairs:
+
+1. a firm's soft signature is a block; its best anchor for a profile bounds the block's scores,
+   and a part of that bound is known to be reached;
+2. per profile, the ``top_n``-th best reached score is the threshold;
+3. only blocks whose bound is not below it are opened, firm signature by firm signature.
+
+Every opened pair gets its exact score, and equal scores rank by input order, so the result
+equals scoring every profile against every firm. Only ranked firms meet texts and vectors.
 """
 
 from __future__ import annotations
@@ -40,6 +47,7 @@ CONFIDENCE_UNKNOWN = 0.4
 CONFIDENCE_NO_PROFILE = 0.8
 BASE_NO_DATA = 0.20
 BASE_MISMATCH = 0.03
+NARROWED = 0.6
 COMPLETENESS_DEFAULT = 70
 GENERALIST = "generalist"
 ANYWHERE = ("global", "us_agnostic")
@@ -137,47 +145,75 @@ def profile_confidence(has_profile: Column, levels: Sequence[Column]) -> Column:
     return F.when(has_profile, total / float(len(levels))).otherwise(CONFIDENCE_NO_PROFILE)
 
 
+def signature(*columns: str) -> Column:
+    return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+
+
+def split_profiles(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profiles that can be scored, and those refused: neither a structured profile nor tags.
+
+    The refused lane carries a ``reason``; the matcher never scores its rows.
+    """
+    scorable = F.coalesce(F.col("has_profile"), F.lit(False)) | F.col("sub_sector_tags").isNotNull()
+    return profiles.filter(scorable), profiles.filter(~scorable).withColumn(
+        "reason", F.lit("neither profile nor sub_sector_tags")
+    )
+
+
 def profile_features(profiles: DataFrame, vocab: MatchVocab) -> DataFrame:
-    """Profile id and the features that decide its scores, all computed once per profile."""
+    """Profile id and the features that decide its scores, all computed once per profile.
+
+    ``p`` holds the soft features, ``pa`` the anchor; ``psig`` names both and the confidence.
+    """
     c = F.col
     narrative = F.lower(F.coalesce(c("narrative_text"), F.lit("")))
     asked = nonzero(c("raise_value"))
     city = F.trim(F.split(F.lower(F.coalesce(c("geo_city"), F.lit(""))), ",")[0])
     lowered = F.transform(F.coalesce(c("sector_tags"), F.array().cast(STRINGS)), F.lower)
     silent = [~contains_any(narrative, s) for s in vocab.indications.values()]
-    return profiles.select(
-        "profile_id",
-        F.struct(
-            c("funding_stage").alias("stage"),
-            F.coalesce(nonzero(c("raise_min")), asked).alias("raise_min"),
-            F.coalesce(nonzero(c("raise_max")), asked).alias("raise_max"),
-            canonical(c("sector_tags"), vocab.synonyms).alias("sectors"),
-            lookup(dict(vocab.city_tags), city).alias("geo"),
-            c("seeking_lead").alias("lead"),
-            F.sort_array(F.array_distinct(F.coalesce(c("business_model"), F.array().cast(STRINGS)))).alias("models"),
-            c("arr_usd").alias("arr"),
-            F.coalesce(c("pre_revenue"), F.lit(False)).alias("pre"),
-            F.sort_array(F.array_distinct(F.coalesce(c("team_background"), F.array().cast(STRINGS)))).alias("team"),
-            F.sort_array(
-                F.filter(
-                    F.transform(
-                        F.coalesce(c("sub_sector_tags"), F.array().cast(STRINGS)),
-                        lambda t: F.lower(F.trim(t)),
-                    ),
-                    lambda t: t != "",
-                )
-            ).alias("subs"),
-            detect_domain(canonical(lowered, vocab.synonyms), vocab.domains).alias("domain"),
-            (F.array(*silent) if silent else F.array().cast("array<boolean>")).alias("silent"),
+    return (
+        profiles.select(
+            "profile_id",
+            F.struct(
+                c("funding_stage").alias("stage"),
+                F.coalesce(nonzero(c("raise_min")), asked).alias("raise_min"),
+                F.coalesce(nonzero(c("raise_max")), asked).alias("raise_max"),
+                canonical(c("sector_tags"), vocab.synonyms).alias("sectors"),
+                lookup(dict(vocab.city_tags), city).alias("geo"),
+                c("seeking_lead").alias("lead"),
+                F.sort_array(F.array_distinct(F.coalesce(c("business_model"), F.array().cast(STRINGS)))).alias("models"),
+                c("arr_usd").alias("arr"),
+                F.coalesce(c("pre_revenue"), F.lit(False)).alias("pre"),
+                F.sort_array(F.array_distinct(F.coalesce(c("team_background"), F.array().cast(STRINGS)))).alias("team"),
+                detect_domain(canonical(lowered, vocab.synonyms), vocab.domains).alias("domain"),
+            ).alias("p"),
+            F.struct(
+                F.sort_array(
+                    F.filter(
+                        F.transform(
+                            F.coalesce(c("sub_sector_tags"), F.array().cast(STRINGS)),
+                            lambda t: F.lower(F.trim(t)),
+                        ),
+                        lambda t: t != "",
+                    )
+                ).alias("subs"),
+                (F.array(*silent) if silent else F.array().cast("array<boolean>")).alias("silent"),
+            ).alias("pa"),
             profile_confidence(
                 c("has_profile"), [c("conf_stage"), c("conf_sector"), c("conf_geo"), c("conf_raise")]
             ).alias("confidence"),
-        ).alias("p"),
-    ).withColumn("psig", F.md5(F.to_json("p", {"ignoreNullFields": "false"})))
+        )
+        .withColumn("psoft", signature("p"))
+        .withColumn("panch", signature("pa"))
+        .withColumn("psig", F.md5(F.concat("psoft", "panch", F.col("confidence").cast("string"))))
+    )
 
 
 def firm_features(firms: DataFrame, vocab: MatchVocab) -> DataFrame:
-    """Firms that can match at all, with the features that decide their scores."""
+    """Firms that can match at all, with the features that decide their scores.
+
+    ``f`` holds the soft features, ``fa`` the anchor; ``fsig`` names both.
+    """
     c = F.col
     thesis = F.lower(F.coalesce(c("thesis_text"), F.lit("")))
     grant_giver = (c("investor_type") == "other") & (
@@ -198,27 +234,34 @@ def firm_features(firms: DataFrame, vocab: MatchVocab) -> DataFrame:
     kept = firms.filter(
         ~c("is_real_investor").eqNullSafe(F.lit(False)) & ~F.coalesce(grant_giver, F.lit(False))
     )
-    return kept.select(
-        "*",
-        F.struct(
-            listed("stages").alias("stages"),
-            c("check_size_min_usd").alias("check_min"),
-            c("check_size_max_usd").alias("check_max"),
-            canonical(c("sectors"), vocab.synonyms).alias("sectors"),
-            listed("geo_focus").alias("geo"),
-            intent_multipliers(c("thesis_text"), vocab.domains).alias("intent"),
-            (F.array(*focused) if focused else F.array().cast("array<boolean>")).alias("focused"),
-            narrow.alias("subs"),
-            ((F.size(tags) > 0) & (F.size(narrow) == 0)).alias("generalist"),
-            infer_tags(c("portfolio_companies"), vocab.portfolio_tags).alias("inferred"),
-            listed("business_model_preference").alias("models"),
-            c("pre_revenue_ok").alias("pre_ok"),
-            c("min_arr_usd").alias("min_arr"),
-            listed("team_background_preference").alias("team"),
-            c("lead_investor").alias("lead"),
-            F.coalesce(nonzero(c("tier1_completeness")), F.lit(COMPLETENESS_DEFAULT)).alias("filled"),
-        ).alias("f"),
-    ).withColumn("fsig", F.md5(F.to_json("f", {"ignoreNullFields": "false"})))
+    return (
+        kept.select(
+            "*",
+            F.struct(
+                listed("stages").alias("stages"),
+                c("check_size_min_usd").alias("check_min"),
+                c("check_size_max_usd").alias("check_max"),
+                canonical(c("sectors"), vocab.synonyms).alias("sectors"),
+                listed("geo_focus").alias("geo"),
+                intent_multipliers(c("thesis_text"), vocab.domains).alias("intent"),
+                listed("business_model_preference").alias("models"),
+                c("pre_revenue_ok").alias("pre_ok"),
+                c("min_arr_usd").alias("min_arr"),
+                listed("team_background_preference").alias("team"),
+                c("lead_investor").alias("lead"),
+                F.coalesce(nonzero(c("tier1_completeness")), F.lit(COMPLETENESS_DEFAULT)).alias("filled"),
+            ).alias("f"),
+            F.struct(
+                (F.array(*focused) if focused else F.array().cast("array<boolean>")).alias("focused"),
+                narrow.alias("subs"),
+                ((F.size(tags) > 0) & (F.size(narrow) == 0)).alias("generalist"),
+                infer_tags(c("portfolio_companies"), vocab.portfolio_tags).alias("inferred"),
+            ).alias("fa"),
+        )
+        .withColumn("fsoft", signature("f"))
+        .withColumn("fanch", signature("fa"))
+        .withColumn("fsig", F.md5(F.concat("fsoft", "fanch")))
+    )
 
 
 # Profile signatures up to this many key rows (a few tens of MB) are broadcast.
@@ -240,7 +283,7 @@ def _asked(values: Column) -> Column:
 
 
 def blocked_pairs(profile_sigs: DataFrame, firm_sigs: DataFrame) -> DataFrame:
-    """Signature pairs that pass the sector and stage gates, each exactly once."""
+    """Pairs of soft signatures that pass the sector and stage gates, each exactly once."""
     stage = F.when(F.col("p.stage").isNull(), F.array().cast(STRINGS)).otherwise(F.array("p.stage"))
     asked = (
         profile_sigs.select("*", F.explode(_asked(F.col("p.sectors"))).alias("k1"))
@@ -260,10 +303,10 @@ def blocked_pairs(profile_sigs: DataFrame, firm_sigs: DataFrame) -> DataFrame:
     spark = firm_sigs.sparkSession
     if asked.count() <= BROADCAST_ROWS:
         parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        spread = offered.repartition(parts, "fsig")
+        spread = offered.repartition(parts, "fsoft")
         pairs = spread.join(F.broadcast(asked), ["k1", "k2"]).filter(once)
     else:
-        pairs = salted_join(offered, asked, ["k1", "k2"], "fsig", once)
+        pairs = salted_join(offered, asked, ["k1", "k2"], "fsoft", once)
     return pairs.drop("k1", "k2")
 
 
@@ -345,45 +388,12 @@ def team_score(wanted: Column, held: Column, valued: Sequence[str]) -> Column:
     )
 
 
-def sub_sector_anchor(pairs: DataFrame) -> DataFrame:
-    """Columns ``status``, ``matched``, ``base`` and ``f1`` of the sub-sector anchor."""
-    wanted, own, inferred = F.col("p.subs"), F.col("f.subs"), F.col("f.inferred")
-    rescue = (F.size(inferred) > 0) & (
-        (F.size(own) < 2) | (F.size(F.array_intersect(wanted, own)) == 0)
-    )
-    df = pairs.withColumn("_rescued", rescue).withColumn(
-        "_tags", F.when(F.col("_rescued"), F.array_union(own, inferred)).otherwise(own)
-    )
-    df = df.withColumn("matched", F.sort_array(F.array_intersect(wanted, F.col("_tags"))))
-    hits = F.size("matched")
-    status = (
-        F.when(F.col("f.generalist") | (F.size(wanted) == 0) | (F.size("_tags") == 0), "no_data")
-        .when(hits == 0, "confirmed_mismatch")
-        .when(F.col("_rescued"), "inferred")
-        .otherwise("matched")
-    )
-    df = df.withColumn("status", status)
-    hit = F.col("status").isin("matched", "inferred")
-    precision, recall = F.try_divide(hits, F.size(wanted)), F.try_divide(hits, F.size("_tags"))
-    base = round_to(precision * 0.7 + F.least(hits / 3.0, F.lit(1.0)) * 0.3, 4)
-    f1 = round_to(F.try_divide(2 * precision * recall, precision + recall), 4)
-    return df.select(
-        *pairs.columns,
-        "status",
-        F.when(hit, F.col("matched")).otherwise(F.array().cast(STRINGS)).alias("matched"),
-        F.when(hit, base).when(F.col("status") == "no_data", BASE_NO_DATA).otherwise(BASE_MISMATCH).alias("base"),
-        F.when(hit, f1).otherwise(0.0).alias("f1"),
-    )
-
-
-def scored(pairs: DataFrame, vocab: MatchVocab) -> DataFrame:
+def soft_scores(pairs: DataFrame, vocab: MatchVocab) -> DataFrame:
+    """The dimensions and ``tier2`` of gated pairs of soft signatures."""
     p, f = (lambda n: F.col(f"p.{n}")), (lambda n: F.col(f"f.{n}"))
     df = pairs.select(
-        "psig",
-        "fsig",
-        "min_ord",
-        "p",
-        "f",
+        "psoft",
+        "fsoft",
         "amount",
         "intent",
         "traction",
@@ -392,6 +402,8 @@ def scored(pairs: DataFrame, vocab: MatchVocab) -> DataFrame:
         team_score(p("team"), f("team"), vocab.valued_team).alias("team"),
         lead_score(p("lead"), f("lead")).alias("lead"),
         geo_soft_score(p("geo"), f("geo")).alias("geo_soft"),
+        f("filled").alias("_filled"),
+        p("domain").alias("domain"),
     )
     raw = F.lit(0.0)
     for name, weight in DIM_WEIGHTS.items():
@@ -399,17 +411,140 @@ def scored(pairs: DataFrame, vocab: MatchVocab) -> DataFrame:
     tier2 = (
         raw
         * ((0.30 + F.col("sector") * 0.70) * F.col("intent"))
-        * (0.75 + (f("filled") / 100.0) * 0.25)
+        * (0.75 + (F.col("_filled") / 100.0) * 0.25)
         * F.col("amount")
     )
-    df = sub_sector_anchor(df.withColumn("tier2", tier2))
+    return df.withColumn("tier2", tier2).drop("_filled")
+
+
+def open_anchor(own: Column, inferred: Column, generalist: Column) -> Column:
+    """Firms about whose sub-sectors nothing is known."""
+    return generalist | ((F.size(own) == 0) & (F.size(inferred) == 0))
+
+
+def narrowing(focused: Column, silent: Column, vocab: MatchVocab) -> Column:
+    """0.6 where the firm is set on an indication of which the profile says nothing."""
     narrowed = any_of(
-        F.get(f("focused"), F.lit(i)) & F.get(p("silent"), F.lit(i))
-        for i in range(len(vocab.indications))
+        F.get(focused, F.lit(i)) & F.get(silent, F.lit(i)) for i in range(len(vocab.indications))
+    )
+    return F.when(narrowed, NARROWED).otherwise(1.0)
+
+
+def anchor_pairs(profile_anchors: DataFrame, firm_anchors: DataFrame, vocab: MatchVocab) -> DataFrame:
+    """``panch, fanch, status, matched, base, f1`` of the anchors that share a tag."""
+    asked = profile_anchors.select("panch", "pa", F.explode(F.array_distinct("pa.subs")).alias("tag"))
+    held = firm_anchors.filter(~F.col("fa.generalist")).select(
+        "fanch", "fa", F.explode(F.array_union("fa.subs", "fa.inferred")).alias("tag")
+    )
+    # A pair that shares several tags meets at the smallest one only.
+    shared = F.array_min(F.array_intersect("pa.subs", F.array_union("fa.subs", "fa.inferred")))
+    pairs = asked.join(held, "tag").filter(F.col("tag") == shared).drop("tag")
+    wanted, own, inferred = F.col("pa.subs"), F.col("fa.subs"), F.col("fa.inferred")
+    rescue = (F.size(inferred) > 0) & (
+        (F.size(own) < 2) | (F.size(F.array_intersect(wanted, own)) == 0)
+    )
+    df = pairs.withColumn("_rescued", rescue).withColumn(
+        "_tags", F.when(F.col("_rescued"), F.array_union(own, inferred)).otherwise(own)
+    )
+    df = df.withColumn("matched", F.sort_array(F.array_intersect(wanted, F.col("_tags"))))
+    hits = F.size("matched")
+    precision, recall = F.try_divide(hits, F.size(wanted)), F.try_divide(hits, F.size("_tags"))
+    base = round_to(precision * 0.7 + F.least(hits / 3.0, F.lit(1.0)) * 0.3, 4)
+    return df.select(
+        "panch",
+        "fanch",
+        F.when(F.col("_rescued"), "inferred").otherwise("matched").alias("status"),
+        "matched",
+        (base * narrowing(F.col("fa.focused"), F.col("pa.silent"), vocab)).alias("base"),
+        round_to(F.try_divide(2 * precision * recall, precision + recall), 4).alias("f1"),
+    )
+
+
+def pair_score(base: Column) -> Column:
+    return round_to(base * (0.60 + F.col("tier2") * 0.80) * F.col("confidence"), 4)
+
+
+def promising(
+    soft: DataFrame, profile_sigs: DataFrame, firm_sigs: DataFrame, anchors: DataFrame, top_n: int
+) -> DataFrame:
+    """Pairs of a profile signature and a firm's soft signature that may hold a ranked firm.
+
+    ``bound`` is the highest base any firm of the block can have for the profile, ``reached``
+    one that a firm of the block has for certain.
+    """
+    kind = firm_sigs.select(
+        "fsoft",
+        "fanch",
+        open_anchor(F.col("fa.subs"), F.col("fa.inferred"), F.col("fa.generalist")).alias("open"),
+        (~F.array_contains("fa.focused", True)).alias("plain"),
+    )
+    blocks = kind.groupBy("fsoft").agg(
+        F.max("open").alias("open"),
+        F.max(F.col("open") & F.col("plain")).alias("open_plain"),
+        F.max("plain").alias("plain"),
+    )
+    best = (
+        kind.select("fsoft", "fanch")
+        .join(anchors.select("panch", "fanch", "base"), "fanch")
+        .groupBy("fsoft", "panch")
+        .agg(F.max("base").alias("shared"))
+    )
+    pairs = (
+        soft.select("psoft", "fsoft", "tier2")
+        .join(blocks, "fsoft")
+        .join(profile_sigs.select("psig", "psoft", "panch", "confidence", (F.size("pa.subs") == 0).alias("silent")), "psoft")
+        .join(best, ["fsoft", "panch"], "left")
+    )
+    c = F.col
+    # Without tags every firm is without data to the profile, else the open ones are.
+    no_data = c("silent") | c("open")
+    no_data_plain = F.when(c("silent"), c("plain")).otherwise(c("open_plain"))
+    rest = F.when(no_data, F.when(no_data_plain, 1.0).otherwise(NARROWED) * BASE_NO_DATA).otherwise(
+        F.when(c("shared").isNotNull(), 0.0).otherwise(F.when(c("plain"), 1.0).otherwise(NARROWED) * BASE_MISMATCH)
+    )
+    ceiling = F.when(no_data, BASE_NO_DATA).otherwise(BASE_MISMATCH)
+    pairs = pairs.select(
+        "psig",
+        "psoft",
+        "fsoft",
+        pair_score(F.greatest(F.coalesce("shared", F.lit(0.0)), ceiling)).alias("bound"),
+        pair_score(F.greatest(F.coalesce("shared", F.lit(0.0)), rest)).alias("reached"),
+    )
+    pairs = cut_lineage(pairs)
+    best_reached = Window.partitionBy("psig").orderBy(F.desc("reached"))
+    threshold = (
+        pairs.withColumn("_r", F.row_number().over(best_reached))
+        .filter(F.col("_r") <= top_n)
+        .groupBy("psig")
+        .agg(F.when(F.count("*") == top_n, F.min("reached")).otherwise(0.0).alias("threshold"))
+    )
+    return pairs.join(threshold, "psig").filter("bound >= threshold").select("psig", "psoft", "fsoft", "threshold")
+
+
+def opened(
+    promised: DataFrame, soft: DataFrame, profile_sigs: DataFrame, firm_sigs: DataFrame, anchors: DataFrame, vocab: MatchVocab
+) -> DataFrame:
+    """Every firm signature of the promising blocks with its exact score."""
+    c = F.col
+    rows = (
+        promised.join(soft, ["psoft", "fsoft"])
+        .join(profile_sigs.select("psig", "panch", "pa", "confidence"), "psig")
+        .join(firm_sigs.select("fsig", "fsoft", "fanch", "fa", "min_ord"), "fsoft")
+        .join(anchors.withColumnRenamed("base", "_base"), ["panch", "fanch"], "left")
+    )
+    no_data = (F.size("pa.subs") == 0) | open_anchor(c("fa.subs"), c("fa.inferred"), c("fa.generalist"))
+    rest = F.when(no_data, BASE_NO_DATA).otherwise(BASE_MISMATCH)
+    rows = rows.withColumn(
+        "base", F.coalesce("_base", rest * narrowing(c("fa.focused"), c("pa.silent"), vocab))
+    ).withColumn("score", pair_score(c("base")))
+    status = F.when(no_data, "no_data").otherwise("confirmed_mismatch")
+    return (
+        rows.filter("score >= threshold")
+        .withColumn("status", F.coalesce("status", status))
+        .withColumn("matched", F.coalesce("matched", F.array().cast(STRINGS)))
+        .withColumn("f1", F.coalesce("f1", F.lit(0.0)))
+        .drop("psoft", "fsoft", "panch", "fanch", "pa", "fa", "_base", "threshold", "confidence")
     )
-    df = df.withColumn("base", F.col("base") * F.when(narrowed, 0.6).otherwise(1.0))
-    score = round_to(F.col("base") * (0.60 + F.col("tier2") * 0.80) * p("confidence"), 4)
-    return df.withColumn("score", score).withColumn("domain", p("domain")).drop("p", "f")
 
 
 def reasons_before_text() -> Column:
@@ -430,6 +565,99 @@ def reasons_before_text() -> Column:
     )
 
 
+def similarity(with_vectors: bool) -> Column:
+    """Scaled cosine where both sides have a vector, else the overlap of the words."""
+    words = X.overlap_score(F.col("profile_tokens"), F.col("firm_tokens"))
+    if not with_vectors:
+        return words
+    both = all_of([F.col("profile_vec").isNotNull(), F.col("firm_vec").isNotNull()])
+    return F.when(both, X.scaled_cosine(F.col("profile_vec"), F.col("firm_vec"))).otherwise(words)
+
+
+def scored_soft_pairs(people: DataFrame, offers: DataFrame, vocab: MatchVocab) -> DataFrame:
+    """The pairs of soft signatures that pass all gates, with their scores."""
+    asked = people.groupBy("psoft").agg(F.first("p").alias("p"))
+    offered = offers.groupBy("fsoft").agg(F.first("f").alias("f"))
+    return soft_scores(gates(blocked_pairs(asked, offered)), vocab)
+
+
+def semantic_stats(
+    profiles: DataFrame, firms: DataFrame, vocab: MatchVocab, firm_vectors: DataFrame, profile_vectors: DataFrame
+) -> DataFrame:
+    """Count, range, mean, median and zeros of the similarity of ALL scored pairs.
+
+    The similarity has four decimals, so one count per value (10,001 at most) holds everything
+    the statistics need; pairs are counted where they are made and never stored.
+    """
+    accepted, _ = split_profiles(profiles)
+    people = cut_lineage(profile_features(accepted, vocab))
+    offers = cut_lineage(firm_features(firms, vocab).select("firm_id", "fsoft", "f", "thesis_text"))
+    soft = cut_lineage(scored_soft_pairs(people, offers, vocab).select("psoft", "fsoft"))
+    asks = (
+        people.select("profile_id", "psoft")
+        .join(profiles.select("profile_id", "narrative_text"), "profile_id")
+        .join(profile_vectors.select("profile_id", F.col("vec").alias("profile_vec")), "profile_id", "left")
+        .select(
+            "psoft",
+            "profile_vec",
+            X.token_set(F.coalesce("narrative_text", F.lit("")), vocab.stopwords).alias("profile_tokens"),
+        )
+    )
+    held = offers.join(firm_vectors.select("firm_id", F.col("vec").alias("firm_vec")), "firm_id", "left").select(
+        "fsoft",
+        "firm_vec",
+        X.token_set(F.coalesce("thesis_text", F.lit("")), vocab.stopwords).alias("firm_tokens"),
+    )
+    # Rows that agree in all that is compared are one row with a count.
+    asks = cut_lineage(asks.groupBy(*asks.columns).agg(F.count("*").alias("np")))
+    held = cut_lineage(held.groupBy(*held.columns).agg(F.count("*").alias("nf")))
+    values = (
+        soft.join(asks, "psoft")
+        .join(held, "fsoft")
+        .groupBy(round_to(similarity(True), 4).alias("s"))
+        .agg(F.sum(F.col("np") * F.col("nf")).alias("n"))
+    )
+    values = cut_lineage(values)
+    up_to = Window.partitionBy().orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    placed = values.withColumn("_end", F.sum("n").over(up_to)).withColumn("_all", F.sum("n").over(Window.partitionBy()))
+    middle = (F.col("_all") - 1) / 2.0
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_end") - F.col("n")) & (rank < F.col("_end")), F.col("s")))
+
+    return placed.agg(
+        F.sum("n").alias("n"),
+        F.min("s").alias("min_sem"),
+        F.max("s").alias("max_sem"),
+        F.round(F.sum(F.col("s") * F.col("n")) / F.sum("n"), 3).alias("mean_sem"),
+        at(F.floor(middle)).alias("_lo"),
+        at(F.ceil(middle)).alias("_hi"),
+        F.coalesce(F.sum(F.when(F.col("s") == 0, F.col("n"))), F.lit(0)).alias("n_zero"),
+    ).select(
+        "n", "min_sem", "max_sem", "mean_sem", F.round((F.col("_lo") + F.col("_hi")) / 2, 4).alias("median_sem"), "n_zero"
+    )
+
+
+def best_signatures(people: DataFrame, offers: DataFrame, vocab: MatchVocab, top_n: int) -> DataFrame:
+    """Per profile signature the best ``top_n`` firm signatures: those of its best firms."""
+    firm_sigs = cut_lineage(
+        offers.groupBy("fsig", "fsoft", "fanch").agg(F.first("fa").alias("fa"), F.min("ord").alias("min_ord"))
+    )
+    profile_sigs = cut_lineage(people.groupBy("psig", "psoft", "panch", "confidence").agg(F.first("pa").alias("pa")))
+    soft = cut_lineage(scored_soft_pairs(people, offers, vocab))
+    anchors = cut_lineage(
+        anchor_pairs(
+            profile_sigs.groupBy("panch").agg(F.first("pa").alias("pa")),
+            firm_sigs.groupBy("fanch").agg(F.first("fa").alias("fa")),
+            vocab,
+        )
+    )
+    promised = promising(soft, profile_sigs, firm_sigs, anchors, top_n)
+    rows = opened(promised, soft, profile_sigs, firm_sigs, anchors, vocab)
+    best = Window.partitionBy("psig").orderBy(F.desc("score"), F.asc("min_ord"))
+    return rows.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= top_n).drop("_r", "min_ord")
+
+
 def match(
     profiles: DataFrame,
     firms: DataFrame,
@@ -442,38 +670,22 @@ def match(
     """Top ``top_n`` firms per profile, best score first, input order on ties."""
     # Features are stored once: they feed several branches, and the later plan then
     # starts from plain columns instead of the text rules behind them.
-    people = cut_lineage(profile_features(profiles, vocab))
+    accepted, _ = split_profiles(profiles)
+    people = cut_lineage(profile_features(accepted, vocab))
     offers = cut_lineage(
-        firm_features(firms, vocab).select("fsig", "f", "firm_id", "ord", "thesis_text", *show)
+        firm_features(firms, vocab).select("fsig", "fsoft", "fanch", "f", "fa", "firm_id", "ord")
     )
+    ranked = best_signatures(people, offers, vocab, top_n)
 
     # The first top_n firms of a signature; the partial group limit cuts hot
     # signatures before the shuffle.
     in_sig = Window.partitionBy("fsig").orderBy("ord")
     candidates = (
-        offers.select("fsig", "firm_id", "ord", "thesis_text", *show)
+        offers.select("fsig", "firm_id", "ord")
         .withColumn("_r", F.row_number().over(in_sig))
         .filter(F.col("_r") <= top_n)
         .drop("_r")
     )
-    firm_sigs = cut_lineage(
-        offers.groupBy("fsig").agg(F.first("f").alias("f"), F.min("ord").alias("min_ord"))
-    )
-    profile_sigs = cut_lineage(people.groupBy("psig").agg(F.first("p").alias("p")))
-
-    ranked = scored(gates(blocked_pairs(profile_sigs, firm_sigs)), vocab)
-    # A firm among the best top_n has a signature among the best top_n signatures.
-    best_sigs = Window.partitionBy("psig").orderBy(F.desc("score"), F.asc("min_ord"))
-    ranked = (
-        ranked.withColumn("_r", F.row_number().over(best_sigs)).filter(F.col("_r") <= top_n).drop("_r", "min_ord")
-    )
-    if firm_vectors is not None:
-        candidates = candidates.join(
-            firm_vectors.select("firm_id", F.col("vec").alias("firm_vec")), "firm_id", "left"
-        )
-    candidates = candidates.withColumn(
-        "firm_tokens", X.token_set(F.coalesce("thesis_text", F.lit("")), vocab.stopwords)
-    ).drop("thesis_text")
     best_rows = Window.partitionBy("psig").orderBy(F.desc("score"), F.asc("ord"))
     placed = (
         ranked.join(candidates, "fsig")
@@ -483,6 +695,18 @@ def match(
         .withColumn("intent_domain", F.get(str_array([d.name for d in vocab.domains]), F.col("domain")))
         .drop("domain", "fsig")
     )
+    # Texts and vectors meet the ranked firms only.
+    shown = firms.select(
+        "firm_id",
+        "ord",
+        *show,
+        X.token_set(F.coalesce("thesis_text", F.lit("")), vocab.stopwords).alias("firm_tokens"),
+    )
+    placed = placed.join(shown, ["firm_id", "ord"])
+    if firm_vectors is not None:
+        placed = placed.join(
+            firm_vectors.select("firm_id", F.col("vec").alias("firm_vec")), "firm_id", "left"
+        )
     asks = people.select("profile_id", "psig").join(
         profiles.select(
             "profile_id",
@@ -495,13 +719,7 @@ def match(
             profile_vectors.select("profile_id", F.col("vec").alias("profile_vec")), "profile_id", "left"
         )
     out = asks.join(placed, "psig").drop("psig")
-    words = X.overlap_score(F.col("profile_tokens"), F.col("firm_tokens"))
-    if firm_vectors is not None and profile_vectors is not None:
-        both = all_of([F.col("profile_vec").isNotNull(), F.col("firm_vec").isNotNull()])
-        similar = F.when(both, X.scaled_cosine(F.col("profile_vec"), F.col("firm_vec"))).otherwise(words)
-    else:
-        similar = words
-    out = out.withColumn("_sem", similar)
+    out = out.withColumn("_sem", similarity(firm_vectors is not None and profile_vectors is not None))
     thesis = F.concat(
         F.lit("thesis alignment ("), F.format_string("%.0f", F.bround(F.col("_sem") * 100, 0)), F.lit("%)")
     )

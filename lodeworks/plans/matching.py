@@ -258,7 +258,7 @@ def matches(spark, sf, top_n=15):
 
 @query(
     "match_top",
-    "J1 J2 J10 W8 M1-M23",
+    "J1 J2 J10 W8 M1-M22",
     MATCH_SQL
     + """ select pid as profile_id, rank, fid as firm_id, p_name, score, round(tier2, 4) as tier2_score, round(sem, 4) as semantic_score, round(sector, 4) as sector_score,
      f1 as sub_bonus, round(base, 4) as sub_f1_base, array_to_string(case when status in ('matched', 'inferred') then hit else [] end, ',') as tags, status, round(0.60::double + tier2 * 0.80::double, 4) as tier2_mod,
@@ -307,17 +307,39 @@ def match_reasons(spark, sf):
 @query(
     "match_score_stats",
     "A17",
-    MATCH_SQL
-    + """ select count(*) as n, min(round(sem, 3)) as min_sem, max(round(sem, 3)) as max_sem, count(*) filter (where round(sem, 3) = 0) as n_zero, round(avg(score), 3) as mean_score from l""",
+    MATCH_SQL.replace(" qualify rank <= 15", "")
+    + """, v as (select round(sem, 4) as s from l)
+     select count(*) as n, min(s) as min_sem, max(s) as max_sem, round(avg(s), 3) as mean_sem, round(quantile_cont(s, 0.5), 4) as median_sem, count(*) filter (where s = 0) as n_zero from v""",
 )
 def match_score_stats(spark, sf):
-    sem = F.round("semantic_score", 3)
-    return matches(spark, sf).agg(
-        F.count("*").alias("n"),
-        F.min(sem).alias("min_sem"),
-        F.max(sem).alias("max_sem"),
-        F.count_if(sem == 0).alias("n_zero"),
-        F.round(F.avg("score"), 3).alias("mean_score"),
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return M.semantic_stats(
+        profiles(spark, sf),
+        firms(spark, sf),
+        VOCAB,
+        firm_vectors=vectors.withColumnRenamed("vec_id", "firm_id"),
+        profile_vectors=vectors.withColumnRenamed("vec_id", "profile_id"),
+    )
+
+
+def unchecked_profiles(spark, sf):
+    """Profiles as they come in: some lack the structured form, some the tags, some both."""
+    kind = F.col("profile_id") % 7
+    return profiles(spark, sf).select(
+        *[c for c in profiles(spark, sf).columns if c not in ("has_profile", "sub_sector_tags")],
+        F.when(kind == 0, F.lit(None).cast("boolean")).otherwise(kind % 2 == 0).alias("has_profile"),
+        F.when(kind.isin(0, 1, 2), F.lit(None)).otherwise(F.col("sub_sector_tags")).alias("sub_sector_tags"),
     )
 
 
+@query(
+    "profile_lanes",
+    "M23",
+    """select c_custkey as profile_id, case when c_custkey % 7 in (0, 1) then 'refused' else 'accepted' end as lane,
+         case when c_custkey % 7 in (0, 1) then 'neither profile nor sub_sector_tags' end as reason from customer""",
+)
+def profile_lanes(spark, sf):
+    accepted, refused = M.split_profiles(unchecked_profiles(spark, sf))
+    return accepted.select(
+        "profile_id", F.lit("accepted").alias("lane"), F.lit(None).cast("string").alias("reason")
+    ).unionByName(refused.select("profile_id", F.lit("refused").alias("lane"), "reason"))

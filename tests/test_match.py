@@ -1,6 +1,7 @@
 """The matcher: hand-computed rows, and blocked against plain pairing."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodeworks.operators import match as M
 from lodeworks.plans import matching
@@ -122,6 +123,63 @@ def test_shuffled_path_equals_broadcast_path(spark, monkeypatch):
     assert result() == want
 
 
+def test_pruning_loses_no_row_and_opens_few_pairs(spark, monkeypatch):
+    """Without the threshold every gated pair is opened; the ranking stays the same."""
+    counts = {}
+
+    def counted(name, threshold):
+        pruned, opened = M.promising, M.opened
+
+        def promised(soft, profile_sigs, firm_sigs, anchors, top_n):
+            if threshold:
+                return pruned(soft, profile_sigs, firm_sigs, anchors, top_n)
+            pairs = soft.select("psoft", "fsoft").join(profile_sigs.select("psig", "psoft"), "psoft")
+            return pairs.withColumn("threshold", F.lit(0.0))
+
+        def rows(*args):
+            out = opened(*args)
+            counts[name] = out.count()
+            return out
+
+        with monkeypatch.context() as m:
+            m.setattr(M, "promising", promised)
+            m.setattr(M, "opened", rows)
+            found = matching.match_top(spark, "/root/testdata/sf0.001")
+            return sorted(map(tuple, found.select("profile_id", "rank", "firm_id", "score").collect()))
+
+    assert counted("pruned", True) == counted("all", False)
+    assert 2 * counts["pruned"] < counts["all"]
+
+
+def test_profile_without_either_form_is_refused(spark):
+    rows = [
+        PROFILE,
+        {**PROFILE, "profile_id": "flat", "has_profile": False},
+        {**PROFILE, "profile_id": "raw", "has_profile": None, "sub_sector_tags": None},
+        {**PROFILE, "profile_id": "untagged", "sub_sector_tags": None},
+    ]
+    assert {k[0] for k in run(spark, [FIRM], rows)} == {"P", "flat", "untagged"}
+    df = spark.createDataFrame([tuple(p.values()) for p in rows], PROFILE_DDL)
+    accepted, refused = M.split_profiles(df)
+    assert accepted.count() == 3 and [(r.profile_id, r.reason) for r in refused.collect()] == [
+        ("raw", "neither profile nor sub_sector_tags")
+    ]
+
+
+def test_narrowed_firms_rank_below_wide_ones(spark):
+    """An indication the profile is silent on costs 0.6 of the base, for tagged and untagged firms."""
+    vocab = M.MatchVocab(indications={"x": ["xray", "xenon"]})
+    firms = [
+        {**FIRM, "firm_id": f"{tags}{text}", "ord": i, "sub_tags": ["s1"] if tags == "tag" else [], "thesis_text": t}
+        for i, (tags, text, t) in enumerate(
+            [("tag", "narrow", "xray xenon"), ("tag", "wide", "xray"), ("no", "narrow", "xray xenon"), ("no", "wide", None)]
+        )
+    ]
+    for top in (1, 2, 3, 4):
+        got = sorted(run(spark, firms, vocab=vocab, top_n=top).values(), key=lambda r: r["rank"])
+        assert [r.firm_id for r in got] == ["tagwide", "nowide", "tagnarrow", "nonarrow"][:top]
+
+
 def _salted(a, b, keys, spread_on, condition):
     from lodeworks.operators.skew import salted_join
 
