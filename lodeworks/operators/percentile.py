@@ -1,4 +1,13 @@
-"""Exact interpolated percentiles that never gather a column in one task."""
+"""Exact interpolated percentiles that never gather a column, or a narrow range of it, in one task.
+
+Ranges that hold a wanted rank are split again and again: first by sign, exponent and two
+leading digits (about ninety buckets a factor of ten, the same for all data), then evenly
+between the least and the largest value found in the bucket. A pass counts rows per bucket,
+combined on the map side, and goes on only with buckets that hold a wanted rank, more than
+``FINAL_ROWS`` rows and more than one value. What is left is a few small ranges, whose
+values are counted and ranked. A pass divides a range by ``SPLITS``, so a column of doubles
+needs five at most, however close its values lie.
+"""
 
 from __future__ import annotations
 
@@ -7,45 +16,75 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeworks.session import cut_lineage
+
+SPLITS = 1024
+# Rows a range may hold when its values are ranked in one task.
+FINAL_ROWS = 100_000
+# Groups whose ranges (two per probability at most) are broadcast; more are joined by key.
+BROADCAST_GROUPS = 20_000
 
-def radix_bucket(value: Column) -> Column:
-    """Order-preserving bucket: sign, decimal exponent and four leading digits.
 
-    The bucket needs no knowledge of the data, so one row is placed the same way
-    in every pass; there are about 9,000 buckets per factor of ten.
-    """
+def radix_bucket(value: Column) -> Column:
+    """Order-preserving bucket: sign, decimal exponent and two leading digits."""
     size = F.abs(value)
     exponent = F.floor(F.log10(size))
-    lead = F.floor(size / F.pow(F.lit(10.0), exponent - 3))
-    code = (exponent + 400) * 10000 + lead
+    lead = F.floor(size / F.pow(F.lit(10.0), exponent - 1))
+    code = (exponent + 400) * 100 + lead
     return F.when(value == 0, F.lit(0)).otherwise((F.signum(value) * code).cast("bigint"))
 
 
+def _with_ranks(buckets: DataFrame, by: list[str], parent: list[str], wanted: Column) -> DataFrame:
+    """Buckets that hold a wanted rank, with the rows before them and their wanted ranks."""
+    run = Window.partitionBy(*by, *parent).orderBy("_lo")
+    placed = buckets.withColumn("_before", F.col("_start") + F.sum("_n").over(run) - F.col("_n"))
+
+    def inside(w: Column) -> Column:
+        end = F.col("_before") + F.col("_n")
+        return ((w["lo"] >= F.col("_before")) & (w["lo"] < end)) | (
+            (w["hi"] >= F.col("_before")) & (w["hi"] < end)
+        )
+
+    kept = placed.withColumn("_want", F.filter(wanted, inside)).filter(F.size("_want") > 0)
+    return kept.select(*by, F.col("_before").alias("_start"), "_n", "_lo", "_hi", "_want")
+
+
+def _in_ranges(data: DataFrame, ranges: DataFrame, by: list[str], groups: int, most: int) -> DataFrame:
+    """The rows of ``data`` that lie in a range of their group, with that range."""
+    listed = ranges.groupBy(*by).agg(F.collect_list(F.struct("_lo", "_hi", "_start")).alias("_ranges"))
+    if groups <= BROADCAST_GROUPS:
+        listed = F.broadcast(listed)
+    # A group has two ranges per probability at most.
+    each = [F.get("_ranges", F.lit(i)) for i in range(most)]
+    holding = [F.when((F.col("_v") >= r["_lo"]) & (F.col("_v") <= r["_hi"]), r) for r in each]
+    return (
+        data.join(listed, by)
+        .withColumn("_range", F.coalesce(*holding))
+        .filter(F.col("_range").isNotNull())
+        .select(*by, "_v", "_range")
+    )
+
+
 def exact_percentiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), final_rows: int = FINAL_ROWS
 ) -> DataFrame:
-    """Columns: ``by``, ``p``, ``percentile`` with linear interpolation.
-
-    Pass one counts rows per radix bucket and finds the few buckets that hold a
-    wanted rank. Pass two counts distinct values in those buckets only, and picks
-    the ranks by a running count inside each bucket.
-    """
-    by = list(by)
-    data = (
-        df.select(*by, F.col(value).cast("double").alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .withColumn("_b", radix_bucket(F.col("_v")))
-    )
-    hist = data.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    run = Window.partitionBy(*by).orderBy("_b")
-    whole = Window.partitionBy(*by)
-    hist = hist.select(
-        *by,
-        "_b",
-        (F.sum("_n").over(run) - F.col("_n")).alias("_start"),
-        F.sum("_n").over(run).alias("_end"),
-        F.sum("_n").over(whole).alias("_total"),
+    """Columns: ``by``, ``p``, ``percentile`` with linear interpolation; null values take no part."""
+    single = not by
+    by = list(by) or ["_all"]
+    given = df.withColumn("_all", F.lit(0)) if single else df
+    data = given.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    # A group is matched by equality, so a null group gets a key that is not null.
+    keys = [f"_k{i}" for i in range(len(by))]
+    names = [F.coalesce(F.col(b).cast("string"), F.lit("")) for b in by]
+    nulls = F.concat(*[F.when(F.col(b).isNull(), "0").otherwise("1") for b in by])
+    data = data.select(*by, *[n.alias(k) for n, k in zip(names, keys, strict=True)], nulls.alias("_kn"), "_v")
+    keys.append("_kn")
+
+    counted = [F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    first = data.groupBy(*keys, radix_bucket(F.col("_v")).alias("_b")).agg(
+        *counted, *[F.first(b).alias(b) for b in by]
     )
+    total = F.sum("_n").over(Window.partitionBy(*keys))
     wanted = F.array(
         *[
             F.struct(
@@ -57,43 +96,51 @@ def exact_percentiles(
             for p in probs
         ]
     )
-
-    def inside(w: Column) -> Column:
-        return ((w["lo"] >= F.col("_start")) & (w["lo"] < F.col("_end"))) | (
-            (w["hi"] >= F.col("_start")) & (w["hi"] < F.col("_end"))
+    buckets = cut_lineage(first.withColumn("_total", total).withColumn("_start", F.lit(0)))
+    labels = buckets.groupBy(*keys).agg(*[F.first(b).alias(b) for b in by])
+    groups = labels.count()
+    spots = cut_lineage(_with_ranks(buckets, keys, [], wanted))
+    rows = data.select(*keys, "_v")
+    while True:
+        split = (F.col("_n") > final_rows) & (F.col("_lo") < F.col("_hi"))
+        wide = spots.filter(split)
+        if wide.isEmpty():
+            break
+        at = F.floor((F.col("_v") - F.col("_range._lo")) / (F.col("_range._hi") - F.col("_range._lo")) * SPLITS)
+        parts = (
+            _in_ranges(rows, wide, keys, groups, 2 * len(probs))
+            .groupBy(*keys, F.col("_range._start").alias("_start"), F.least(at, F.lit(SPLITS - 1)).alias("_b"))
+            .agg(*counted)
+            .join(wide.select(*keys, "_start", "_want"), [*keys, "_start"])
         )
-
-    picks = hist.withColumn("_want", F.filter(wanted, inside)).filter(F.size("_want") > 0)
-    picks = picks.select(*by, "_b", "_start", "_want")
-    # Without groups there are at most two buckets per probability.
-    near = data.join(picks if by else F.broadcast(picks.select("_b")), [*by, "_b"], "left_semi")
-    counts = near.groupBy(*by, "_b", "_v").agg(F.count("*").alias("_c"))
-    inner = Window.partitionBy(*by, "_b").orderBy("_v")
-    placed = (
-        counts.withColumn("_cum", F.sum("_c").over(inner))
-        .join(picks if by else F.broadcast(picks), [*by, "_b"])
-        .select(
-            *by,
-            "_v",
-            (F.col("_start") + F.col("_cum") - F.col("_c")).alias("_s"),
-            (F.col("_start") + F.col("_cum")).alias("_e"),
-            F.explode("_want").alias("w"),
+        spots = cut_lineage(
+            spots.filter(~split).unionByName(_with_ranks(parts, keys, ["_start"], F.col("_want")))
         )
+    values = (
+        _in_ranges(rows, spots, keys, groups, 2 * len(probs))
+        .groupBy(*keys, F.col("_range._start").alias("_start"), "_v")
+        .agg(F.count("*").alias("_c"))
+    )
+    run = Window.partitionBy(*keys, "_start").orderBy("_v")
+    placed = (
+        values.withColumn("_e", F.col("_start") + F.sum("_c").over(run))
+        .join(spots.select(*keys, "_start", "_want"), [*keys, "_start"])
+        .select(*keys, "_v", (F.col("_e") - F.col("_c")).alias("_s"), "_e", F.explode("_want").alias("w"))
     )
 
     def at_rank(field: str) -> Column:
-        return F.max(
-            F.when((F.col(f"w.{field}") >= F.col("_s")) & (F.col(f"w.{field}") < F.col("_e")), F.col("_v"))
-        )
+        rank = F.col(f"w.{field}")
+        return F.max(F.when((rank >= F.col("_s")) & (rank < F.col("_e")), F.col("_v")))
 
-    found = placed.groupBy(*by, F.col("w.p").alias("p")).agg(
-        at_rank("lo").alias("_lo"),
-        at_rank("hi").alias("_hi"),
+    found = placed.groupBy(*keys, F.col("w.p").alias("p")).agg(
+        at_rank("lo").alias("_vlo"),
+        at_rank("hi").alias("_vhi"),
         F.max(F.col("w.pos") - F.col("w.lo")).alias("_frac"),
     )
-    return found.select(
-        *by, "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("percentile")
+    out = found.join(labels, keys).select(
+        *by, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("percentile")
     )
+    return out.drop("_all") if single else out
 
 
 def percentile_columns(

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.operators import dedup, fuzzy, skew
+from lodeworks.operators import dedup, fuzzy, percentile, skew
 from lodeworks.operators.percentile import exact_percentiles
 from lodeworks.operators.ranking import rank_by_ranges
 from lodeworks.session import shared_dir
@@ -130,6 +130,36 @@ def test_exact_percentiles(spark, values):
         assert got[p] == pytest.approx(float(np.quantile(values, p)), rel=1e-12)
 
 
+def test_exact_percentiles_of_a_million_values_in_one_bucket(spark, monkeypatch):
+    """All values share sign, exponent and leading digits; no range is ranked with many rows."""
+    ranked = []
+    whole = percentile._in_ranges
+
+    def counted(data, ranges, *rest):
+        ranked.append(ranges.agg(F.max("_n")).first()[0])
+        return whole(data, ranges, *rest)
+
+    monkeypatch.setattr(percentile, "_in_ranges", counted)
+    df = spark.range(1_000_000).select((F.lit(5.0) + ((F.col("id") * 7919) % 1_000_000) * 1e-9).alias("v"))
+    probs = [0.0, 0.1, 0.5, 0.999, 1.0]
+    got = {r.p: r.percentile for r in exact_percentiles(df, "v", probs, final_rows=500).collect()}
+    values = 5.0 + np.arange(1_000_000) * 1e-9
+    for p in probs:
+        assert got[p] == pytest.approx(float(np.quantile(values, p)), rel=1e-13)
+    assert ranked[0] == 1_000_000 and ranked[-1] <= 500 and len(ranked) <= 5
+
+
+def test_exact_percentiles_of_hot_and_null_groups(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["hot", "hot", None, "", "a"]), rnd.choice([rnd.gauss(0, 1), -3.5, 0.0, rnd.random() * 1e-9])) for _ in range(4000)]
+    df = spark.createDataFrame([*rows, ("none", None)], "g string, v double").repartition(5)
+    got = {(r.g, r.p): r.percentile for r in exact_percentiles(df, "v", [0.05, 0.5, 0.9], ["g"], final_rows=20).collect()}
+    assert {g for g, _ in got} == {"hot", None, "", "a"}
+    for (g, p), value in got.items():
+        want = float(np.quantile([v for k, v in rows if k == g], p))
+        assert value == pytest.approx(want, rel=1e-12, abs=1e-18)
+
+
 def test_exact_percentiles_by_group(spark):
     rows = [(g, float(i * g)) for g in (1, 2, 3) for i in range(11)]
     df = spark.createDataFrame(rows, "g int, v double")
