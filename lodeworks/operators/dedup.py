@@ -25,47 +25,80 @@ def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return keep_best(df, [key], [F.asc(order)])
 
 
+def settle_chains(pointers: DataFrame, key: str) -> DataFrame:
+    """``key, kept`` of the rows whose chain of deciders ends in a row that is kept for certain.
+
+    ``pointers``: ``key``, ``to`` (the one earlier row that decides it, null: none, it is kept);
+    rows with two open deciders are not listed, and chains that end in one stay open. A row is
+    kept if its decider is not, so a chain alternates from its end. Every pass doubles the
+    distance a row looks along its chain: a chain of n rows takes log2(n) passes.
+    """
+    state = cut_lineage(pointers.select(key, "to", F.lit(False).alias("odd")))
+    while True:
+        ahead = state.filter(F.col("to").isNotNull())
+        if ahead.isEmpty():
+            break
+        step = state.select(F.col(key).alias("to"), F.col("to").alias("_to"), F.col("odd").alias("_odd"))
+        moved = ahead.join(step, "to").select(
+            key, F.col("_to").alias("to"), (F.col("odd") == F.col("_odd")).alias("odd")
+        )
+        state = cut_lineage(state.filter(F.col("to").isNull()).unionByName(moved))
+    # The end of a chain is kept; a row an odd number of steps away is not.
+    return state.select(key, (~F.col("odd")).alias("kept"))
+
+
+def _first_two(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """The first two rows of each group, with the first one's order; a task sends two at most."""
+    w = Window.partitionBy(group).orderBy(order)
+    return (
+        rows.filter(F.col(group).isNotNull())
+        .withColumn("_n", F.row_number().over(w))
+        .filter(F.col("_n") <= 2)
+        .withColumn("_head", F.first(order).over(w))
+        .select(order, "_n", "_head")
+    )
+
+
 def greedy_by_keys(df: DataFrame, order: str, first_key: str, second_key: str) -> DataFrame:
     """Greedy first-wins removal where sharing either key is a conflict.
 
     A row stays when no earlier kept row shares its first key (null counts as the empty
     text) or its second key (null and empty share with nobody); a dropped row cannot drop
-    others. Rows are first folded to one per
-    key pair (a later copy of a pair always loses). Then, in rounds (as many as the longest
-    chain of rows that decide one another), every row
-    that is the earliest undecided one under both its keys is kept, and all rows
-    sharing a key with it are dropped. No pair of rows is ever built: each round
-    compares a row with the earliest row of its keys.
+    others. Rows that tie in ``order`` follow one another by their keys; of rows that agree in
+    all three one stays. Rows are first folded to one per key pair (a later copy always loses).
+    Then, in rounds: a row that is first under both its keys is kept; a row that is first under
+    one and second under the other is kept if that other key's first row is not, which
+    ``settle_chains`` follows along whole chains of such rows; and all rows that share a key with
+    a kept one are dropped. A chain, however long, takes one round; rounds count only
+    how often rows with two open deciders follow one another. No pair of rows is ever built.
     """
     first = F.coalesce(F.col(first_key).cast("string"), F.lit(""))
     second = F.nullif(F.col(second_key).cast("string"), F.lit(""))
-    first_key, second_key = "_first", "_second"
+    first_key, second_key, given, order = "_first", "_second", order, "_at"
+    place = F.struct(F.col(given).alias("o"), first.alias("a"), F.coalesce(second, F.lit("")).alias("b"))
     undecided = cut_lineage(
-        df.select(first.alias(first_key), second.alias(second_key), order)
+        df.select(first.alias(first_key), second.alias(second_key), place.alias(order))
         .groupBy(first_key, second_key)
         .agg(F.min(order).alias(order))
     )
     kept = None
-    while True:
-        earliest1 = undecided.groupBy(first_key).agg(F.min(order).alias("_m1"))
-        earliest2 = (
-            undecided.filter(F.col(second_key).isNotNull())
-            .groupBy(second_key)
-            .agg(F.min(order).alias("_m2"))
+    while not undecided.isEmpty():
+        one = _first_two(undecided, first_key, order).withColumnsRenamed({"_n": "_n1", "_head": "_h1"})
+        two = _first_two(undecided, second_key, order).withColumnsRenamed({"_n": "_n2", "_head": "_h2"})
+        alone = undecided.filter(F.col(second_key).isNull()).select(
+            order, F.lit(1).alias("_n2"), F.col(order).alias("_h2")
         )
-        # Join each key's earliest row to the other key's earliest row: one row
-        # per key on both sides, so no key is hot here.
-        heads = (
-            undecided.join(earliest1.select(F.col("_m1").alias(order)), order, "left_semi")
-            .join(earliest2, second_key, "left")
-            .filter(F.col(second_key).isNull() | (F.col(order) == F.col("_m2")))
-            .select(order, first_key, second_key)
+        heads = one.join(two.unionByName(alone), order)
+        # Rows that are second twice, or deeper under a key, have two deciders or more.
+        pointers = heads.filter(F.col("_n1") + F.col("_n2") < 4).select(
+            order, F.when(F.col("_n1") == 2, F.col("_h1")).when(F.col("_n2") == 2, F.col("_h2")).alias("to")
         )
-        heads = cut_lineage(heads)
-        kept = heads if kept is None else kept.unionByName(heads)
-        gone1 = heads.select(first_key).distinct().withColumn("_g1", F.lit(True))
+        stay = settle_chains(pointers, order).filter("kept").select(order)
+        stay = cut_lineage(undecided.join(stay, order))
+        kept = stay.select(order) if kept is None else kept.unionByName(stay.select(order))
+        gone1 = stay.select(first_key).distinct().withColumn("_g1", F.lit(True))
         gone2 = (
-            heads.select(second_key)
+            stay.select(second_key)
             .filter(F.col(second_key).isNotNull())
             .distinct()
             .withColumn("_g2", F.lit(True))
@@ -73,26 +106,35 @@ def greedy_by_keys(df: DataFrame, order: str, first_key: str, second_key: str) -
         left = keyed_lookup(undecided, gone1, first_key).filter(F.col("_g1").isNull()).drop("_g1")
         left = keyed_lookup(left, gone2, second_key).filter(F.col("_g2").isNull()).drop("_g2")
         undecided = cut_lineage(left.select(first_key, second_key, order))
-        if undecided.isEmpty():
-            break
-    return df.join(kept.select(order), order, "left_semi")
+    if kept is None:
+        return df
+    return df.withColumn(order, place).join(kept, order, "left_semi").dropDuplicates([order]).drop(order)
 
 
 def greedy_by_edges(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """Greedy first-wins removal on a conflict edge table (earlier, later).
 
-    In rounds: a node that is never the later end is kept, its later partners are
-    dropped, and edges touching either are removed, until no edge is left.
+    In rounds: a node that is never the later end is kept; a node that is the later end of one
+    edge is kept if its partner is not, along whole chains (``settle_chains``); the later
+    partners of kept nodes are dropped, and edges touching a decided node are removed.
     """
     edges = cut_lineage(edges.select("earlier", "later").distinct())
     dropped = None
     while not edges.isEmpty():
-        later = edges.select(F.col("later").alias("earlier")).distinct()
-        roots = edges.select("earlier").distinct().join(later, "earlier", "left_anti")
-        gone = cut_lineage(edges.join(roots, "earlier", "left_semi").select("later").distinct())
+        into = edges.groupBy(F.col("later").alias("n")).agg(F.min("earlier").alias("to"), F.count("*").alias("open"))
+        roots = edges.select(F.col("earlier").alias("n")).distinct().join(into.select("n"), "n", "left_anti")
+        pointers = (
+            into.filter("open = 1")
+            .select("n", "to")
+            .unionByName(roots.select("n", F.lit(None).cast(edges.schema["later"].dataType).alias("to")))
+        )
+        stay = settle_chains(pointers, "n").filter("kept").select(F.col("n").alias("earlier"))
+        stay = cut_lineage(stay)
+        gone = cut_lineage(edges.join(stay, "earlier", "left_semi").select("later").distinct())
         dropped = gone if dropped is None else dropped.unionByName(gone)
         edges = cut_lineage(
-            edges.join(roots, "earlier", "left_anti")
+            edges.join(stay, "earlier", "left_anti")
+            .join(stay.select(F.col("earlier").alias("later")), "later", "left_anti")
             .join(gone.select(F.col("later").alias("earlier")), "earlier", "left_anti")
             .join(gone, "later", "left_anti")
         )

@@ -425,7 +425,19 @@ def keep_best_normalised_key(spark, sf):
     return D.keep_best(keyed, ["k", "st"], [F.desc("n_chars"), F.asc("doc_id")]).select("doc_id", "st")
 
 
-@query("greedy_name_or_url", "W4")
+@query(
+    "greedy_name_or_url",
+    "W4",
+    """with recursive t as (select distinct l_orderkey * 10 + l_linenumber as ord, coalesce(cast(l_partkey as varchar), '') as name,
+         case when l_suppkey > 3 then cast(l_suppkey as varchar) || '/' || strftime(l_shipdate, '%Y-%m-%d') end as url from lineitem),
+       r(ord, name, url, kept) as (select ord, name, url, false from t union all
+         select ord, name, url, root from (select *, max(root) over (partition by name) as by_name,
+             max(root and url is not null) over (partition by url) and url is not null as by_url
+           from (select ord, name, url, row_number() over (partition by name order by ord, url nulls first) = 1
+               and (url is null or row_number() over (partition by url order by ord, name) = 1) as root
+             from r where not kept)) where root or not (by_name or by_url))
+       select ord, name, url from r where kept""",
+)
 def greedy_name_or_url(spark, sf):
     rows = table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
@@ -435,7 +447,16 @@ def greedy_name_or_url(spark, sf):
     return D.greedy_by_keys(rows, "ord", "name", "url")
 
 
-@query("greedy_fuzzy_names", "W4 J7")
+@query(
+    "greedy_fuzzy_names",
+    "W4 J7",
+    f"""with n as (select nm, min(ord) as ord from {LINE_NAMES} group by 1),
+       l as (select list({{'nm': nm, 'ord': ord}} order by ord) as rows from n),
+       k as (select list_reduce(rows, lambda kept, x: case when len(list_filter(kept, lambda y: left(y.nm, 4) = left(x[1].nm, 4)
+             and abs(length(y.nm) - length(x[1].nm)) <= 8 and {SIM.format("y.nm", "x[1].nm")} > 0.88)) > 0 then kept else list_concat(kept, x) end,
+           cast([] as struct(nm varchar, ord bigint)[])) as kept from (select list_transform(rows, lambda r: [r]) as rows from l))
+       select unnest(kept).nm as nm, unnest(kept).ord as ord from k""",
+)
 def greedy_fuzzy_names(spark, sf):
     names = line_names(spark, sf).select("nm", "ord")
     nodes, edges = Z.conflict_edges(names, "nm", "ord", 0.88, same_prefix=4, max_length_gap=8)

@@ -61,6 +61,40 @@ def test_greedy_by_edges_chain(spark):
     assert got == [0, 2, 4, 5]
 
 
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """Rows that decide one another in a chain of 10,000 are settled by doubling."""
+    cuts = []
+    cut = dedup.cut_lineage
+    monkeypatch.setattr(dedup, "cut_lineage", lambda df: cuts.append(0) or cut(df))
+    n = 10_000
+    rows = spark.range(n).select(
+        F.col("id").alias("ord"),
+        F.concat(F.lit("n"), F.floor((F.col("id") + 1) / 2)).alias("name"),
+        F.concat(F.lit("u"), F.floor(F.col("id") / 2)).alias("url"),
+    )
+    got = sorted(r.ord for r in dedup.greedy_by_keys(rows, "ord", "name", "url").select("ord").collect())
+    assert got == list(range(0, n, 2)) and len(cuts) <= 30
+    cuts.clear()
+    nodes = spark.range(n).withColumnRenamed("id", "ord")
+    edges = nodes.filter("ord > 0").select((F.col("ord") - 1).alias("earlier"), F.col("ord").alias("later"))
+    got = sorted(r.ord for r in dedup.greedy_by_edges(nodes, edges, "ord").collect())
+    assert got == list(range(0, n, 2)) and len(cuts) <= 30
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_by_edges_random(spark, seed):
+    rnd = random.Random(seed)
+    edges = sorted({tuple(sorted(rnd.sample(range(120), 2))) for _ in range([60, 130, 400][seed])})
+    dropped = set()
+    for i in range(120):
+        if any(b == i and a not in dropped for a, b in edges):
+            dropped.add(i)
+    nodes = spark.range(120).withColumnRenamed("id", "ord")
+    df = spark.createDataFrame(edges, "earlier long, later long")
+    got = {r.ord for r in dedup.greedy_by_edges(nodes, df, "ord").collect()}
+    assert got == set(range(120)) - dropped
+
+
 def names(seed, n=140):
     rnd = random.Random(seed)
     words = ["blue", "oak", "capital", "river", "partners", "north", "fund", "labs", "seed"]
