@@ -33,7 +33,7 @@ def class_hits(text: Column | str, lexicon: Lexicon) -> Column:
         )
         for i, (name, kws) in enumerate(lexicon.items())
     ]
-    return F.filter(F.array(*rows), lambda r: r["hits"] > 0)
+    return F.filter(F.array(*rows).cast(HITS), lambda r: r["hits"] > 0)
 
 
 def primary_class(hits: Column, default: str = "general") -> Column:

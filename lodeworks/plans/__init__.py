@@ -12,6 +12,7 @@ FAMILIES = [
     "auditing",
     "ordering",
     "normalising",
+    "records",
     "texts",
     "pages",
     "matching",

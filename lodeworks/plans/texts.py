@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeworks.functions import text as X
+from lodeworks.operators.records import TypeRule, type_cascade
 from lodeworks.plans.registry import query, sql_list, table, text_table
 
 # Example vocabularies: made-up classes over word parts that occur in the tables.
@@ -172,15 +173,14 @@ def stage_by_pattern(spark, sf):
 )
 def type_by_flags(spark, sf):
     """Filing flags beat names; the broad name rules need the fund flag."""
-    size, name, fund = F.col("p_size"), F.col("p_name"), F.col("p_retailprice") > 950
-    kind = (
-        F.when(size > 40, "Private Equity")
-        .when(size > 30, "Venture")
-        .when(name.contains("bolt"), "Venture")
-        .when(fund & (name.contains("ring") | name.contains("gear")), "Growth")
-        .when(fund, "Fund")
-        .otherwise("Adviser")
-    )
+    flags = {"buyout": F.col("p_size") > 40, "venture": F.col("p_size") > 30, "fund": F.col("p_retailprice") > 950}
+    rules = [
+        TypeRule("Private Equity", flags=["buyout"]),
+        TypeRule("Venture", flags=["venture"], name_words=["bolt"]),
+        TypeRule("Growth", name_words=["ring", "gear"], gate="fund"),
+        TypeRule("Fund", gate="fund"),
+    ]
+    kind = type_cascade(rules, "Adviser", flags, F.col("p_name"))
     return table(spark, sf, "part").select("p_partkey", kind.alias("kind"))
 
 
@@ -191,15 +191,13 @@ def type_by_flags(spark, sf):
          when contains(lower(text), 'keit') then 'Growth' else 'VC' end as kind from documents""",
 )
 def type_by_text(spark, sf):
-    low = F.lower("text")
-    kind = X.first_hit(
-        [
-            (low.contains("idiot"), F.lit("CVC")),
-            (low.contains("scum") | F.lower("source").contains("src7"), F.lit("Accelerator")),
-            (low.contains("keit"), F.lit("Growth")),
-        ]
-    )
-    return docs(spark, sf).select("doc_id", F.coalesce(kind, F.lit("VC")).alias("kind"))
+    rules = [
+        TypeRule("CVC", text_words=["idiot"]),
+        TypeRule("Accelerator", text_words=["scum"], name_words=["src7"]),
+        TypeRule("Growth", text_words=["keit"]),
+    ]
+    kind = type_cascade(rules, "VC", {}, F.col("source"), F.col("text"))
+    return docs(spark, sf).select("doc_id", kind.alias("kind"))
 
 
 # The checking engine has no lookaround: every separator is doubled there, so that one match
