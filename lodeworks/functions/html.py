@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.functions.exprs import col, strip
-from lodeworks.functions.names import NameRules, valid_list_name
+from lodeworks.functions.exprs import col, nonempty, strip
+from lodeworks.functions.names import NameRules, valid_document_name, valid_list_name
 
 TAGS = r"<[^>]+>"
 
@@ -58,14 +58,23 @@ def listed_names(html: Column | str, suffix_words: Sequence[str], veto: Sequence
     return F.array_distinct(F.filter(names, fits))
 
 
-def firm_from_board_line(line: Column | str, roles: Sequence[str]) -> Column:
-    """``FIRST LAST Firm Name, Role`` to the firm name."""
+def firm_from_board_line(
+    line: Column | str, roles: Sequence[str], trailing: Sequence[str] = (), rules: NameRules | None = None
+) -> Column:
+    """``FIRST LAST Firm Name, Role`` to the firm name.
+
+    From a ``trailing`` role or form word on the name is cut; with ``rules`` it must be a valid
+    document name, else there is none.
+    """
     found = F.regexp_extract(
         col(line),
         rf"^([A-Z][A-Z.\-']+(?:\s+[A-Z][A-Z.\-']+)+)\s+([A-Z][^,]+),\s*(?:{'|'.join(roles)})",
         2,
     )
-    return F.when(found != "", F.trim(found))
+    if trailing:
+        found = F.regexp_replace(found, rf",?\s*(?:{'|'.join(trailing)}).*$", "")
+    name = nonempty(strip(found))
+    return name if rules is None else F.when(valid_document_name(name, rules), name)
 
 
 def page_title(html: Column | str) -> Column:

@@ -413,8 +413,37 @@ def contacts_in_window(
     )
 
 
+def balanced_span(text: Column | str) -> Column:
+    """The first ``{...}`` whose braces balance; null if none closes.
+
+    Braces inside quoted strings do not count, and a backslash takes its next character with
+    it. The text is cut into runs without structure, so the fold takes a step per quote or
+    brace, not per character.
+    """
+    s = F.regexp_extract(col(text), r"(?s)\{.*", 0)
+    marks = F.regexp_extract_all(s, F.lit(r'(?s)(\\.|["{}]|[^"{}\\]+|\\)'), F.lit(1))
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("closed"), F.lit(0).alias("n")
+    )
+
+    def step(at: Column, mark: Column) -> Column:
+        opens = (~at["quoted"] & (mark == "{")).cast("int")
+        closes = (~at["quoted"] & (mark == "}")).cast("int")
+        after = F.struct(
+            (at["depth"] + opens - closes).alias("depth"),
+            (at["quoted"] != (mark == '"')).alias("quoted"),
+            ((closes == 1) & (at["depth"] == 1)).alias("closed"),
+            (at["n"] + F.length(mark)).alias("n"),
+        )
+        return F.when(at["closed"], at).otherwise(after)
+
+    end = F.aggregate(marks, start, step)
+    return F.when(end["closed"], F.left(s, end["n"]))
+
+
 def salvage_json(text: Column | str, schema: str) -> Column:
-    """Struct from messy text: the text itself, a fenced block, the outermost braces.
+    """Struct from messy text: the text itself, a fenced block, the first balanced braces, the
+    outermost braces.
 
     Null when no candidate is an object.
     """
@@ -426,17 +455,21 @@ def salvage_json(text: Column | str, schema: str) -> Column:
         ok = F.try_parse_json(c).isNotNull() & F.startswith(c, F.lit("{"))
         return F.when(ok, c)
 
-    return F.from_json(F.coalesce(read(s), read(fenced), read(braces)), schema)
+    return F.from_json(F.coalesce(read(s), read(fenced), read(balanced_span(s)), read(braces)), schema)
 
 
 def draft_errors(
     subject: Column | str, body: Column | str, score: Column | str, section_labels: Sequence[str]
 ) -> Column:
-    """Rule checks of a written draft, as a list of error labels."""
+    """Rule checks of a written draft, as a list of error labels.
+
+    Section labels are patterns, matched in any case, with ``^`` at every line; the first one
+    that occurs is reported.
+    """
     body, subject = col(body), col(subject)
     n = F.size(words(body))
     n_subject = F.size(words(subject))
-    hit = first_hit((body.contains(x), F.concat(F.lit("label:"), F.lit(x))) for x in section_labels)
+    hit = first_hit((body.rlike(f"(?im){x}"), F.concat(F.lit("label:"), F.lit(x))) for x in section_labels)
     return F.array_compact(
         F.array(
             F.when(body.rlike(r"[\x{4e00}-\x{9fff}]"), F.lit("foreign_characters")),

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.functions.exprs import all_of, any_of, col, contains_any, first_hit, lookup
+from lodeworks.functions.exprs import all_of, any_of, col, contains_any, first_hit, lookup, strip
 
 
 def keep_unless_false(df: DataFrame, flag: str) -> DataFrame:
@@ -155,9 +155,13 @@ def list_in(values: Column | str, allowed: Sequence[str]) -> Column:
 def tags_or_default(
     values: Column | str, allowed: Sequence[str], default: str = "generalist"
 ) -> Column:
-    """Lower-cased known tags; the default tag when none is known."""
-    low = F.transform(F.coalesce(col(values), F.array().cast("array<string>")), lambda v: F.lower(F.trim(v)))
-    kept = F.array_distinct(F.filter(low, lambda v: v.isin(*allowed)))
+    """Known tags in their own spelling (lower case, ``_`` for blanks and hyphens), repeats kept;
+    the default tag when none is known."""
+    spelled = F.transform(
+        F.coalesce(col(values), F.array().cast("array<string>")),
+        lambda v: F.translate(strip(F.lower(v)), " -", "__"),
+    )
+    kept = F.filter(spelled, lambda v: v.isin(*allowed))
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit(default)))
 
 

@@ -416,6 +416,27 @@ def vocabulary_filters(spark, sf):
     )
 
 
+@query(
+    "tag_spelling",
+    "F21 V11",
+    """select p_partkey, coalesce(array_to_string(nullif(list_filter(string_split(replace(lower(p_name), ' ', '_'), '#') || [lower(split_part(p_name, ' ', 1)) || '_' || lower(split_part(p_name, ' ', 2))] || [lower(split_part(p_name, ' ', 3))],
+           lambda w: w in ('red_bolt', 'hot_gear', 'ring', 'blue_ring')), []), ','), 'generalist') as tags from part""",
+)
+def tag_spelling(spark, sf):
+    """Tags written with blanks, hyphens and capitals."""
+    w = F.split("p_name", " ")
+    first, second, third = (F.get(w, F.lit(i)) for i in range(3))
+    raw = F.array(
+        F.upper("p_name"),
+        F.concat(F.lit(" "), F.initcap(first), F.lit("-"), second, F.lit(" ")),
+        third,
+    )
+    return table(spark, sf, "part").select(
+        "p_partkey",
+        F.array_join(P.tags_or_default(raw, ["red_bolt", "hot_gear", "ring", "blue_ring"]), ",").alias("tags"),
+    )
+
+
 @query(
     "skip_nameless",
     "F22 F23",

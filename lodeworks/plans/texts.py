@@ -402,6 +402,35 @@ def json_salvage(spark, sf):
     return table(spark, sf, "events").select("event_id", parsed["k"].alias("k"))
 
 
+SPAN_TEXT = """'noted: ' || case event_id % 5 when 0 then '{"a": {"k": ' || event_id || '}, "s": "} \\\\" {"} and {"z": 1}'
+  when 1 then '{"k": ' || event_id || ', "cut": {"off": 1}' when 2 then 'nothing here' when 3 then '} {"k": ' || event_id || '}}}' else '{"q": "\\\\\\\\", "k": ' || event_id || '}{' end"""
+
+
+@query(
+    "json_balanced_span",
+    "T24",
+    rf"""with t as (select event_id, regexp_extract({SPAN_TEXT.replace(chr(92) * 2, chr(92))}, '(?s)\{{.*', 0) as s from events),
+       m as (select event_id, s, regexp_extract_all(s, '(?s)(\\.|["{{}}]|[^"{{}}\\]+|\\)', 1) as marks from t),
+       r as (select event_id, s, list_reduce(list_prepend({{'d': 0, 'q': false, 'c': false, 'n': 0, 'm': ''}}, [{{'d': 0, 'q': false, 'c': false, 'n': 0, 'm': x}} for x in marks]),
+         lambda a, x: case when a.c then a else {{'d': a.d + (not a.q and x.m = '{{')::int - (not a.q and x.m = '}}')::int, 'q': a.q <> (x.m = '"'),
+           'c': not a.q and x.m = '}}' and a.d = 1, 'n': a.n + cast(length(x.m) as int), 'm': ''}} end) as z from m)
+       select event_id, case when z.c then left(s, z.n) end as span from r""",
+)
+def json_balanced_span(spark, sf):
+    """Nested, quoted and cut-off braces around event numbers."""
+    k, n = F.col("event_id").cast("string"), F.pmod("event_id", F.lit(5))
+    text = (
+        F.when(n == 0, F.concat(F.lit('{"a": {"k": '), k, F.lit('}, "s": "} \\" {"} and {"z": 1}')))
+        .when(n == 1, F.concat(F.lit('{"k": '), k, F.lit(', "cut": {"off": 1}')))
+        .when(n == 2, F.lit("nothing here"))
+        .when(n == 3, F.concat(F.lit('} {"k": '), k, F.lit("}}}")))
+        .otherwise(F.concat(F.lit('{"q": "\\\\", "k": '), k, F.lit("}{")))
+    )
+    return table(spark, sf, "events").select(
+        "event_id", X.balanced_span(F.concat(F.lit("noted: "), text)).alias("span")
+    )
+
+
 @query(
     "draft_checks",
     "T25",
@@ -410,13 +439,13 @@ def json_salvage(spark, sf):
            len(list_filter(string_split_regex(string_split(text, '.')[1], '\s+'), lambda w: w <> '')) as ns from conversations)
        select conv_id, turn, array_to_string(list_filter([case when regexp_matches(body, '[\x{4e00}-\x{9fff}]') then 'foreign_characters' end,
          case when n < 150 or n > 240 then 'word_count' end,
-         case when contains(body, 'Of the') then 'label:Of the' when contains(body, 'En la') then 'label:En la' end,
+         case when contains(lower(body), 'of the') then 'label:of  ?the' when regexp_matches(body, '(?im)^en ') then 'label:^en ' end,
          case when ns < 1 or ns > 10 then 'subject_length' end, case when score < 5 then 'low_score' end], lambda e: e is not null), ';') as errors from t""",
 )
 def draft_checks(spark, sf):
     subject = F.get(F.split("text", r"\."), F.lit(0))
     score = F.pmod(F.size(X.words("text")), F.lit(13))
-    errors = X.draft_errors(subject, "text", score, ["Of the", "En la"])
+    errors = X.draft_errors(subject, "text", score, ["of  ?the", "^en "])
     return table(spark, sf, "conversations").select(
         "conv_id", "turn", F.array_join(errors, ";").alias("errors")
     )

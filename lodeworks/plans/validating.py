@@ -247,3 +247,145 @@ def tag_write_back(spark, sf):
     return docs.join(fresh, "doc_id", "left").select(
         "doc_id", F.array_join(F.coalesce("sub_tags", F.array(F.lit("old"))), ",").alias("tags")
     )
+
+
+# --- merges by policy -----------------------------------------------------------------
+
+NEWS = """select p_partkey as id, case when p_size % 4 = 0 then 'found' when p_size % 4 = 1 then '  ' end as website,
+    case when p_size % 3 = 0 then 'general' else 'metal' end as sector, string_split(p_name, ' ')[1:2] as focus, case when p_size % 2 = 0 then 'NY' end as hq_state, 'Town' as hq_city,
+    case when p_size % 5 <> 0 then repeat('d', p_size * 2) end as description, case when p_size % 7 = 0 then [p_brand] else cast([] as varchar[]) end as portfolio from part where p_partkey % 6 <> 0"""
+
+
+def merge_sides(spark, sf):
+    size, key = F.col("p_size"), F.col("p_partkey").alias("id")
+    known = table(spark, sf, "part").select(
+        key,
+        F.concat(F.lit("old "), "p_brand").alias("website"),
+        F.lit("kept").alias("sector"),
+        F.array(F.lit("old")).alias("focus"),
+        F.when(size > 25, "CA").otherwise("").alias("hq_state"),
+        F.when(size > 25, "LA").alias("hq_city"),
+        F.when(size > 40, "known").alias("description"),
+        F.array(F.lit("old")).alias("portfolio"),
+    )
+    news = table(spark, sf, "part").filter("p_partkey % 6 <> 0").select(
+        key,
+        F.when(size % 4 == 0, "found").when(size % 4 == 1, "  ").alias("website"),
+        F.when(size % 3 == 0, "general").otherwise("metal").alias("sector"),
+        F.slice(F.split("p_name", " "), 1, 2).alias("focus"),
+        F.when(size % 2 == 0, "NY").alias("hq_state"),
+        F.lit("Town").alias("hq_city"),
+        F.when(size % 5 != 0, F.repeat(F.lit("d"), size * 2)).alias("description"),
+        F.when(size % 7 == 0, F.array("p_brand")).otherwise(str_array([])).alias("portfolio"),
+    )
+    return known, news
+
+
+@query(
+    "merge_policies",
+    "V10",
+    f"""with n as ({NEWS}), p as (select *, p_partkey as pid, 'old ' || p_brand as website0, case when p_size > 25 then 'CA' else '' end as st, case when p_size > 25 then 'LA' end as ct, case when p_size > 40 then 'known' end as ds from part)
+       select pid as id, coalesce(nullif(trim(n.website), ''), website0) as website, case when n.sector <> 'general' then n.sector else 'kept' end as sector,
+         array_to_string(case when n.sector <> 'general' then n.focus else ['old'] end, ',') as focus, case when st = '' then coalesce(n.hq_state, st) else st end as hq_state,
+         case when st = '' then coalesce(n.hq_city, ct) else ct end as hq_city, coalesce(ds, case when length(n.description) > 50 then n.description end) as description,
+         array_to_string(coalesce(nullif(n.portfolio, []), ['old']), ',') as portfolio from p left join n on n.id = pid""",
+)
+def merge_policies(spark, sf):
+    """Found address and portfolio win, sectors as a group, places only where the state is open."""
+    from lodeworks.operators import merge as G
+
+    known, news = merge_sides(spark, sf)
+    policies = [
+        G.Policy("website", G.ALWAYS),
+        G.Policy("sector", G.ALWAYS, group="sectors"),
+        G.Policy("focus", G.ALWAYS, group="sectors"),
+        G.Policy("hq_state", G.ALWAYS, group="place"),
+        G.Policy("hq_city", G.ALWAYS, group="place"),
+        G.Policy("description", G.IF_MISSING, longer_than=50),
+        G.Policy("portfolio", G.ALWAYS),
+    ]
+    groups = {
+        "sectors": lambda old, new: new("sector") != "general",
+        "place": lambda old, new: old("hq_state").isNull(),
+    }
+    merged = G.merge_by_policies(known, news, "id", policies, groups)
+    return merged.withColumns({c: F.array_join(c, ",") for c in ("focus", "portfolio")})
+
+
+@query(
+    "published_rows",
+    "V8 N21",
+    """with t as (select *, p_partkey % 3 <> 0 as hit, p_partkey % 3 = 1 as one, p_name || case when p_size > 20 then ' Inc' else '' end as nm from part)
+       select p_partkey as id, nm as name, array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(p_name, ' ')], ' ') as display_name, case when one then p_size > 9 else true end as is_real_investor,
+         case when hit then 'https://a.example' end as official_website, case when hit then p_type end as investor_type, cast(null as varchar) as confidence, case when one then 'seed|b' else null end as stages,
+         cast(null as varchar) as sectors, cast(case when hit then p_size end as bigint) as check_size_min_usd, cast(null as varchar) as check_size_max_usd, cast(null as varchar) as check_size_display,
+         cast(null as varchar) as geo_focus, case when one then 'thesis' end as thesis_text, cast(null as varchar) as business_model_preference, cast(null as varchar) as traction_requirement,
+         cast(null as varchar) as team_background_preference, cast(null as varchar) as lead_investor, cast(null as varchar) as ownership_target, cast(null as varchar) as portfolio_companies,
+         cast(null as varchar) as submission_url, cast(null as varchar) as general_email, '' as partner_contacts, case when one then 'url=' || p_brand else '' end as tier1_evidence, '' as tier2_evidence,
+         case when one then p_size else 0 end as tier1_completeness, 0 as tier2_completeness, 0 as contacts_completeness, case when one then 'high' else 'low' end as overall_confidence,
+         case when one then 'thesis_text' else '' end as missing_fields, '' as contact_flags, cast(null as varchar) as research_notes, 'now' as enriched_at from t""",
+)
+def published_rows(spark, sf):
+    """All fields of the published row: a third of the rows have no result at all."""
+    from lodeworks.functions import normalize as N
+    from lodeworks.operators import merge as G
+
+    one, size = F.col("p_partkey") % 3 == 1, F.col("p_size")
+    parts = table(spark, sf, "part")
+    original = parts.select(
+        F.col("p_partkey").alias("id"), F.concat("p_name", F.when(size > 20, " Inc").otherwise("")).alias("name")
+    )
+    enriched = parts.filter("p_partkey % 3 <> 0").select(
+        F.col("p_partkey").alias("id"),
+        F.lit("not the name").alias("name"),
+        F.when(one, size > 9).alias("is_real_investor"),
+        F.lit("https://a.example").alias("official_website"),
+        F.col("p_type").alias("investor_type"),
+        F.when(one, str_array(["seed", "b"])).alias("stages"),
+        size.cast("bigint").alias("check_size_min_usd"),
+        F.when(one, "thesis").alias("thesis_text"),
+        F.when(one, F.create_map(F.lit("url"), F.col("p_brand"))).alias("tier1_evidence"),
+        F.when(one, size).cast("int").alias("tier1_completeness"),
+        F.when(one, "high").alias("overall_confidence"),
+        F.when(one, str_array(["thesis_text"])).alias("missing_fields"),
+    )
+
+    def display(name, url):
+        return N.display_name(
+            name, url, null_names=[], prefixes=[], suffixes=[" Inc"], trailing=[], compounds=[], acronyms=[]
+        )
+
+    rows = G.merge_authoritative(original, enriched, display, now=F.lit("now"))
+    pairs = F.transform(F.map_entries("tier1_evidence"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    none = F.map_entries("tier2_evidence")
+    return rows.withColumns(
+        {
+            **{c: F.array_join(c, "|") for c in ("stages", "partner_contacts", "missing_fields", "contact_flags")},
+            "tier1_evidence": F.array_join(pairs, "|"),
+            "tier2_evidence": F.array_join(F.transform(none, lambda e: e["key"]), "|"),
+        }
+    )
+
+
+@query(
+    "top_up_lanes",
+    "V12",
+    """select 'usual' as mode, doc_id, case when doc_id in (select doc_id from labels) then 'stored' else 'new ' || source end as result from documents
+       union all select 'usual', doc_id, 'stored' from labels where doc_id not in (select doc_id from documents)
+       union all select 'forced', doc_id, 'new ' || source from documents union all select 'forced', doc_id, 'stored' from labels where doc_id not in (select doc_id from documents)""",
+)
+def top_up_lanes(spark, sf):
+    """Results of all rows: only those missing are computed, or all when forced."""
+    from lodeworks.operators import merge as G
+
+    rows = table(spark, sf, "documents").select("doc_id", "source")
+    stored = table(spark, sf, "labels").select("doc_id", F.lit("stored").alias("result"))
+
+    def compute(missing):
+        return missing.select("doc_id", F.concat(F.lit("new "), "source").alias("result"))
+
+    usual = G.top_up(rows, stored, "doc_id", compute)
+    forced = G.top_up(rows, stored, "doc_id", compute, force=True)
+    return usual.select(F.lit("usual").alias("mode"), "doc_id", "result").unionByName(
+        forced.select(F.lit("forced").alias("mode"), "doc_id", "result")
+    )
