@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -26,18 +27,18 @@ def read_wrapped(
     record: str,
     keys: Sequence[str] = ("data", "investors", "records", "results"),
 ) -> DataFrame:
-    """A bare list, or an object that wraps the list under one of the keys.
+    """A bare list per file, or an object that wraps the list under one of the keys.
 
-    ``record`` is the DDL of one record. Text is read whole per file and parsed with
-    both shapes; the first that gives rows is used.
+    ``record`` is the DDL of one record, whose fields must not be named like a key. One read
+    knows both shapes: the members of a bare list come as rows, as the parser meets them; a
+    wrapping object comes as one row, whose list is exploded.
     """
-    text = spark.read.text(path, wholetext=True)
-    bare = F.from_json("value", f"array<struct<{record}>>")
-    shape = ", ".join(f"`{k}`: array<struct<{record}>>" for k in keys)
-    wrapped = F.from_json("value", f"struct<{shape}>")
-    is_list = F.ltrim(F.col("value")).startswith("[")
-    rows = F.when(is_list, bare).otherwise(F.coalesce(*[wrapped[k] for k in keys]))
-    return text.select(F.explode(rows).alias("r")).select("r.*")
+    shape = T.StructType.fromDDL(record)
+    lists = T.StructType([T.StructField(k, T.ArrayType(shape)) for k in keys])
+    rows = spark.read.schema(T.StructType([*shape.fields, *lists.fields])).option("multiLine", True).json(path)
+    wrapped = F.coalesce(*[F.col(k) for k in keys])
+    bare = F.struct(*[F.col(n) for n in shape.names])
+    return rows.select(F.explode(F.coalesce(wrapped, F.array(bare))).alias("r")).select("r.*")
 
 
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
@@ -47,12 +48,15 @@ def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
 
 def first_existing(spark: SparkSession, candidates: Sequence[str]) -> str:
     """First candidate path that exists on its file system."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
     for candidate in candidates:
-        path = jvm.org.apache.hadoop.fs.Path(candidate)
-        if path.getFileSystem(conf).exists(path):
-            return candidate
+        try:
+            # Resolving a read looks the path up and opens no file.
+            spark.read.text(candidate)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        return candidate
     raise FileNotFoundError(f"none of {list(candidates)} exists")
 
 
@@ -75,18 +79,42 @@ def write_csv_joined(df: DataFrame, path: str, sep: str = "; ") -> None:
     df.select(*shown).write.mode("overwrite").csv(path, header=True)
 
 
-def write_version(df: DataFrame, root: str, version: str) -> str:
-    """Write a new version folder; the one being read is never overwritten."""
-    path = f"{root.rstrip('/')}/version={version}"
+def _pointers(spark: SparkSession, root: str) -> DataFrame | None:
+    return read_if_there(spark, f"{root.rstrip('/')}/pointers")
+
+
+def latest_pointer(spark: SparkSession, root: str):
+    """The newest complete version (``version, folder, n_rows``), by number, or None."""
+    pointers = _pointers(spark, root)
+    return None if pointers is None else pointers.orderBy(F.desc("version"), F.desc("folder")).first()
+
+
+def write_version(df: DataFrame, root: str, version: int | None = None) -> int:
+    """Write the rows to a folder of their own, then a pointer row that makes them the newest.
+
+    A reader goes by the pointers alone: until the pointer is there it sees the version before,
+    and a write that fails half way leaves a folder that nobody reads. Rows may be read from
+    the version they replace. ``version`` defaults to one more than the newest.
+    """
+    spark = df.sparkSession
+    if version is None:
+        newest = latest_pointer(spark, root)
+        version = 1 if newest is None else newest.version + 1
+    folder = f"version-{version}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/data/{folder}"
     df.write.mode("errorifexists").parquet(path)
-    return path
+    pointer = spark.read.parquet(path).agg(F.count("*").alias("n_rows"))
+    pointer = pointer.select(F.lit(version).cast("long").alias("version"), F.lit(folder).alias("folder"), "n_rows")
+    pointer.coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/pointers")
+    return version
 
 
 def read_latest(spark: SparkSession, root: str) -> DataFrame:
-    """Newest version folder; only its files are listed by the partition filter."""
-    everything = spark.read.option("basePath", root).parquet(root)
-    newest = everything.agg(F.max("version")).first()[0]
-    return everything.filter(F.col("version") == newest).drop("version")
+    """The newest complete version; only its own folder is listed and read."""
+    newest = latest_pointer(spark, root)
+    if newest is None:
+        raise FileNotFoundError(f"{root} has no complete version")
+    return spark.read.parquet(f"{root.rstrip('/')}/data/{newest.folder}")
 
 
 CLEARED = "_cleared"
@@ -141,9 +169,10 @@ def with_payload(df: DataFrame, column: str, schema: str) -> DataFrame:
     return df.withColumn(column, F.coalesce(parsed, empty))
 
 
-def export_json(df: DataFrame, path: str, key: str) -> None:
-    """One JSON text per row, in a folder per key value."""
-    df.select(key, F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+def export_json(df: DataFrame, path: str, key: str, rows_per_file: int = 100_000) -> None:
+    """One JSON document per row, in key order, in files of at most ``rows_per_file`` documents."""
+    documents = df.repartitionByRange(key).sortWithinPartitions(key).select(F.to_json(F.struct("*")).alias("value"))
+    documents.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).text(path)
 
 
 def mark_done(df: DataFrame, path: str, key: str) -> None:

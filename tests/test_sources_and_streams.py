@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodeworks.sources import tables as S
 from lodeworks.streaming import ingest, outreach
@@ -46,12 +47,41 @@ def test_two_copies_and_append(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 6
 
 
-def test_versions(spark, tmp_path):
+def test_versions_are_numbers_and_only_complete_ones_are_read(spark, tmp_path):
     root = str(tmp_path / "t")
-    S.write_version(spark.range(2), root, "001")
-    newer = S.read_latest(spark, root).unionByName(spark.range(5, 6))
-    S.write_version(newer, root, "002")
-    assert sorted(r.id for r in S.read_latest(spark, root).collect()) == [0, 1, 5]
+    with pytest.raises(FileNotFoundError):
+        S.read_latest(spark, root)
+    assert S.write_version(spark.range(2), root) == 1
+    assert S.write_version(S.read_latest(spark, root).unionByName(spark.range(5, 6)), root, 9) == 9
+    assert S.write_version(S.read_latest(spark, root).unionByName(spark.range(7, 8)), root) == 10
+    assert sorted(r.id for r in S.read_latest(spark, root).collect()) == [0, 1, 5, 7]
+
+    # A writer that fails after its data, before its pointer, is not seen.
+    spark.range(100).write.parquet(f"{root}/data/version-11-half")
+    failing = spark.range(3).select(F.raise_error(F.lit("stop")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        S.write_version(failing, root)
+    assert S.read_latest(spark, root).count() == 4 and S.latest_pointer(spark, root).n_rows == 4
+
+
+def test_batches_after_a_stop_are_written_once(spark, tmp_path):
+    source, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    for i in range(5):
+        spark.range(10 * i, 10 * i + 10).coalesce(1).write.mode("append").parquet(str(source))
+
+    def stream():
+        return ingest.open_stream(spark, str(source), "id long", files_per_batch=2)
+
+    assert ingest.write_batches(stream(), out, mark) == 3
+    spark.range(50, 55).coalesce(1).write.mode("append").parquet(str(source))
+    # The stop comes after a batch is written and before it is marked as done.
+    commits = tmp_path / "mark" / "commits"
+    last = max((p for p in commits.iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    last.unlink()
+    (commits / f".{last.name}.crc").unlink(missing_ok=True)
+    assert ingest.write_batches(stream(), out, mark) == 2
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(55))
+    assert ingest.write_batches(stream(), out, mark) == 0
 
 
 def test_owner_rows_replaced(spark, tmp_path):
