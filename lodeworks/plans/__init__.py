@@ -18,6 +18,7 @@ FAMILIES = [
     "matching",
     "validating",
     "outreach",
+    "storing",
 ]
 
 
