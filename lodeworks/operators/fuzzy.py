@@ -5,16 +5,26 @@ the shorter-indexed name at nearly the same place (the pass-join filter, Li et
 al., 2011). Names are folded to distinct values, one side is indexed by (length,
 segment number, segment), the other probes the few places where that segment may
 stand, and only then is the similarity computed. The filter loses no pair.
+
+A segment that very many names share would make their pairs candidates. Names that hold
+such a segment are cut into ``SPARE`` segments more; d edits still leave all but d of them
+intact, so any d + 1 serve as an index, and the rarest are taken (a prefix filter): the
+common segments stay out of the index as long as no more than ``SPARE`` of a name are common.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeworks.operators.skew import salted_join
+from lodeworks.session import cut_lineage
+
+# Names a segment may lie in before it counts as common.
+COMMON = 100
+SPARE = 4
 
 EDIT = "edit"
 RATIO = "ratio"
@@ -66,17 +76,32 @@ def _key(length: Column, part: Column, segment: Column) -> Column:
     return F.xxhash64(length, part, segment)
 
 
-def index_segments(names: DataFrame, name: str, threshold: float, measure: str) -> DataFrame:
+def index_segments(names: DataFrame, name: str, threshold: float, measure: str, spare: int = 0) -> DataFrame:
+    """One row per segment: its number ``i`` and its key ``k``."""
     length = F.length(name)
-    parts = F.least(_budget(length, threshold, measure) + 1, length)
+    parts = F.least(_budget(length, threshold, measure) + 1 + spare, length)
 
     def segment(i: Column) -> Column:
         start = _segment_start(length, parts, i)
         size = _segment_start(length, parts, i + 1) - start
-        return _key(length, i, F.substring(F.col(name), start + 1, size))
+        return F.struct(i.alias("i"), _key(length, i + 1000 * spare, F.substring(F.col(name), start + 1, size)).alias("k"))
 
     keys = F.transform(F.sequence(F.lit(0), parts - 1), segment)
-    return names.filter(length > 0).select(*names.columns, F.explode(keys).alias("k"))
+    return names.filter(length > 0).select(*names.columns, F.explode(keys).alias("s")).select(*names.columns, "s.i", "s.k")
+
+
+def common_segments(indexed: DataFrame, keys: list[str], common: int) -> DataFrame:
+    """Keys that lie in more than ``common`` names: at most 1 / ``common`` of the rows."""
+    return indexed.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > common).select(*keys)
+
+
+def rarest_segments(names: DataFrame, name: str, threshold: float, measure: str, keys: list[str]) -> DataFrame:
+    """The d + 1 rarest of the finer segments of each name."""
+    fine = index_segments(names, name, threshold, measure, SPARE)
+    counted = fine.join(fine.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    rarest = Window.partitionBy(name).orderBy("_n", "i")
+    wanted = _budget(F.length(name), threshold, measure) + 1
+    return counted.withColumn("_r", F.row_number().over(rarest)).filter(F.col("_r") <= wanted).drop("_n", "_r")
 
 
 def probe_segments(names: DataFrame, name: str, threshold: float, measure: str) -> DataFrame:
@@ -105,6 +130,67 @@ def probe_segments(names: DataFrame, name: str, threshold: float, measure: str)
     return rows.select(*names.columns, _key(m, i, segment).alias("k"))
 
 
+def probe_finer(names: DataFrame, name: str, threshold: float, measure: str, lengths: DataFrame) -> DataFrame:
+    """Every place of a finer segment of a partner whose length is listed in ``lengths``.
+
+    A segment that is intact moves by the edits on its left; those and the ones on its right
+    come to the budget at most, and differ by the difference of the lengths.
+    """
+    width = F.length(name)
+    rows = names.filter(width > 0).select(
+        *names.columns, F.explode(_partner_lengths(width, threshold, measure)).alias("_m")
+    )
+    m = F.col("_m")
+    # At most one row per length of a name.
+    rows = rows.join(F.broadcast(lengths.select(F.col("length").alias("_m"))), "_m")
+    budget = _budget(m, threshold, measure)
+    rows = rows.withColumn("_p", F.least(budget + 1 + SPARE, m))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)).alias("_i"))
+    i, parts, shift = F.col("_i"), F.col("_p"), width - m
+    start = _segment_start(m, parts, i)
+    size = _segment_start(m, parts, i + 1) - start
+    first = F.greatest(start + F.ceil((shift - budget) / 2).cast("int"), F.lit(0))
+    last = F.least(start + F.floor((shift + budget) / 2).cast("int"), width - size)
+    rows = rows.select("*", size.alias("_s"), first.alias("_f"), last.alias("_l")).filter("_f <= _l")
+    rows = rows.select("*", F.explode(F.sequence("_f", "_l")).alias("_at"))
+    segment = F.substring(F.col(name), F.col("_at") + 1, F.col("_s"))
+    return rows.select(*names.columns, _key(m, i + 1000 * SPARE, segment).alias("k"))
+
+
+def candidate_pairs(
+    left: DataFrame,
+    right: DataFrame,
+    threshold: float,
+    measure: str,
+    near: Column,
+    same_prefix: int = 0,
+    common: int = COMMON,
+) -> DataFrame:
+    """Distinct pairs (a, b) that share a segment and are ``near``; no similar pair is missing."""
+
+    def with_prefix(names: DataFrame, name: str) -> DataFrame:
+        return names.withColumn("pre", F.left(name, F.lit(same_prefix))) if same_prefix else names
+
+    keys = ["k", "pre"] if same_prefix else ["k"]
+    a_names = with_prefix(left.select("a").distinct(), "a")
+    b_names = with_prefix(right.select("b").distinct(), "b")
+    index = index_segments(b_names, "b", threshold, measure)
+    often = cut_lineage(common_segments(index, keys, common))
+    if often.isEmpty():
+        pairs = probe_segments(a_names, "a", threshold, measure).join(index.drop("i"), keys)
+        return pairs.filter(near).select("a", "b").distinct()
+    held = cut_lineage(index.join(often, keys, "left_semi").select(*b_names.columns).distinct())
+    plain = index.join(held.select("b"), "b", "left_anti").drop("i")
+    fine = rarest_segments(held, "b", threshold, measure, keys).drop("i")
+    lengths = held.select(F.length("b").alias("length")).distinct()
+    probes = probe_segments(a_names, "a", threshold, measure)
+    finer = probe_finer(a_names, "a", threshold, measure, lengths)
+    # What is common even among the rarest segments is spread over tasks.
+    found = salted_join(probes, plain, keys, "a", near, counted=plain).select("a", "b")
+    more = salted_join(finer, fine, keys, "a", near, counted=fine).select("a", "b")
+    return found.unionByName(more).distinct()
+
+
 def similar_names(
     left: DataFrame,
     right: DataFrame,
@@ -114,15 +200,9 @@ def similar_names(
     strict: bool = True,
     same_prefix: int = 0,
     max_length_gap: int | None = None,
+    common: int = COMMON,
 ) -> DataFrame:
     """Pairs (a, b, sim) of distinct names from two one-column tables ``a`` and ``b``."""
-    a = probe_segments(left.select("a").distinct(), "a", threshold, measure)
-    b = index_segments(right.select("b").distinct(), "b", threshold, measure)
-    keys = ["k"]
-    if same_prefix:
-        a = a.withColumn("pre", F.left("a", F.lit(same_prefix)))
-        b = b.withColumn("pre", F.left("b", F.lit(same_prefix)))
-        keys.append("pre")
     ca, cb = F.col("a"), F.col("b")
     near = F.lit(True)
     if max_length_gap is not None:
@@ -130,9 +210,8 @@ def similar_names(
     if measure == EDIT:
         sim = edit_similarity(ca, cb)
         near = near & ((sim > threshold) if strict else (sim >= threshold))
-        pairs = salted_join(a, b, keys, "a", near, counted=b).select("a", "b").distinct()
-        return pairs.withColumn("sim", sim)
-    pairs = salted_join(a, b, keys, "a", near, counted=b).select("a", "b").distinct()
+        return candidate_pairs(left, right, threshold, measure, near, same_prefix, common).withColumn("sim", sim)
+    pairs = candidate_pairs(left, right, threshold, measure, near, same_prefix, common)
     scored = pairs.withColumn("sim", block_ratio("a", "b"))
     return scored.filter(F.col("sim") > threshold if strict else F.col("sim") >= threshold)
 
@@ -177,3 +256,15 @@ def best_match(
         .select("a", "m.b", "m.ord", "m.sim")
     )
     return exact.unionByName(best)
+
+
+def restore_missing(
+    wanted: DataFrame, name: str, present: DataFrame, present_name: str, backup: DataFrame, threshold: float
+) -> DataFrame:
+    """Wanted rows whose name is not present, with the best backup row (``ord``) from the threshold on.
+
+    The restored row goes by the wanted name; rows without a similar backup stay out.
+    """
+    gone = wanted.join(present.select(F.col(present_name).alias(name)).distinct(), name, "left_anti")
+    found = best_match(gone.select(F.col(name).alias("a")), backup, threshold)
+    return gone.join(found.select(F.col("a").alias(name), "ord", "sim"), name)

@@ -75,30 +75,27 @@ def ascii_key(c):
     return F.trim(F.regexp_replace(plain, " +", " "))
 
 
-def line_names(spark, sf):
-    """Document lines that are short enough to be names, with a reading position."""
-    return (
-        text_lines(spark, sf)
-        .select(
-            (F.col("doc_id") * 1000000 + F.col("line_no")).cast("bigint").alias("ord"),
-            "doc_id",
-            ascii_key(F.col("line")).alias("nm"),
-        )
-        .filter(F.length("nm").between(5, 80))
+def part_names(spark, sf):
+    """Names with a reading position, where they come from and a language."""
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").cast("bigint").alias("ord"),
+        ascii_key(F.concat_ws(" ", "p_name", "p_brand", "p_type")).alias("nm"),
+        F.when(F.col("p_size") % 5 < 2, "src1").otherwise("src2").alias("source"),
+        F.when(F.col("p_size") % 3 == 0, "en").when(F.col("p_size") % 3 == 1, "es").otherwise("de").alias("lang"),
     )
 
 
-LINE_NAMES = f"""(select cast(doc_id * 1000000 + line_no as bigint) as ord, doc_id, {NORM.format("line")} as nm
-   from {LINES} where length({NORM.format("line")}) between 5 and 80)"""
+PART_NAMES = f"""(select cast(p_partkey as bigint) as ord, {NORM.format("p_name || ' ' || p_brand || ' ' || p_type")} as nm,
+   case when p_size % 5 < 2 then 'src1' else 'src2' end as source, case p_size % 3 when 0 then 'en' when 1 then 'es' else 'de' end as lang from part)"""
 SIM = "(1 - levenshtein({0}, {1}) / greatest(length({0}), length({1}))::double)"
 
 
 @query(
     "restore_best_match",
     "J5",
-    f"""with n as (select * from {LINE_NAMES}),
-       w as (select distinct replace(nm, 'tion', 'tiom') as a from n join documents d on d.doc_id = n.doc_id where source < 'src2'),
-       b as (select nm as b, min(ord) as ord from n join documents d on d.doc_id = n.doc_id where source >= 'src2' group by 1),
+    f"""with n as (select * from {PART_NAMES}),
+       w as (select distinct replace(nm, 'ring', 'rinq') as a from n where source < 'src2'),
+       b as (select nm as b, min(ord) as ord from n where source >= 'src2' group by 1),
        e as (select a, b, ord, 1.0::double as sim from w join b on a = b),
        f as (select a, b, ord, {SIM.format("a", "b")} as sim from w join b on length(a) >= 0.85 * length(b) - 1 and length(b) >= 0.85 * length(a) - 1
              where a not in (select a from e) and {SIM.format("a", "b")} >= 0.85
@@ -106,11 +103,9 @@ SIM = "(1 - levenshtein({0}, {1}) / greatest(length({0}), length({1}))::double)"
        select a as wanted, b as restored, round(sim, 4) as sim from (select * from e union all select * from f)""",
 )
 def restore_best_match(spark, sf):
-    names = line_names(spark, sf).join(
-        table(spark, sf, "documents").select("doc_id", "source"), "doc_id"
-    )
+    names = part_names(spark, sf)
     wanted = names.filter("source < 'src2'").select(
-        F.replace(F.col("nm"), F.lit("tion"), F.lit("tiom")).alias("a")
+        F.replace(F.col("nm"), F.lit("ring"), F.lit("rinq")).alias("a")
     )
     backup = names.filter("source >= 'src2'").select(F.col("nm").alias("b"), "ord")
     found = Z.best_match(wanted, backup, 0.85)
@@ -119,19 +114,39 @@ def restore_best_match(spark, sf):
     )
 
 
+@query(
+    "restore_missing_names",
+    "J5",
+    f"""with n as (select * from {PART_NAMES}), s as (select nm, min(ord) as ord from n where source >= 'src2' group by 1),
+       w as (select distinct ord as target, replace(nm, 'ring', 'rinq') as a from n where source < 'src2'),
+       m as (select w.target, w.a, s.nm, s.ord, {SIM.format("w.a", "s.nm")} as sim from w join s on abs(length(w.a) - length(s.nm)) <= 6),
+       p as (select * from w where a not in (select nm from n where ord % 3 = 0)),
+       f as (select p.target, p.a, m.ord from p left join (select * from m where sim >= 0.82) m on m.target = p.target qualify row_number() over (partition by p.target order by m.sim desc nulls last, m.ord) = 1)
+       select target, a as name, ord as restored_from from f where ord is not null""",
+)
+def restore_missing_names(spark, sf):
+    """Names not present any more get the most similar backup row, under the wanted name."""
+    names = part_names(spark, sf)
+    wanted = names.filter("source < 'src2'").select(
+        F.col("ord").alias("target"), F.replace(F.col("nm"), F.lit("ring"), F.lit("rinq")).alias("name")
+    )
+    present = names.filter("ord % 3 = 0").select("nm")
+    backup = names.filter("source >= 'src2'").select(F.col("nm").alias("b"), "ord")
+    restored = Z.restore_missing(wanted, "name", present, "nm", backup, 0.82)
+    return restored.select("target", "name", F.col("ord").alias("restored_from"))
+
+
 @query(
     "fuzzy_known_names",
     "J6",
-    f"""with n as (select n.nm, lang, source from {LINE_NAMES} n join documents d on d.doc_id = n.doc_id),
+    f"""with n as (select nm, lang, source from {PART_NAMES}),
        a as (select distinct nm, case when lang <> 'en' then lang end as st from n where source < 'src2'),
        b as (select distinct nm, case when lang <> 'es' then lang end as st from n where source >= 'src2')
        select nm, st, exists (select 1 from b where (b.st is null or a.st is null or a.st = b.st)
          and (a.nm = b.nm or (abs(length(a.nm) - length(b.nm)) <= 9 and {SIM.format("a.nm", "b.nm")} > 0.90))) as known from a""",
 )
 def fuzzy_known_names(spark, sf):
-    names = line_names(spark, sf).join(
-        table(spark, sf, "documents").select("doc_id", "source", "lang"), "doc_id"
-    )
+    names = part_names(spark, sf)
     state = F.col("lang")
     new = names.filter("source < 'src2'").select("nm", F.when(state != "en", state).alias("st")).distinct()
     old = (
@@ -154,13 +169,13 @@ def fuzzy_known_names(spark, sf):
 @query(
     "fuzzy_prefix_duplicates",
     "J7",
-    f"""with n as (select distinct nm from {LINE_NAMES})
+    f"""with n as (select distinct nm from {PART_NAMES})
        select a.nm as name, b.nm as twin, round({SIM.format("a.nm", "b.nm")}, 4) as sim from n a join n b
          on left(a.nm, 4) = left(b.nm, 4) and a.nm < b.nm and abs(length(a.nm) - length(b.nm)) <= 8
        where {SIM.format("a.nm", "b.nm")} > 0.88""",
 )
 def fuzzy_prefix_duplicates(spark, sf):
-    names = line_names(spark, sf).select("nm").distinct()
+    names = part_names(spark, sf).select("nm").distinct()
     pairs = Z.similar_names(
         names.select(F.col("nm").alias("a")),
         names.select(F.col("nm").alias("b")),
@@ -175,7 +190,7 @@ def fuzzy_prefix_duplicates(spark, sf):
 
 @query("fuzzy_block_ratio_duplicates", "J7")
 def fuzzy_block_ratio_duplicates(spark, sf):
-    names = line_names(spark, sf).select("nm").distinct()
+    names = part_names(spark, sf).select("nm").distinct()
     pairs = Z.similar_names(
         names.select(F.col("nm").alias("a")),
         names.select(F.col("nm").alias("b")),
@@ -450,7 +465,7 @@ def greedy_name_or_url(spark, sf):
 @query(
     "greedy_fuzzy_names",
     "W4 J7",
-    f"""with n as (select nm, min(ord) as ord from {LINE_NAMES} group by 1),
+    f"""with n as (select nm, min(ord) as ord from {PART_NAMES} group by 1),
        l as (select list({{'nm': nm, 'ord': ord}} order by ord) as rows from n),
        k as (select list_reduce(rows, lambda kept, x: case when len(list_filter(kept, lambda y: left(y.nm, 4) = left(x[1].nm, 4)
              and abs(length(y.nm) - length(x[1].nm)) <= 8 and {SIM.format("y.nm", "x[1].nm")} > 0.88)) > 0 then kept else list_concat(kept, x) end,
@@ -458,7 +473,7 @@ def greedy_name_or_url(spark, sf):
        select unnest(kept).nm as nm, unnest(kept).ord as ord from k""",
 )
 def greedy_fuzzy_names(spark, sf):
-    names = line_names(spark, sf).select("nm", "ord")
+    names = part_names(spark, sf).select("nm", "ord")
     nodes, edges = Z.conflict_edges(names, "nm", "ord", 0.88, same_prefix=4, max_length_gap=8)
     return D.greedy_by_edges(nodes, edges, "ord")
 

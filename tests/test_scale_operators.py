@@ -138,6 +138,45 @@ def test_similar_names_loses_no_pair(spark, measure, threshold):
     assert got == want
 
 
+@pytest.mark.parametrize("common", [2, 15, 10_000])
+def test_common_segments_lose_no_pair(spark, common):
+    """A third of the names share their ending; the rarest of finer segments index them."""
+    rnd = random.Random(common)
+    base = names(11, 120)
+    all_names = base + [f"{n[:9]} capital partners" for n in base[::2]] + [f"{rnd.choice(base)[:7]}x capital partner" for _ in range(30)]
+    df = spark.createDataFrame([(n,) for n in set(all_names)], "a string")
+    got = {
+        (r.a, r.b)
+        for r in fuzzy.similar_names(df, df.withColumnRenamed("a", "b"), 0.82, strict=False, common=common).collect()
+    }
+    want = {
+        (a, b) for a in set(all_names) for b in set(all_names) if 1 - edit_distance(a, b) / max(len(a), len(b)) >= 0.82
+    }
+    assert got == want
+
+
+def test_a_common_segment_makes_no_candidates(spark):
+    """A third of the names share nothing but an ending, and are not paired through it."""
+    rnd = random.Random(5)
+    made = {"".join(rnd.choices("bcdfghjklmnpqrstvwxz", k=16)) + " fund" for _ in range(1000)}
+    made |= {"".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=21)) for _ in range(2000)}
+    df = spark.createDataFrame([(m,) for m in made], "a string")
+
+    def candidates(common):
+        other = df.withColumnRenamed("a", "b")
+        return fuzzy.candidate_pairs(df, other, 0.85, fuzzy.EDIT, F.lit(True), common=common).count()
+
+    assert 10 * candidates(50) < candidates(10**9)
+
+
+def test_restore_missing_skips_present_names(spark):
+    wanted = spark.createDataFrame([(1, "blue oak fund"), (2, "river capitl"), (3, "gone far away")], "id int, name string")
+    present = spark.createDataFrame([("blue oak fund",)], "nm string")
+    backup = spark.createDataFrame([("river capital", 7), ("river kapital", 5)], "b string, ord long")
+    got = fuzzy.restore_missing(wanted, "name", present, "nm", backup, 0.82).collect()
+    assert [(r.id, r.name, r.ord) for r in got] == [(2, "river capitl", 7)]
+
+
 def test_best_match_prefers_exact_then_similar(spark):
     wanted = spark.createDataFrame([("blue oak fund",), ("river capitl",), ("zzzz",)], "a string")
     backup = spark.createDataFrame(
