@@ -158,7 +158,7 @@ def test_common_segments_lose_no_pair(spark, common):
 def test_a_common_segment_makes_no_candidates(spark):
     """A third of the names share nothing but an ending, and are not paired through it."""
     rnd = random.Random(5)
-    made = {"".join(rnd.choices("bcdfghjklmnpqrstvwxz", k=16)) + " fund" for _ in range(1000)}
+    made = {"".join(rnd.choices("bcdfghjklmnpqrstvwxz", k=12)) + " partners" for _ in range(1000)}
     made |= {"".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=21)) for _ in range(2000)}
     df = spark.createDataFrame([(m,) for m in made], "a string")
 
