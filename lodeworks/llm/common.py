@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,6 +151,26 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Stored intermediates of one operator that go once its result is stored."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def store(self, df: DataFrame, label: str) -> DataFrame:
+        path = run_dir(df.sparkSession, label)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Deletes the folders; call it when nothing reads them any more."""
+        for path in self.paths:
+            files, folder = fs.FileSystem.from_uri(path)
+            files.delete_dir(folder)
+        self.paths = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

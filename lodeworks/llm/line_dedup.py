@@ -1,17 +1,19 @@
-"""Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, one line per group.
-
-Lines are normalised to their words (ASCII letters lower-cased, digits read as 0, other ASCII
-signs and white space dropped). Equal lines are folded first. Of each connected group the first
-occurrence stays, by document id and line number. What is a link depends on ``distance``:
-
-* A number: the 64-bit SimHashes of the words differ in at most ``DISTANCE`` bits, and the
-  normalised lines have an edit similarity of ``SIMILARITY`` or more. Such SimHashes agree in at
-  least two of five blocks, so lines meet on the pairs of blocks.
-* ``None`` (the query op9; the pipeline keeps the number): the edit similarity alone. One replaced word flips more
-  than ``DISTANCE`` bits of most lines, and no block of 64 bits outlasts what it takes to reach
-  them, so lines meet on MinHash bands of their character grams instead: three characters and
-  rows of three for lines under ``MIDDLE`` characters, else five and four. Lines of up to 19
-  characters differ in one edit at most and meet on an intact half, which loses none.
+"""Fuzzy line dedup: lines that meet in buckets, edit similarity, one line per connected group.
+
+Lines are normalised to their words (ASCII letters lower-cased, other ASCII signs and white space
+dropped; with ``fold_digits`` every digit reads as 0). Equal lines are folded first. Two lines are
+linked if the edit similarity of their normalised forms is ``SIMILARITY`` or more; of each
+connected group the first occurrence stays, by document id and line number. The query and the
+pipeline use this one definition.
+
+The dealt SimHash with pigeonhole blocks finds too few of these links (one replaced word flips
+eight bits of a ten-word line), so lines meet on MinHash bands of their character grams instead:
+three characters and rows of three for lines under ``MIDDLE`` characters, else five and four.
+Lines of up to 19 characters differ in one edit at most and meet on an intact half. A bucket
+entry carries the line's length and a sketch, a bit per minimum; pairs whose lengths or, from
+``MIDDLE`` characters on, sketches rule the similarity out are dropped where they meet. Buckets of
+up to ``SMALL_BUCKET`` lines give all other pairs; in larger ones hubs are compared with the members
+round by round, and members that one component holds already are left alone.
 
 Defined cases: lines without words (and so null or empty texts) always stay; a document
 whose every line went is left with an empty text; rows that share an id get the verdicts of
@@ -22,57 +24,53 @@ empty result; extra columns pass through ``drop_repeated_lines`` unchanged.
 from __future__ import annotations
 
 import zlib
-from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeworks.llm.common import (
     ALNUM_WORDS,
     LOWER,
+    Steps,
     Words,
     if_small,
     mix64,
-    store,
     text_bytes,
     text_slices,
 )
-from lodeworks.llm.graph import components, linked_groups
+from lodeworks.llm.graph import components
 
-BLOCKS = 5
-DISTANCE = 3
 SIMILARITY = 0.9
 # Lines of SHORT[0] to SHORT[1] characters meet on halves, those from MIDDLE on by longer grams.
 # A pair has a tenth of its length for edits, so lines below a limit by that belong to both sides.
 SHORT, MIDDLE = (9, 19), 60
 BANDS, ROWS = 16, 4
 BINS = BANDS * ROWS
-# Buckets up to this size are compared where they lie, larger ones in rounds of hubs.
+# Characters of a sketch's grams, and the bits of 64 in which alike lines agree at least: chance
+# gives 32, the least similar linked lines about 45 (standard deviation 4).
+SKETCH_GRAM, AGREEING = 4, 40
+# Buckets up to this size give their pairs at once, larger ones in rounds of hubs.
 SMALL_BUCKET = 128
+# Parts a task deals its bucket entries to, per shuffle partition.
+PARTS = 1
 
 _FOLD = LOWER.copy()
 _FOLD[0x30:0x3A] = 0x30
-_EDGES = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
-# For every byte value, its bits as eight counters of one byte each.
-_SPREAD = np.array(
-    [sum(((v >> i) & 1) << (8 * i) for i in range(8)) for v in range(256)], dtype=np.uint64
-)
 _PROBES = np.random.default_rng(12).integers(0, BINS, size=(4096, BINS))
 _STRIDE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def line_table(column: pa.Array):
+def line_table(column: pa.Array, fold_digits: bool = False):
     """Words of all lines; for each line with words its text, its number and its first word."""
     data, offsets = text_bytes(column)
     filled = offsets[:-1][np.diff(offsets) > 0]
     starts = np.unique(np.concatenate((filled, np.flatnonzero(data == 0x0A) + 1)))
     starts = starts[starts < len(data)]
     bounds = np.searchsorted(starts, offsets)
-    words = Words(_FOLD[data], np.append(starts, len(data)), ALNUM_WORDS)
+    words = Words((_FOLD if fold_digits else LOWER)[data], np.append(starts, len(data)), ALNUM_WORDS)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
     number = np.arange(len(starts)) - bounds[:-1][text]
     spoken = np.flatnonzero(words.counts > 0)
@@ -89,26 +87,6 @@ def line_keys(words: Words, spoken: np.ndarray) -> np.ndarray:
     return mix64(np.add.reduceat(turned, first)).view(np.int64)
 
 
-def simhashes(words: Words, spoken: np.ndarray) -> np.ndarray:
-    """The majority bit of the word hashes of each line (ties are 0)."""
-    if not len(spoken):
-        return np.empty(0, np.int64)
-    first, counts = words.bounds[:-1][spoken], words.counts[spoken]
-    # Counters hold up to 255 words: longer lines are counted in parts.
-    parts = -(-counts // 255)
-    line = np.repeat(np.arange(len(spoken)), parts)
-    part = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-    cuts = first[line] + 255 * part
-    heads = np.flatnonzero(part == 0)
-    octets = words.hashes.view(np.uint8).reshape(-1, 8)
-    bits = np.empty((len(spoken), 64), dtype=bool)
-    for i in range(8):
-        sums = np.add.reduceat(_SPREAD[octets[:, i]], cuts).view(np.uint8).reshape(-1, 8)
-        ones = np.add.reduceat(sums.astype(np.int32), heads, axis=0)
-        bits[:, 8 * i : 8 * i + 8] = 2 * ones > counts[:, None]
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
-
-
 def lengths(words: Words, spoken: np.ndarray) -> np.ndarray:
     """The characters of each normalised line."""
     # All but the continuation bytes of UTF-8 begin a character.
@@ -157,6 +135,25 @@ def minima(chars: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return given.reshape(lines, BINS)
 
 
+def line_letters(words: Words, spoken: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of all words, and where each line's letters start and how many it has."""
+    before = np.concatenate(([0], np.cumsum(words.ends - words.starts)))
+    start = before[words.bounds[:-1][spoken]]
+    return words.data[ALNUM_WORDS[words.data]], start, before[words.bounds[1:][spoken]] - start
+
+
+def minima_of(words: Words, spoken: np.ndarray, gram: int) -> np.ndarray:
+    letters, start, n = line_letters(words, spoken)
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+    return minima(letters[at], n, gram)
+
+
+def sketches(words: Words, spoken: np.ndarray) -> np.ndarray:
+    """One bit of each minimum of the line's grams."""
+    bits = (minima_of(words, spoken, SKETCH_GRAM) & np.uint64(1)).astype(bool)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def meeting_keys(words: Words, spoken: np.ndarray, size: np.ndarray) -> pa.Array:
     """The buckets of each line of ``size`` characters: halves of short lines, bands of others."""
     pieces = []
@@ -168,18 +165,13 @@ def meeting_keys(words: Words, spoken: np.ndarray, size: np.ndarray) -> pa.Array
         spans = zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), strict=True)
         halves += half_keys(b" ".join(raw[s:e] for s, e in spans))
     pieces.append((np.repeat(short, 4), np.array(halves, np.int32)))
-    bytes_before = np.concatenate(([0], np.cumsum(words.ends - words.starts)))
-    letters = words.data[ALNUM_WORDS[words.data]]
     for kind, (low, high, gram, rows) in enumerate(
         ((SHORT[1] - 1, MIDDLE, 3, 3), (MIDDLE * 9 // 10, np.inf, 5, ROWS))
     ):
         some = np.flatnonzero((size >= low) & (size < high))
         if not len(some):
             continue
-        a = bytes_before[words.bounds[:-1][spoken[some]]]
-        n = bytes_before[words.bounds[1:][spoken[some]]] - a
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-        values = minima(letters[at], n, gram).reshape(-1, BANDS, ROWS)
+        values = minima_of(words, spoken[some], gram).reshape(-1, BANDS, ROWS)
         band = np.broadcast_to(
             np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS * kind), values.shape[:2]
         )
@@ -194,24 +186,57 @@ def meeting_keys(words: Words, spoken: np.ndarray, size: np.ndarray) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[by]))
 
 
-def occurrences(distance):
+def occurrences(fold_digits: bool):
+    def run(batches):
+        for part in text_slices(batches):
+            words, text, number, spoken, _ = line_table(part.column("text"), fold_digits)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(pa.array(text)), pa.array(number.astype(np.int32)),
+                 pa.array(line_keys(words, spoken))],
+                ["doc_id", "line", "key"],
+            )
+
+    return run
+
+
+ENTRY = np.dtype([("bucket", "<u4"), ("id", "<i8"), ("size", "<u4"), ("sketch", "<u8")])
+
+
+def bucket_entries(parts: int, fold_digits: bool):
+    """The bucket entries of the lines, packed: one binary per part of the buckets and slice."""
+
     def run(batches):
         for part in text_slices(batches):
-            words, text, number, spoken, _ = line_table(part.column("text"))
-            columns = [part.column("doc_id").take(pa.array(text)), pa.array(number.astype(np.int32)),
-                       pa.array(line_keys(words, spoken))]
-            if distance is None:
-                size = lengths(words, spoken)
-                columns += [pa.array(size), meeting_keys(words, spoken, size)]
-            else:
-                columns.append(pa.array(simhashes(words, spoken)))
-            names = ["doc_id", "line", "key", "sim", "met"]
-            yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
+            words, _, _, spoken, _ = line_table(part.column("text"), fold_digits)
+            key, first = np.unique(line_keys(words, spoken), return_index=True)
+            spoken = spoken[first]
+            size = lengths(words, spoken)
+            met = meeting_keys(words, spoken, size)
+            held = np.diff(met.offsets.to_numpy())
+            entries = np.empty(int(held.sum()), ENTRY)
+            entries["bucket"] = met.values.to_numpy()
+            for name, values in (("id", key), ("size", size), ("sketch", sketches(words, spoken))):
+                entries[name] = np.repeat(values, held)
+            to = entries["bucket"] % parts
+            entries = entries[np.argsort(to, kind="stable")]
+            ends = np.cumsum(np.bincount(to, minlength=parts))
+            some = [p for p in range(parts) if ends[p] > (ends[p - 1] if p else 0)]
+            packed = [entries[ends[p - 1] if p else 0 : ends[p]].tobytes() for p in some]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int32()), pa.array(packed, pa.binary())], ["part", "entries"]
+            )
+
+    return run
+
+
+def wanted_lines(fold_digits: bool):
+    def run(batches):
+        yield from _wanted_lines(batches, fold_digits)
 
     return run
 
 
-def wanted_lines(batches):
+def _wanted_lines(batches, fold_digits):
     """The normalised form of the lines of ``wanted`` (``line, key``) of each document."""
     for part in text_slices(batches):
         keys, lines = [], []
@@ -223,7 +248,7 @@ def wanted_lines(batches):
                 if w["line"] < len(own):
                     keys.append(w["key"])
                     lines.append(own[w["line"]])
-        words, _, _, _, bounds = line_table(pa.array(lines, pa.string()))
+        words, _, _, _, bounds = line_table(pa.array(lines, pa.string()), fold_digits)
         raw = words.data.tobytes()
         spans = [raw[s:e] for s, e in zip(words.starts.tolist(), words.ends.tolist(), strict=True)]
         ends = words.bounds[bounds].tolist()
@@ -233,187 +258,134 @@ def wanted_lines(batches):
         )
 
 
-def block_keys(sim: str):
-    """One key per pair of blocks: a hash of its number and the bits of both blocks."""
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(_EDGES[:-1], _EDGES[1:], strict=True)]
-    keys = []
-    for number, chosen in enumerate(combinations(masks, BLOCKS - DISTANCE)):
-        mask = sum(chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        hashed = F.xxhash64(F.lit(number), F.col(sim).bitwiseAND(F.lit(signed)))
-        keys.append(hashed.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    return F.array(*keys)
+def may_link(a, b) -> np.ndarray:
+    """Whether lengths and sketches of the entries leave the edit similarity open."""
+    longer = np.maximum(a["size"], b["size"]).astype(np.int64)
+    apart = np.abs(a["size"].astype(np.int64) - b["size"].astype(np.int64))
+    alike = np.bitwise_count(a["sketch"] ^ b["sketch"]) <= 64 - AGREEING
+    return (10 * apart <= longer) & (alike | (longer < MIDDLE))
 
 
-def near_pairs(bucket, id_, sim, distance) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one bucket whose SimHashes differ in at most ``distance`` bits; without a distance,
-    whose lengths allow the edit similarity."""
+def near_pairs(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of entries of one bucket, sorted by it, that may be linked."""
     left, right = [], []
-    for gap in range(1, len(bucket)):
-        at = np.flatnonzero(bucket[gap:] == bucket[:-gap])
+    for gap in range(1, len(entries)):
+        at = np.flatnonzero(entries["bucket"][gap:] == entries["bucket"][:-gap])
         if not len(at):
             break
-        if distance is None:
-            longer = np.maximum(sim[at], sim[at + gap])
-            at = at[10 * np.abs(sim[at] - sim[at + gap]) <= longer]
-        else:
-            # Of a signed integer numpy counts the bits of the magnitude.
-            apart = (sim[at] ^ sim[at + gap]).view(np.uint64)
-            at = at[np.bitwise_count(apart) <= distance]
-        left.append(np.minimum(id_[at], id_[at + gap]))
-        right.append(np.maximum(id_[at], id_[at + gap]))
+        a, b = entries[at], entries[at + gap]
+        open_ = may_link(a, b)
+        left.append(np.minimum(a["id"], b["id"])[open_])
+        right.append(np.maximum(a["id"], b["id"])[open_])
     none = np.empty(0, np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def bucket_reader(limit: int, distance):
-    def read(batches):
-        """Streams sorted buckets: near pairs of the small ones (``bucket`` null), and the members
-        of the large ones as ``bucket, a``."""
-        names = ("bucket", "id", "sim")
-        held = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
-        large = None
-
-        def emit(bucket, a, b):
-            kinds = [pa.int32(), pa.int64(), pa.int64()]
-            columns = [pa.nulls(len(a), k) if c is None else pa.array(c, k)
-                       for c, k in zip((bucket, a, b), kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "a", "b"])
-
-        def settle(rows):
-            bucket, id_, sim = rows
-            change = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-            runs = np.diff(np.r_[0, change, len(bucket)])
-            size = np.repeat(runs, runs)
-            some = (size > 1) & (size <= limit)
-            yield emit(None, *near_pairs(bucket[some], id_[some], sim[some], distance))
-            most = size > limit
-            yield emit(bucket[most], id_[most], None)
+def bucket_reader(limit: int):
+    """Per part: pairs of its small buckets (``bucket`` null), the members of its large ones."""
+
+    def settle(packed):
+        entries = np.sort(np.frombuffer(b"".join(packed), ENTRY), order=("bucket", "id"))
+        again = (entries["bucket"][1:] == entries["bucket"][:-1]) & (entries["id"][1:] == entries["id"][:-1])
+        entries = entries[np.concatenate(([True], ~again))]
+        change = np.flatnonzero(entries["bucket"][1:] != entries["bucket"][:-1]) + 1
+        runs = np.diff(np.r_[0, change, len(entries)])
+        size = np.repeat(runs, runs)
+        a, b = near_pairs(entries[(size > 1) & (size <= limit)])
+        pair = np.unique(np.stack((a, b), axis=1), axis=0)
+        large = entries[size > limit]
+        none, many = len(pair), len(large)
+        columns = {
+            "bucket": pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(large["bucket"].astype(np.int64))]),
+            "a": pa.array(np.concatenate((pair[:, 0], large["id"]))),
+            "b": pa.concat_arrays([pa.array(pair[:, 1]), pa.nulls(many, pa.int64())]),
+            "size": pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(large["size"].astype(np.int64))]),
+            "sketch": pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(large["sketch"].view(np.int64))]),
+        }
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
+    def read(batches):
+        at, held = None, []
         for batch in batches:
-            rows = [np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, names, strict=True)]
-            if not len(rows[0]):
-                continue
-            if large is not None:
-                on = int(np.searchsorted(rows[0], large, side="right"))
-                yield emit(rows[0][:on], rows[1][:on], None)
-                rows = [r[on:] for r in rows]
-                if not len(rows[0]):
-                    held = rows
-                    continue
-                large = None
-            last = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
-            yield from settle([r[:last] for r in rows])
-            held = [r[last:] for r in rows]
-            if len(held[0]) > limit:
-                # A large bucket goes on: its members pass through as they come.
-                large = held[0][0]
-                yield emit(held[0], held[1], None)
-                held = [h[:0] for h in held]
-        yield from settle(held)
+            for part, entries in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                if held and part != at:
+                    yield from settle(held)
+                    held = []
+                at = part
+                held.append(entries)
+        if held:
+            yield from settle(held)
 
     return read
 
 
 def repeated_lines(
-    documents: DataFrame, small_bucket: int = SMALL_BUCKET, distance: int | None = DISTANCE
+    documents: DataFrame, steps: Steps, small_bucket: int = SMALL_BUCKET, fold_digits: bool = False
 ) -> DataFrame:
-    """``doc_id, lines``: the numbers of the lines to remove from each document.
-
-    ``sim`` is the SimHash of a line, or without a distance its length.
-    """
-    extra = ", met array<int>" if distance is None else ""
+    """``doc_id, lines``: the numbers of the lines to remove from each document."""
+    spark = documents.sparkSession
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = store(
-        docs.mapInArrow(occurrences(distance), f"doc_id long, line int, key long, sim long{extra}"),
-        "lines",
+    lines = steps.store(
+        docs.mapInArrow(occurrences(fold_digits), "doc_id long, line int, key long"), "lines"
     )
-    distinct = store(
-        lines.groupBy("key").agg(
-            F.min(F.struct("doc_id", "line")).alias("first"),
-            F.max("sim").alias("sim"),
-            (F.min(F.struct("doc_id", "line")) < F.max(F.struct("doc_id", "line"))).alias("again"),
-            *([F.first("met").alias("met")] if extra else []),
-        ),
+    place = F.struct("doc_id", "line")
+    distinct = steps.store(
+        lines.groupBy("key").agg(F.min(place).alias("first"), (F.min(place) < F.max(place)).alias("again")),
         "distinct",
     )
-    sims = distinct.select(F.col("key").alias("id"), "sim")
-    met = store(
-        distinct.withColumnRenamed("key", "id")
-        .select(F.explode(block_keys("sim") if distance is not None else F.array_distinct("met")).alias("bucket"), "id", "sim")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket", "id")
-        .mapInArrow(bucket_reader(small_bucket, distance), "bucket int, a long, b long"),
+    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = steps.store(
+        docs.mapInArrow(bucket_entries(parts, fold_digits), "part int, entries binary")
+        .repartition(parts, "part")
+        .sortWithinPartitions("part")
+        .mapInArrow(bucket_reader(small_bucket), "bucket long, a long, b long, size long, sketch long"),
         "met",
     )
+    near = steps.store(met.where("bucket is null").select("a", "b").distinct(), "near")
+    large = steps.store(
+        met.where("bucket is not null").select("bucket", F.col("a").alias("id"), "size", "sketch"), "large"
+    )
 
-    known: list[DataFrame] = []
-
-    def fetch(near: DataFrame) -> DataFrame:
-        """The normalised lines of the pairs, read where they first occur."""
-        wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        for texts in known:
-            wanted = wanted.join(texts, "id", "left_anti")
-        by_doc = store(
-            wanted.join(distinct.select(F.col("key").alias("id"), "first"), "id")
-            .groupBy(F.col("first.doc_id").alias("_id"))
-            .agg(F.collect_list(F.struct("first.line", F.col("id").alias("key"))).alias("wanted")),
-            "wanted",
-        )
-        if not by_doc.isEmpty():
-            found = docs.join(if_small(by_doc, 16 * F.size("wanted")), F.col("doc_id") == F.col("_id"))
-            known.append(
-                store(
-                    found.select("text", "wanted")
-                    .mapInArrow(wanted_lines, "id long, line binary")
-                    .groupBy("id")
-                    .agg(F.max("line").cast("string").alias("line")),
-                    "texts",
-                )
-            )
-        return reduce(DataFrame.unionByName, known)
+    # The normalised lines of all that may be linked, read once where they first occur.
+    wanted = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
+    by_doc = steps.store(
+        wanted.join(distinct.select(F.col("key").alias("id"), "first"), "id")
+        .groupBy(F.col("first.doc_id").alias("_id"))
+        .agg(F.collect_list(F.struct("first.line", F.col("id").alias("key"))).alias("wanted")),
+        "wanted",
+    )
+    texts = steps.store(
+        docs.join(if_small(by_doc, 16 * F.size("wanted")), F.col("doc_id") == F.col("_id"))
+        .select("text", "wanted")
+        .mapInArrow(wanted_lines(fold_digits), "id long, line binary")
+        .groupBy("id")
+        .agg(F.max("line").cast("string").alias("line")),
+        "texts",
+    )
 
-    def alike(near: DataFrame) -> DataFrame:
+    def alike(pairs: DataFrame) -> DataFrame:
         """The pairs whose normalised lines are similar enough."""
-        if near.isEmpty():
-            return near
-        texts = fetch(near)
         longer = F.greatest(F.length("la"), F.length("lb"))
+        # The cost grows with the limit, and most pairs are within a few edits.
+        within = """levenshtein(la, lb, least(most, 16)) >= 0
+            or (most > 16 and levenshtein(la, lb, least(most, 64)) >= 0)
+            or (most > 64 and levenshtein(la, lb, most) >= 0)"""
         return (
-            near.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
+            pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
             .withColumn("most", F.floor(longer * F.lit(round(1 - SIMILARITY, 6))).cast("int"))
-            # The cost grows with the limit, and most pairs are within a few edits.
-            .where(
-                F.expr(
-                    "levenshtein(la, lb, least(most, 16)) >= 0 or "
-                    "levenshtein(la, lb, least(most, 64)) >= 0 or levenshtein(la, lb, most) >= 0"
-                )
-            )
+            .where(F.expr(within))
             .select("a", "b")
         )
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = sims.select(F.col("id").alias("a"), F.col("sim").alias("sa"))
-        b = sims.select(F.col("id").alias("b"), F.col("sim").alias("sb"))
-        if distance is None:
-            close = 10 * F.abs(F.col("sa") - F.col("sb")) <= F.greatest("sa", "sb")
-        else:
-            close = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= distance
-        near = pairs.join(a, "a").join(b, "b").where(close).select("a", "b")
-        return alike(store(near, "near"))
-
-    near = store(met.where("bucket is null").select("a", "b").distinct(), "near")
-    links = store(alike(near), "links")
-    large = met.where("bucket is not null").select("bucket", F.col("a").alias("id"))
+    links = steps.store(alike(near), "links")
     if not large.isEmpty():
-        found = linked_groups(large, verify)
-        links = links.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
-    groups = store(components(links), "groups")
+        links = bucket_links(large, links, alike, steps)
+    groups = steps.store(components(links), "groups")
     grouped = distinct.join(groups.withColumnRenamed("id", "key"), "key")
-    keepers = grouped.groupBy("component").agg(F.min("first").alias("keeper"))
-    marked = store(
-        grouped.join(store(keepers, "keepers"), "component")
+    keepers = steps.store(grouped.groupBy("component").agg(F.min("first").alias("keeper")), "keepers")
+    marked = steps.store(
+        grouped.join(keepers, "component")
         .select("key", "keeper")
         .unionByName(
             distinct.where("again")
@@ -422,16 +394,48 @@ def repeated_lines(
         ),
         "marked",
     )
-    here = F.struct("doc_id", "line")
     return (
-        lines.select("doc_id", "line", "key")
-        .join(marked, "key")
-        .where(here != F.col("keeper"))
+        lines.join(marked, "key")
+        .where(place != F.col("keeper"))
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_set("line")).alias("lines"))
     )
 
 
+def bucket_links(members: DataFrame, links: DataFrame, alike, steps: Steps) -> DataFrame:
+    """``links`` with those inside large buckets (``bucket, id, size, sketch``).
+
+    The 1, 16, 256, ... next hubs of a bucket meet its members; a pair leaves the join only if
+    lengths and sketches leave it open and no component holds both. A bucket whose members lie
+    in one component is done. Near copies are settled by the first hub.
+    """
+    live, passed, width = members, 0, 1
+    while True:
+        groups = steps.store(components(links), "groups")
+        marked = live.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        marked = steps.store(marked, "marked")
+        mixed = marked.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"))
+        mixed = mixed.where((F.col("lo") < F.col("hi")) & (F.col("n") > passed + 1)).select("bucket")
+        live = steps.store(marked.join(mixed, "bucket"), "live")
+        if live.isEmpty():
+            return links
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+        hubs = live.withColumn("rank", rank).where(F.col("rank") <= passed + width)
+        hubs = steps.store(
+            hubs.where(F.col("rank") > passed).select("bucket", *[F.col(x).alias(f"h_{x}") for x in ("id", "size", "sketch", "c")]),
+            "hubs",
+        )
+        longer = F.greatest("size", "h_size")
+        open_ = (F.col("id") > F.col("h_id")) & (F.col("c") != F.col("h_c"))
+        open_ &= 10 * F.abs(F.col("size") - F.col("h_size")) <= longer
+        open_ &= (F.bit_count(F.col("sketch").bitwiseXOR(F.col("h_sketch"))) <= 64 - AGREEING) | (longer < MIDDLE)
+        pairs = live.join(hubs.withColumnRenamed("bucket", "h_bucket"), (F.col("bucket") == F.col("h_bucket")) & open_)
+        pairs = steps.store(pairs.select(F.col("h_id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+        links = steps.store(links.unionByName(alike(pairs)), "links")
+        live = live.drop("c")
+        passed, width = passed + width, width * 16
+
+
 def without_lines(batches):
     for batch in batches:
         texts = batch.column("doc").field("text")
@@ -460,11 +464,14 @@ def without_lines(batches):
 
 
 def remove_repeated_lines(
-    documents: DataFrame, small_bucket: int = SMALL_BUCKET, distance: int | None = DISTANCE
+    documents: DataFrame, small_bucket: int = SMALL_BUCKET, fold_digits: bool = False
 ) -> DataFrame:
     """``doc`` (all columns of a document), ``kept`` (its text without the repeated lines),
     ``n_lines`` and ``n_removed``."""
-    removed = store(repeated_lines(documents, small_bucket, distance).withColumnRenamed("doc_id", "_id"), "removed")
+    steps, last = Steps(), Steps()
+    removed = repeated_lines(documents, steps, small_bucket, fold_digits)
+    removed = last.store(removed.withColumnRenamed("doc_id", "_id"), "removed")
+    steps.drop()
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"))
     joined = rows.join(
         if_small(removed, 4 * F.size("lines")), F.col("doc.doc_id") == F.col("_id"), "left"

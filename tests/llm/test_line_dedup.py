@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm.line_dedup import (
     drop_repeated_lines,
+    ENTRY,
     line_keys,
     line_table,
     near_pairs,
     remove_repeated_lines,
-    simhashes,
+    sketches,
 )
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -20,21 +21,41 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 def normal(line):
     line = re.sub("[A-Z]", lambda m: m[0].lower(), line)
-    return " ".join(re.sub("[0-9]", "0", w) for w in WORD.findall(line))
+    return " ".join(WORD.findall(line))
 
 
 def edit(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def sim_of(lines):
-    words, _, _, spoken, _ = line_table(pa.array(lines))
-    return simhashes(words, spoken).tolist()
+    """Edit distance, a column of the table at a time in the bits of whole numbers."""
+    if not a or not b:
+        return len(a) + len(b)
+    at = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score = full, 0, len(a)
+    for y in b:
+        same = at.get(y, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        plus, minus = down | ~(diagonal | up) & full, up & diagonal
+        score += bool(plus & top) - bool(minus & top)
+        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
+        up, down = minus | ~(diagonal | plus) & full, plus & diagonal
+    return score
+
+
+def test_edit_distance_of_the_tests():
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc", k=rng.randrange(12))) for _ in range(2))
+        assert edit(a, b) == table(a, b)
 
 
 def brute(docs):
@@ -46,7 +67,6 @@ def brute(docs):
                 places.append((doc, i, n))
                 first[n] = min(first.get(n, (doc, i)), (doc, i))
     names = list(first)
-    sims = dict(zip(names, sim_of(names), strict=True)) if names else {}
     parent = {n: n for n in names}
 
     def find(x):
@@ -56,8 +76,8 @@ def brute(docs):
 
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
-            near = bin((sims[a] ^ sims[b]) & (2**64 - 1)).count("1") <= 3
-            if near and edit(a, b) <= int(max(len(a), len(b)) * 0.1):
+            most = int(max(len(a), len(b)) * 0.1)
+            if abs(len(a) - len(b)) <= most and edit(a, b) <= most:
                 parent[find(a)] = find(b)
     keeper = {}
     for n in names:
@@ -96,22 +116,28 @@ def test_removed_lines_equal_brute_force(spark, small_bucket):
     assert sorted(tuple(r) for r in got.collect()) == want and gone > 100
 
 
-def test_simhash_is_the_majority_and_counts_long_lines():
+def test_keys_and_sketches_of_lines():
     line = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(1000))
-    words, _, _, spoken, _ = line_table(pa.array(["", "!!", line, "one"]))
-    got = simhashes(words, spoken)
-    own = words.hashes[: words.counts[spoken[0]]]
-    bits = ((own[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).sum(axis=0) * 2 > len(own)
-    assert int(got.view(np.uint64)[0]) == sum(1 << i for i in range(64) if bits[i])
-    assert len(set(line_keys(words, spoken).tolist())) == 2
-
-
-def test_near_pairs_count_the_top_bit():
-    bucket, ids = np.zeros(3, np.int32), np.array([5, 3, 9])
-    sims = np.array([0b111, -(2**63) | 0b110, 2**62 | 0b1000], np.int64)
-    left, right = near_pairs(bucket, ids, sims, 3)
-    assert sorted(zip(left.tolist(), right.tolist(), strict=True)) == [(3, 5)]
-    assert len(near_pairs(bucket, ids, sims, 1)[0]) == 0
+    words, _, _, spoken, _ = line_table(pa.array(["", "!!", line, line.upper() + " !", "one", line + " x"]))
+    keys, marks = line_keys(words, spoken).tolist(), sketches(words, spoken).tolist()
+    assert keys[0] == keys[1] and len(set(keys)) == 3
+    assert marks[0] == marks[1] and bin(marks[0] ^ marks[3]).count("1") <= 3
+
+
+def test_near_pairs_of_a_bucket_go_by_length_and_sketch():
+    entries = np.array(
+        [(1, 5, 100, 0), (1, 3, 100, 2**63 | 3), (1, 9, 100, 2**64 - 1), (1, 7, 80, 0), (2, 8, 100, 0), (3, 1, 30, 0), (3, 2, 30, 2**64 - 1)],
+        ENTRY,
+    )
+    left, right = near_pairs(entries)
+    assert sorted(zip(left.tolist(), right.tolist(), strict=True)) == [(1, 2), (3, 5)]
+
+
+def test_lines_that_differ_in_figures_stay_unless_asked(spark):
+    docs = [(1, "Revenue 2019: 10 of 55"), (2, "Revenue 2020: 35 of 18")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [r.n_removed for r in remove_repeated_lines(df).collect()] == [0, 0]
+    assert sorted(r.n_removed for r in remove_repeated_lines(df, fold_digits=True).collect()) == [0, 1]
 
 
 def test_defined_cases(spark):

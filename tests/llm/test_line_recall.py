@@ -49,7 +49,7 @@ def test_lines_with_one_replaced_word_go(spark):
     docs = [(i, x) for i, x in enumerate(lines + [with_word(rng, x) for x in lines])]
     docs += [(200, "contact us now"), (201, "contact us nov"), (202, "Écrire à Zoé"), (203, "écrire à zoë"), (204, "Écrire a Zoé")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    rows = remove_repeated_lines(df, distance=None).where("n_removed > 0").select("doc.doc_id").collect()
+    rows = remove_repeated_lines(df).where("n_removed > 0").select("doc.doc_id").collect()
     gone = {r.doc_id for r in rows}
     assert len([d for d in gone if 60 <= d < 120]) >= 59 and not [d for d in gone if d < 60]
     assert 201 in gone and 200 not in gone
