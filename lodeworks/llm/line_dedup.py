@@ -43,7 +43,9 @@ from lodeworks.llm.common import (
 )
 from lodeworks.llm.graph import components
 
-SIMILARITY = 0.9
+# Edits that leave lines similar, in tenths of the longer one.
+TENTHS = 1
+SIMILARITY = 1 - TENTHS / 10
 # Lines of SHORT[0] to SHORT[1] characters meet on halves, those from MIDDLE on by longer grams.
 # A pair has a tenth of its length for edits, so lines below a limit by that belong to both sides.
 SHORT, MIDDLE = (9, 19), 60
@@ -258,6 +260,58 @@ def _wanted_lines(batches, fold_digits):
         )
 
 
+def common_start(a: str, b: str) -> int:
+    """Characters at the start that both share, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether at most ``most`` edits part the texts (Myers' bit vectors over what differs)."""
+    start = common_start(a, b)
+    a, b = a[start:], b[start:]
+    end = common_start(a[::-1], b[::-1])
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if abs(len(a) - len(b)) > most or not a or not b:
+        return max(len(a), len(b)) <= most
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score = full, 0, len(a)
+    for left, y in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        same = at.get(y, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        plus, minus = down | ~(diagonal | up) & full, up & diagonal
+        if plus & top:
+            score += 1
+        elif minus & top:
+            score -= 1
+        # What is left can take one edit back per character.
+        if score - left > most:
+            return False
+        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
+        up, down = minus | ~(diagonal | plus) & full, plus & diagonal
+    return score <= most
+
+
+def linked(batches):
+    """The pairs whose lines, ``la`` and ``lb``, are similar enough."""
+    for batch in batches:
+        lines = zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist(), strict=True)
+        # The quotient is exact where a tenth of the length is whole.
+        keep = [within(a, b, max(len(a), len(b)) * TENTHS // 10) for a, b in lines]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"]
+        )
+
+
 def may_link(a, b) -> np.ndarray:
     """Whether lengths and sketches of the entries leave the edit similarity open."""
     longer = np.maximum(a["size"], b["size"]).astype(np.int64)
@@ -365,17 +419,10 @@ def repeated_lines(
 
     def alike(pairs: DataFrame) -> DataFrame:
         """The pairs whose normalised lines are similar enough."""
-        longer = F.greatest(F.length("la"), F.length("lb"))
-        # The cost grows with the limit, and most pairs are within a few edits.
-        within = """levenshtein(la, lb, least(most, 16)) >= 0
-            or (most > 16 and levenshtein(la, lb, least(most, 64)) >= 0)
-            or (most > 64 and levenshtein(la, lb, most) >= 0)"""
         return (
             pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-            .withColumn("most", F.floor(longer * F.lit(round(1 - SIMILARITY, 6))).cast("int"))
-            .where(F.expr(within))
-            .select("a", "b")
+            .mapInArrow(linked, "a long, b long")
         )
 
     links = steps.store(alike(near), "links")
