@@ -103,16 +103,25 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
 
 
+def trim_spaces(c: Column | str) -> Column:
+    """Trim space separators only, as SQL's ``trim`` does."""
+    return F.regexp_replace(col(c), r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def title_case(c: Column | str) -> Column:
     """Capitalise after every non-letter, not only after spaces."""
     parts = F.regexp_extract_all(F.lower(col(c)), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
     return F.array_join(F.transform(parts, F.initcap), "")
 
 
+def number_of(c: Column | str) -> Column:
+    """Number-like text, with commas or a dollar sign, to a double; null if unreadable."""
+    return F.regexp_replace(F.trim(col(c).cast("string")), r"[,$]", "").try_cast("double")
+
+
 def safe_int(c: Column | str) -> Column:
     """Number-like text to a whole number, truncated toward zero; null if unreadable."""
-    plain = F.regexp_replace(F.trim(col(c).cast("string")), r"[,$]", "")
-    return plain.try_cast("double").try_cast("bigint")
+    return number_of(c).try_cast("bigint")
 
 
 def positive_int(c: Column | str) -> Column:
@@ -120,6 +129,11 @@ def positive_int(c: Column | str) -> Column:
     return F.when(value > 0, value)
 
 
+def whole_amount(c: Column | str) -> Column:
+    """Whole part of an amount above zero: 0 for less than one, null for none or a negative one."""
+    return F.when(number_of(c) > 0, safe_int(c))
+
+
 def lookup(mapping: dict[str, str], key: Column) -> Column:
     """Value of a small parameter map, null when the key is unknown."""
     flat: list[Column] = []

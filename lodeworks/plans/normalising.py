@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import names as M
 from lodeworks.functions import normalize as N
-from lodeworks.functions.exprs import positive_int, safe_int, title_case, trimmed
+from lodeworks.functions.exprs import positive_int, safe_int, title_case, trimmed, whole_amount
 from lodeworks.functions.web import bare_host, flattened_url, normalize_url, prefixed_url, site_root
 from lodeworks.plans.filtering import LINES, WORDS, text_lines
 from lodeworks.plans.registry import query, sql_in, table
@@ -541,7 +541,7 @@ def filing_flatten(spark, sf):
         F.lpad(crd, 10, "0").alias("filing_id"),
         F.trim("r.Info.BusNm").alias("name"),
         F.col("r.MainAddr.City").alias("city"),
-        F.coalesce(positive_int("r.Item5F.Q5F2C"), positive_int("r.Item5F.Q5F2A")).alias("aum_usd"),
+        F.coalesce(whole_amount("r.Item5F.Q5F2C"), whole_amount("r.Item5F.Q5F2A")).alias("aum_usd"),
         F.get("r.WebAddrs", F.lit(0)).alias("website"),
         F.array_join(funds, "; ").alias("funds"),
         F.concat(F.lit("https://filings.example.com/"), crd).alias("filing_url"),
