@@ -20,6 +20,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -581,6 +583,117 @@ def scored_soft_pairs(people: DataFrame, offers: DataFrame, vocab: MatchVocab) -
     return soft_scores(gates(blocked_pairs(asked, offered)), vocab)
 
 
+# Vectors of one side that one task compares with as many of the other side.
+VECTOR_BLOCK = 2048
+PAIR_ROWS = "i long, j long, kind int, a long, b long, vec array<double>"
+
+
+def word_counts(soft: DataFrame, asks: DataFrame, held: DataFrame) -> DataFrame:
+    """``s, n`` of the scored pairs that are compared by words: all but those with two vectors.
+
+    Pairs are added up per soft signature and word set, so that each two word sets meet once.
+    """
+    vectors = F.count("profile_vec"), F.count("firm_vec")
+    asks = asks.groupBy("psoft", "profile_tokens").agg(F.count("*").alias("np"), vectors[0].alias("pv"))
+    held = held.groupBy("fsoft", "firm_tokens").agg(F.count("*").alias("nf"), vectors[1].alias("fv"))
+    reached = soft.join(held, "fsoft").groupBy("psoft", "firm_tokens").agg(F.sum("nf").alias("nf"), F.sum("fv").alias("fv"))
+    met = (
+        reached.join(asks, "psoft")
+        .groupBy("profile_tokens", "firm_tokens")
+        .agg(F.sum(F.col("np") * F.col("nf") - F.col("pv") * F.col("fv")).alias("n"))
+        .filter("n > 0")
+    )
+    return met.groupBy(round_to(similarity(False), 4).alias("s")).agg(F.sum("n").alias("n"))
+
+
+def in_blocks(rows: DataFrame, soft: str, block: str) -> DataFrame:
+    """Rows of vectors dealt by soft signature to blocks of about ``VECTOR_BLOCK``; a large signature gets several."""
+    sizes = rows.groupBy(soft).agg(F.count("*").alias("_n"))
+    blocks = rows.count() // VECTOR_BLOCK + 1
+    parts = F.ceil(F.col("_n") / VECTOR_BLOCK)
+    return rows.join(sizes, soft).select(
+        F.xxhash64(soft).alias(soft),
+        "vec",
+        (F.pmod(F.xxhash64(soft), F.lit(blocks)) * 1_000_000 + F.pmod(F.xxhash64("vec", "id"), parts)).alias(block),
+    )
+
+
+def vectors_of(rows):
+    """Matrix, norms, lengths (-1 with a null inside) of a column of lists; short rows end in zeros."""
+    rows = rows.combine_chunks()
+    sizes = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = rows.flatten()
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    width = int(sizes.max(initial=0))
+    matrix = np.zeros((len(sizes), width))
+    at = np.repeat(np.arange(len(sizes)), sizes)
+    matrix[at, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
+    holes = np.zeros(len(sizes), bool)
+    holes[at[flat.is_null().to_numpy(zero_copy_only=False)]] = True
+    matrix[holes] = 0.0
+    return matrix, np.sqrt((matrix * matrix).sum(axis=1)), np.where(holes, -1, sizes)
+
+
+def block_cosines(group):
+    """Counts per scaled cosine (four decimals) over the scored pairs of two blocks of vectors."""
+    kind = group["kind"].to_numpy()
+    asked, held, scored = (group.filter(pa.array(kind == k)) for k in range(3))
+    pm, pn, pl = vectors_of(asked["vec"])
+    fm, fn, fl = vectors_of(held["vec"])
+    width = max(pm.shape[1], fm.shape[1])
+    pm, fm = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (pm, fm))
+    psoft, fsoft = asked["a"].to_numpy(), held["b"].to_numpy()
+    by_soft, by_ask = np.argsort(fsoft, kind="stable"), np.argsort(psoft, kind="stable")
+    ranked, told = fsoft[by_soft], psoft[by_ask]
+    a, b = scored["a"].to_numpy(), scored["b"].to_numpy()
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    total = np.zeros(10_001, np.int64)
+    names, starts = np.unique(a, return_index=True)
+    for name, start, end in zip(names, starts, [*starts[1:], len(a)], strict=True):
+        own = by_ask[np.searchsorted(told, name) : np.searchsorted(told, name, "right")]
+        lo, hi = np.searchsorted(ranked, b[start:end]), np.searchsorted(ranked, b[start:end], "right")
+        at = by_soft[np.repeat(hi - np.cumsum(hi - lo), hi - lo) + np.arange((hi - lo).sum())]
+        if not len(own) or not len(at):
+            continue
+        with np.errstate(all="ignore"):
+            norm = pn[own][:, None] * fn[at][None, :]
+            cos = (pm[own] @ fm[at].T) / norm
+        none = (norm == 0) | (pl[own][:, None] != fl[at][None, :])
+        # As the column functions have it: no cosine counts as 0, one that is no number as the highest.
+        scaled = np.clip((np.where(none, 0.0, np.where(np.isnan(cos), np.inf, cos)) - 0.20) / 0.25, 0.0, 1.0)
+        total += np.bincount(np.floor(scaled * 10_000 + 0.5).astype(np.int64).ravel(), minlength=10_001)
+    found = np.flatnonzero(total)
+    return pa.table({"s": found / 10_000.0, "n": total[found]})
+
+
+def vector_counts(soft: DataFrame, asks: DataFrame, held: DataFrame) -> DataFrame:
+    """``s, n`` of the scored pairs that have a vector on both sides.
+
+    Blocks of profiles and firms meet in one task each, with the soft pairs between them; a
+    task multiplies two matrices of ``VECTOR_BLOCK`` rows and returns 10,001 counts at most.
+    """
+    asks = asks.filter("profile_vec is not null")
+    held = held.filter("firm_vec is not null")
+    kind = "array<double>"
+    asks = cut_lineage(in_blocks(asks.select("psoft", "id", F.col("profile_vec").cast(kind).alias("vec")), "psoft", "i"))
+    held = cut_lineage(in_blocks(held.select("fsoft", "id", F.col("firm_vec").cast(kind).alias("vec")), "fsoft", "j"))
+    scored = cut_lineage(
+        soft.select(F.xxhash64("psoft").alias("psoft"), F.xxhash64("fsoft").alias("fsoft"))
+        .join(asks.select("psoft", "i").distinct(), "psoft")
+        .join(held.select("fsoft", "j").distinct(), "fsoft")
+    )
+    meet = scored.select("i", "j").distinct()
+    none = F.lit(None)
+    rows = (
+        asks.join(meet, "i").select("i", "j", F.lit(0), "psoft", none.cast("long"), "vec")
+        .union(held.join(meet, "j").select("i", "j", F.lit(1), none.cast("long"), "fsoft", "vec"))
+        .union(scored.select("i", "j", F.lit(2), "psoft", "fsoft", none.cast(kind)))
+        .toDF(*[f.split()[0] for f in PAIR_ROWS.split(", ")])
+    )
+    return rows.groupBy("i", "j").applyInArrow(block_cosines, "s double, n long").groupBy("s").agg(F.sum("n").alias("n"))
+
+
 def semantic_stats(
     profiles: DataFrame, firms: DataFrame, vocab: MatchVocab, firm_vectors: DataFrame, profile_vectors: DataFrame
 ) -> DataFrame:
@@ -593,29 +706,30 @@ def semantic_stats(
     people = cut_lineage(profile_features(accepted, vocab))
     offers = cut_lineage(firm_features(firms, vocab).select("firm_id", "fsoft", "f", "thesis_text"))
     soft = cut_lineage(scored_soft_pairs(people, offers, vocab).select("psoft", "fsoft"))
-    asks = (
+    asks = cut_lineage(
         people.select("profile_id", "psoft")
         .join(profiles.select("profile_id", "narrative_text"), "profile_id")
         .join(profile_vectors.select("profile_id", F.col("vec").alias("profile_vec")), "profile_id", "left")
         .select(
             "psoft",
+            F.col("profile_id").alias("id"),
             "profile_vec",
             X.token_set(F.coalesce("narrative_text", F.lit("")), vocab.stopwords).alias("profile_tokens"),
         )
     )
-    held = offers.join(firm_vectors.select("firm_id", F.col("vec").alias("firm_vec")), "firm_id", "left").select(
-        "fsoft",
-        "firm_vec",
-        X.token_set(F.coalesce("thesis_text", F.lit("")), vocab.stopwords).alias("firm_tokens"),
+    held = cut_lineage(
+        offers.join(firm_vectors.select("firm_id", F.col("vec").alias("firm_vec")), "firm_id", "left").select(
+            "fsoft",
+            F.col("firm_id").alias("id"),
+            "firm_vec",
+            X.token_set(F.coalesce("thesis_text", F.lit("")), vocab.stopwords).alias("firm_tokens"),
+        )
     )
-    # Rows that agree in all that is compared are one row with a count.
-    asks = cut_lineage(asks.groupBy(*asks.columns).agg(F.count("*").alias("np")))
-    held = cut_lineage(held.groupBy(*held.columns).agg(F.count("*").alias("nf")))
     values = (
-        soft.join(asks, "psoft")
-        .join(held, "fsoft")
-        .groupBy(round_to(similarity(True), 4).alias("s"))
-        .agg(F.sum(F.col("np") * F.col("nf")).alias("n"))
+        word_counts(soft, asks, held)
+        .unionByName(vector_counts(soft, asks, held))
+        .groupBy("s")
+        .agg(F.sum("n").alias("n"))
     )
     values = cut_lineage(values)
     up_to = Window.partitionBy().orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
