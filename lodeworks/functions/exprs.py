@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,6 +88,11 @@ def labels(pairs: Iterable[tuple[Column, str]]) -> Column:
     return F.array_compact(F.array(*[keep_if(c, v) for c, v in pairs]))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, also where lambdas use it again and again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(c: Column | str) -> Column:
     """Whitespace split without empty parts."""
     return F.filter(F.split(col(c), r"\s+"), lambda w: w != "")
