@@ -618,53 +618,57 @@ def in_blocks(rows: DataFrame, soft: str, block: str) -> DataFrame:
     )
 
 
-def vectors_of(rows):
-    """Matrix, norms, lengths (-1 with a null inside) of a column of lists; short rows end in zeros."""
-    rows = rows.combine_chunks()
-    sizes = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = rows.flatten()
-    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
-    width = int(sizes.max(initial=0))
-    matrix = np.zeros((len(sizes), width))
-    at = np.repeat(np.arange(len(sizes)), sizes)
-    matrix[at, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
-    holes = np.zeros(len(sizes), bool)
-    holes[at[flat.is_null().to_numpy(zero_copy_only=False)]] = True
-    matrix[holes] = 0.0
-    return matrix, np.sqrt((matrix * matrix).sum(axis=1)), np.where(holes, -1, sizes)
-
-
-def block_cosines(group):
-    """Counts per scaled cosine (four decimals) over the scored pairs of two blocks of vectors."""
-    kind = group["kind"].to_numpy()
-    asked, held, scored = (group.filter(pa.array(kind == k)) for k in range(3))
-    pm, pn, pl = vectors_of(asked["vec"])
-    fm, fn, fl = vectors_of(held["vec"])
-    width = max(pm.shape[1], fm.shape[1])
-    pm, fm = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (pm, fm))
-    psoft, fsoft = asked["a"].to_numpy(), held["b"].to_numpy()
-    by_soft, by_ask = np.argsort(fsoft, kind="stable"), np.argsort(psoft, kind="stable")
-    ranked, told = fsoft[by_soft], psoft[by_ask]
-    a, b = scored["a"].to_numpy(), scored["b"].to_numpy()
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order]
-    total = np.zeros(10_001, np.int64)
-    names, starts = np.unique(a, return_index=True)
-    for name, start, end in zip(names, starts, [*starts[1:], len(a)], strict=True):
-        own = by_ask[np.searchsorted(told, name) : np.searchsorted(told, name, "right")]
-        lo, hi = np.searchsorted(ranked, b[start:end]), np.searchsorted(ranked, b[start:end], "right")
-        at = by_soft[np.repeat(hi - np.cumsum(hi - lo), hi - lo) + np.arange((hi - lo).sum())]
-        if not len(own) or not len(at):
-            continue
-        with np.errstate(all="ignore"):
-            norm = pn[own][:, None] * fn[at][None, :]
-            cos = (pm[own] @ fm[at].T) / norm
-        none = (norm == 0) | (pl[own][:, None] != fl[at][None, :])
-        # As the column functions have it: no cosine counts as 0, one that is no number as the highest.
-        scaled = np.clip((np.where(none, 0.0, np.where(np.isnan(cos), np.inf, cos)) - 0.20) / 0.25, 0.0, 1.0)
-        total += np.bincount(np.floor(scaled * 10_000 + 0.5).astype(np.int64).ravel(), minlength=10_001)
-    found = np.flatnonzero(total)
-    return pa.table({"s": found / 10_000.0, "n": total[found]})
+def block_counter():
+    """The task of a pair of blocks; local functions travel to the tasks by value, without this package."""
+
+    def vectors_of(rows):
+        """Matrix, norms, lengths (-1 with a null inside) of a column of lists; short rows end in zeros."""
+        rows = rows.combine_chunks()
+        sizes = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = rows.flatten()
+        values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+        width = int(sizes.max(initial=0))
+        matrix = np.zeros((len(sizes), width))
+        at = np.repeat(np.arange(len(sizes)), sizes)
+        matrix[at, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
+        holes = np.zeros(len(sizes), bool)
+        holes[at[flat.is_null().to_numpy(zero_copy_only=False)]] = True
+        matrix[holes] = 0.0
+        return matrix, np.sqrt((matrix * matrix).sum(axis=1)), np.where(holes, -1, sizes)
+
+    def block_cosines(group):
+        """Counts per scaled cosine (four decimals) over the scored pairs of two blocks of vectors."""
+        kind = group["kind"].to_numpy()
+        asked, held, scored = (group.filter(pa.array(kind == k)) for k in range(3))
+        pm, pn, pl = vectors_of(asked["vec"])
+        fm, fn, fl = vectors_of(held["vec"])
+        width = max(pm.shape[1], fm.shape[1])
+        pm, fm = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (pm, fm))
+        psoft, fsoft = asked["a"].to_numpy(), held["b"].to_numpy()
+        by_soft, by_ask = np.argsort(fsoft, kind="stable"), np.argsort(psoft, kind="stable")
+        ranked, told = fsoft[by_soft], psoft[by_ask]
+        a, b = scored["a"].to_numpy(), scored["b"].to_numpy()
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        total = np.zeros(10_001, np.int64)
+        names, starts = np.unique(a, return_index=True)
+        for name, start, end in zip(names, starts, [*starts[1:], len(a)], strict=True):
+            own = by_ask[np.searchsorted(told, name) : np.searchsorted(told, name, "right")]
+            lo, hi = np.searchsorted(ranked, b[start:end]), np.searchsorted(ranked, b[start:end], "right")
+            at = by_soft[np.repeat(hi - np.cumsum(hi - lo), hi - lo) + np.arange((hi - lo).sum())]
+            if not len(own) or not len(at):
+                continue
+            with np.errstate(all="ignore"):
+                norm = pn[own][:, None] * fn[at][None, :]
+                cos = (pm[own] @ fm[at].T) / norm
+            none = (norm == 0) | (pl[own][:, None] != fl[at][None, :])
+            # As the column functions have it: no cosine counts as 0, one that is no number as the highest.
+            scaled = np.clip((np.where(none, 0.0, np.where(np.isnan(cos), np.inf, cos)) - 0.20) / 0.25, 0.0, 1.0)
+            total += np.bincount(np.floor(scaled * 10_000 + 0.5).astype(np.int64).ravel(), minlength=10_001)
+        found = np.flatnonzero(total)
+        return pa.table({"s": found / 10_000.0, "n": total[found]})
+
+    return block_cosines
 
 
 def vector_counts(soft: DataFrame, asks: DataFrame, held: DataFrame) -> DataFrame:
@@ -691,7 +695,7 @@ def vector_counts(soft: DataFrame, asks: DataFrame, held: DataFrame) -> DataFram
         .union(scored.select("i", "j", F.lit(2), "psoft", "fsoft", none.cast(kind)))
         .toDF(*[f.split()[0] for f in PAIR_ROWS.split(", ")])
     )
-    return rows.groupBy("i", "j").applyInArrow(block_cosines, "s double, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    return rows.groupBy("i", "j").applyInArrow(block_counter(), "s double, n long").groupBy("s").agg(F.sum("n").alias("n"))
 
 
 def semantic_stats(
