@@ -9,7 +9,7 @@ from lodeworks.functions import normalize as N
 from lodeworks.functions.exprs import positive_int, safe_int, title_case, trimmed, whole_amount
 from lodeworks.functions.web import bare_host, flattened_url, normalize_url, prefixed_url, site_root
 from lodeworks.plans.filtering import LINES, WORDS, text_lines
-from lodeworks.plans.registry import query, sql_in, table
+from lodeworks.plans.registry import query, sql_in, table, text_table
 
 TITLE = (
     "array_to_string([upper(w[1]) || lower(w[2:]) for w in regexp_extract_all({0}, '([\\p{{L}}]+|[^\\p{{L}}]+)')], '')"
@@ -443,7 +443,7 @@ def title_name_cleaner(spark, sf):
         .otherwise(F.concat(name, F.lit(" Home - welcome to all")))
     )
     cleaned = M.clean_title_name(raw, RULES, ["direx", "pitch"], ["about", "meet"], ["start page"])
-    return table(spark, sf, "part").select("p_partkey", cleaned.alias("name"))
+    return text_table(spark, sf, "part", "p_partkey").select("p_partkey", cleaned.alias("name"))
 
 
 @query(
