@@ -25,6 +25,10 @@ from lodeworks.session import cut_lineage
 # Names a segment may lie in before it counts as common.
 COMMON = 100
 SPARE = 4
+# A prefix of up to so many names a side gives all their pairs at once: the segments of one name are looked
+# up in about as many places. The names of a prefix are dealt to SALTS tasks.
+BLOCK = 2000
+SALTS = 8
 
 EDIT = "edit"
 RATIO = "ratio"
@@ -48,6 +52,16 @@ def block_ratio(a: str, b: str) -> Column:
     return F.pandas_udf(score, T.DoubleType())(a, b)
 
 
+def ratio_open(a: Column, b: Column, threshold: float) -> Column:
+    """False where the edit distance rules a block ratio of ``threshold`` out.
+
+    What the matching blocks leave over can be deleted and inserted, and the edit distance is
+    no larger: a ratio r leaves ``(1 - r) * (length of a + length of b)`` characters.
+    """
+    most = F.floor((F.length(a) + F.length(b)) * (1 - threshold) + 1e-9).cast("int")
+    return F.call_function("levenshtein", a, b, most) >= 0
+
+
 def _budget(length: Column, threshold: float, measure: str) -> Column:
     """Largest edit distance any partner above the threshold can have."""
     if measure == EDIT:
@@ -157,6 +171,19 @@ def probe_finer(names: DataFrame, name: str, threshold: float, measure: str, len
     return rows.select(*names.columns, _key(m, i + 1000 * SPARE, segment).alias("k"))
 
 
+def block_pairs(a_names: DataFrame, b_names: DataFrame, near: Column) -> DataFrame:
+    """The pairs (a, b) of each prefix that are ``near``."""
+    parts = int(a_names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    a_side = a_names.filter(F.length("a") > 0).withColumn("_salt", salt)
+    b_side = b_names.filter(F.length("b") > 0).withColumn("_salt", every)
+    keys = ["pre", "_salt"]
+    # Few bytes, much work: a number of partitions that is not merged again.
+    met = a_side.repartition(parts, *keys).join(b_side.repartition(parts, *keys), keys)
+    return met.filter(near).select("a", "b")
+
+
 def candidate_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -165,15 +192,36 @@ def candidate_pairs(
     near: Column,
     same_prefix: int = 0,
     common: int = COMMON,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """Distinct pairs (a, b) that share a segment and are ``near``; no similar pair is missing."""
+    """Distinct pairs (a, b) that share a segment and are ``near``; no similar pair is missing.
+
+    With ``same_prefix``, the names of a prefix with up to twice ``block`` on both sides are compared at once.
+    """
 
     def with_prefix(names: DataFrame, name: str) -> DataFrame:
         return names.withColumn("pre", F.left(name, F.lit(same_prefix))) if same_prefix else names
 
     keys = ["k", "pre"] if same_prefix else ["k"]
-    a_names = with_prefix(left.select("a").distinct(), "a")
-    b_names = with_prefix(right.select("b").distinct(), "b")
+    # Stored once: the rows behind the distinct names are read again for every use otherwise.
+    a_names = cut_lineage(with_prefix(left.select("a").distinct(), "a"))
+    b_names = cut_lineage(with_prefix(right.select("b").distinct(), "b"))
+    if same_prefix:
+        wide = a_names.select("pre").unionByName(b_names.select("pre"))
+        wide = wide.groupBy("pre").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * block).select("pre")
+        wide = cut_lineage(wide)
+        at_once = block_pairs(a_names.join(wide, "pre", "left_anti"), b_names.join(wide, "pre", "left_anti"), near)
+        if wide.isEmpty():
+            return at_once
+        a_names, b_names = (x.join(wide, "pre", "left_semi") for x in (a_names, b_names))
+        return at_once.unionByName(_segment_pairs(a_names, b_names, keys, threshold, measure, near, common))
+    return _segment_pairs(a_names, b_names, keys, threshold, measure, near, common)
+
+
+def _segment_pairs(
+    a_names: DataFrame, b_names: DataFrame, keys: list[str], threshold: float, measure: str, near: Column, common: int
+) -> DataFrame:
+    """Distinct pairs that share a segment and are ``near``."""
     index = index_segments(b_names, "b", threshold, measure)
     often = cut_lineage(common_segments(index, keys, common))
     if often.isEmpty():
@@ -211,7 +259,7 @@ def similar_names(
         sim = edit_similarity(ca, cb)
         near = near & ((sim > threshold) if strict else (sim >= threshold))
         return candidate_pairs(left, right, threshold, measure, near, same_prefix, common).withColumn("sim", sim)
-    pairs = candidate_pairs(left, right, threshold, measure, near, same_prefix, common)
+    pairs = candidate_pairs(left, right, threshold, measure, near & ratio_open(ca, cb, threshold), same_prefix, common)
     scored = pairs.withColumn("sim", block_ratio("a", "b"))
     return scored.filter(F.col("sim") > threshold if strict else F.col("sim") >= threshold)
 

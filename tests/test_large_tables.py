@@ -1,6 +1,9 @@
 """Work that must not repeat itself, or meet in one task, as tables grow."""
 
+from difflib import SequenceMatcher
+
 from lodeworks.functions import names as N
+from lodeworks.operators import fuzzy as Z
 
 
 def optimized(df):
@@ -17,3 +20,17 @@ def test_title_cleaner_holds_each_step_once(spark):
     got = [r["name"] for r in df.orderBy("id").collect()]
     assert got == [None, None, None, "Red Bolt", "red bolt", "a b c", "B1 Fund", None, "red bolt fund", None]
     assert optimized(df.select("name")).count("(?i)") == 5
+
+
+def test_block_ratio_scores_only_pairs_the_edits_leave_open(spark, monkeypatch):
+    """Prefixes compared at once and by segments; both equal brute force."""
+    names = [f"{a} {b} brand{n} {c}" for a in ("red", "reddish", "red hot") for b in ("bolt", "gear") for n in (1, 7, 12) for c in ("small", "smart")]
+    both = spark.createDataFrame([(x,) for x in [*names, "", None, "rex"]], "a string")
+    ratio = {(x, y): SequenceMatcher(None, x, y).ratio() for x in names for y in names if x[:4] == y[:4]}
+    want = {k: r for k, r in ratio.items() if r > 0.88}
+    for block in (1, 2000):
+        monkeypatch.setattr(Z.candidate_pairs, "__defaults__", (0, 3, block))
+        found = Z.similar_names(both, both.withColumnRenamed("a", "b"), 0.88, measure=Z.RATIO, same_prefix=4)
+        assert "levenshtein" in optimized(found)
+        got = {(r["a"], r["b"]): r["sim"] for r in found.collect() if r["a"] in names and r["b"] in names}
+        assert got == want and len(want) < len(ratio)
