@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +12,8 @@ from lodeworks.functions.exprs import col, nonempty, strip
 from lodeworks.functions.names import NameRules, valid_document_name, valid_list_name
 
 TAGS = r"<[^>]+>"
+# Pages whose texts a task holds as Python objects at once.
+WALKED = 64
 
 
 def inner_texts(html: Column | str, tag: str) -> Column:
@@ -90,12 +92,13 @@ def walk_sections(
     """
     wanted = list(section_words)
     items = set(item_tags)
+    step = WALKED
     schema = pages.select(key).schema.fields[0].dataType.simpleString()
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from html.parser import HTMLParser
 
-        import pandas
+        import pyarrow
 
         void = {"br", "hr", "img", "input", "meta", "link"}
 
@@ -138,12 +141,24 @@ def walk_sections(
                     self.pop()
 
         for batch in batches:
-            out = []
-            for k, page in zip(batch[key], batch[html]):
-                walker = Walker()
-                walker.feed(page or "")
-                walker.finish()
-                out += [(k, s, t) for s, t in walker.rows]
-            yield pandas.DataFrame(out, columns=[key, "section", "item"])
-
-    return pages.select(key, html).mapInPandas(walk, f"{key} {schema}, section string, item string")
+            # A batch may hold thousands of pages; only a few are Python texts at a time.
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                at, sections, texts = [], [], []
+                for i, page in enumerate(part.column(1).to_pylist()):
+                    walker = Walker()
+                    walker.feed(page or "")
+                    walker.finish()
+                    at += [i] * len(walker.rows)
+                    sections += [s for s, _ in walker.rows]
+                    texts += [t for _, t in walker.rows]
+                yield pyarrow.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pyarrow.array(at, pyarrow.int64())),
+                        pyarrow.array(sections, pyarrow.string()),
+                        pyarrow.array(texts, pyarrow.string()),
+                    ],
+                    [key, "section", "item"],
+                )
+
+    return pages.select(key, html).mapInArrow(walk, f"{key} {schema}, section string, item string")

@@ -2,6 +2,7 @@
 
 from difflib import SequenceMatcher
 
+from lodeworks.functions import html as H
 from lodeworks.functions import names as N
 from lodeworks.operators import fuzzy as Z
 
@@ -34,3 +35,16 @@ def test_block_ratio_scores_only_pairs_the_edits_leave_open(spark, monkeypatch):
         assert "levenshtein" in optimized(found)
         got = {(r["a"], r["b"]): r["sim"] for r in found.collect() if r["a"] in names and r["b"] in names}
         assert got == want and len(want) < len(ratio)
+
+
+def test_pages_are_walked_a_few_at_a_time(spark, monkeypatch):
+    """What a task holds as Python objects does not grow with the pages of its batch."""
+    page = '<div class="team"><li>Ann {0}</li><p>of {0}<br>Bolt</p></div><li>out</li>'
+    rows = [(i, page.format(i)) for i in range(7)] + [(7, None), (8, "")]
+    pages = spark.createDataFrame(rows, "id long, html string").coalesce(1)
+    monkeypatch.setattr(H, "WALKED", 2)
+    found = H.walk_sections(pages, "id", "html", ["team"], ["li", "p"])
+    want = {x for i in range(7) for x in ((i, "team", f"Ann {i}"), (i, "team", f"of {i} Bolt"))}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "MapInArrow" in optimized(found)
