@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.functions.exprs import all_of, any_of, col, contains_any, first_hit, lookup, strip
+from lodeworks.functions.exprs import all_of, any_of, bound, col, contains_any, first_hit, lookup, strip
 
 
 def keep_unless_false(df: DataFrame, flag: str) -> DataFrame:
@@ -148,8 +148,7 @@ def enum_or_null(value: Column | str, allowed: Sequence[str]) -> Column:
 
 def list_in(values: Column | str, allowed: Sequence[str]) -> Column:
     """Allowed members of a list, or null when none is left."""
-    kept = list_keep(col(values), allowed)
-    return F.when(F.size(kept) > 0, kept)
+    return bound(list_keep(col(values), allowed), lambda kept: F.when(F.size(kept) > 0, kept))
 
 
 def tags_or_default(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.exprs import (
     any_of,
+    bound,
     contains_any,
     has_items,
     is_filled,
@@ -70,8 +71,11 @@ def check_range(low: Column, high: Column) -> tuple[Column, Column]:
 
 def thesis(text: Column, refusals: Sequence[str]) -> Column:
     """Null under 50 characters or with a refusal phrase."""
-    s = trimmed(text)
-    return F.when((F.length(s) >= 50) & ~contains_any(F.lower(s), refusals), s)
+
+    def kept(s: Column) -> Column:
+        return F.when((F.length(s) >= 50) & ~contains_any(F.lower(s), refusals), s)
+
+    return bound(trimmed(text), kept)
 
 
 def partner_flags(partners: Column, allowed: Allowed) -> tuple[Column, Column]:
@@ -193,7 +197,7 @@ def validate(raw: DataFrame, allowed: Allowed) -> DataFrame:
             "ownership_target": F.when(
                 nonzero(share["min_pct"]).isNotNull() | nonzero(share["max_pct"]).isNotNull(), share
             ),
-            "portfolio_companies": F.when(F.size(companies) > 0, companies),
+            "portfolio_companies": bound(companies, lambda c: F.when(F.size(c) > 0, c)),
             "tier1_evidence": F.col("tier1.evidence"),
             "tier2_evidence": F.col("tier2.evidence"),
             "research_notes": trimmed("data_quality.research_notes"),

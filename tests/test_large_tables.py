@@ -2,9 +2,13 @@
 
 from difflib import SequenceMatcher
 
+from pyspark.sql import functions as F
+
 from lodeworks.functions import html as H
 from lodeworks.functions import names as N
 from lodeworks.operators import fuzzy as Z
+from lodeworks.operators.filters import list_in
+from lodeworks.plans.validating import raw_results
 
 
 def optimized(df):
@@ -48,3 +52,12 @@ def test_pages_are_walked_a_few_at_a_time(spark, monkeypatch):
     got = [tuple(r) for r in found.collect()]
     assert set(got) == want and len(got) == len(want)
     assert "MapInArrow" in optimized(found)
+
+
+def test_results_are_spread_and_lists_built_once(spark):
+    found = raw_results(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() > 1
+    kept = optimized(spark.range(1).select(list_in(F.array(F.concat(F.col("id").cast("string"), F.lit("x"))), ["0x"]).alias("l")))
+    assert kept.count("concat(") == 1
+    rows = spark.createDataFrame([(["a", "z"],), (["z"],), ([],), (None,)], "v array<string>")
+    assert [r["l"] for r in rows.select(list_in("v", ["a"]).alias("l")).collect()] == [["a"], None, None, None]
