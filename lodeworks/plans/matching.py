@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.exprs import str_array
 from lodeworks.operators import match as M
-from lodeworks.plans.registry import query, table
+from lodeworks.plans.registry import query, table, text_table
 
 STOP = ["with", "that", "back"]
 VOCAB = M.MatchVocab(
@@ -36,8 +36,9 @@ def no_text():
 
 
 def profiles(spark, sf):
+    # A row's features cost much more than its bytes: spread over the cores, also where a table is one small file.
     rows = (
-        table(spark, sf, "customer")
+        text_table(spark, sf, "customer", "c_custkey")
         .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
@@ -119,7 +120,7 @@ def firms(spark, sf):
     thesis = F.concat(
         F.lit("We back "), "p_name", F.lit(" makers"), F.when(kind == "SMALL", " small gear market demand").otherwise("")
     )
-    return table(spark, sf, "part").select(
+    return text_table(spark, sf, "part", "p_partkey").select(
         F.col("p_partkey").alias("firm_id"),
         F.col("p_partkey").alias("ord"),
         "p_name",

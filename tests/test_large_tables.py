@@ -8,6 +8,7 @@ from lodeworks.functions import html as H
 from lodeworks.functions import names as N
 from lodeworks.operators import fuzzy as Z
 from lodeworks.operators.filters import list_in
+from lodeworks.plans.matching import firms, profiles
 from lodeworks.plans.validating import raw_results
 
 
@@ -61,3 +62,8 @@ def test_results_are_spread_and_lists_built_once(spark):
     assert kept.count("concat(") == 1
     rows = spark.createDataFrame([(["a", "z"],), (["z"],), ([],), (None,)], "v array<string>")
     assert [r["l"] for r in rows.select(list_in("v", ["a"]).alias("l")).collect()] == [["a"], None, None, None]
+
+
+def test_features_of_the_matcher_are_spread(spark):
+    for side in (profiles, firms):
+        assert side(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
