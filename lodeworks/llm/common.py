@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodeworks.session import run_dir
 
 # Texts of one numpy pass, in bytes. A longer text is a pass of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 SPACES = [0x20, *range(0x09, 0x0E)]
 
@@ -93,16 +93,17 @@ class Words:
         self.starts = np.flatnonzero(inside & ~before)
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
-        self.hashes = self._hash(inside)
+        self.letters = data[inside]
+        self.hashes = self._hash()
 
-    def _hash(self, inside) -> np.ndarray:
+    def _hash(self) -> np.ndarray:
         lengths = self.ends - self.starts
         if not len(lengths):
             return np.empty(0, dtype=np.uint64)
         first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
-        letters = self.data[inside].astype(np.int64)
-        value = _TABLE[((place & (_POSITIONS - 1)) << 8) + letters]
+        # A text has under 2^31 bytes.
+        place = np.arange(len(self.letters), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
+        value = _TABLE[((place & (_POSITIONS - 1)) << 8) + self.letters]
         if lengths.max() > _POSITIONS:
             value = value * ((place // _POSITIONS) * 2 + 1).astype(np.uint64)
         return mix64(np.add.reduceat(value, first))

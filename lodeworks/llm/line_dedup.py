@@ -10,10 +10,11 @@ The dealt SimHash with pigeonhole blocks finds too few of these links (one repla
 eight bits of a ten-word line), so lines meet on MinHash bands of their character grams instead:
 three characters and rows of three for lines under ``MIDDLE`` characters, else five and four.
 Lines of up to 19 characters differ in one edit at most and meet on an intact half. A bucket
-entry carries the line's length and a sketch, a bit per minimum; pairs whose lengths or, from
-``MIDDLE`` characters on, sketches rule the similarity out are dropped where they meet. Buckets of
-up to ``SMALL_BUCKET`` lines give all other pairs; in larger ones hubs are compared with the members
-round by round, and members that one component holds already are left alone.
+entry carries the line's length and a mark: from ``MIDDLE`` characters on a sketch, a bit per
+minimum, below it counts of its letters. Pairs whose lengths or marks rule the similarity out are
+dropped where they meet. Buckets of up to ``SMALL_BUCKET`` lines give all other pairs, of which the
+edit distance sees one per line first and then those that no component holds; in larger ones hubs are
+compared with the members round by round, and members of one component are left alone.
 
 Defined cases: lines without words (and so null or empty texts) always stay; a document
 whose every line went is left with an empty text; rows that share an id get the verdicts of
@@ -52,6 +53,8 @@ BINS = BANDS * ROWS
 # Characters of a sketch's grams, and the bits of 64 in which alike lines agree at least: chance
 # gives 32, the least similar linked lines about 45 (standard deviation 4).
 SKETCH_GRAM, AGREEING = 4, 40
+# Letters are counted in 16 classes of four bits, by the first byte of each character.
+_CLASS = (np.arange(256, dtype=np.uint32) * np.uint32(2654435761) >> np.uint32(28)).astype(np.int64)
 # Buckets up to this size give their pairs at once, larger ones in rounds of hubs.
 SMALL_BUCKET = 128
 # Parts a task deals its bucket entries to, per shuffle partition.
@@ -136,16 +139,16 @@ def minima(chars: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 
 def line_letters(words: Words, spoken: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The letters of all words, and where each line's letters start and how many it has."""
+    """The letters of the lines, one line after the other, and how many each has."""
     before = np.concatenate(([0], np.cumsum(words.ends - words.starts)))
     start = before[words.bounds[:-1][spoken]]
-    return words.data[ALNUM_WORDS[words.data]], start, before[words.bounds[1:][spoken]] - start
+    n = before[words.bounds[1:][spoken]] - start
+    at = np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+    return words.letters[at], n
 
 
 def minima_of(words: Words, spoken: np.ndarray, gram: int) -> np.ndarray:
-    letters, start, n = line_letters(words, spoken)
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
-    return minima(letters[at], n, gram)
+    return minima(*line_letters(words, spoken), gram)
 
 
 def sketches(words: Words, spoken: np.ndarray) -> np.ndarray:
@@ -154,6 +157,26 @@ def sketches(words: Words, spoken: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def letter_counts(words: Words, spoken: np.ndarray) -> np.ndarray:
+    """How often letters of each class stand in the line, up to 15, four bits a class."""
+    letters, n = line_letters(words, spoken)
+    begun = (letters & 0xC0) != 0x80
+    at = np.repeat(np.arange(len(n)) * 16, n)[begun] + _CLASS[letters[begun]]
+    counts = np.minimum(np.bincount(at, minlength=16 * len(n)), 15).reshape(-1, 16).astype(np.uint64)
+    return np.bitwise_or.reduce(counts << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
+
+
+def letters_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the edits between lines with these counts: an edit takes one letter of a
+    class away, adds one, or both."""
+    less, more = np.zeros(len(x), np.int16), np.zeros(len(x), np.int16)
+    for shift in range(0, 64, 4):
+        own, other = (((v >> np.uint64(shift)) & np.uint64(15)).astype(np.int16) for v in (x, y))
+        more += np.maximum(own - other, 0)
+        less += np.maximum(other - own, 0)
+    return np.maximum(less, more)
+
+
 def meeting_keys(words: Words, spoken: np.ndarray, size: np.ndarray) -> pa.Array:
     """The buckets of each line of ``size`` characters: halves of short lines, bands of others."""
     pieces = []
@@ -199,6 +222,7 @@ def occurrences(fold_digits: bool):
     return run
 
 
+# ``sketch``: below MIDDLE characters the letter counts.
 ENTRY = np.dtype([("bucket", "<u4"), ("id", "<i8"), ("size", "<u4"), ("sketch", "<u8")])
 
 
@@ -211,11 +235,14 @@ def bucket_entries(parts: int, fold_digits: bool):
             key, first = np.unique(line_keys(words, spoken), return_index=True)
             spoken = spoken[first]
             size = lengths(words, spoken)
+            few = size < MIDDLE
+            marks = np.empty(len(size), np.uint64)
+            marks[few], marks[~few] = letter_counts(words, spoken[few]), sketches(words, spoken[~few])
             met = meeting_keys(words, spoken, size)
             held = np.diff(met.offsets.to_numpy())
             entries = np.empty(int(held.sum()), ENTRY)
             entries["bucket"] = met.values.to_numpy()
-            for name, values in (("id", key), ("size", size), ("sketch", sketches(words, spoken))):
+            for name, values in (("id", key), ("size", size), ("sketch", marks)):
                 entries[name] = np.repeat(values, held)
             to = entries["bucket"] % parts
             entries = entries[np.argsort(to, kind="stable")]
@@ -259,11 +286,29 @@ def _wanted_lines(batches, fold_digits):
 
 
 def may_link(a, b) -> np.ndarray:
-    """Whether lengths and sketches of the entries leave the edit similarity open."""
+    """Whether lengths and sketches of the entries leave the edit similarity open (one line
+    below ``MIDDLE`` has no sketch)."""
     longer = np.maximum(a["size"], b["size"]).astype(np.int64)
     apart = np.abs(a["size"].astype(np.int64) - b["size"].astype(np.int64))
     alike = np.bitwise_count(a["sketch"] ^ b["sketch"]) <= 64 - AGREEING
-    return (10 * apart <= longer) & (alike | (longer < MIDDLE))
+    return (10 * apart <= longer) & (alike | (np.minimum(a["size"], b["size"]) < MIDDLE))
+
+
+def fit_letters(size_a, size_b, mark_a, mark_b) -> np.ndarray:
+    """Whether the letter counts leave pairs open; those with a line from ``MIDDLE`` on stay."""
+    longer = np.maximum(size_a, size_b).astype(np.int64)
+    fit = longer >= MIDDLE
+    few = np.flatnonzero(~fit)
+    fit[few] = 10 * letters_apart(mark_a[few], mark_b[few]) <= longer[few]
+    return fit
+
+
+def open_pairs(batches):
+    """``a, b`` of the pairs whose letter counts leave the similarity open."""
+    for batch in batches:
+        size = [batch.column(c).to_numpy() for c in ("size_a", "size_b")]
+        mark = [batch.column(c).to_numpy().view(np.uint64) for c in ("mark_a", "mark_b")]
+        yield batch.select(["a", "b"]).filter(pa.array(fit_letters(*size, *mark)))
 
 
 def near_pairs(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,6 +338,9 @@ def bucket_reader(limit: int):
         size = np.repeat(runs, runs)
         a, b = near_pairs(entries[(size > 1) & (size <= limit)])
         pair = np.unique(np.stack((a, b), axis=1), axis=0)
+        line = entries[np.unique(entries["id"], return_index=True)[1]]
+        x, y = line[np.searchsorted(line["id"], pair[:, 0])], line[np.searchsorted(line["id"], pair[:, 1])]
+        pair = pair[fit_letters(x["size"], y["size"], x["sketch"], y["sketch"])]
         large = entries[size > limit]
         none, many = len(pair), len(large)
         columns = {
@@ -378,7 +426,7 @@ def repeated_lines(
             .select("a", "b")
         )
 
-    links = steps.store(alike(near), "links")
+    links = pair_links(near, alike, steps)
     if not large.isEmpty():
         links = bucket_links(large, links, alike, steps)
     groups = steps.store(components(links), "groups")
@@ -402,11 +450,25 @@ def repeated_lines(
     )
 
 
+def pair_links(near: DataFrame, alike, steps: Steps) -> DataFrame:
+    """Links with the components of all links among the pairs ``a, b`` (a < b): each line is
+    compared with its first partner, and then the pairs that no component holds."""
+    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = steps.store(alike(first), "links")
+    groups = steps.store(components(links), "groups")
+    rest = near.join(first.withColumnRenamed("a", "_a"), "b").where("a <> _a").select("a", "b")
+    for end in ("a", "b"):
+        own = groups.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+        rest = rest.join(own, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    rest = steps.store(rest.where("ca <> cb").select("a", "b"), "rest")
+    return steps.store(links.unionByName(alike(rest)), "links")
+
+
 def bucket_links(members: DataFrame, links: DataFrame, alike, steps: Steps) -> DataFrame:
     """``links`` with those inside large buckets (``bucket, id, size, sketch``).
 
-    The 1, 16, 256, ... next hubs of a bucket meet its members; a pair leaves the join only if
-    lengths and sketches leave it open and no component holds both. A bucket whose members lie
+    The 1, 16, 256, ... next hubs of a bucket meet its members; a pair is compared only if
+    lengths and marks leave it open and no component holds both. A bucket whose members lie
     in one component is done. Near copies are settled by the first hub.
     """
     live, passed, width = members, 0, 1
@@ -428,9 +490,11 @@ def bucket_links(members: DataFrame, links: DataFrame, alike, steps: Steps) -> D
         longer = F.greatest("size", "h_size")
         open_ = (F.col("id") > F.col("h_id")) & (F.col("c") != F.col("h_c"))
         open_ &= 10 * F.abs(F.col("size") - F.col("h_size")) <= longer
-        open_ &= (F.bit_count(F.col("sketch").bitwiseXOR(F.col("h_sketch"))) <= 64 - AGREEING) | (longer < MIDDLE)
+        open_ &= (F.bit_count(F.col("sketch").bitwiseXOR(F.col("h_sketch"))) <= 64 - AGREEING) | (F.least("size", "h_size") < MIDDLE)
         pairs = live.join(hubs.withColumnRenamed("bucket", "h_bucket"), (F.col("bucket") == F.col("h_bucket")) & open_)
-        pairs = steps.store(pairs.select(F.col("h_id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+        ends = [("h_id", "a"), ("id", "b"), ("h_size", "size_a"), ("size", "size_b"), ("h_sketch", "mark_a"), ("sketch", "mark_b")]
+        pairs = pairs.select(*[F.col(x).alias(y) for x, y in ends]).mapInArrow(open_pairs, "a long, b long")
+        pairs = steps.store(pairs.distinct(), "pairs")
         links = steps.store(links.unionByName(alike(pairs)), "links")
         live = live.drop("c")
         passed, width = passed + width, width * 16
