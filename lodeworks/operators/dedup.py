@@ -59,14 +59,44 @@ def _first_two(rows: DataFrame, group: str, order: str) -> DataFrame:
     )
 
 
+# Passes that look for names whose first row may go; after them all rows are decided in rounds.
+FIRST_ROW_PASSES = 4
+
+
+def _contested(heads: DataFrame, rows: DataFrame):
+    """``_first`` of the names whose first row may lose its second key, or None if the passes
+    do not find them all.
+
+    ``heads``: the first row of each name; ``rows``: all rows. The first row of any other name is
+    kept: an earlier kept row with its second key would be the first row of such a name too, or a
+    row of a contested name, and both are looked for here.
+    """
+    at = heads.select("_first", "_second", "_at").filter(F.col("_second").isNotNull())
+    w = Window.partitionBy("_second").orderBy("_at")
+    new = at.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") > 1).select("_first")
+    found = new = cut_lineage(new)
+    for _ in range(FIRST_ROW_PASSES):
+        if new.isEmpty():
+            return found
+        theirs = rows.join(new, "_first", "left_semi").filter(F.col("_second").isNotNull())
+        theirs = theirs.groupBy("_second").agg(F.min("_at").alias("_by"))
+        late = at.join(theirs, "_second").filter(F.col("_by") < F.col("_at")).select("_first")
+        new = cut_lineage(late.join(found, "_first", "left_anti"))
+        found = cut_lineage(found.unionByName(new))
+    return found if new.isEmpty() else None
+
+
 def greedy_by_keys(df: DataFrame, order: str, first_key: str, second_key: str) -> DataFrame:
     """Greedy first-wins removal where sharing either key is a conflict.
 
     A row stays when no earlier kept row shares its first key (null counts as the empty
     text) or its second key (null and empty share with nobody); a dropped row cannot drop
     others. Rows that tie in ``order`` follow one another by their keys; of rows that agree in
-    all three one stays. Rows are first folded to one per key pair (a later copy always loses).
-    Then, in rounds: a row that is first under both its keys is kept; a row that is first under
+    all three one stays.
+
+    At most one row of a first key stays, mostly its first one: those whose second key no other
+    name can take before (``_contested``) are kept at once, and only the rows of the other names
+    are decided. They are folded to one per key pair (a later copy always loses). Then, in rounds: a row that is first under both its keys is kept; a row that is first under
     one and second under the other is kept if that other key's first row is not, which
     ``settle_chains`` follows along whole chains of such rows; and all rows that share a key with
     a kept one are dropped. A chain, however long, takes one round; rounds count only
@@ -76,11 +106,21 @@ def greedy_by_keys(df: DataFrame, order: str, first_key: str, second_key: str) -
     second = F.nullif(F.col(second_key).cast("string"), F.lit(""))
     first_key, second_key, given, order = "_first", "_second", order, "_at"
     place = F.struct(F.col(given).alias("o"), first.alias("a"), F.coalesce(second, F.lit("")).alias("b"))
-    undecided = cut_lineage(
-        df.select(first.alias(first_key), second.alias(second_key), place.alias(order))
-        .groupBy(first_key, second_key)
-        .agg(F.min(order).alias(order))
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    rows = df.select(first.alias(first_key), second.alias(second_key), place.alias(order), whole)
+    heads = cut_lineage(
+        rows.groupBy(first_key).agg(F.min_by(F.struct(second_key, order, "_row"), order).alias("_r")).select(first_key, "_r.*")
     )
+    contested, sure = _contested(heads, rows), None
+    if contested is not None:
+        sure = heads.join(contested, first_key, "left_anti")
+        taken = sure.select(second_key).filter(F.col(second_key).isNotNull())
+        rows = cut_lineage(rows.join(contested, first_key, "left_semi"))
+        undecided = rows.join(taken, second_key, "left_anti").select(first_key, second_key, order)
+        sure = sure.select("_row.*")
+    else:
+        undecided = rows
+    undecided = cut_lineage(undecided.groupBy(first_key, second_key).agg(F.min(order).alias(order)))
     kept = None
     while not undecided.isEmpty():
         one = _first_two(undecided, first_key, order).withColumnsRenamed({"_n": "_n1", "_head": "_h1"})
@@ -107,8 +147,9 @@ def greedy_by_keys(df: DataFrame, order: str, first_key: str, second_key: str) -
         left = keyed_lookup(left, gone2, second_key).filter(F.col("_g2").isNull()).drop("_g2")
         undecided = cut_lineage(left.select(first_key, second_key, order))
     if kept is None:
-        return df
-    return df.withColumn(order, place).join(kept, order, "left_semi").dropDuplicates([order]).drop(order)
+        return df if sure is None else sure
+    rest = rows.join(kept, order, "left_semi").dropDuplicates([order]).select("_row.*")
+    return rest if sure is None else sure.unionByName(rest)
 
 
 def greedy_by_edges(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
