@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over shards of the training texts.
 
-Every task cuts its documents into shards of a few megabytes, sorts all word suffixes
+Every task cuts its documents into shards of about a megabyte, sorts all word suffixes
 of a shard, and binary-searches every benchmark window in it. Each hit is extended to the
 longest verbatim match. Nothing is shuffled: the documents stay where they are read, and
 the benchmark comes to them in blocks of bounded size.
