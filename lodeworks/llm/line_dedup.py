@@ -8,13 +8,15 @@ pipeline use this one definition.
 
 The dealt SimHash with pigeonhole blocks finds too few of these links (one replaced word flips
 eight bits of a ten-word line), so lines meet on MinHash bands of their character grams instead:
-three characters and rows of three for lines under ``MIDDLE`` characters, else five and four.
+three characters and rows of three for lines under ``MIDDLE`` characters, else nine and two
+(long grams, as two lines of one language share short ones by chance).
 Lines of up to 19 characters differ in one edit at most and meet on an intact half. A bucket
 entry carries the line's length and a mark: from ``MIDDLE`` characters on a sketch, a bit per
 minimum, below it counts of its letters. Pairs whose lengths or marks rule the similarity out are
 dropped where they meet. Buckets of up to ``SMALL_BUCKET`` lines give all other pairs, of which the
-edit distance sees one per line first and then those that no component holds; in larger ones hubs are
-compared with the members round by round, and members of one component are left alone.
+edit distance sees one per line first and then those that no component holds. In larger ones all
+members meet a hub first; what no component holds then is compared in tiles of bounded size, where
+each line proposes its most alike partners of other components, more each round, until none is left.
 
 Defined cases: lines without words (and so null or empty texts) always stay; a document
 whose every line went is left with an empty text; rows that share an id get the verdicts of
@@ -28,7 +30,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,15 +51,19 @@ SIMILARITY = 0.9
 # Lines of SHORT[0] to SHORT[1] characters meet on halves, those from MIDDLE on by longer grams.
 # A pair has a tenth of its length for edits, so lines below a limit by that belong to both sides.
 SHORT, MIDDLE = (9, 19), 60
-BANDS, ROWS = 16, 4
-BINS = BANDS * ROWS
+# Bins are the first six bits of a hash.
+BANDS, BINS = 16, 64
 # Characters of a sketch's grams, and the bits of 64 in which alike lines agree at least: chance
 # gives 32, the least similar linked lines about 45 (standard deviation 4).
-SKETCH_GRAM, AGREEING = 4, 40
+SKETCH_GRAM, AGREEING = 5, 40
 # Letters are counted in 16 classes of four bits, by the first byte of each character.
 _CLASS = (np.arange(256, dtype=np.uint32) * np.uint32(2654435761) >> np.uint32(28)).astype(np.int64)
 # Buckets up to this size give their pairs at once, larger ones in rounds of hubs.
 SMALL_BUCKET = 128
+# Lines of one side of a tile of a large bucket, and how many times more partners a next round takes.
+TILE, MORE = 512, 8
+# Pairs of one numpy pass.
+PAIRS = 1 << 18
 # Parts a task deals its bucket entries to, per shuffle partition.
 PARTS = 1
 
@@ -64,6 +71,8 @@ _FOLD = LOWER.copy()
 _FOLD[0x30:0x3A] = 0x30
 _PROBES = np.random.default_rng(12).integers(0, BINS, size=(4096, BINS))
 _STRIDE = np.uint64(0x9E3779B97F4A7C15)
+_TURN = np.uint64(0xD6E8FEB86659FD93)
+_LOW, _TOP, _ONES = (np.uint64(byte * 0x0101010101010101) for byte in (0x0F, 0x80, 0x01))
 
 
 def line_table(column: pa.Array, fold_digits: bool = False):
@@ -114,17 +123,27 @@ def minima(chars: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """A row of ``BINS`` minima of the grams of ``size`` bytes of each line (one-permutation
     hashing; empty bins borrow from full ones by fixed random probes)."""
     lines = len(counts)
-    owner = np.repeat(np.arange(lines), counts)
     last = len(chars) - size + 1
     table = np.full(lines * BINS, np.iinfo(np.uint64).max, np.uint64)
     if last > 0:
-        gram = np.zeros(last, np.uint64)
-        for i in range(size):
-            gram |= chars[i : last + i].astype(np.uint64) << np.uint64(8 * i)
-        whole = np.flatnonzero(owner[:last] == owner[size - 1 :])
-        hashes = mix64(gram[whole] + np.uint64(size << 56))
-        bins = (((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
-        np.minimum.at(table, owner[whole] * BINS + bins, hashes)
+        # Codes of 1, 2, 4, ... bytes, and single bytes at the end for the rest of the size.
+        single = gram = chars.astype(np.uint64)
+        held = 1
+        while 2 * held <= size:
+            gram = gram[:-held] | gram[held:] << np.uint64(8 * held)
+            held *= 2
+        for i in range(held, size):
+            gram = gram[:-1] * _STRIDE + single[i:]
+        hashes = gram * _TURN
+        hashes ^= hashes >> np.uint64(32)
+        hashes *= _STRIDE
+        # Grams that begin so late that they reach into the next line are none.
+        over = np.cumsum(counts)[:, None] - np.arange(1, size)
+        over = over[(over >= 0) & (over < last)]
+        hashes[over] = np.iinfo(np.uint64).max
+        slot = np.repeat(np.arange(0, lines * BINS, BINS), counts)[:last]
+        slot += (hashes >> np.uint64(64 - 6)).astype(np.int64)
+        np.minimum.at(table, slot, hashes)
     full = (table != np.iinfo(np.uint64).max).reshape(lines, BINS)
     given = table.copy()
     row, col = np.nonzero(~full & full.any(axis=1)[:, None])
@@ -169,12 +188,20 @@ def letter_counts(words: Words, spoken: np.ndarray) -> np.ndarray:
 def letters_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A lower bound of the edits between lines with these counts: an edit takes one letter of a
     class away, adds one, or both."""
-    less, more = np.zeros(len(x), np.int16), np.zeros(len(x), np.int16)
-    for shift in range(0, 64, 4):
-        own, other = (((v >> np.uint64(shift)) & np.uint64(15)).astype(np.int16) for v in (x, y))
-        more += np.maximum(own - other, 0)
-        less += np.maximum(other - own, 0)
-    return np.maximum(less, more)
+    more, apart = np.zeros(len(x), np.int16), np.zeros(len(x), np.int16)
+    # Every second class in the low half of a byte: no byte of ``gap`` borrows from the next.
+    for shift in (np.uint64(0), np.uint64(4)):
+        own, other = (v >> shift & _LOW for v in (x, y))
+        gap = (own | _TOP) - other
+        above = np.maximum(gap.view(np.uint8), np.uint8(128)).view(np.uint64) ^ _TOP
+        more += byte_sums(above)
+        apart += byte_sums(own) - byte_sums(other)
+    return np.maximum(more, more - apart)
+
+
+def byte_sums(x: np.ndarray) -> np.ndarray:
+    """The sum of the eight bytes of each number, under 256."""
+    return (x * _ONES >> np.uint64(56)).astype(np.int16)
 
 
 def meeting_keys(words: Words, spoken: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -189,12 +216,12 @@ def meeting_keys(words: Words, spoken: np.ndarray, size: np.ndarray) -> pa.Array
         halves += half_keys(b" ".join(raw[s:e] for s, e in spans))
     pieces.append((np.repeat(short, 4), np.array(halves, np.int32)))
     for kind, (low, high, gram, rows) in enumerate(
-        ((SHORT[1] - 1, MIDDLE, 3, 3), (MIDDLE * 9 // 10, np.inf, 5, ROWS))
+        ((SHORT[1] - 1, MIDDLE, 3, 3), (MIDDLE * 9 // 10, np.inf, 9, 2))
     ):
         some = np.flatnonzero((size >= low) & (size < high))
         if not len(some):
             continue
-        values = minima_of(words, spoken[some], gram).reshape(-1, BANDS, ROWS)
+        values = minima_of(words, spoken[some], gram).reshape(-1, BANDS, BINS // BANDS)
         band = np.broadcast_to(
             np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS * kind), values.shape[:2]
         )
@@ -209,30 +236,26 @@ def meeting_keys(words: Words, spoken: np.ndarray, size: np.ndarray) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[by]))
 
 
-def occurrences(fold_digits: bool):
-    def run(batches):
-        for part in text_slices(batches):
-            words, text, number, spoken, _ = line_table(part.column("text"), fold_digits)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(pa.array(text)), pa.array(number.astype(np.int32)),
-                 pa.array(line_keys(words, spoken))],
-                ["doc_id", "line", "key"],
-            )
-
-    return run
-
-
 # ``sketch``: below MIDDLE characters the letter counts.
 ENTRY = np.dtype([("bucket", "<u4"), ("id", "<i8"), ("size", "<u4"), ("sketch", "<u8")])
+# A line where it stands: its key, document and number.
+PLACE = np.dtype([("key", "<i8"), ("doc_id", "<i8"), ("line", "<i4")])
+
 
+def bucket_entries(parts: int, fold_digits: bool, places: bool = False):
+    """The bucket entries of the lines, packed: one binary per part of the buckets and slice. With
+    ``places`` also where each line stands (``doc_id``), by parts of the keys."""
 
-def bucket_entries(parts: int, fold_digits: bool):
-    """The bucket entries of the lines, packed: one binary per part of the buckets and slice."""
+    def dealt(rows, to):
+        rows = rows[np.argsort(to, kind="stable")]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(to, minlength=parts))))
+        return [rows[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
     def run(batches):
         for part in text_slices(batches):
-            words, _, _, spoken, _ = line_table(part.column("text"), fold_digits)
-            key, first = np.unique(line_keys(words, spoken), return_index=True)
+            words, text, number, spoken, _ = line_table(part.column("text"), fold_digits)
+            keys = line_keys(words, spoken)
+            key, first = np.unique(keys, return_index=True)
             spoken = spoken[first]
             size = lengths(words, spoken)
             few = size < MIDDLE
@@ -244,14 +267,14 @@ def bucket_entries(parts: int, fold_digits: bool):
             entries["bucket"] = met.values.to_numpy()
             for name, values in (("id", key), ("size", size), ("sketch", marks)):
                 entries[name] = np.repeat(values, held)
-            to = entries["bucket"] % parts
-            entries = entries[np.argsort(to, kind="stable")]
-            ends = np.cumsum(np.bincount(to, minlength=parts))
-            some = [p for p in range(parts) if ends[p] > (ends[p - 1] if p else 0)]
-            packed = [entries[ends[p - 1] if p else 0 : ends[p]].tobytes() for p in some]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array(packed, pa.binary())], ["part", "entries"]
-            )
+            packed = [pa.array(dealt(entries, entries["bucket"] % parts), pa.binary())]
+            if places:
+                where = np.empty(len(keys), PLACE)
+                where["key"], where["line"] = keys, number
+                where["doc_id"] = part.column("doc_id").to_numpy()[text]
+                packed.append(pa.array(dealt(where, keys % parts), pa.binary()))
+            names = ["part", "entries", "places"][: 1 + len(packed)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), *packed], names)
 
     return run
 
@@ -303,66 +326,134 @@ def fit_letters(size_a, size_b, mark_a, mark_b) -> np.ndarray:
     return fit
 
 
-def open_pairs(batches):
-    """``a, b`` of the pairs whose letter counts leave the similarity open."""
+def within(a: str, b: str, most: int) -> bool:
+    """Whether ``most`` edits at most part the lines: a column of the distance table at a time, as
+    the bits of whole numbers, between the first and the last difference."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    start, end = 0, min(len(a), len(b))
+    while start < end:
+        half = (start + end + 1) // 2
+        start, end = (half, end) if a[start:half] == b[start:half] else (start, half - 1)
+    a, b = a[start:], b[start:]
+    start, end = 0, min(len(a), len(b))
+    while start < end:
+        half = (start + end + 1) // 2
+        same = a[len(a) - half : len(a) - start] == b[len(b) - half : len(b) - start]
+        start, end = (half, end) if same else (start, half - 1)
+    a, b = a[: len(a) - start], b[: len(b) - start]
+    if not a or not b:
+        return True
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    top, full = 1 << len(a) - 1, (1 << len(a)) - 1
+    up, down, score, left = full, 0, len(a), len(b)
+    for y in b:
+        same = at.get(y, 0) | down
+        level = (((same & up) + up) ^ up) | same
+        more, less = down | full & ~(level | up), up & level
+        score += bool(more & top) - bool(less & top)
+        left -= 1
+        # Each column left lowers the score by one at most.
+        if score - left > most:
+            return False
+        more, less = more << 1 & full | 1, less << 1 & full
+        up, down = less | full & ~(level | more), more & level
+    return score <= most
+
+
+def similar_pairs(batches):
+    """The pairs ``a, b`` whose lines ``la, lb`` are similar enough."""
+    share = round(1 - SIMILARITY, 6)
     for batch in batches:
-        size = [batch.column(c).to_numpy() for c in ("size_a", "size_b")]
-        mark = [batch.column(c).to_numpy().view(np.uint64) for c in ("mark_a", "mark_b")]
-        yield batch.select(["a", "b"]).filter(pa.array(fit_letters(*size, *mark)))
+        sides = [batch.column(c).to_pylist() for c in ("la", "lb")]
+        near = [within(x, y, int(max(len(x), len(y)) * share)) for x, y in zip(*sides, strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
-def near_pairs(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def open_pair(a, b) -> np.ndarray:
+    """Whether lengths, sketches and letter counts leave the edit similarity open."""
+    both = may_link(a, b)
+    a, b = a[both], b[both]
+    fit = np.zeros(len(both), bool)
+    fit[both] = fit_letters(a["size"], b["size"], a["sketch"], b["sketch"])
+    return fit
+
+
+def near_pairs(entries: np.ndarray, rule=may_link) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of entries of one bucket, sorted by it, that may be linked."""
-    left, right = [], []
+    bucket, at = entries["bucket"], np.arange(len(entries))
+    none = np.empty(0, np.int64)
+    left, right = [none], [none]
     for gap in range(1, len(entries)):
-        at = np.flatnonzero(entries["bucket"][gap:] == entries["bucket"][:-gap])
+        at = at[: np.searchsorted(at, len(entries) - gap)]
+        at = at[bucket[at + gap] == bucket[at]]
         if not len(at):
             break
-        a, b = entries[at], entries[at + gap]
-        open_ = may_link(a, b)
-        left.append(np.minimum(a["id"], b["id"])[open_])
-        right.append(np.maximum(a["id"], b["id"])[open_])
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+        for some in np.array_split(at, len(at) // PAIRS + 1):
+            a, b = entries[some], entries[some + gap]
+            open_ = np.flatnonzero(rule(a, b))
+            left.append(np.minimum(a["id"][open_], b["id"][open_]))
+            right.append(np.maximum(a["id"][open_], b["id"][open_]))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def shared_buckets(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of the buckets of several lines, in order and once each, and their buckets' sizes."""
+    entries = np.frombuffer(b"".join(packed), ENTRY)
+    bucket = np.sort(entries["bucket"])
+    several = np.unique(bucket[1:][bucket[1:] == bucket[:-1]])
+    if not len(several):
+        return entries[:0], np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(several, entries["bucket"]), len(several) - 1)
+    entries = entries[several[at] == entries["bucket"]]
+    entries = entries[np.lexsort((entries["id"], entries["bucket"]))]
+    again = (entries["bucket"][1:] == entries["bucket"][:-1]) & (entries["id"][1:] == entries["id"][:-1])
+    entries = entries[np.concatenate(([True], ~again))]
+    change = np.flatnonzero(entries["bucket"][1:] != entries["bucket"][:-1]) + 1
+    runs = np.diff(np.r_[0, change, len(entries)])
+    size = np.repeat(runs, runs)
+    return entries[size > 1], size[size > 1]
+
+
+MET = "bucket long, a long, b long, size long, sketch long, line int"
 
 
 def bucket_reader(limit: int):
-    """Per part: pairs of its small buckets (``bucket`` null), the members of its large ones."""
-
-    def settle(packed):
-        entries = np.sort(np.frombuffer(b"".join(packed), ENTRY), order=("bucket", "id"))
-        again = (entries["bucket"][1:] == entries["bucket"][:-1]) & (entries["id"][1:] == entries["id"][:-1])
-        entries = entries[np.concatenate(([True], ~again))]
-        change = np.flatnonzero(entries["bucket"][1:] != entries["bucket"][:-1]) + 1
-        runs = np.diff(np.r_[0, change, len(entries)])
-        size = np.repeat(runs, runs)
-        a, b = near_pairs(entries[(size > 1) & (size <= limit)])
-        pair = np.unique(np.stack((a, b), axis=1), axis=0)
-        line = entries[np.unique(entries["id"], return_index=True)[1]]
-        x, y = line[np.searchsorted(line["id"], pair[:, 0])], line[np.searchsorted(line["id"], pair[:, 1])]
-        pair = pair[fit_letters(x["size"], y["size"], x["sketch"], y["sketch"])]
+    """Per part: pairs of its small buckets (``a, b``), the members of its large ones (``bucket, a,
+    size, sketch``), the places of its lines (document ``a``, key ``b``, ``line``)."""
+    kinds = [pa.int64()] * 5 + [pa.int32()]
+    names = ["bucket", "a", "b", "size", "sketch", "line"]
+
+    def rows(**columns):
+        n = len(next(iter(columns.values())))
+        full = [pa.array(columns[c]).cast(k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(full, names)
+
+    def settle(packed, places):
+        entries, size = shared_buckets(packed)
+        pair = np.unique(np.stack(near_pairs(entries[size <= limit], open_pair), axis=1), axis=0)
+        yield rows(a=pair[:, 0], b=pair[:, 1])
         large = entries[size > limit]
-        none, many = len(pair), len(large)
-        columns = {
-            "bucket": pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(large["bucket"].astype(np.int64))]),
-            "a": pa.array(np.concatenate((pair[:, 0], large["id"]))),
-            "b": pa.concat_arrays([pa.array(pair[:, 1]), pa.nulls(many, pa.int64())]),
-            "size": pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(large["size"].astype(np.int64))]),
-            "sketch": pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(large["sketch"].view(np.int64))]),
-        }
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        yield rows(bucket=large["bucket"], a=large["id"], size=large["size"], sketch=large["sketch"].view(np.int64))
+        where = np.frombuffer(b"".join(places), PLACE)
+        yield rows(a=where["doc_id"], b=where["key"], line=where["line"])
 
     def read(batches):
-        at, held = None, []
+        at, held, places = None, [], []
         for batch in batches:
-            for part, entries in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+            columns = batch.to_pydict()
+            own = columns.get("places", [b""] * batch.num_rows)
+            for part, entries, where in zip(columns["part"], columns["entries"], own, strict=True):
                 if held and part != at:
-                    yield from settle(held)
-                    held = []
+                    yield from settle(held, places)
+                    held, places = [], []
                 at = part
                 held.append(entries)
+                places.append(where)
         if held:
-            yield from settle(held)
+            yield from settle(held, places)
 
     return read
 
@@ -373,23 +464,21 @@ def repeated_lines(
     """``doc_id, lines``: the numbers of the lines to remove from each document."""
     spark = documents.sparkSession
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = steps.store(
-        docs.mapInArrow(occurrences(fold_digits), "doc_id long, line int, key long"), "lines"
-    )
-    place = F.struct("doc_id", "line")
-    distinct = steps.store(
-        lines.groupBy("key").agg(F.min(place).alias("first"), (F.min(place) < F.max(place)).alias("again")),
-        "distinct",
-    )
     parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = steps.store(
-        docs.mapInArrow(bucket_entries(parts, fold_digits), "part int, entries binary")
+        docs.mapInArrow(bucket_entries(parts, fold_digits, True), "part int, entries binary, places binary")
         .repartition(parts, "part")
         .sortWithinPartitions("part")
-        .mapInArrow(bucket_reader(small_bucket), "bucket long, a long, b long, size long, sketch long"),
+        .mapInArrow(bucket_reader(small_bucket), MET),
         "met",
     )
-    near = steps.store(met.where("bucket is null").select("a", "b").distinct(), "near")
+    lines = met.where("line is not null").select(F.col("a").alias("doc_id"), "line", F.col("b").alias("key"))
+    place = F.struct("doc_id", "line")
+    distinct = steps.store(
+        lines.groupBy("key").agg(F.min(place).alias("first"), (F.min(place) < F.max(place)).alias("again")),
+        "distinct",
+    )
+    near = steps.store(met.where("bucket is null and line is null").select("a", "b").distinct(), "near")
     large = steps.store(
         met.where("bucket is not null").select("bucket", F.col("a").alias("id"), "size", "sketch"), "large"
     )
@@ -413,17 +502,10 @@ def repeated_lines(
 
     def alike(pairs: DataFrame) -> DataFrame:
         """The pairs whose normalised lines are similar enough."""
-        longer = F.greatest(F.length("la"), F.length("lb"))
-        # The cost grows with the limit, and most pairs are within a few edits.
-        within = """levenshtein(la, lb, least(most, 16)) >= 0
-            or (most > 16 and levenshtein(la, lb, least(most, 64)) >= 0)
-            or (most > 64 and levenshtein(la, lb, most) >= 0)"""
         return (
             pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-            .withColumn("most", F.floor(longer * F.lit(round(1 - SIMILARITY, 6))).cast("int"))
-            .where(F.expr(within))
-            .select("a", "b")
+            .mapInArrow(similar_pairs, "a long, b long")
         )
 
     links = pair_links(near, alike, steps)
@@ -464,40 +546,90 @@ def pair_links(near: DataFrame, alike, steps: Steps) -> DataFrame:
     return steps.store(links.unionByName(alike(rest)), "links")
 
 
+def proposals(partners: int):
+    """Of a tile of a large bucket (``id, size, sketch, c, side, apart``): the pairs ``a, b`` between
+    components that lengths and marks leave open; a line ``b`` proposes its ``partners`` most alike
+    smaller ones (``more``: it has others). With ``apart``, only pairs of different sides."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        lines = np.empty(table.num_rows, ENTRY)
+        for name in ("id", "size"):
+            lines[name] = table.column(name).to_numpy()
+        lines["sketch"] = table.column("sketch").to_numpy().view(np.uint64)
+        c, side = (table.column(x).to_numpy() for x in ("c", "side"))
+        apart = table.column("apart")[0].as_py()
+        left, right, more = [], [], []
+        for low in range(1, len(lines), 256):
+            own = np.arange(low, min(low + 256, len(lines)))
+            free = (c[own][:, None] != c) & (own[:, None] > np.arange(len(lines)))
+            if apart:
+                free &= side[own][:, None] != side
+            b, a = np.nonzero(free)
+            b = own[b]
+            open_ = np.flatnonzero(open_pair(lines[a], lines[b]))
+            a, b = a[open_], b[open_]
+            unlike = np.bitwise_count(lines["sketch"][a] ^ lines["sketch"][b])
+            by = np.lexsort((a, unlike, b))
+            a, b = a[by], b[by]
+            place = np.arange(len(b)) - np.searchsorted(b, b)
+            kept = place < partners
+            count = np.searchsorted(b, b, side="right") - np.searchsorted(b, b)
+            left.append(lines["id"][a[kept]])
+            right.append(lines["id"][b[kept]])
+            more.append(count[kept] > partners)
+        none = [np.empty(0, np.int64)]
+        columns = [np.concatenate(none + left), np.concatenate(none + right), np.concatenate([np.empty(0, bool), *more])]
+        return pa.table(columns, ["a", "b", "more"])
+
+    return run
+
+
 def bucket_links(members: DataFrame, links: DataFrame, alike, steps: Steps) -> DataFrame:
     """``links`` with those inside large buckets (``bucket, id, size, sketch``).
 
-    The 1, 16, 256, ... next hubs of a bucket meet its members; a pair is compared only if
-    lengths and marks leave it open and no component holds both. A bucket whose members lie
-    in one component is done. Near copies are settled by the first hub.
+    Every member meets the first of its bucket; that settles near copies. A bucket whose members
+    lie in one component is done. The others are cut into tiles of bounded size, and the lines of a
+    tile propose partners of other components, more each round. Once no line has further open
+    partners, every pair was compared, ruled out or lies in one component.
     """
-    live, passed, width = members, 0, 1
-    while True:
+
+    def mixed(members: DataFrame, links: DataFrame) -> DataFrame:
         groups = steps.store(components(links), "groups")
-        marked = live.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        marked = members.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         marked = steps.store(marked, "marked")
-        mixed = marked.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"))
-        mixed = mixed.where((F.col("lo") < F.col("hi")) & (F.col("n") > passed + 1)).select("bucket")
-        live = steps.store(marked.join(mixed, "bucket"), "live")
+        some = marked.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"))
+        some = some.where("lo < hi").select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("k"))
+        return steps.store(marked.join(some, "bucket"), "live")
+
+    live = mixed(members, links)
+    if live.isEmpty():
+        return links
+    hubs = live.groupBy("bucket").agg(F.min(F.struct("id", "size", "sketch", "c")).alias("h"))
+    hubs = steps.store(hubs, "hubs").select(F.col("bucket").alias("h_bucket"), *[F.col(f"h.{x}").alias(f"h_{x}") for x in ("id", "size", "sketch", "c")])
+    open_ = (F.col("c") != F.col("h_c")) & (10 * F.abs(F.col("size") - F.col("h_size")) <= F.greatest("size", "h_size"))
+    alike_marks = F.bit_count(F.col("sketch").bitwiseXOR(F.col("h_sketch"))) <= 64 - AGREEING
+    open_ &= alike_marks | (F.least("size", "h_size") < MIDDLE)
+    pairs = live.join(hubs, (F.col("bucket") == F.col("h_bucket")) & open_).select(F.col("h_id").alias("a"), F.col("id").alias("b"))
+    links = steps.store(links.unionByName(alike(steps.store(pairs.distinct(), "pairs"))), "links")
+    partners = 1
+    while True:
+        live = mixed(live.select("bucket", "id", "size", "sketch"), links)
         if live.isEmpty():
             return links
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-        hubs = live.withColumn("rank", rank).where(F.col("rank") <= passed + width)
-        hubs = steps.store(
-            hubs.where(F.col("rank") > passed).select("bucket", *[F.col(x).alias(f"h_{x}") for x in ("id", "size", "sketch", "c")]),
-            "hubs",
+        tiles = (
+            live.withColumn("side", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+            .withColumn("i", F.least("side", "other"))
+            .withColumn("j", F.greatest("side", "other"))
+            .withColumn("apart", F.col("i") < F.col("j"))
         )
-        longer = F.greatest("size", "h_size")
-        open_ = (F.col("id") > F.col("h_id")) & (F.col("c") != F.col("h_c"))
-        open_ &= 10 * F.abs(F.col("size") - F.col("h_size")) <= longer
-        open_ &= (F.bit_count(F.col("sketch").bitwiseXOR(F.col("h_sketch"))) <= 64 - AGREEING) | (F.least("size", "h_size") < MIDDLE)
-        pairs = live.join(hubs.withColumnRenamed("bucket", "h_bucket"), (F.col("bucket") == F.col("h_bucket")) & open_)
-        ends = [("h_id", "a"), ("id", "b"), ("h_size", "size_a"), ("size", "size_b"), ("h_sketch", "mark_a"), ("sketch", "mark_b")]
-        pairs = pairs.select(*[F.col(x).alias(y) for x, y in ends]).mapInArrow(open_pairs, "a long, b long")
-        pairs = steps.store(pairs.distinct(), "pairs")
-        links = steps.store(links.unionByName(alike(pairs)), "links")
-        live = live.drop("c")
-        passed, width = passed + width, width * 16
+        tiles = tiles.groupBy("bucket", "i", "j").applyInArrow(proposals(partners), "a long, b long, more boolean")
+        pairs = steps.store(tiles.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
+        links = steps.store(links.unionByName(alike(pairs.select("a", "b"))), "links")
+        if pairs.where("more").isEmpty():
+            return links
+        partners *= MORE
 
 
 def without_lines(batches):
@@ -507,22 +639,20 @@ def without_lines(batches):
             [batch.column("doc"), texts, batch.column("lines")], ["doc", "text", "lines"]
         )
         for part in text_slices([flat]):
-            kept, totals, gone = [], [], []
-            for text, lines in zip(
-                part.column("text").to_pylist(), part.column("lines").to_pylist(), strict=True
-            ):
-                own = (text or "").split("\n")
-                # A line break at the very end opens no further line.
-                total = len(own) - (own[-1] == "")
-                totals.append(total)
-                gone.append(len(lines or ()))
-                if lines:
-                    away = set(lines)
-                    text = "\n".join(x for i, x in enumerate(own) if i not in away)
-                kept.append(text)
+            whole = part.column("text")
+            filled = whole.fill_null("")
+            # A line break at the very end opens no further line.
+            ended = pc.or_(pc.equal(filled, ""), pc.ends_with(filled, "\n"))
+            totals = pc.subtract(pc.add(pc.count_substring(filled, "\n"), 1), ended.cast(pa.int32()))
+            gone = pc.list_value_length(part.column("lines")).fill_null(0)
+            some = pc.greater(gone, 0)
+            kept = []
+            for text, lines in zip(filled.filter(some).to_pylist(), part.column("lines").filter(some).to_pylist(), strict=True):
+                away = set(lines)
+                kept.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in away))
+            kept = pc.replace_with_mask(whole, some, pa.array(kept, whole.type))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc"), pa.array(kept, pa.string()),
-                 pa.array(totals, pa.int64()), pa.array(gone, pa.int64())],
+                [part.column("doc"), kept.cast(pa.string()), totals.cast(pa.int64()), gone.cast(pa.int64())],
                 ["doc", "kept", "n_lines", "n_removed"],
             )
 
