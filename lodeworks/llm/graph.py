@@ -16,7 +16,8 @@ from lodeworks.llm.common import store
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` for every end of a link ``a, b``; component is the smallest id reached.
 
-    Alternates large-star and small-star rounds until the edges are stars. The minima are
+    Alternates large-star and small-star rounds until the edges are stars: no node has two
+    smaller ones, and none both a smaller and a larger one. The minima are
     stored before they are joined, so that the join may be split where a node is hot (after a
     large-star round only centres that are minima still are, and they have no smaller node).
     """
@@ -26,14 +27,12 @@ def components(links: DataFrame) -> DataFrame:
         .distinct(),
         "edges",
     )
-    state = None
     while True:
-        new_state = edges.agg(
-            F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)
-        ).first()
-        if new_state == state or new_state[0] == 0:
+        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.where("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
-        state = new_state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(store(least, "minima"), "u").where("v > u")

@@ -64,12 +64,18 @@ SMALL_BUCKET = 128
 TILE, MORE = 512, 8
 # Pairs of one numpy pass.
 PAIRS = 1 << 18
+# Texts of one pass over their letters (its arrays stay in the cache), and bucket entries dealt at once.
+LINE_BYTES, PACKED_BYTES = 1 << 17, 4 << 20
+# Pairs of lines with up to so many edits are compared many at once, texts of so many bytes in one
+# pass; from so few pairs on one by one. Classes of letters that rule pairs out.
+FEW_EDITS, PAIR_BYTES, FEW_PAIRS, LETTERS = 400, 1 << 22, 3, 64
 # Parts a task deals its bucket entries to, per shuffle partition.
 PARTS = 1
 
 _FOLD = LOWER.copy()
 _FOLD[0x30:0x3A] = 0x30
 _PROBES = np.random.default_rng(12).integers(0, BINS, size=(4096, BINS))
+_EIGHTS = np.arange(0, 64, 8)
 _STRIDE = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xD6E8FEB86659FD93)
 _LOW, _TOP, _ONES = (np.uint64(byte * 0x0101010101010101) for byte in (0x0F, 0x80, 0x01))
@@ -101,10 +107,10 @@ def line_keys(words: Words, spoken: np.ndarray) -> np.ndarray:
 
 def lengths(words: Words, spoken: np.ndarray) -> np.ndarray:
     """The characters of each normalised line."""
+    first = np.concatenate(([0], np.cumsum(words.ends - words.starts)))[words.bounds]
     # All but the continuation bytes of UTF-8 begin a character.
-    begun = np.concatenate(([0], np.cumsum((words.data & 0xC0) != 0x80)))
-    own = np.concatenate(([0], np.cumsum(begun[words.ends] - begun[words.starts])))
-    return np.diff(own[words.bounds])[spoken] + words.counts[spoken] - 1
+    inner = np.searchsorted(np.flatnonzero((words.letters & 0xC0) == 0x80), first)
+    return np.diff(first - inner)[spoken] + words.counts[spoken] - 1
 
 
 def half_keys(line: bytes) -> list[int]:
@@ -126,15 +132,14 @@ def minima(chars: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     last = len(chars) - size + 1
     table = np.full(lines * BINS, np.iinfo(np.uint64).max, np.uint64)
     if last > 0:
-        # Codes of 1, 2, 4, ... bytes, and single bytes at the end for the rest of the size.
-        single = gram = chars.astype(np.uint64)
-        held = 1
-        while 2 * held <= size:
-            gram = gram[:-held] | gram[held:] << np.uint64(8 * held)
-            held *= 2
+        # Codes of 2, 4 or 8 bytes, and single bytes at the end for the rest of the size.
+        held = min(8, 1 << size.bit_length() - 1)
+        chars = np.ascontiguousarray(chars)
+        hashes = np.ndarray(last, f"<u{held}", chars, strides=(1,)).astype(np.uint64)
         for i in range(held, size):
-            gram = gram[:-1] * _STRIDE + single[i:]
-        hashes = gram * _TURN
+            hashes *= _STRIDE
+            hashes += chars[i : i + last]
+        hashes *= _TURN
         hashes ^= hashes >> np.uint64(32)
         hashes *= _STRIDE
         # Grams that begin so late that they reach into the next line are none.
@@ -142,7 +147,7 @@ def minima(chars: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
         over = over[(over >= 0) & (over < last)]
         hashes[over] = np.iinfo(np.uint64).max
         slot = np.repeat(np.arange(0, lines * BINS, BINS), counts)[:last]
-        slot += (hashes >> np.uint64(64 - 6)).astype(np.int64)
+        slot += (hashes >> np.uint64(64 - 6)).view(np.int64)
         np.minimum.at(table, slot, hashes)
     full = (table != np.iinfo(np.uint64).max).reshape(lines, BINS)
     given = table.copy()
@@ -166,32 +171,62 @@ def line_letters(words: Words, spoken: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return words.letters[at], n
 
 
-def minima_of(words: Words, spoken: np.ndarray, gram: int) -> np.ndarray:
-    return minima(*line_letters(words, spoken), gram)
+class Letters:
+    """The letters of lines in ascending order of their sizes."""
+
+    def __init__(self, words: Words, spoken: np.ndarray, size: np.ndarray):
+        self.size = size
+        self.letters, self.counts = line_letters(words, spoken)
+        self.first = np.concatenate(([0], np.cumsum(self.counts)))
+
+    def of(self, low: float, high: float) -> tuple[slice, np.ndarray, np.ndarray]:
+        """The lines of ``low`` to under ``high`` characters, their letters and how many each has."""
+        some = slice(*np.searchsorted(self.size, (low, high)).tolist())
+        return some, self.letters[self.first[some.start] : self.first[some.stop]], self.counts[some]
 
 
 def sketches(words: Words, spoken: np.ndarray) -> np.ndarray:
+    return letter_sketches(*line_letters(words, spoken))
+
+
+def letter_sketches(letters: np.ndarray, n: np.ndarray) -> np.ndarray:
     """One bit of each minimum of the line's grams."""
-    bits = (minima_of(words, spoken, SKETCH_GRAM) & np.uint64(1)).astype(bool)
+    bits = (minima(letters, n, SKETCH_GRAM) & np.uint64(1)).astype(bool)
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def letter_counts(words: Words, spoken: np.ndarray) -> np.ndarray:
+    return class_counts(*line_letters(words, spoken))
+
+
+def class_counts(letters: np.ndarray, n: np.ndarray) -> np.ndarray:
     """How often letters of each class stand in the line, up to 15, four bits a class."""
-    letters, n = line_letters(words, spoken)
     begun = (letters & 0xC0) != 0x80
     at = np.repeat(np.arange(len(n)) * 16, n)[begun] + _CLASS[letters[begun]]
     counts = np.minimum(np.bincount(at, minlength=16 * len(n)), 15).reshape(-1, 16).astype(np.uint64)
     return np.bitwise_or.reduce(counts << np.arange(0, 64, 4, dtype=np.uint64), axis=1)
 
 
-def letters_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A lower bound of the edits between lines with these counts: an edit takes one letter of a
-    class away, adds one, or both."""
+def gram_counts(letters: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How often pairs of neighbouring letters of each class stand in the line, up to 3, two bits a class."""
+    begun = (letters & 0xC0) != 0x80
+    line = np.repeat(np.arange(len(n)) * 32, n)[begun]
+    own = letters[begun].astype(np.uint32)
+    pair = (own[:-1] * np.uint32(2654435761) + own[1:] * np.uint32(2246822519)) >> np.uint32(27)
+    inside = line[:-1] == line[1:]
+    counts = np.bincount(line[:-1][inside] + pair[inside], minlength=32 * len(n))
+    counts = np.minimum(counts, 3).reshape(-1, 32).astype(np.uint64)
+    return np.bitwise_or.reduce(counts << np.arange(0, 64, 2, dtype=np.uint64), axis=1)
+
+
+def letters_apart(x: np.ndarray, y: np.ndarray, bits: int = 4) -> np.ndarray:
+    """A lower bound of the edits between lines with these counts of ``bits`` bits a class: an edit
+    takes one letter of a class away, adds one, or both (of the pairs of letters up to two)."""
     more, apart = np.zeros(len(x), np.int16), np.zeros(len(x), np.int16)
-    # Every second class in the low half of a byte: no byte of ``gap`` borrows from the next.
-    for shift in (np.uint64(0), np.uint64(4)):
-        own, other = (v >> shift & _LOW for v in (x, y))
+    low = _LOW if bits == 4 else _LOW // np.uint64(5)
+    # One class of a byte at a time: no byte of ``gap`` borrows from the next.
+    for shift in range(0, 8, bits):
+        own, other = (v >> np.uint64(shift) & low for v in (x, y))
         gap = (own | _TOP) - other
         above = np.maximum(gap.view(np.uint8), np.uint8(128)).view(np.uint64) ^ _TOP
         more += byte_sums(above)
@@ -206,75 +241,101 @@ def byte_sums(x: np.ndarray) -> np.ndarray:
 
 def meeting_keys(words: Words, spoken: np.ndarray, size: np.ndarray) -> pa.Array:
     """The buckets of each line of ``size`` characters: halves of short lines, bands of others."""
-    pieces = []
+    by = np.argsort(size, kind="stable")
+    line, keys = bucket_keys(words, spoken[by], Letters(words, spoken[by], size[by]))
+    line = by[line]
+    held = np.bincount(line, minlength=len(spoken))
+    offsets = np.concatenate(([0], np.cumsum(held))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[np.argsort(line, kind="stable")]))
+
+
+def bucket_keys(words: Words, spoken: np.ndarray, lines: Letters) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the lines, in ascending order of sizes, and the line of each."""
     raw = words.data.tobytes()
-    short = np.flatnonzero((size >= SHORT[0]) & (size <= SHORT[1]))
+    some = lines.of(SHORT[0], SHORT[1] + 1)[0]
     halves = []
-    for line in spoken[short].tolist():
+    for line in spoken[some].tolist():
         a, b = words.bounds[line], words.bounds[line + 1]
         spans = zip(words.starts[a:b].tolist(), words.ends[a:b].tolist(), strict=True)
         halves += half_keys(b" ".join(raw[s:e] for s, e in spans))
-    pieces.append((np.repeat(short, 4), np.array(halves, np.int32)))
+    pieces = [(np.repeat(np.arange(some.start, some.stop), 4), np.array(halves, np.int32))]
     for kind, (low, high, gram, rows) in enumerate(
         ((SHORT[1] - 1, MIDDLE, 3, 3), (MIDDLE * 9 // 10, np.inf, 9, 2))
     ):
-        some = np.flatnonzero((size >= low) & (size < high))
-        if not len(some):
+        some, letters, counts = lines.of(low, high)
+        if not len(counts):
             continue
-        values = minima_of(words, spoken[some], gram).reshape(-1, BANDS, BINS // BANDS)
+        values = minima(letters, counts, gram).reshape(-1, BANDS, BINS // BANDS)
         band = np.broadcast_to(
             np.arange(BANDS, dtype=np.uint64) + np.uint64(BANDS * kind), values.shape[:2]
         )
         for i in range(rows):
             band = mix64(band * np.uint64(31) + values[:, :, i])
-        pieces.append((np.repeat(some, BANDS), (band & np.uint64(0x7FFFFFFF)).astype(np.int32).ravel()))
-    line = np.concatenate([p[0] for p in pieces])
-    keys = np.concatenate([p[1] for p in pieces])
-    by = np.argsort(line, kind="stable")
-    held = np.bincount(line, minlength=len(spoken))
-    offsets = np.concatenate(([0], np.cumsum(held))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[by]))
+        own = np.repeat(np.arange(some.start, some.stop), BANDS)
+        pieces.append((own, (band & np.uint64(0x7FFFFFFF)).astype(np.int32).ravel()))
+    return np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces])
 
 
 # ``sketch``: below MIDDLE characters the letter counts.
 ENTRY = np.dtype([("bucket", "<u4"), ("id", "<i8"), ("size", "<u4"), ("sketch", "<u8")])
+# With counts of pairs of letters, for lines below MIDDLE characters.
+MARKED = np.dtype([*ENTRY.descr, ("grams", "<u8")])
 # A line where it stands: its key, document and number.
 PLACE = np.dtype([("key", "<i8"), ("doc_id", "<i8"), ("line", "<i4")])
 
 
 def bucket_entries(parts: int, fold_digits: bool, places: bool = False):
-    """The bucket entries of the lines, packed: one binary per part of the buckets and slice. With
-    ``places`` also where each line stands (``doc_id``), by parts of the keys."""
+    """The bucket entries of the lines, packed: binaries per part of the buckets and run of slices
+    (``grams``: a number per entry of a line below ``MIDDLE`` characters). With ``places`` also where
+    each line stands (``doc_id``), by parts of the keys."""
 
     def dealt(rows, to):
-        rows = rows[np.argsort(to, kind="stable")]
+        rows = rows[np.argsort(to.astype(np.uint16) if parts <= 1 << 16 else to, kind="stable")]
         ends = np.concatenate(([0], np.cumsum(np.bincount(to, minlength=parts))))
         return [rows[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
+    def of_slice(part):
+        words, text, number, spoken, _ = line_table(part.column("text"), fold_digits)
+        keys = line_keys(words, spoken)
+        key, first = np.unique(keys, return_index=True)
+        spoken = spoken[first]
+        size = lengths(words, spoken)
+        by = np.argsort(size, kind="stable")
+        key, spoken, size = key[by], spoken[by], size[by]
+        lines = Letters(words, spoken, size)
+        marks = [class_counts(*lines.of(0, MIDDLE)[1:]), letter_sketches(*lines.of(MIDDLE, np.inf)[1:])]
+        line, bucket = bucket_keys(words, spoken, lines)
+        entries = np.empty(len(line), ENTRY)
+        entries["bucket"] = bucket
+        for name, values in (("id", key), ("size", size), ("sketch", np.concatenate(marks))):
+            entries[name] = values[line]
+        where = np.empty(len(keys) if places else 0, PLACE)
+        if places:
+            where["key"], where["line"] = keys, number
+            where["doc_id"] = part.column("doc_id").to_numpy()[text]
+        few = line < lines.of(0, MIDDLE)[0].stop
+        return entries, gram_counts(*lines.of(0, MIDDLE)[1:])[line[few]], where
+
+    def packed(held):
+        entries, grams, where = (np.concatenate(x) for x in zip(*held, strict=True))
+        to = entries["bucket"] % parts
+        columns = [dealt(entries, to), dealt(grams, to[entries["size"] < MIDDLE])]
+        if places:
+            columns.append(dealt(where, where["key"] % parts))
+        columns = [pa.array(x, pa.binary()) for x in columns]
+        names = ["part", "entries", "grams", "places"][: 1 + len(columns)]
+        return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), *columns], names)
+
     def run(batches):
-        for part in text_slices(batches):
-            words, text, number, spoken, _ = line_table(part.column("text"), fold_digits)
-            keys = line_keys(words, spoken)
-            key, first = np.unique(keys, return_index=True)
-            spoken = spoken[first]
-            size = lengths(words, spoken)
-            few = size < MIDDLE
-            marks = np.empty(len(size), np.uint64)
-            marks[few], marks[~few] = letter_counts(words, spoken[few]), sketches(words, spoken[~few])
-            met = meeting_keys(words, spoken, size)
-            held = np.diff(met.offsets.to_numpy())
-            entries = np.empty(int(held.sum()), ENTRY)
-            entries["bucket"] = met.values.to_numpy()
-            for name, values in (("id", key), ("size", size), ("sketch", marks)):
-                entries[name] = np.repeat(values, held)
-            packed = [pa.array(dealt(entries, entries["bucket"] % parts), pa.binary())]
-            if places:
-                where = np.empty(len(keys), PLACE)
-                where["key"], where["line"] = keys, number
-                where["doc_id"] = part.column("doc_id").to_numpy()[text]
-                packed.append(pa.array(dealt(where, keys % parts), pa.binary()))
-            names = ["part", "entries", "places"][: 1 + len(packed)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), *packed], names)
+        held, size = [], 0
+        for part in text_slices(batches, limit=LINE_BYTES):
+            held.append(of_slice(part))
+            size += held[-1][0].nbytes
+            if size >= PACKED_BYTES:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
 
     return run
 
@@ -363,13 +424,123 @@ def within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+def side(lines: list[bytes], mark: int) -> tuple[np.ndarray, ...]:
+    """Of Latin-1 lines: their characters, the eight characters from each place on, in one number, where each line
+    begins and its length (eight times ``mark`` stand after a line), and counts of its letters."""
+    size = np.array([len(x) for x in lines], np.int64)
+    first = np.cumsum(size + 8) - size - 8
+    ended = bytes([mark]) * 8
+    raw = ended.join([*lines, ended * 9])
+    codes = np.frombuffer(raw, np.uint8)
+    eights = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,)).copy()
+    slot = np.repeat(np.arange(len(lines)) * LETTERS, size + 8)
+    slot += codes[: len(slot)] & (LETTERS - 1)
+    counts = np.bincount(slot, minlength=LETTERS * len(lines)).reshape(-1, LETTERS)
+    return codes, eights, first, size, counts
+
+
+def equal_bytes(apart: np.ndarray) -> np.ndarray:
+    """How many of eight bytes agree before the first that differs."""
+    return np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)) >> 3
+
+
+def within_each(left: list[bytes], right: list[bytes], most: np.ndarray) -> np.ndarray:
+    """``within`` for many pairs of Latin-1 lines at once: for 0, 1, 2, ... edits the furthest
+    places that each diagonal of the distance table reaches."""
+    (raw_a, codes_a, at_a, size_a, count_a), (raw_b, codes_b, at_b, size_b, count_b) = side(left, 0), side(right, 1)
+    shift = size_b - size_a
+    # An edit takes one letter of a class away, adds one, or both (the marks after the lines: 8 each).
+    gap = count_b - count_a
+    gap[:, 0] += 8
+    gap[:, 1] -= 8
+    more = np.maximum(gap, 0).sum(axis=1)
+    result = most >= np.maximum(size_a, size_b)
+    open_ = np.flatnonzero((np.maximum(more, more - shift) <= most) & ~result)
+    open_ = open_[np.argsort(most[open_], kind="stable")]
+    start = 0
+    while start < len(open_):
+        # Pairs of limits of one order, as tables of one width.
+        end = int(np.searchsorted(most[open_], 2 * most[open_[start]] + 8, side="right"))
+        some, start = open_[start:end], end
+        wide = int(most[some].max()) + 1
+        # reach[:, wide + d] of diagonal d: characters of the left line that are matched or edited.
+        reach = np.full((len(some), 2 * wide + 1), -2, np.int32)
+        reach[:, wide] = -1
+        ends = np.minimum(size_a[some, None], size_b[some, None] - np.arange(-wide, wide + 1)).astype(np.int32)
+        beyond = bool((ends < 0).any())
+        for edits in range(wide):
+            if len(some) < FEW_PAIRS:
+                result[some] = [
+                    within(*(x[i].decode("latin-1") for x in (left, right)), int(most[i])) for i in some.tolist()
+                ]
+                break
+            # A diagonal that the edits left cannot lead back from to the lines' ends is of no use.
+            low = wide + max(-edits, int((shift[some] - most[some]).min()) + edits)
+            high = wide + min(edits, int((shift[some] + most[some]).max()) - edits) + 1
+            if low >= high:
+                break
+            now = np.maximum(reach[:, low:high], reach[:, low + 1 : high + 1])
+            now += 1
+            np.maximum(now, reach[:, low - 1 : high - 1], out=now)
+            np.minimum(now, ends[:, low:high], out=now)
+            flat = now.ravel()
+            x = (now + at_a[some, None]).ravel()
+            y = (now + (at_b[some, None] + np.arange(low - wide, high - wide))).ravel()
+            if beyond:
+                live = np.flatnonzero((flat >= 0) & (now + np.arange(low - wide, high - wide) >= 0).ravel())
+                live = live[raw_a[x[live]] == raw_b[y[live]]]
+            else:
+                live = np.flatnonzero(raw_a[x] == raw_b[y])
+            x, y = x[live], y[live]
+            same = equal_bytes(codes_a[x] ^ codes_b[y])
+            flat[live] += same
+            on = np.flatnonzero(same == 8)
+            live, x, y = live[on], x[on] + 8, y[on] + 8
+            while len(x):
+                # Eight numbers at a time, to the first that differs.
+                apart = codes_a[x[:, None] + _EIGHTS] ^ codes_b[y[:, None] + _EIGHTS]
+                first = np.argmax(apart != 0, axis=1)
+                last = apart[np.arange(len(x)), first]
+                flat[live] += np.where(last == 0, 64, 8 * first + equal_bytes(last))
+                on = np.flatnonzero(last == 0)
+                live, x, y = live[on], x[on] + 64, y[on] + 64
+            reach[:, low:high] = now
+            there = reach[np.arange(len(some)), np.clip(wide + shift[some], 0, 2 * wide)] >= size_a[some]
+            there &= (edits <= most[some]) & (np.abs(shift[some]) <= edits)
+            result[some[there]] = True
+            go_on = ~there & (most[some] > edits)
+            if np.count_nonzero(go_on) < 0.9 * len(some):
+                some, reach, ends = some[go_on], reach[go_on], ends[go_on]
+    return result
+
+
 def similar_pairs(batches):
     """The pairs ``a, b`` whose lines ``la, lb`` are similar enough."""
     share = round(1 - SIMILARITY, 6)
     for batch in batches:
-        sides = [batch.column(c).to_pylist() for c in ("la", "lb")]
-        near = [within(x, y, int(max(len(x), len(y)) * share)) for x, y in zip(*sides, strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+        left, right = (batch.column(c).to_pylist() for c in ("la", "lb"))
+        most = np.array([int(max(len(x), len(y)) * share) for x, y in zip(left, right, strict=True)], np.int64)
+        near = np.zeros(len(left), bool)
+        at, sides, held = [], ([], []), 0
+        for i, (x, y) in enumerate(zip(left, right, strict=True)):
+            if most[i] <= FEW_EDITS:
+                try:
+                    pair = x.encode("latin-1"), y.encode("latin-1")
+                except UnicodeEncodeError:
+                    near[i] = within(x, y, int(most[i]))
+                    continue
+                at.append(i)
+                for lines, line in zip(sides, pair, strict=True):
+                    lines.append(line)
+                held += len(x) + len(y)
+                if held >= PAIR_BYTES:
+                    near[at] = within_each(*sides, most[at])
+                    at, sides, held = [], ([], []), 0
+            else:
+                near[i] = within(x, y, int(most[i]))
+        if at:
+            near[at] = within_each(*sides, most[at])
+        yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
 def open_pair(a, b) -> np.ndarray:
@@ -378,12 +549,18 @@ def open_pair(a, b) -> np.ndarray:
     a, b = a[both], b[both]
     fit = np.zeros(len(both), bool)
     fit[both] = fit_letters(a["size"], b["size"], a["sketch"], b["sketch"])
+    if "grams" in (a.dtype.names or ()):
+        few = np.flatnonzero(both)[np.maximum(a["size"], b["size"]) < MIDDLE]
+        few = np.searchsorted(np.flatnonzero(both), few[fit[few]])
+        a, b = a[few], b[few]
+        edits = (letters_apart(a["grams"], b["grams"], 2) + 1) // 2
+        fit[np.flatnonzero(both)[few]] = 10 * edits <= np.maximum(a["size"], b["size"])
     return fit
 
 
-def near_pairs(entries: np.ndarray, rule=may_link) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of entries of one bucket, sorted by it, that may be linked."""
-    bucket, at = entries["bucket"], np.arange(len(entries))
+def open_places(bucket: np.ndarray, entries: np.ndarray, rule) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the pairs of entries of one bucket, sorted by it, that may be linked."""
+    at = np.arange(len(entries))
     none = np.empty(0, np.int64)
     left, right = [none], [none]
     for gap in range(1, len(entries)):
@@ -392,68 +569,125 @@ def near_pairs(entries: np.ndarray, rule=may_link) -> tuple[np.ndarray, np.ndarr
         if not len(at):
             break
         for some in np.array_split(at, len(at) // PAIRS + 1):
-            a, b = entries[some], entries[some + gap]
-            open_ = np.flatnonzero(rule(a, b))
-            left.append(np.minimum(a["id"][open_], b["id"][open_]))
-            right.append(np.maximum(a["id"][open_], b["id"][open_]))
+            some = some[rule(entries[some], entries[some + gap])]
+            left.append(some)
+            right.append(some + gap)
     return np.concatenate(left), np.concatenate(right)
 
 
-def shared_buckets(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The entries of the buckets of several lines, in order and once each, and their buckets' sizes."""
-    entries = np.frombuffer(b"".join(packed), ENTRY)
-    bucket = np.sort(entries["bucket"])
-    several = np.unique(bucket[1:][bucket[1:] == bucket[:-1]])
-    if not len(several):
-        return entries[:0], np.empty(0, np.int64)
-    at = np.minimum(np.searchsorted(several, entries["bucket"]), len(several) - 1)
-    entries = entries[several[at] == entries["bucket"]]
-    entries = entries[np.lexsort((entries["id"], entries["bucket"]))]
-    again = (entries["bucket"][1:] == entries["bucket"][:-1]) & (entries["id"][1:] == entries["id"][:-1])
-    entries = entries[np.concatenate(([True], ~again))]
-    change = np.flatnonzero(entries["bucket"][1:] != entries["bucket"][:-1]) + 1
-    runs = np.diff(np.r_[0, change, len(entries)])
-    size = np.repeat(runs, runs)
-    return entries[size > 1], size[size > 1]
+def near_pairs(entries: np.ndarray, rule=may_link) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of entries of one bucket, sorted by it, that may be linked."""
+    left, right = (entries["id"][x] for x in open_places(entries["bucket"], entries, rule))
+    return np.minimum(left, right), np.maximum(left, right)
+
+
+def unlike(a, b) -> np.ndarray:
+    """How unlike the lines of two entries look: bits of their sketches, or edits by letter counts
+    (one line below ``MIDDLE`` has no sketch)."""
+    bits = np.bitwise_count(a["sketch"] ^ b["sketch"]).astype(np.int16)
+    few = np.maximum(a["size"], b["size"]) < MIDDLE
+    bits[few] = letters_apart(a["sketch"][few], b["sketch"][few])
+    bits[~few & (np.minimum(a["size"], b["size"]) < MIDDLE)] = 64
+    return bits
 
 
-MET = "bucket long, a long, b long, size long, sketch long, line int"
+def runs(bucket: np.ndarray) -> np.ndarray:
+    """How many entries the bucket of each entry has; they are sorted by bucket."""
+    change = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
+    size = np.diff(np.r_[0, change, len(bucket)])
+    return np.repeat(size, size)
+
+
+def shared_buckets(packed: list[bytes], grams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of the buckets of several lines, in order and once each, and their buckets' sizes."""
+    entries = np.frombuffer(b"".join(packed), ENTRY)
+    # Buckets in order, each with the place of its entry.
+    order = entries["bucket"].astype(np.uint64) << np.uint64(32)
+    order |= np.arange(len(entries), dtype=np.uint64)
+    order.sort()
+    same = order[1:] >> np.uint64(32) == order[:-1] >> np.uint64(32)
+    several = np.zeros(len(entries), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    at = (order[several] & np.uint64(0xFFFFFFFF)).view(np.int64)
+    place = np.cumsum(entries["size"] < MIDDLE) - 1
+    marked = np.zeros(len(at), MARKED)
+    for name in ENTRY.names:
+        marked[name] = entries[name][at]
+    few = marked["size"] < MIDDLE
+    marked["grams"][few] = np.frombuffer(b"".join(grams), np.uint64)[place[at[few]]]
+    marked = marked[np.lexsort((marked["id"], marked["bucket"]))]
+    again = np.zeros(len(marked), bool)
+    again[1:] = (marked["bucket"][1:] == marked["bucket"][:-1]) & (marked["id"][1:] == marked["id"][:-1])
+    marked = marked[~again]
+    size = runs(marked["bucket"])
+    return marked[size > 1], size[size > 1]
+
+
+def by_length(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Large buckets cut by length: a class spans a tenth, so alike lines are of one class or of two
+    neighbours; a line goes to the buckets of its class and of the class below it. Returns the new
+    buckets, sorted, and their entries."""
+    kind = (np.log(entries["size"]) / (np.log(10 / 9) * (1 + 1e-9))).astype(np.int64) + 1
+    bucket = entries["bucket"].astype(np.int64) << 16
+    bucket = np.concatenate((bucket + kind, bucket + kind - 1))
+    entries = np.concatenate((entries, entries))
+    by = np.lexsort((entries["id"], bucket))
+    return bucket[by], entries[by]
+
+
+MET = "bucket long, a long, b long, size long, sketch long, grams long, line int, first boolean, again boolean, unlike int"
 
 
 def bucket_reader(limit: int):
-    """Per part: pairs of its small buckets (``a, b``), the members of its large ones (``bucket, a,
-    size, sketch``), the places of its lines (document ``a``, key ``b``, ``line``)."""
-    kinds = [pa.int64()] * 5 + [pa.int32()]
-    names = ["bucket", "a", "b", "size", "sketch", "line"]
+    """Per part: pairs of its small buckets (``a, b``, how ``unlike``), the members of its large ones
+    (``bucket, a, size, sketch, grams``), the places of its lines (document ``a``, key ``b``, ``line``;
+    whether it is the ``first`` of the key, whether the key stands ``again`` elsewhere)."""
+    kinds = [*[pa.int64()] * 6, pa.int32(), pa.bool_(), pa.bool_(), pa.int32()]
+    names = ["bucket", "a", "b", "size", "sketch", "grams", "line", "first", "again", "unlike"]
 
     def rows(**columns):
         n = len(next(iter(columns.values())))
         full = [pa.array(columns[c]).cast(k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)]
         return pa.RecordBatch.from_arrays(full, names)
 
-    def settle(packed, places):
-        entries, size = shared_buckets(packed)
-        pair = np.unique(np.stack(near_pairs(entries[size <= limit], open_pair), axis=1), axis=0)
-        yield rows(a=pair[:, 0], b=pair[:, 1])
-        large = entries[size > limit]
-        yield rows(bucket=large["bucket"], a=large["id"], size=large["size"], sketch=large["sketch"].view(np.int64))
-        where = np.frombuffer(b"".join(places), PLACE)
-        yield rows(a=where["doc_id"], b=where["key"], line=where["line"])
+    def settle(packed, grams, places):
+        entries, size = shared_buckets(packed, grams)
+        cut, members = by_length(entries[size > limit])
+        size_cut = runs(cut)
+        found = []
+        for bucket, own in ((entries["bucket"][size <= limit], entries[size <= limit]),
+                            (cut[size_cut <= limit], members[size_cut <= limit])):
+            i, j = open_places(bucket, own, open_pair)
+            ends = own["id"][i], own["id"][j]
+            found.append((np.minimum(*ends), np.maximum(*ends), unlike(own[i], own[j])))
+        a, b, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.lexsort((b, a))
+        a, b, apart = a[by], b[by], apart[by]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        yield rows(a=a[new], b=b[new], unlike=apart[new])
+        cut, members = cut[size_cut > limit], members[size_cut > limit]
+        yield rows(bucket=cut, a=members["id"], size=members["size"], sketch=members["sketch"].view(np.int64), grams=members["grams"].view(np.int64))
+        where = np.unique(np.frombuffer(b"".join(places), PLACE))
+        first = np.ones(len(where), bool)
+        first[1:] = where["key"][1:] != where["key"][:-1]
+        yield rows(a=where["doc_id"], b=where["key"], line=where["line"], first=first, again=runs(where["key"]) > 1)
 
     def read(batches):
-        at, held, places = None, [], []
+        at, held = None, ([], [], [])
         for batch in batches:
             columns = batch.to_pydict()
             own = columns.get("places", [b""] * batch.num_rows)
-            for part, entries, where in zip(columns["part"], columns["entries"], own, strict=True):
-                if held and part != at:
-                    yield from settle(held, places)
-                    held, places = [], []
+            for part, *packed in zip(columns["part"], columns["entries"], columns["grams"], own, strict=True):
+                if held[0] and part != at:
+                    yield from settle(*held)
+                    held = ([], [], [])
                 at = part
-                held.append(entries)
-                places.append(where)
-        if held:
-            yield from settle(held, places)
+                for x, y in zip(held, packed, strict=True):
+                    x.append(y)
+        if held[0]:
+            yield from settle(*held)
 
     return read
 
@@ -466,27 +700,25 @@ def repeated_lines(
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = steps.store(
-        docs.mapInArrow(bucket_entries(parts, fold_digits, True), "part int, entries binary, places binary")
+        docs.mapInArrow(bucket_entries(parts, fold_digits, True), "part int, entries binary, grams binary, places binary")
         .repartition(parts, "part")
         .sortWithinPartitions("part")
         .mapInArrow(bucket_reader(small_bucket), MET),
         "met",
     )
-    lines = met.where("line is not null").select(F.col("a").alias("doc_id"), "line", F.col("b").alias("key"))
-    place = F.struct("doc_id", "line")
-    distinct = steps.store(
-        lines.groupBy("key").agg(F.min(place).alias("first"), (F.min(place) < F.max(place)).alias("again")),
-        "distinct",
-    )
-    near = steps.store(met.where("bucket is null and line is null").select("a", "b").distinct(), "near")
+    lines = met.where("line is not null").select(F.col("a").alias("doc_id"), "line", F.col("b").alias("key"), "first", "again")
+    near = met.where("bucket is null and line is null").groupBy("a", "b").agg(F.min("unlike").alias("unlike"))
+    near = steps.store(near, "near")
     large = steps.store(
-        met.where("bucket is not null").select("bucket", F.col("a").alias("id"), "size", "sketch"), "large"
+        met.where("bucket is not null").select("bucket", F.col("a").alias("id"), "size", "sketch", "grams"), "large"
     )
 
     # The normalised lines of all that may be linked, read once where they first occur.
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
+    place = F.struct("doc_id", "line")
+    distinct = lines.where("first").select(F.col("key").alias("id"), place.alias("first"))
     by_doc = steps.store(
-        wanted.join(distinct.select(F.col("key").alias("id"), "first"), "id")
+        wanted.join(distinct, "id")
         .groupBy(F.col("first.doc_id").alias("_id"))
         .agg(F.collect_list(F.struct("first.line", F.col("id").alias("key"))).alias("wanted")),
         "wanted",
@@ -508,24 +740,17 @@ def repeated_lines(
             .mapInArrow(similar_pairs, "a long, b long")
         )
 
-    links = pair_links(near, alike, steps)
-    if not large.isEmpty():
-        links = bucket_links(large, links, alike, steps)
-    groups = steps.store(components(links), "groups")
-    grouped = distinct.join(groups.withColumnRenamed("id", "key"), "key")
-    keepers = steps.store(grouped.groupBy("component").agg(F.min("first").alias("keeper")), "keepers")
+    _, groups = line_groups(near, large, alike, steps)
+    # All places of the lines of which one stays.
     marked = steps.store(
-        grouped.join(keepers, "component")
-        .select("key", "keeper")
-        .unionByName(
-            distinct.where("again")
-            .join(groups.withColumnRenamed("id", "key"), "key", "left_anti")
-            .select("key", F.col("first").alias("keeper"))
-        ),
+        lines.join(groups.withColumnRenamed("id", "key"), "key", "left")
+        .where("again or component is not null")
+        .select("doc_id", "line", F.coalesce("component", "key").alias("c")),
         "marked",
     )
+    keepers = steps.store(marked.groupBy("c").agg(F.min(place).alias("keeper")), "keepers")
     return (
-        lines.join(marked, "key")
+        marked.join(keepers, "c")
         .where(place != F.col("keeper"))
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_set("line")).alias("lines"))
@@ -534,16 +759,51 @@ def repeated_lines(
 
 def pair_links(near: DataFrame, alike, steps: Steps) -> DataFrame:
     """Links with the components of all links among the pairs ``a, b`` (a < b): each line is
-    compared with its first partner, and then the pairs that no component holds."""
-    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = steps.store(alike(first), "links")
+    compared with one partner, and then the pairs that no component holds."""
+    return line_groups(near, None, alike, steps)[0]
+
+
+def line_groups(near: DataFrame, large: DataFrame | None, alike, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """Links and their components among the pairs ``near`` (``a, b``, perhaps how ``unlike``) and
+    within the large buckets (``bucket, id, size, sketch, grams``).
+
+    Each line is compared with its most alike partner, each member of a large bucket with the first
+    of it; that settles near copies. Then all pairs that no component holds are, and of the members
+    of large buckets of several components (``bucket_pairs``) the most alike, more each round. Once
+    no line has further open partners, every pair was compared, ruled out or lies in one component.
+    """
+    if large is not None and large.isEmpty():
+        large = None
+    best = F.struct(*[c for c in ("unlike", "a") if c in near.columns])
+    first = steps.store(
+        near.groupBy("b").agg(F.min(best).alias("best")).select(F.col("best.a").alias("a"), "b"), "first"
+    )
+    pairs = first if large is None else first.unionByName(hub_pairs(large, steps)).distinct()
+    links = steps.store(alike(pairs), "links")
     groups = steps.store(components(links), "groups")
     rest = near.join(first.withColumnRenamed("a", "_a"), "b").where("a <> _a").select("a", "b")
     for end in ("a", "b"):
         own = groups.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
         rest = rest.join(own, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
     rest = steps.store(rest.where("ca <> cb").select("a", "b"), "rest")
-    return steps.store(links.unionByName(alike(rest)), "links")
+    partners = MORE
+    while rest is not None or large is not None:
+        open_ = None if large is None else bucket_pairs(large, groups, partners, steps)
+        if open_ is None:
+            large = None
+            pairs = rest
+        else:
+            pairs = open_.select("a", "b")
+            pairs = pairs if rest is None else rest.unionByName(pairs).distinct()
+        if pairs is None:
+            break
+        links = steps.store(links.unionByName(alike(pairs)), "links")
+        groups = steps.store(components(links), "groups")
+        if open_ is not None and open_.where("more").isEmpty():
+            large = None
+        rest = None
+        partners *= MORE * MORE
+    return links, groups
 
 
 def proposals(partners: int):
@@ -553,10 +813,9 @@ def proposals(partners: int):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        lines = np.empty(table.num_rows, ENTRY)
-        for name in ("id", "size"):
-            lines[name] = table.column(name).to_numpy()
-        lines["sketch"] = table.column("sketch").to_numpy().view(np.uint64)
+        lines = np.empty(table.num_rows, MARKED if "grams" in table.column_names else ENTRY)
+        for name in lines.dtype.names[1:]:
+            lines[name] = table.column(name).to_numpy().view(np.int64 if name in ("id", "size") else np.uint64)
         c, side = (table.column(x).to_numpy() for x in ("c", "side"))
         apart = table.column("apart")[0].as_py()
         left, right, more = [], [], []
@@ -585,51 +844,35 @@ def proposals(partners: int):
     return run
 
 
-def bucket_links(members: DataFrame, links: DataFrame, alike, steps: Steps) -> DataFrame:
-    """``links`` with those inside large buckets (``bucket, id, size, sketch``).
-
-    Every member meets the first of its bucket; that settles near copies. A bucket whose members
-    lie in one component is done. The others are cut into tiles of bounded size, and the lines of a
-    tile propose partners of other components, more each round. Once no line has further open
-    partners, every pair was compared, ruled out or lies in one component.
-    """
+def hub_pairs(large: DataFrame, steps: Steps) -> DataFrame:
+    """Each member of a large bucket with the first of it, if lengths and marks leave the pair open."""
+    hubs = large.groupBy("bucket").agg(F.min(F.struct("id", "size", "sketch")).alias("h"))
+    hubs = steps.store(hubs, "hubs").select(F.col("bucket").alias("h_bucket"), *[F.col(f"h.{x}").alias(f"h_{x}") for x in ("id", "size", "sketch")])
+    open_ = (F.col("id") != F.col("h_id")) & (10 * F.abs(F.col("size") - F.col("h_size")) <= F.greatest("size", "h_size"))
+    alike_marks = F.bit_count(F.col("sketch").bitwiseXOR(F.col("h_sketch"))) <= 64 - AGREEING
+    open_ &= alike_marks | (F.least("size", "h_size") < MIDDLE)
+    return large.join(hubs, (F.col("bucket") == F.col("h_bucket")) & open_).select(F.col("h_id").alias("a"), F.col("id").alias("b"))
 
-    def mixed(members: DataFrame, links: DataFrame) -> DataFrame:
-        groups = steps.store(components(links), "groups")
-        marked = members.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        marked = steps.store(marked, "marked")
-        some = marked.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"))
-        some = some.where("lo < hi").select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("k"))
-        return steps.store(marked.join(some, "bucket"), "live")
 
-    live = mixed(members, links)
+def bucket_pairs(large: DataFrame, groups: DataFrame, partners: int, steps: Steps) -> DataFrame | None:
+    """Pairs ``a, b, more`` between components inside large buckets: tiles of bounded size, of whose
+    lines each proposes ``partners`` others. None if each bucket lies in one component."""
+    marked = large.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    marked = steps.store(marked, "members")
+    some = marked.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"))
+    some = some.where("lo < hi").select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("k"))
+    live = steps.store(marked.join(some, "bucket"), "live")
     if live.isEmpty():
-        return links
-    hubs = live.groupBy("bucket").agg(F.min(F.struct("id", "size", "sketch", "c")).alias("h"))
-    hubs = steps.store(hubs, "hubs").select(F.col("bucket").alias("h_bucket"), *[F.col(f"h.{x}").alias(f"h_{x}") for x in ("id", "size", "sketch", "c")])
-    open_ = (F.col("c") != F.col("h_c")) & (10 * F.abs(F.col("size") - F.col("h_size")) <= F.greatest("size", "h_size"))
-    alike_marks = F.bit_count(F.col("sketch").bitwiseXOR(F.col("h_sketch"))) <= 64 - AGREEING
-    open_ &= alike_marks | (F.least("size", "h_size") < MIDDLE)
-    pairs = live.join(hubs, (F.col("bucket") == F.col("h_bucket")) & open_).select(F.col("h_id").alias("a"), F.col("id").alias("b"))
-    links = steps.store(links.unionByName(alike(steps.store(pairs.distinct(), "pairs"))), "links")
-    partners = 1
-    while True:
-        live = mixed(live.select("bucket", "id", "size", "sketch"), links)
-        if live.isEmpty():
-            return links
-        tiles = (
-            live.withColumn("side", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-            .withColumn("i", F.least("side", "other"))
-            .withColumn("j", F.greatest("side", "other"))
-            .withColumn("apart", F.col("i") < F.col("j"))
-        )
-        tiles = tiles.groupBy("bucket", "i", "j").applyInArrow(proposals(partners), "a long, b long, more boolean")
-        pairs = steps.store(tiles.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
-        links = steps.store(links.unionByName(alike(pairs.select("a", "b"))), "links")
-        if pairs.where("more").isEmpty():
-            return links
-        partners *= MORE
+        return None
+    tiles = (
+        live.withColumn("side", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        .withColumn("i", F.least("side", "other"))
+        .withColumn("j", F.greatest("side", "other"))
+        .withColumn("apart", F.col("i") < F.col("j"))
+    )
+    tiles = tiles.groupBy("bucket", "i", "j").applyInArrow(proposals(partners), "a long, b long, more boolean")
+    return steps.store(tiles.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
 
 
 def without_lines(batches):
