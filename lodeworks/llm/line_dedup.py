@@ -60,8 +60,8 @@ SKETCH_GRAM, AGREEING = 5, 40
 _CLASS = (np.arange(256, dtype=np.uint32) * np.uint32(2654435761) >> np.uint32(28)).astype(np.int64)
 # Buckets up to this size give their pairs at once, larger ones in rounds of hubs.
 SMALL_BUCKET = 128
-# Lines of one side of a tile of a large bucket, and how many times more partners a next round takes.
-TILE, MORE = 512, 8
+# Lines of one side of a tile of a large bucket, and how many times more partners a next pass takes.
+TILE, MORE = 2048, 8
 # Pairs of one numpy pass.
 PAIRS = 1 << 18
 # Texts of one pass over their letters (its arrays stay in the cache), and bucket entries dealt at once.
@@ -514,32 +514,37 @@ def within_each(left: list[bytes], right: list[bytes], most: np.ndarray) -> np.n
     return result
 
 
+def similar(left: list[str], right: list[str]) -> np.ndarray:
+    """Whether the lines of each pair are similar enough."""
+    share = round(1 - SIMILARITY, 6)
+    most = np.array([int(max(len(x), len(y)) * share) for x, y in zip(left, right, strict=True)], np.int64)
+    near = np.zeros(len(left), bool)
+    at, sides, held = [], ([], []), 0
+    for i, (x, y) in enumerate(zip(left, right, strict=True)):
+        if most[i] > FEW_EDITS:
+            near[i] = within(x, y, int(most[i]))
+            continue
+        try:
+            pair = x.encode("latin-1"), y.encode("latin-1")
+        except UnicodeEncodeError:
+            near[i] = within(x, y, int(most[i]))
+            continue
+        at.append(i)
+        for lines, line in zip(sides, pair, strict=True):
+            lines.append(line)
+        held += len(x) + len(y)
+        if held >= PAIR_BYTES:
+            near[at] = within_each(*sides, most[at])
+            at, sides, held = [], ([], []), 0
+    if at:
+        near[at] = within_each(*sides, most[at])
+    return near
+
+
 def similar_pairs(batches):
     """The pairs ``a, b`` whose lines ``la, lb`` are similar enough."""
-    share = round(1 - SIMILARITY, 6)
     for batch in batches:
-        left, right = (batch.column(c).to_pylist() for c in ("la", "lb"))
-        most = np.array([int(max(len(x), len(y)) * share) for x, y in zip(left, right, strict=True)], np.int64)
-        near = np.zeros(len(left), bool)
-        at, sides, held = [], ([], []), 0
-        for i, (x, y) in enumerate(zip(left, right, strict=True)):
-            if most[i] <= FEW_EDITS:
-                try:
-                    pair = x.encode("latin-1"), y.encode("latin-1")
-                except UnicodeEncodeError:
-                    near[i] = within(x, y, int(most[i]))
-                    continue
-                at.append(i)
-                for lines, line in zip(sides, pair, strict=True):
-                    lines.append(line)
-                held += len(x) + len(y)
-                if held >= PAIR_BYTES:
-                    near[at] = within_each(*sides, most[at])
-                    at, sides, held = [], ([], []), 0
-            else:
-                near[i] = within(x, y, int(most[i]))
-        if at:
-            near[at] = within_each(*sides, most[at])
+        near = similar(*(batch.column(c).to_pylist() for c in ("la", "lb")))
         yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
@@ -740,7 +745,7 @@ def repeated_lines(
             .mapInArrow(similar_pairs, "a long, b long")
         )
 
-    _, groups = line_groups(near, large, alike, steps)
+    _, groups = line_groups(near, large, alike, steps, texts)
     # All places of the lines of which one stays.
     marked = steps.store(
         lines.join(groups.withColumnRenamed("id", "key"), "key", "left")
@@ -763,14 +768,16 @@ def pair_links(near: DataFrame, alike, steps: Steps) -> DataFrame:
     return line_groups(near, None, alike, steps)[0]
 
 
-def line_groups(near: DataFrame, large: DataFrame | None, alike, steps: Steps) -> tuple[DataFrame, DataFrame]:
+def line_groups(
+    near: DataFrame, large: DataFrame | None, alike, steps: Steps, texts: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Links and their components among the pairs ``near`` (``a, b``, perhaps how ``unlike``) and
-    within the large buckets (``bucket, id, size, sketch, grams``).
+    within the large buckets (``bucket, id, size, sketch, grams``; their lines in ``texts``).
 
     Each line is compared with its most alike partner, each member of a large bucket with the first
-    of it; that settles near copies. Then all pairs that no component holds are, and of the members
-    of large buckets of several components (``bucket_pairs``) the most alike, more each round. Once
-    no line has further open partners, every pair was compared, ruled out or lies in one component.
+    of it; that settles near copies. Then all pairs that no component holds are, those of large
+    buckets of several components where the lines meet (``bucket_links``). So every pair was
+    compared, ruled out or lies in one component.
     """
     if large is not None and large.isEmpty():
         large = None
@@ -786,64 +793,114 @@ def line_groups(near: DataFrame, large: DataFrame | None, alike, steps: Steps) -
         own = groups.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
         rest = rest.join(own, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
     rest = steps.store(rest.where("ca <> cb").select("a", "b"), "rest")
-    partners = MORE
-    while rest is not None or large is not None:
-        open_ = None if large is None else bucket_pairs(large, groups, partners, steps)
-        if open_ is None:
-            large = None
-            pairs = rest
-        else:
-            pairs = open_.select("a", "b")
-            pairs = pairs if rest is None else rest.unionByName(pairs).distinct()
-        if pairs is None:
-            break
-        links = steps.store(links.unionByName(alike(pairs)), "links")
-        groups = steps.store(components(links), "groups")
-        if open_ is not None and open_.where("more").isEmpty():
-            large = None
-        rest = None
-        partners *= MORE * MORE
-    return links, groups
+    links = links.unionByName(alike(rest))
+    if large is not None:
+        links = links.unionByName(bucket_links(large, groups, texts, steps))
+    links = steps.store(links, "links")
+    return links, steps.store(components(links), "groups")
+
+
+def tile_lines(table: pa.Table) -> np.ndarray:
+    """The entries of the lines of a tile."""
+    lines = np.empty(table.num_rows, MARKED if "grams" in table.column_names else ENTRY)
+    for name in lines.dtype.names[1:]:
+        lines[name] = table.column(name).to_numpy().view(np.int64 if name in ("id", "size") else np.uint64)
+    return lines
+
+
+def tile_pairs(table: pa.Table, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a tile of a large bucket (``id, size, sketch, c, side, apart``), by id: the places of the
+    pairs between components that lengths and marks leave open, for each line ``b`` the most alike
+    first. With ``apart``, only pairs of different sides."""
+    c, side = (table.column(x).to_numpy() for x in ("c", "side"))
+    apart = table.column("apart")[0].as_py()
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for low in range(1, len(lines), 256):
+        own = np.arange(low, min(low + 256, len(lines)))
+        free = (c[own][:, None] != c) & (own[:, None] > np.arange(len(lines)))
+        if apart:
+            free &= side[own][:, None] != side
+        b, a = np.nonzero(free)
+        b = own[b]
+        open_ = np.flatnonzero(open_pair(lines[a], lines[b]))
+        a, b = a[open_], b[open_]
+        by = np.lexsort((a, np.bitwise_count(lines["sketch"][a] ^ lines["sketch"][b]), b))
+        left.append(a[by])
+        right.append(b[by])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def proposals(partners: int):
-    """Of a tile of a large bucket (``id, size, sketch, c, side, apart``): the pairs ``a, b`` between
-    components that lengths and marks leave open; a line ``b`` proposes its ``partners`` most alike
-    smaller ones (``more``: it has others). With ``apart``, only pairs of different sides."""
+    """Of a tile of a large bucket: a line ``b`` proposes its ``partners`` most alike open smaller
+    ones ``a`` (``more``: it has others)."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        lines = np.empty(table.num_rows, MARKED if "grams" in table.column_names else ENTRY)
-        for name in lines.dtype.names[1:]:
-            lines[name] = table.column(name).to_numpy().view(np.int64 if name in ("id", "size") else np.uint64)
-        c, side = (table.column(x).to_numpy() for x in ("c", "side"))
-        apart = table.column("apart")[0].as_py()
-        left, right, more = [], [], []
-        for low in range(1, len(lines), 256):
-            own = np.arange(low, min(low + 256, len(lines)))
-            free = (c[own][:, None] != c) & (own[:, None] > np.arange(len(lines)))
-            if apart:
-                free &= side[own][:, None] != side
-            b, a = np.nonzero(free)
-            b = own[b]
-            open_ = np.flatnonzero(open_pair(lines[a], lines[b]))
-            a, b = a[open_], b[open_]
-            unlike = np.bitwise_count(lines["sketch"][a] ^ lines["sketch"][b])
-            by = np.lexsort((a, unlike, b))
-            a, b = a[by], b[by]
-            place = np.arange(len(b)) - np.searchsorted(b, b)
-            kept = place < partners
-            count = np.searchsorted(b, b, side="right") - np.searchsorted(b, b)
-            left.append(lines["id"][a[kept]])
-            right.append(lines["id"][b[kept]])
-            more.append(count[kept] > partners)
-        none = [np.empty(0, np.int64)]
-        columns = [np.concatenate(none + left), np.concatenate(none + right), np.concatenate([np.empty(0, bool), *more])]
+        lines = tile_lines(table)
+        a, b = tile_pairs(table, lines)
+        kept = np.arange(len(b)) - np.searchsorted(b, b) < partners
+        count = np.searchsorted(b, b, side="right") - np.searchsorted(b, b)
+        columns = [lines["id"][a[kept]], lines["id"][b[kept]], count[kept] > partners]
         return pa.table(columns, ["a", "b", "more"])
 
     return run
 
 
+def first_shared(bucket: int, buckets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the pairs share no bucket below this one; ``buckets`` has a row per line."""
+    first = np.ones(len(a), bool)
+    # Other buckets become a number of the line's own.
+    below = np.where(buckets < bucket, buckets, -1 - np.arange(len(buckets))[:, None])
+    for some in np.array_split(np.arange(len(a)), len(a) // 4096 + 1):
+        x, y = below[a[some]], below[b[some]]
+        first[some] = ~(x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
+    return first
+
+
+def tile_links(table: pa.Table) -> pa.Table:
+    """The links ``a, b`` between components in a tile of lines (``line``) of a large bucket: each
+    line is compared with its most alike partners, more each pass, until every pair was compared or
+    lies in one component. A pair belongs to the first bucket (``buckets``) that it shares."""
+    table = table.sort_by("id")
+    lines = tile_lines(table)
+    a, b = tile_pairs(table, lines)
+    lists = table.column("buckets").combine_chunks()
+    held = np.diff(lists.offsets.to_numpy())
+    buckets = np.full((len(lines), max(1, int(held.max()))), np.iinfo(np.int64).max)
+    buckets[np.arange(buckets.shape[1]) < held[:, None]] = lists.flatten().to_numpy()
+    first = first_shared(table.column("bucket")[0].as_py(), buckets, a, b)
+    a, b = a[first], b[first]
+    text = table.column("line").to_pylist()
+    _, group = np.unique(table.column("c").to_numpy(), return_inverse=True)
+    found, partners = [np.empty((2, 0), np.int64)], 1
+    while len(a):
+        tried = np.arange(len(b)) - np.searchsorted(b, b) < partners
+        x, y = a[tried], b[tried]
+        near = similar([text[i] for i in x.tolist()], [text[i] for i in y.tolist()])
+        x, y = x[near], y[near]
+        found.append(np.stack((lines["id"][x], lines["id"][y])))
+        group = joined(group, x, y)
+        on = ~tried & (group[a] != group[b])
+        a, b = a[on], b[on]
+        partners *= MORE
+    return pa.table(list(np.concatenate(found, axis=1)), ["a", "b"])
+
+
+def joined(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The groups once the members ``a`` and ``b`` of each pair are in one."""
+    least = np.arange(len(group))
+    while True:
+        own = least[group]
+        low = np.minimum(own[a], own[b])
+        new = least.copy()
+        np.minimum.at(new, own[a], low)
+        np.minimum.at(new, own[b], low)
+        new = new[new[least]]
+        if (new == least).all():
+            return least[group]
+        least = new
+
+
 def hub_pairs(large: DataFrame, steps: Steps) -> DataFrame:
     """Each member of a large bucket with the first of it, if lengths and marks leave the pair open."""
     hubs = large.groupBy("bucket").agg(F.min(F.struct("id", "size", "sketch")).alias("h"))
@@ -854,25 +911,28 @@ def hub_pairs(large: DataFrame, steps: Steps) -> DataFrame:
     return large.join(hubs, (F.col("bucket") == F.col("h_bucket")) & open_).select(F.col("h_id").alias("a"), F.col("id").alias("b"))
 
 
-def bucket_pairs(large: DataFrame, groups: DataFrame, partners: int, steps: Steps) -> DataFrame | None:
-    """Pairs ``a, b, more`` between components inside large buckets: tiles of bounded size, of whose
-    lines each proposes ``partners`` others. None if each bucket lies in one component."""
-    marked = large.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    marked = steps.store(marked, "members")
-    some = marked.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"))
-    some = some.where("lo < hi").select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("k"))
-    live = steps.store(marked.join(some, "bucket"), "live")
-    if live.isEmpty():
-        return None
+def bucket_links(large: DataFrame, groups: DataFrame, texts: DataFrame, steps: Steps) -> DataFrame:
+    """Links ``a, b`` between components inside the large buckets of several components, which are
+    cut into tiles of bounded size; the lines travel to the tiles, not the pairs."""
+    members = large.groupBy("id").agg(
+        F.array_sort(F.collect_set("bucket")).alias("buckets"), *[F.first(x).alias(x) for x in ("size", "sketch", "grams")]
+    )
+    members = members.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    members = steps.store(members, "members")
+    some = members.select(F.explode("buckets").alias("bucket"), "c").groupBy("bucket")
+    some = some.agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"))
+    some = steps.store(some.where("lo < hi").select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("k")), "mixed")
     tiles = (
-        live.withColumn("side", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+        members.join(texts, "id")
+        .withColumn("bucket", F.explode("buckets"))
+        .join(some, "bucket")
+        .withColumn("side", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         .withColumn("i", F.least("side", "other"))
         .withColumn("j", F.greatest("side", "other"))
         .withColumn("apart", F.col("i") < F.col("j"))
     )
-    tiles = tiles.groupBy("bucket", "i", "j").applyInArrow(proposals(partners), "a long, b long, more boolean")
-    return steps.store(tiles.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
+    return tiles.groupBy("bucket", "i", "j").applyInArrow(tile_links, "a long, b long")
 
 
 def without_lines(batches):

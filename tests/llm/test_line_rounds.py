@@ -15,6 +15,7 @@ from lodeworks.llm.line_dedup import (
     line_table,
     open_pair,
     similar_pairs,
+    tile_links,
     within_each,
 )
 
@@ -90,3 +91,26 @@ def test_most_alike_partners_come_first(spark):
     links, groups = line_groups(near, None, alike, Steps())
     assert seen[0] == 29 and sum(seen) == 29 and {r.component for r in groups.collect()} == {0}
     assert {(r.a, r.b) for r in links.collect()} == {(i, i + 1) for i in range(29)}
+
+
+def test_links_of_a_tile_join_all_components_and_leave_pairs_of_earlier_buckets():
+    rng = random.Random(3)
+    base = "".join(rng.choices("abcdefgh", k=120))
+    lines = [base[:i] + "x" * 6 + base[i + 6 :] for i in range(0, 114, 6)] + ["".join(rng.choices("abcdefgh", k=120)) for _ in range(5)]
+    n = len(lines)
+
+    def tile(buckets):
+        return pa.table(
+            {"id": pa.array(range(n), pa.int64()), "size": [120] * n, "sketch": [0] * n, "grams": [0] * n, "c": list(range(n)),
+             "side": pa.array([0] * n, pa.int32()), "apart": [False] * n, "bucket": [7] * n, "buckets": buckets, "line": lines}
+        )
+
+    links = tile_links(tile([[7]] * n)).to_pylist()
+    parent = list(range(n))
+    for r in links:
+        assert edit(lines[r["a"]], lines[r["b"]]) <= 12
+        low, high = sorted((parent[r["a"]], parent[r["b"]]))
+        parent = [low if p == high else p for p in parent]
+    assert parent == [0] * 19 + list(range(19, 24)) and len(links) < 60
+    assert tile_links(tile([[3, 7]] * n)).num_rows == 0
+    assert tile_links(tile([[3, 7], [4, 7], *[[7]] * (n - 2)])).num_rows >= 18
