@@ -674,7 +674,11 @@ def bucket_reader(limit: int):
         yield rows(a=a[new], b=b[new], unlike=apart[new])
         cut, members = cut[size_cut > limit], members[size_cut > limit]
         yield rows(bucket=cut, a=members["id"], size=members["size"], sketch=members["sketch"].view(np.int64), grams=members["grams"].view(np.int64))
-        where = np.unique(np.frombuffer(b"".join(places), PLACE))
+        where = np.frombuffer(b"".join(places), PLACE)
+        where = where[np.lexsort((where["line"], where["doc_id"], where["key"]))]
+        new = np.ones(len(where), bool)
+        new[1:] = np.any([where[x][1:] != where[x][:-1] for x in PLACE.names], axis=0)
+        where = where[new]
         first = np.ones(len(where), bool)
         first[1:] = where["key"][1:] != where["key"][:-1]
         yield rows(a=where["doc_id"], b=where["key"], line=where["line"], first=first, again=runs(where["key"]) > 1)
@@ -720,6 +724,7 @@ def repeated_lines(
 
     # The normalised lines of all that may be linked, read once where they first occur.
     wanted = near.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
+    wanted = if_small(steps.store(wanted, "ids"))
     place = F.struct("doc_id", "line")
     distinct = lines.where("first").select(F.col("key").alias("id"), place.alias("first"))
     by_doc = steps.store(
@@ -748,7 +753,7 @@ def repeated_lines(
     _, groups = line_groups(near, large, alike, steps, texts)
     # All places of the lines of which one stays.
     marked = steps.store(
-        lines.join(groups.withColumnRenamed("id", "key"), "key", "left")
+        lines.join(if_small(groups).withColumnRenamed("id", "key"), "key", "left")
         .where("again or component is not null")
         .select("doc_id", "line", F.coalesce("component", "key").alias("c")),
         "marked",
@@ -788,9 +793,10 @@ def line_groups(
     pairs = first if large is None else first.unionByName(hub_pairs(large, steps)).distinct()
     links = steps.store(alike(pairs), "links")
     groups = steps.store(components(links), "groups")
-    rest = near.join(first.withColumnRenamed("a", "_a"), "b").where("a <> _a").select("a", "b")
+    rest = near.join(if_small(first).withColumnRenamed("a", "_a"), "b").where("a <> _a").select("a", "b")
+    known = if_small(groups)
     for end in ("a", "b"):
-        own = groups.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+        own = known.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
         rest = rest.join(own, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
     rest = steps.store(rest.where("ca <> cb").select("a", "b"), "rest")
     links = links.unionByName(alike(rest))
