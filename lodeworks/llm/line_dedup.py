@@ -14,9 +14,9 @@ Lines of up to 19 characters differ in one edit at most and meet on an intact ha
 entry carries the line's length and a mark: from ``MIDDLE`` characters on a sketch, a bit per
 minimum, below it counts of its letters. Pairs whose lengths or marks rule the similarity out are
 dropped where they meet. Buckets of up to ``SMALL_BUCKET`` lines give all other pairs, of which the
-edit distance sees one per line first and then those that no component holds. In larger ones all
-members meet a hub first; what no component holds then is compared in tiles of bounded size, where
-each line proposes its most alike partners of other components, more each round, until none is left.
+edit distance sees the most alike of each line first and then those that no component holds.
+Larger ones are cut by length; all members of one meet a hub first, and where several components
+are left the lines are compared in tiles of bounded size, most alike partners first.
 
 Defined cases: lines without words (and so null or empty texts) always stay; a document
 whose every line went is left with an empty text; rows that share an id get the verdicts of
